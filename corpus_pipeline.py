@@ -1,4 +1,4 @@
-"""Corpus pipeline: documents in, shards of a mixed corpus out, one stage after another.
+"""Corpus pipeline: documents in, shards of a clean, mixed corpus out, one stage after another.
 
 A stage is a function (spark, docs, sf_dir) -> DataFrame over all that its predecessor kept.
 """
@@ -8,8 +8,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import table, written
+from tessera.llm.decontaminate import remove_documents
+from tessera.llm.langid import identified
 from tessera.llm.mixing import mixed_documents
 from tessera.llm.sharding import sharded_documents
+from tessera.llm.simhash import one_of_each
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: documents whose language can't be told go."""
+    return identified(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: of each group of near-duplicates the document with the smallest doc_id stays."""
+    return one_of_each(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: documents that hold a passage of the benchmark go."""
+    return remove_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,9 +40,9 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharded_documents(docs)
 
 
-STAGES = [("mix_sources", mix_sources), ("shard", shard)]
+STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("mix_sources", mix_sources), ("shard", shard)]
 
-#: No SQL for learned language labels.
+#: No SQL for learned language labels and 64-bit XXH64 fingerprints.
 ORACLE_SQL = None
 
 

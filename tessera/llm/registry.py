@@ -1,12 +1,19 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from tessera.llm import mixing, sharding
+from tessera.llm import chat, decontaminate, html_main, langid, mixing, sharding, simhash
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_shard_documents": sharding.op2_shard_documents,
+    "op3_extract_main_text": html_main.op3_extract_main_text,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op6_language_id": langid.op6_language_id,
+    "op7_format_chats": chat.op7_format_chats,
+    "op10_simhash_near_duplicates": simhash.op10_simhash_near_duplicates,
 }
 
 ORACLES = {
     "op1_mix_sources": mixing.OP1_SQL,
+    "op4_decontaminate": decontaminate.OP4_SQL,
+    "op7_format_chats": chat.OP7_SQL,
 }

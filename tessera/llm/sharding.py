@@ -48,7 +48,7 @@ def _cut(rows: DataFrame, n_shards: int) -> DataFrame:
     """Adds shard and slot to rows with prefix sums."""
     middle = F.col("__begin") * 2 + F.col("__size")
     shard = F.floor(middle.cast("decimal(38,0)") * n_shards / (F.col("__total") * 2)).cast("int")
-    rows = written(rows.withColumn("shard", shard), "shards-cut")
+    rows = rows.withColumn("shard", shard)
     first = rows.groupBy("shard").agg(F.min("__row").alias("__first"))  # n_shards rows
     return rows.join(F.broadcast(first), "shard").withColumn("slot", F.col("__row") - F.col("__first"))
 
