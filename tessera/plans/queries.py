@@ -1,20 +1,3 @@
-"""Queries over the driver's tables."""
+"""All queries over the driver's tables, by subject."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tessera.registry import query
-
-
-@query(
-    "facts_count_by_media_month",
-    "SELECT event_type AS media_type, strftime(ts, '%Y-%m') AS month, count(DISTINCT event_id) AS n FROM events "
-    "WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-02-01' AND event_type IN ('view', 'click', 'purchase') GROUP BY ALL",
-)
-def facts_count_by_media_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct assets by media type and month within a half-open time range."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    kept = events.filter("ts >= TIMESTAMP_NTZ '2024-01-05' AND ts < TIMESTAMP_NTZ '2024-02-01'").filter(F.col("event_type").isin("view", "click", "purchase"))
-    return kept.groupBy(F.col("event_type").alias("media_type"), F.date_format("ts", "yyyy-MM").alias("month")).agg(F.countDistinct("event_id").alias("n"))
+from tessera.plans import queries_facts, queries_graph, queries_retrieval, queries_sequences  # noqa: F401
