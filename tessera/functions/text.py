@@ -14,8 +14,7 @@ def normalise(text: Column) -> Column:
 def search_tokens(text: Column) -> Column:
     """Sorted distinct tokens: the whole normalised value (if longer than 1), its Latin words, and bigrams of its characters."""
     value = normalise(text)
-    chars = F.filter(F.split(F.regexp_replace(value, r"\s", ""), ""), lambda c: c != "")
-    bigrams = F.when(F.size(chars) > 1, F.zip_with(F.slice(chars, F.lit(1), F.greatest(F.size(chars) - 1, F.lit(0))), F.slice(chars, F.lit(2), F.greatest(F.size(chars) - 1, F.lit(0))), lambda a, b: F.concat(a, b))).otherwise(F.array().cast("array<string>"))
+    bigrams = F.regexp_extract_all(F.regexp_replace(value, r"\s", ""), F.lit("(?s)(?=(..))."), F.lit(1))  # overlapping
     whole = F.when(F.length(value) > 1, F.array(value)).otherwise(F.array().cast("array<string>"))
     return F.array_sort(F.array_distinct(F.concat(whole, F.regexp_extract_all(value, F.lit("[a-zA-Z0-9]+"), F.lit(0)), bigrams)))
 

@@ -24,7 +24,7 @@ def media_type(path: Column) -> Column:
 
 
 def ingest(spark: SparkSession, folder: str, glob: str = "*", recursive: bool = True) -> DataFrame:
-    """asset_id, path, media_type, size_bytes, modified and content_sha256 of every file below a folder."""
+    """asset_id, path, media_type, size_bytes, modified and content_sha256 of every file below a folder (but empty ones)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(folder)
     sha = F.sha2("content", 256)
     return files.select(F.concat(F.lit("asset_"), F.substring(F.sha2(F.col("path"), 256), 1, 12)).alias("asset_id"), "path", media_type(F.col("path")).alias("media_type"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"), sha.alias("content_sha256"))
