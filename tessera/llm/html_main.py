@@ -53,20 +53,24 @@ _ATTR = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+
 _PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _DIGITS = re.compile(r"\d+")
 
-KEPT, FURNITURE, HEAD = 0, 2, 1
+#: What an element is: kept; a head, of which only headings are kept; furniture; or named like furniture, which may be a
+#: wrapper of everything (`class="page has-sidebar"`) and so counts as furniture only without a main heading inside.
+KEPT, HEAD, FURNITURE, NAMED = range(4)
 
 
 @lru_cache(maxsize=1 << 14)
 def _element(tag: str, attrs: str) -> tuple[str, int]:
-    """The generalised step of a path, and whether the element is kept, furniture, or a head (of which headings are kept)."""
+    """The generalised step of a path, and what the element is by itself."""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)} if attrs else {}
     classes = found.get("class", "").split()
     named = [*classes, *([found["id"]] if found.get("id") else [])]
     words = {w.lower() for name in named for w in _PIECE.findall(name)}
     step = tag + "".join(f".{_DIGITS.sub('N', c.lower())}" for c in sorted(set(classes))) + (f"#{_DIGITS.sub('N', found['id'].lower())}" if found.get("id") else "")
     state = KEPT
-    if tag in _DROPPED or tag not in ("html", "body", "main", "article") and words & _FURNITURE or found.get("role", "").lower() in _ROLES:
+    if tag in _DROPPED or found.get("role", "").lower() in _ROLES:
         state = FURNITURE
+    elif tag not in ("html", "body", "main", "article") and words & _FURNITURE:
+        state = NAMED
     elif tag == "header" or tag not in ("html", "body", "main", "article") and words & _MASTHEAD and tag not in _HEADING:
         state = HEAD
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
@@ -151,7 +155,7 @@ class Page:
             if not block and name not in _DROPPED and not ("class" in attrs or "id" in attrs or "hidden" in attrs or "role" in attrs or "style" in attrs):
                 continue
             step, state = _element(name, attrs)
-            if not block and state != FURNITURE:
+            if not block and state < FURNITURE:
                 continue
             if block:
                 flush()
@@ -175,7 +179,7 @@ class Page:
             tags.append(name)
             self.step.append(step)
             parents.append(stack[-1])
-            states.append(max(state, states[stack[-1]]))
+            states.append(state)
             stack.append(len(tags) - 1)
         if at < end:
             say(html[at:])
@@ -192,8 +196,18 @@ class Page:
             every[p] += every[i]
             linked[p] += linked[i]
             items[p] += self.tag[i] == "li"
+        # A wrapper is told from furniture by what it holds: the main heading, or for a head the article itself.
+        h1, body = [t == "h1" for t in self.tag], [t in ("main", "article") for t in self.tag]
+        for i in range(n - 1, 0, -1):
+            h1[self.parent[i]] |= h1[i]
+            body[self.parent[i]] |= body[i]
         for i in range(1, n):
-            if self.state[self.parent[i]] == FURNITURE or self.tag[i] in ("ul", "ol") and items[i] > 1 and linked[i] >= LINK_SHARE * every[i] > 0:
+            if self.state[i] == NAMED:
+                self.state[i] = KEPT if h1[i] and self.tag[i] not in _HEADING else FURNITURE
+            elif self.state[i] == HEAD and body[i]:
+                self.state[i] = KEPT
+            self.state[i] = max(self.state[i], self.state[self.parent[i]])
+            if self.tag[i] in ("ul", "ol") and items[i] > 1 and linked[i] >= LINK_SHARE * every[i] > 0:
                 self.state[i] = FURNITURE
         good = [0] * n
         for i, text, links in self.blocks:

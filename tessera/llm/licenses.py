@@ -80,7 +80,7 @@ EQUIVALENT = [
 ]
 
 #: One of these is in every known text; what has none is not a licence.
-KEYWORDS = "licen|permission|redistribution"
+KEYWORDS = "licen|permission|redistribution|released|distributed|available"
 
 
 def known() -> list[tuple[str, str]]:

@@ -144,6 +144,11 @@ def test_main_text():
     assert path.endswith("div.col.content-N") and page.text(path) == want
 
 
+def test_wrappers_named_like_furniture_are_kept():
+    page = "<body><div class='site has-sidebar'><div class='header-wrap'><main><h1>T</h1><p>Some long enough text of the article itself.</p></main></div><div class=sidebar><p>other things to read</p></div><div id=comments><article><p>a comment that is a little longer than the article is, for once</p></article></div></div>"
+    assert html_main.Page(page).text(None) == "T\nSome long enough text of the article itself."
+
+
 @pytest.mark.parametrize("html", ["", "plain", "<", "<p>a<p>b", "<div><p>a</div>b</p></section>", "<!-- x", "<a href='>x</a>", "<script>", "</p></p>", "<td>x<tr><td>y", "&#xD800;&#999999999;", "<p " + "a=\"b" * 50])
 def test_broken_pages_do_not_crash(html):
     assert isinstance(html_main.Page(html).text("html>body"), str)
