@@ -1,3 +1,3 @@
 """All queries over the driver's tables, by subject."""
 
-from tessera.plans import queries_facts, queries_graph, queries_people, queries_retrieval, queries_sequences  # noqa: F401
+from tessera.plans import queries_facts, queries_graph, queries_people, queries_retrieval, queries_review, queries_sequences  # noqa: F401
