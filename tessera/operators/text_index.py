@@ -9,21 +9,56 @@ from pyspark.sql import functions as F
 from tessera.functions.text import contains, normalise, search_tokens
 
 
-def term_projection(rows: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
-    """key, field, value (normalised) and token: a row for each token of each named field. A full, deterministic rebuild."""
+#: Query tokens are broadcast up to so many rows; beyond it index and queries meet by a shuffle.
+MAX_BROADCAST_TOKENS = 100_000
+
+
+def field_values(rows: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
+    """key, field and value (normalised) of each named field that isn't empty."""
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(c).cast("string").alias("value")) for f, c in fields.items()]))
-    values = rows.select(key, pairs.alias("v")).select(key, "v.field", normalise(F.col("v.value")).alias("value")).filter("value <> ''")
-    return values.withColumn("token", F.explode(search_tokens(F.col("value"))))
+    return rows.select(key, pairs.alias("v")).select(key, "v.field", normalise(F.col("v.value")).alias("value")).filter("value <> ''")
+
+
+def term_projection(rows: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
+    """key, field, value_digest and token: a row for each token of each named field. A full, deterministic rebuild.
+
+    The value itself stays behind: a token row only has its digest, so the index grows with the tokens, not their square.
+    """
+    values = field_values(rows, key, fields).select(key, "field", F.md5("value").alias("value_digest"), search_tokens(F.col("value")).alias("tokens"))
+    return values.select(key, "field", "value_digest", F.explode("tokens").alias("token"))
+
+
+#: Query tokens that a scan looks for without an index; with more of them the index is built.
+MAX_SCAN_TOKENS = 500
+
+
+def query_projection(rows: DataFrame, key: str, fields: dict[str, str], queries: DataFrame) -> DataFrame:
+    """The rows of term_projection whose token is one of the queries', without making the others.
+
+    For a few tokens it's cheaper to look for each in the text than to make all of a text's tokens: a bigram is held where
+    the text without white space contains it, a word among the text's words, a whole value where it equals the text.
+    """
+    rows_wanted = queries.select(F.explode(search_tokens(F.col("text"))).alias("token")).distinct().limit(MAX_SCAN_TOKENS + 1).collect()
+    tokens = sorted(r["token"] for r in rows_wanted)
+    if len(tokens) > MAX_SCAN_TOKENS:
+        return term_projection(rows, key, fields)
+    pairs = [t for t in tokens if len(t) == 2 and " " not in t]
+    others = [t for t in tokens if t not in pairs]
+    literal = lambda ts: F.array(*[F.lit(t) for t in ts]).cast("array<string>")
+    values = field_values(rows, key, fields).withColumn("bare", F.regexp_replace("value", r"\s", ""))
+    held = [F.filter(literal(pairs), lambda t: F.contains(F.col("bare"), t)), F.array_intersect(F.regexp_extract_all("value", F.lit("[a-zA-Z0-9]+"), F.lit(0)), literal(others)), F.filter(literal(others), lambda t: t == F.col("value"))]
+    return values.select(key, "field", F.md5("value").alias("value_digest"), F.explode(F.array_distinct(F.concat(*held))).alias("token"))
 
 
 def token_match(index: DataFrame, key: str, queries: DataFrame) -> DataFrame:
     """query, key and score: an index row that holds a query token adds 1, a field equal to the whole query 2 more.
 
-    queries: query_id and text - few, so their tokens are a small side, and the index is not shuffled before it's reduced.
+    queries: query_id and text. Their tokens are counted; a small set is broadcast, so the index isn't shuffled before it is
+    reduced to hits.
     """
-    wanted = queries.select("query_id", normalise(F.col("text")).alias("whole"), F.explode(search_tokens(F.col("text"))).alias("token"))
-    hits = index.join(wanted, "token")
-    exact = F.max((F.col("value") == F.col("whole")).cast("int"))
+    wanted = queries.select("query_id", F.md5(normalise(F.col("text"))).alias("whole"), F.explode(search_tokens(F.col("text"))).alias("token"))
+    hits = index.join(F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_TOKENS else wanted.hint("merge"), "token")
+    exact = F.max((F.col("value_digest") == F.col("whole")).cast("int"))
     return hits.groupBy("query_id", key).agg((F.count(F.lit(1)) + 2 * exact).cast("double").alias("raw_score"))
 
 
@@ -35,9 +70,9 @@ def lexical_hits(index: DataFrame, key: str, surfaces: DataFrame, k: int) -> Dat
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k).withColumnRenamed("q", "query_id")
 
 
-def like_search(index: DataFrame, key: str, field: str, needle: str) -> DataFrame:
-    """Keys of which the named field contains the needle."""
-    return index.filter((F.col("field") == field) & contains(F.col("value"), F.lit(needle))).select(key).distinct()
+def like_search(values: DataFrame, key: str, field: str, needle: str) -> DataFrame:
+    """Keys of which the named field (of field_values) contains the needle."""
+    return values.filter((F.col("field") == field) & contains(F.col("value"), F.lit(needle))).select(key).distinct()
 
 
 def conversation_search(messages: DataFrame, query: str, k: int) -> DataFrame:

@@ -95,6 +95,9 @@ def test_lexical_search(spark):
     hits = text_index.lexical_hits(index, "asset_id", text_index.surfaces(spark, [(1, 0, "睡衣"), (2, 0, "色"), (3, 0, "卧室睡衣自拍")]), 10).collect()
     by = {(r.query_id, r.asset_id): r.raw_score for r in hits}
     assert (1, "asset_1") in by and not any(q == 2 for q, _ in by)
+    asked = text_index.surfaces(spark, [(1, 0, "睡衣"), (3, 0, "卧室睡衣自拍")])
+    held = lambda df: sorted(map(tuple, df.join(asked.select(F.explode(text.search_tokens(F.col("text"))).alias("token")).distinct(), "token", "left_semi").collect()))
+    assert held(text_index.query_projection(rows, "asset_id", {"caption": "caption", "clothing": "clothing"}, asked)) == held(index)
     assert max((s, k) for k, s in by.items() if k[0] == 3)[0] >= 2
 
 
