@@ -286,8 +286,14 @@ MIN_SCORE = 0.4
 
 
 def identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """docs without the rows whose language can't be told: no letters, or a score under min_score."""
-    rows = with_language(docs, train(docs, held_out=None))
+    """docs without the rows whose language can't be told: no letters, or a score under min_score.
+
+    Where no row has a label there is nothing to learn; then all texts with a letter stay.
+    """
+    model = train(docs, held_out=None)
+    if not model.langs:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    rows = with_language(docs, model)
     return rows.filter((F.col("__lid")["lang"] != UNKNOWN) & (F.col("__lid")["score"] >= min_score)).select(docs.columns)
 
 

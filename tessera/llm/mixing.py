@@ -98,7 +98,7 @@ def plan_mixture(sizes: dict[str | None, int], weights: dict[str | None, float]
     ordered = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
     goal = targets({s: sizes[s] for s in ordered}, weights, share, max_repeat)
     blocks = {s: -(-sizes[s] // block_tokens) for s in ordered}
-    seats = int(sum(goal.values()) / block_tokens + 0.5)
+    seats = max(1, int(sum(goal.values()) / block_tokens + 0.5))  # a small corpus is one block
     want, most = [goal[s] for s in ordered], [max_repeat * blocks[s] for s in ordered]
     upto = [[0] * len(ordered), *(sainte_lague(want, most, seats * k // n_shards) for k in range(1, n_shards + 1))]
     plans = []
@@ -223,7 +223,7 @@ goal AS (
   FROM filled WHERE step = 30),
 blocks AS (
   SELECT *, ((source_size + {BLOCK_TOKENS - 1}) // {BLOCK_TOKENS})::BIGINT AS n,
-         floor(sum(target) OVER () / {BLOCK_TOKENS} + 0.5)::BIGINT AS seats FROM goal),
+         greatest(1, floor(sum(target) OVER () / {BLOCK_TOKENS} + 0.5)::BIGINT) AS seats FROM goal),
 quotients AS (
   SELECT k, seats, row_number() OVER (ORDER BY target / (2 * j + 1) DESC, i) AS place
   FROM blocks, unnest(range(0, least({MAX_REPEAT} * n, (target / {BLOCK_TOKENS})::BIGINT + 20))) AS t(j) WHERE target > 0),

@@ -61,9 +61,9 @@ def shard_rows(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
 
 
 def sharded_documents(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
-    """docs' columns with shard and slot. Texts move once, by the range exchange."""
-    new = [c for c in ("shard", "slot") if c not in docs.columns]
-    return _cut(prefix_sums(_measured(docs)), n_shards).select(*[F.col(c) for c in docs.columns if c not in ("shard", "slot")], *(new or ["shard", "slot"]))
+    """docs' columns with shard and slot (in place of columns of these names). Texts move once, by the range exchange."""
+    kept = [c for c in docs.columns if c not in ("shard", "slot")]
+    return _cut(prefix_sums(_measured(docs.select(kept))), n_shards).select(*kept, "shard", F.col("slot").cast("long"))
 
 
 def op2_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

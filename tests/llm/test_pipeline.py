@@ -22,6 +22,18 @@ def test_stages(spark):
     assert set(docs.columns) == {*columns, "shard", "slot"}
 
 
+def test_odd_and_empty_documents(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, shard string, size int"
+    rows = [(1, "one two three", "en", "a", 13, "x", 1), (1, "one two three", "en", "a", 13, "x", 1), (None, "no id", None, None, None, None, None), (2, None, None, None, None, None, None), (3, "", "en", "a", 0, "y", 2), (None, None, None, None, None, None, None), (4, "w " * 5000, "en", "b", 10_000, "", 0)]
+    for data, least in ((rows, 1), ([], 0), ([(1, "a b", None, None, None, None, None)], 1)):
+        docs = spark.createDataFrame(data, schema)
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES:
+            docs = written(stage(spark, docs, SF), name)
+            assert sorted(docs.columns) == sorted({*columns, *(("shard", "slot") if name == "shard" else ())})
+        assert docs.count() >= least
+
+
 def test_run_gives_the_same_rows_again(spark):
     rows = lambda: sorted((r.doc_id, r.shard, r.slot, r.text) for r in corpus_pipeline.run(spark, SF).collect())
     assert rows() == rows()
