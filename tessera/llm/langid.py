@@ -158,7 +158,12 @@ class _Words(dict):
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model, self.new, self.table = model, [], np.empty((0, len(model.langs)))
+        self.model = model
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self.new, self.table = [], np.empty((0, len(self.model.langs)))
 
     def __missing__(self, word: str) -> int:
         self[word] = n = len(self)
@@ -230,7 +235,7 @@ def predict(texts: list[str | None], model: Model, known: _Words | None = None)
                 run()
                 size = 0
             if len(known) > MAX_WORDS and not pending:
-                known.__init__(model)
+                known.reset()
             pending.append((i, np.array(list(map(number, words)), np.int32)))
             size += len(words)
     if pending:
@@ -282,7 +287,7 @@ def predictions(docs: DataFrame) -> DataFrame:
 
 
 #: A document below this mean probability is in none of the learned languages.
-MIN_SCORE = 0.4
+MIN_SCORE = 0.3
 
 
 def identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:

@@ -241,6 +241,17 @@ def test_held_out_accuracy(spark):
     assert sum(docs[r.doc_id] == r.lang_pred for r in rows) / len(rows) > 0.97
 
 
+def test_a_full_word_cache_starts_anew(monkeypatch):
+    model = langid.fit([("the thing of and that was", "en"), ("der die das und nicht ein", "de")] * 3)
+    texts = [f"the thing w{'abc'[i % 3] * (i + 1)} der" for i in range(40)]
+    plain = [langid.predict([t], model)[0] for t in texts]
+    monkeypatch.setattr(langid, "MAX_WORDS", 7)
+    monkeypatch.setattr(langid, "_RUN_WORDS", 10)
+    known = langid._Words(model)
+    found = [p for i in range(0, 40, 5) for p in langid.predict(texts[i : i + 5], model, known)]
+    assert [x[0] for x in found] == [x[0] for x in plain] and np.allclose([x[1] for x in found], [x[1] for x in plain])
+
+
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(0)
     k, n = 3, 5
