@@ -72,6 +72,7 @@ def text_hits(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM) -> DataFram
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document."""
     hits = text_hits(docs, benchmark, n).select("digest", F.size("hit_words").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_join(F.array_sort("items"), ",").alias("ids"))
+    hits = written(hits, "text-hits")  # joined by itself, so that a text with very many copies can be split
     words = F.coalesce(F.regexp_count("text", F.lit(_WORD_ANY_CASE)), F.lit(0)).cast("long")
     rows = docs.select("doc_id", words.alias("n_words"), F.md5("text").alias("digest")).join(hits, "digest", "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
