@@ -200,7 +200,7 @@ def _resolved(docs: DataFrame, radius: int) -> DataFrame:
     linked = linked.join(least, "root").select("node", "root", "least")
     named = prints.join(linked, prints["fp"] == linked["node"], "left")
     named = named.select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "first").alias("component_id"))
-    return rows.join(named, "fp")
+    return rows.join(written(named, "components"), "fp")  # joined by itself, so that a fingerprint of very many rows can be split
 
 
 def _hex(fp: str) -> Column:
