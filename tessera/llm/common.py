@@ -2,25 +2,20 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_ROOT = str(Path(__file__).resolve().parents[2])
+from tessera.catalog import importable
 
 #: A word of the size contracts: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # Python workers import this package by name: from where the driver has it, unless it was shipped to them.
-    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
-    if _ROOT not in paths:
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [*paths, _ROOT]))
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
