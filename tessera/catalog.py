@@ -23,6 +23,16 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Up to this size an input is dealt out over the cores; a larger one has row groups enough for all of them.
+SPREAD_BYTES = 256 * 1024 * 1024
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """A small input, often one row group that a single task would read, over all cores; a larger one as it is."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else rows
+
+
 def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as assets: asset_id, ts, media_type, scope_id (the user)."""
     return load(spark, sf_dir, "events").select(F.col("event_id").alias("asset_id"), "ts", F.col("event_type").alias("media_type"), F.col("user_id").alias("scope_id"), "value", "props")

@@ -17,7 +17,7 @@ _QUERY_EVERY = 50
 
 
 def _lexical(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    docs = catalog.load(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = catalog.spread(catalog.load(spark, sf_dir, "documents").select("doc_id", "text"))
     surfaces = text_index.surfaces(spark, SURFACES)
     index = text_index.query_projection(docs, "doc_id", {"caption": "text"}, surfaces)
     return text_index.lexical_hits(index, "doc_id", surfaces, k)
