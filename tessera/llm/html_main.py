@@ -2,8 +2,9 @@
 
 First pass: every page scores its containers (text outside links and page furniture, times the share that such text has of
 all that the container holds) and votes with its better containers' generalised tag-class paths. Spark adds up the votes
-of a host and keeps its winning path. Second pass: a page takes its text from the container at its host's winning path;
-where it has none, or one that holds little of what the page has, from its own best container.
+of a host and keeps its winning path. Second pass: a page takes its text from all containers at its host's winning path,
+or from their smallest common container where that holds more; from its own best container where that encloses them, where
+there are none, or where they hold little of what the page has.
 
 Edge cases: null or empty html gives an empty text; a null or odd url makes the page a host of its own making (it uses its
 own best container); unclosed, crossed and stray tags are read as browsers do in the main; a page of any length is read
@@ -209,12 +210,17 @@ class Page:
             self.state[i] = max(self.state[i], self.state[self.parent[i]])
             if self.tag[i] in ("ul", "ol") and items[i] > 1 and linked[i] >= LINK_SHARE * every[i] > 0:
                 self.state[i] = FURNITURE
-        good = [0] * n
+        # Furniture is never taken, so a container isn't the worse for holding some.
+        good, every = [0] * n, [0] * n
         for i, text, links in self.blocks:
+            if self.state[i] < FURNITURE:
+                every[i] += len(text)
             if self.state[i] == KEPT or self.state[i] == HEAD and self.tag[i] in _HEADING:
                 good[i] += len(text) - links
         for i in range(n - 1, 0, -1):
             good[self.parent[i]] += good[i]
+            every[self.parent[i]] += every[i]
+        self.good, self.every = good, every
         self.score = [good[i] * good[i] // every[i] if every[i] and (self.tag[i] in _CONTAINER or i == 0) and self.state[i] == KEPT else 0 for i in range(n)]
 
     def best(self) -> int:
@@ -232,27 +238,50 @@ class Page:
         return ">".join(reversed(steps))
 
     def votes(self) -> dict[str, int]:
-        """Paths of the better containers, each with its best score in millionths of the page's best."""
+        """Paths of the better containers, inner ones first, each with its best score in millionths of the page's best."""
         top, out = max(self.score), {}
-        for i, s in enumerate(self.score):
+        for i in range(len(self.score) - 1, -1, -1):
+            s = self.score[i]
             if top and s >= VOTE_SHARE * top:
                 p = self.path(i)
                 out[p] = max(out.get(p, 0), s * 1_000_000 // top)
         return out
 
-    def text(self, path: str | None) -> str:
-        """The kept blocks of the container at a path, or of the page's own best one."""
+    def _line(self, i: int) -> list[int]:
+        """An element and all that it lies in, outermost first."""
+        line = [i]
+        while i > 0:
+            line.append(i := self.parent[i])
+        return line[::-1]
+
+    def _common(self, elements: list[int]) -> int:
+        """The smallest container that holds all of the elements."""
+        line = self._line(elements[0])
+        for i in elements[1:]:
+            line = [a for a, b in zip(line, self._line(i)) if a == b]
+        return next(i for i in reversed(line) if i == 0 or self.tag[i] in _CONTAINER)
+
+    def _chosen(self, path: str | None) -> list[int]:
         own = self.best()
-        chosen = own
-        if path is not None:
-            last = path.rpartition(">")[2]
-            there = [i for i, s in enumerate(self.step) if s == last and self.score[i] > 0 and self.path(i) == path]
-            if there and self.score[most := max(there, key=lambda i: (self.score[i], -i))] >= OWN_SHARE * self.score[own]:
-                chosen = most
+        if path is None:
+            return [own]
+        last = path.rpartition(">")[2]
+        there = [i for i, s in enumerate(self.step) if s == last and self.score[i] > 0 and self.path(i) == path]
+        good, every = sum(self.good[i] for i in there), sum(self.every[i] for i in there)
+        if not there or good * good // every < OWN_SHARE * self.score[own]:
+            return [own]
+        common = self._common(there)
+        if own in self._line(common):
+            return [own]
+        return [common] if self.good[common] > good else there
+
+    def text(self, path: str | None) -> str:
+        """The kept blocks of the containers at a path and of what encloses them, or of the page's own best one."""
         inside = [False] * len(self.tag)
-        inside[chosen] = True
-        for i in range(chosen + 1, len(inside)):
-            inside[i] = inside[self.parent[i]]
+        for i in self._chosen(path):
+            inside[i] = True
+        for i in range(1, len(inside)):
+            inside[i] = inside[i] or inside[self.parent[i]]
         return "\n".join(t for i, t, _ in self.blocks if inside[i] and (self.state[i] == KEPT or self.state[i] == HEAD and self.tag[i] in _HEADING))
 
 

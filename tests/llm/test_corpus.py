@@ -154,6 +154,21 @@ def test_broken_pages_do_not_crash(html):
     assert isinstance(html_main.Page(html).text("html>body"), str)
 
 
+def test_all_containers_at_the_path_are_taken():
+    part = lambda n: f"<section><h2>Part {n}</h2><p>{f'Words of part {n} go on. ' * 8}</p></section>"
+    many = html_main.Page(f"<body><main><h1>Title</h1><p>A lead outside.</p>{part(1)}{part(2)}{part(3)}</main></body>")
+    text = many.text("body>main>section")
+    assert all(x in text for x in ("Title", "A lead outside.", "Words of part 1", "Words of part 2", "Words of part 3"))
+    assert many.text("body>main>section") == many.text("body>main")
+
+
+def test_furniture_inside_does_not_lower_a_container():
+    page = f"<body><main><h1>Title</h1><p>Lead.</p><section><p>{'The article goes on. ' * 10}</p></section><aside><p>{'Other things. ' * 60}</p></aside></main></body>"
+    votes = html_main.Page(page).votes()
+    assert max(votes, key=lambda p: (votes[p], len(p))) == "body>main"
+    assert html_main.Page(page).text("body>main").split("\n")[:2] == ["Title", "Lead."] and "Other" not in html_main.Page(page).text("body>main")
+
+
 def test_pages_with_nulls(spark):
     pages = spark.createDataFrame([(1, "http://h.x/1", PAGE), (None, None, None), (2, "::", "<p>alone</p>"), (3, "http://h.x/2", "")], "page_id long, url string, html string")
     found = {r.page_id: r.text for r in html_main.main_text(pages).collect()}
