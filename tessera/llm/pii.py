@@ -5,9 +5,9 @@ a term t of the contexts of an entity c discloses of c's information
 
     D(c, t) = PMI(c; t) / IC(c) = log(N * n(c, t) / (n(c) * df(t))) / log(N / n(c))
 
-with n counting distinct contexts (so copies of a passage count once), df documents that hold the term, and N documents.
-D is 1 where the term tells the entity outright and about 0 for words that stand anywhere. Where at least MIN_SUPPORT
-contexts agree, a term with D >= REMOVE is removed from the entity's contexts, one with D >= GENERALISE is generalised.
+with all four counted over distinct texts (so copies of a document count once): N all, n(c) those that hold the entity,
+n(c, t) those that hold the term in one of its contexts, and df those that hold the term. D is 1 where the term tells the
+entity outright and about 0 for words that stand anywhere. Where at least MIN_SUPPORT distinct contexts agree, a term with D >= REMOVE is removed from the entity's contexts, one with D >= GENERALISE is generalised.
 
 All matching runs in the JVM: a split by the pattern gives the stretches between matches and so, by their lengths, the
 offsets. The patterns start only where a run of their characters starts (or the last match ended) and never give back what
@@ -135,18 +135,23 @@ def _mentions(rows: DataFrame) -> DataFrame:
     return each.select("digest", F.concat_ws(":", F.col("s.k").cast("string"), F.lower("s.value")).alias("entity"), F.xxhash64("s.left", "s.right").alias("context"), free.alias("terms"))
 
 
-def disclosures(docs: DataFrame, mentions: DataFrame, n_docs: int) -> DataFrame:
-    """entity, term and d of the pairs that at least MIN_SUPPORT distinct contexts hold and that disclose GENERALISE or more."""
-    distinct = mentions.dropDuplicates(["entity", "context"])
-    per_entity = distinct.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
-    pairs = distinct.select("entity", F.explode(F.array_distinct(F.transform("terms", lambda t: t["term"]))).alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct"))
-    pairs = written(pairs.filter(F.col("n_ct") >= MIN_SUPPORT).join(per_entity, "entity"), "pairs")
+def disclosures(docs: DataFrame, mentions: DataFrame, n_texts: int) -> DataFrame:
+    """entity, term and d of the pairs that at least MIN_SUPPORT distinct contexts hold and that disclose GENERALISE or more.
+
+    n_texts: how many distinct texts docs have.
+    """
+    per_entity = mentions.select("entity", "digest").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
+    each = mentions.select("entity", "digest", "context", F.explode(F.array_distinct(F.transform("terms", lambda t: t["term"]))).alias("term"))
+    pairs = each.groupBy("entity", "term").agg(F.count_distinct("digest").alias("n_ct"), F.count_distinct("context").alias("support"))
+    pairs = written(pairs.filter(F.col("support") >= MIN_SUPPORT).drop("support").join(per_entity, "entity"), "pairs")
     wanted = written(pairs.select("term").distinct(), "terms")
-    # Document frequency of those terms, over all documents.
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)))).alias("term"))
+    # How many distinct texts hold each of those terms.
+    text = F.coalesce(F.col("text"), F.lit(""))
+    texts = docs.select(F.md5(text).alias("digest"), text.alias("text")).dropDuplicates(["digest"])
+    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)))).alias("term"))
     kept = words.join(F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_ROWS else wanted, "term")
     df = kept.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = F.lit(float(n_docs))
+    n = F.lit(float(n_texts))
     pmi = F.log(n * F.col("n_ct") / (F.col("n_c") * F.col("df")))
     ic = F.log(n / F.col("n_c"))
     d = F.when(ic > 0, F.least(F.lit(1.0), pmi / ic))
@@ -157,7 +162,7 @@ def spans(docs: DataFrame) -> DataFrame:
     """doc_id, digest, base and terms (array of start, stop, remove) of every row of docs."""
     rows = written(base_spans(docs), "base-spans")
     mentions = written(_mentions(rows), "mentions")
-    found = written(disclosures(docs, mentions, rows.count()), "disclosures")
+    found = written(disclosures(docs, mentions, rows.select("digest").distinct().count()), "disclosures")
     if found.count() <= MAX_BROADCAST_ROWS:
         found = F.broadcast(found)
     each = mentions.select("digest", "entity", F.explode("terms").alias("t")).select("digest", "entity", F.col("t.term").alias("term"), F.col("t.start").alias("start"), F.col("t.stop").alias("stop"))

@@ -247,6 +247,14 @@ def test_disclosing_terms_are_found(spark):
     assert "Zweigelt" not in clean and "<EMAIL>" in clean and "z@secret" not in clean
 
 
+def test_copies_of_a_text_do_not_hide_a_disclosing_term(spark):
+    told = [f"Please write to Quellbrunn at q.b@example.org {x} soon." for x in ("very", "rather")]
+    rows = [(i, f"plain words number {chr(97 + i % 26) * 3}{chr(97 + i // 26 % 26) * 3} here") for i in range(600)] + [(1000 + i, told[i % 2]) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.spans(docs).filter("doc_id >= 1000").select(F.col("doc_id"), F.exists("terms", lambda t: (t["start"] == 16) & (t["stop"] == 26) & t["remove"]).alias("hit")).collect()
+    assert len(found) == 100 and all(r.hit for r in found)
+
+
 # --- 6 languages ---
 
 
