@@ -3,7 +3,7 @@
 A unit is a document's whole text or one of its lines. Its canonical form is lower case (A to Z), without copyright lines,
 with punctuation and white space as single spaces and equivalent spellings made one; units whose canonical SHA-256 is that
 of a known licence text or notice are its copies, whatever their layout. The known digests are a small fixed table, which
-is broadcast. Units that lack every key word of the known texts can't be equal to one and are not canonicalised.
+is broadcast: short texts and plain notices are listed here, long texts lie in licence_texts. Units that lack every key word of the known texts can't be equal to one and are not canonicalised.
 
 Edge cases: a null or empty text has no licence; null and repeated doc_ids need no care, as results belong to the text (by
 its digest); a text of any length is read whole; an empty table gives no rows.
@@ -11,6 +11,9 @@ its digest); a text of any length is read whole; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,6 +93,44 @@ def known() -> list[tuple[str, str]]:
     return whole + names
 
 
+#: SPDX identifiers of which -only and -or-later are told apart.
+VERSIONED = ("GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "GFDL-1.2", "GFDL-1.3")
+
+#: Lines of standard headers that name their licence, beside opening and name.
+_APACHE = "Licensed under the Apache License, Version 2.0 (the \"License\");"
+HEADERS = [
+    ("Apache-2.0", f"{_APACHE} you may not use this file except in compliance with the License."),
+    ("Apache-2.0", f"{_APACHE} you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "License, v. 2.0. If a copy of the MPL was not distributed with this"),
+]
+
+_ADDRESS = re.compile(r"51 Franklin St(?:reet)?, Fifth Floor,\s+Boston,? MA\s+02110-1301,?\s+USA")
+_ADDRESSES = ("59 Temple Place, Suite 330, Boston, MA 02111-1307 USA", "59 Temple Place - Suite 330, Boston, MA 02111-1307, USA", "675 Mass Ave, Cambridge, MA 02139, USA")
+
+
+def long_texts() -> list[tuple[str, str]]:
+    """(licence, text) of the long texts as they are in use: with and without appendix, with old addresses, http for https."""
+    out = {}
+    for file in files("tessera.llm").joinpath("licence_texts").iterdir():
+        text = file.read_text(encoding="utf-8")
+        terms, end, _ = text.partition("END OF TERMS AND CONDITIONS")
+        for t in (text, *((terms, terms + end) if end else ())):
+            for a in (t, *(_ADDRESS.sub(x, t) for x in _ADDRESSES)):
+                for u in (a, a.replace("https://", "http://"), a.replace("http://", "https://")):
+                    out[u] = file.name.removesuffix(".txt")
+    return [(i, t) for t, i in out.items()]
+
+
+def more_known() -> list[tuple[str, str]]:
+    """(licence, text) of the known units that the SQL doesn't list: long texts, standard header lines, further identifiers."""
+    long = long_texts()
+    headers = [(i, f'{o} {n} (the "License")') for i, ns in NAMES for n in ns for o in OPENINGS[:-1]]
+    ids = sorted({i for i, _ in long} | {i for i, _, _ in TEXTS} | {i for i, _ in NAMES} | set(VERSIONED)) + [f"{i}-{x}" for i in VERSIONED for x in ("only", "or-later")]
+    return long + headers + HEADERS + [(i, f"SPDX-License-Identifier: {i}") for i in ids]
+
+
 _COPYRIGHT = r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*$"
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F©“”‘’–—]+"
 
@@ -103,7 +144,7 @@ def canonical(text: Column) -> Column:
 
 def known_digests(spark: SparkSession) -> DataFrame:
     """canon (SHA-256) and license of every known unit; a digest that two share goes to the first by code point."""
-    rows = spark.createDataFrame(known(), "license string, text string")
+    rows = spark.createDataFrame(known() + more_known(), "license string, text string")
     return rows.groupBy(F.sha2(canonical(F.col("text")), 256).alias("canon")).agg(F.min("license").alias("license"))
 
 
@@ -114,7 +155,7 @@ def scan(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split("text", "\n"), lambda x: ascii_lower(x).rlike(KEYWORDS))
     units = F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.lit(0).alias("n"), F.col("text").alias("unit"))), F.transform(lines, lambda x, i: F.struct(F.lit(False).alias("whole"), i.alias("n"), x.alias("unit"))))
     each = texts.select("digest", F.explode(units).alias("u")).select("digest", "u.whole", "u.n", F.sha2(canonical(F.col("u.unit")), 256).alias("canon"))
-    found = each.join(F.broadcast(known_digests(spark)), "canon")  # a fixed table of a few hundred rows
+    found = each.join(F.broadcast(known_digests(spark)), "canon")  # a fixed table of less than a thousand rows
     by_text = found.groupBy("digest").agg(
         F.max(F.when(F.col("whole"), F.col("license"))).alias("license"),
         F.collect_set(F.when(~F.col("whole"), F.struct("n", "license"))).alias("lines"),

@@ -344,6 +344,24 @@ def test_licences(spark, odd, none):
     assert all(re.search(licenses.KEYWORDS, t.lower()) for _, t in licenses.known())
 
 
+def test_long_licences_and_standard_headers(spark):
+    whole = {i: t for i, t in licenses.long_texts()}
+    rows = [(i, t.replace("\n", "\r\n")) for i, t in whole.items()]
+    lines = {
+        "Apache-2.0": '# Licensed under the Apache License, Version 2.0 (the "License");',
+        "GPL-3.0-or-later": "// SPDX-License-Identifier: GPL-3.0-or-later",
+        "GPL-2.0-only": "/* SPDX-License-Identifier: GPL-2.0-only */",
+        "LGPL-2.1": "SPDX-License-Identifier: LGPL-2.1",
+        "MPL-2.0": " * License, v. 2.0. If a copy of the MPL was not distributed with this",
+    }
+    rows += [(f"line {i}", f"code\n{x}\nmore code") for i, x in lines.items()] + [("part", whole["GPL-3.0"][:20_000])]
+    found = {r.doc_id: (r.license, r.notices) for r in licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "CC-BY-SA-4.0"} <= set(whole)
+    assert all(found[i][0] == i for i in whole)
+    assert all(found[f"line {i}"] == (None, i) for i in lines) and found["part"][0] is None
+    assert all(re.search(licenses.KEYWORDS, t.lower()) for _, t in licenses.more_known())
+
+
 # --- 9 nearest neighbours ---
 
 
