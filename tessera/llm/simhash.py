@@ -215,17 +215,20 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id.
 
-    Rows that share their doc_id, and rows without one, are told apart by a window over those few rows alone; a component
+    A component is known by its root, so rows of different components may share a doc_id: of such rows, those that lead
+    their component are found by their fingerprints, and only rows of one component are told apart by a window. A component
     of rows without doc_ids keeps one of them.
     """
     found = written(_resolved(docs, radius), "resolved")
     ids = written(found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("component_id") == F.col("doc_id")).alias("chosen")).filter("chosen"), "kept")
     single = docs.join(ids.filter("n = 1").select("doc_id"), "doc_id", "left_semi")
-    twice = docs.join(ids.filter("n > 1").select("doc_id"), "doc_id", "left_semi")
+    shared = ids.filter("n > 1").select("doc_id")
+    heads = found.filter("component_id = doc_id").join(shared, "doc_id", "left_semi").select("doc_id", F.col("fp").alias("__fp"), F.col("root").alias("__root"))
+    twice = with_fingerprint(docs.join(shared, "doc_id", "left_semi")).join(written(heads.distinct(), "heads"), ["doc_id", "__fp"])
     lone = found.filter("component_id IS NULL AND fp = root").select(F.col("root").alias("__fp")).distinct()
     nameless = with_fingerprint(docs.filter("doc_id IS NULL")).join(lone, "__fp", "left_semi")
     rank = lambda by: F.row_number().over(W.partitionBy(by).orderBy(*[c for c in docs.columns if c != by]))
-    twice = twice.withColumn("__n", rank("doc_id")).filter("__n = 1")
+    twice = twice.withColumn("__n", rank("__root")).filter("__n = 1")
     nameless = nameless.withColumn("__n", rank("__fp")).filter("__n = 1")
     return single.select(docs.columns).unionAll(twice.select(docs.columns)).unionAll(nameless.select(docs.columns))
 

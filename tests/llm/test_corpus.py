@@ -440,6 +440,13 @@ def test_fingerprints_and_components(spark, odd, none):
     assert kept.columns == odd.columns and kept.filter("doc_id = 1").count() == 1 and kept.filter("doc_id IS NULL").count() == 1
 
 
+def test_components_that_share_a_doc_id_keep_one_row_each(spark):
+    a, b, c = ("the quick brown fox jumps over the lazy dog", "seven wise owls sat in an old oak tree at night", "rain fell on the tin roof for nine long days")
+    rows = [(7, a), (7, b), (8, b), (7, b), (3, c), (7, c), (9, a)]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept)) == sorted([(7, a), (7, b), (3, c)])
+
+
 def test_forest_finds_all_links():
     rng = np.random.default_rng(3)
     for _ in range(20):
