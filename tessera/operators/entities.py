@@ -73,9 +73,10 @@ def remapped(edges: DataFrame, merges: DataFrame, ends: list[str]) -> DataFrame:
     return out.distinct()
 
 
-def merge_candidates(entities: DataFrame, group: str, key: str, types: str, allowed: tuple[str, ...]) -> DataFrame:
-    """Groups of at least two entities of allowed types that share a grouping key, members in order."""
-    found = entities.filter(F.col(types).isin(*allowed)).groupBy(types, group).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("keep"))
+def merge_candidates(entities: DataFrame, group: str, key: str, types: str, allowed: tuple[str, ...] | None = None) -> DataFrame:
+    """Groups of at least two entities of one type (of all types, or of the allowed ones) that share a grouping key, members in order."""
+    kept = entities if allowed is None else entities.filter(F.col(types).isin(*allowed))
+    found = kept.groupBy(types, group).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("keep"))
     return found.filter("n >= 2")
 
 

@@ -115,16 +115,16 @@ def consolidation(pairs: list[tuple[str, str, float]], size: dict[str, int], sta
 def trips(events: DataFrame, scope: str, key: str, ts: str, place: str, lat: str, lon: str, gap_days: float = 3, km: float = 50, most_days: int = 10) -> DataFrame:
     """Trips: sessions by gap with two events or more, over more than one day, at most most_days, two places, far apart.
 
-    The farthest pair is found among a session's distinct positions, which a trip's length bounds.
+    The farthest pair is found among the distinct positions of sessions that meet all other limits.
     """
     found = sessions(events, [scope], ts, key, gap_days * 86400)
     keys = [scope, "session_no"]
-    spots = found.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(*keys, lat, lon).distinct()
+    spans = found.groupBy(*keys).agg(F.min(ts).alias("start_ts"), F.max(ts).alias("end_ts"), F.count(F.lit(1)).alias("events"), F.countDistinct(place).alias("places"))
+    spans = spans.filter((F.col("events") >= 2) & F.datediff("end_ts", "start_ts").between(1, most_days) & (F.col("places") >= 2))
+    spots = found.join(spans.select(*keys), keys, "left_semi").filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(*keys, lat, lon).distinct()
     other = spots.select(*keys, F.col(lat).alias("__lat"), F.col(lon).alias("__lon"))
     far = spots.join(other, keys).groupBy(*keys).agg(F.max(haversine(F.col(lat), F.col(lon), F.col("__lat"), F.col("__lon"))).alias("km"))
-    spans = found.groupBy(*keys).agg(F.min(ts).alias("start_ts"), F.max(ts).alias("end_ts"), F.count(F.lit(1)).alias("events"), F.countDistinct(place).alias("places"))
-    days = F.datediff("end_ts", "start_ts")
-    kept = spans.join(far, keys).filter((F.col("events") >= 2) & days.between(1, most_days) & (F.col("places") >= 2) & (F.col("km") >= km))
+    kept = spans.join(far, keys).filter(F.col("km") >= km)
     return kept.withColumn("confidence", F.least(F.lit(0.9), 0.45 + 0.08 * F.col("events") + 0.04 * F.col("places")))
 
 

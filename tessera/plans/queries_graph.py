@@ -62,8 +62,7 @@ def entities_find_or_create(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("merge_candidates", "SELECT p_type, p_brand, count(*) AS n, min(p_partkey) AS keep FROM part GROUP BY ALL HAVING count(*) >= 2")
 def merge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = catalog.load(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand")
-    types = tuple(r[0] for r in parts.select("p_type").distinct().limit(1000).collect())
-    return entities.merge_candidates(parts, "p_brand", "p_partkey", "p_type", types)
+    return entities.merge_candidates(parts, "p_brand", "p_partkey", "p_type")
 
 
 @query(

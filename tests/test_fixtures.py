@@ -200,3 +200,18 @@ def test_fact_versions_and_upserts(spark):
     rows = spark.createDataFrame([(1, "x", 1), (1, "x", 2), (1, "y", 3), (2, "z", 1)], "s int, v string, at int")
     found = {(r.s, r.revision): (r.value, r.evidence, r.status) for r in entities.fact_versions(rows, ["s"], "v", ["at"]).collect()}
     assert found == {(1, 1): ("x", 2, "superseded"), (1, 2): ("y", 1, "pending"), (2, 1): ("z", 1, "active")}
+
+
+def test_hard_value_query_holds_prices(spark, tmp_path):
+    from tessera.plans.queries_facts import hard_value_extraction
+
+    spark.createDataFrame([(1, "only ¥8 in 1998")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(tuple(r) for r in hard_value_extraction(spark, str(tmp_path)).collect()) == [(1, "price", "8", 1), (1, "year", "1998", 1)]
+
+
+def test_merge_candidates_of_very_many_types(spark, tmp_path):
+    from tessera.plans.queries_graph import merge_candidates
+
+    rows = spark.range(3000).selectExpr("id AS p_partkey", "concat('t', id % 1500) AS p_type", "'b' AS p_brand")
+    rows.write.parquet(f"{tmp_path}/part.parquet")
+    assert merge_candidates(spark, str(tmp_path)).count() == 1500
