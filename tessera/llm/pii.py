@@ -13,8 +13,13 @@ All matching runs in the JVM: a split by the pattern gives the stretches between
 offsets. The patterns start only where a run of their characters starts (or the last match ended) and never give back what
 they took, which keeps them linear on texts of any length and changes no match.
 
+Offsets are running sums over the matches; arrays are only ever appended to within runs of STEP, as an append copies what is
+there. Contexts are cut from pieces of PIECE characters, as a cut at a far offset walks all that is before it.
+
 Edge cases: a null text is an empty one; nulls and repeats of doc_id need no care, as spans belong to the text (by its
-digest); a text may hold any number of spans; an empty table gives no rows.
+digest); a text may hold any number of spans and have any length; a term that two entities disclose counts with the stronger
+disclosure; equal starts are ordered by kind; further columns of docs are kept by sanitised, whatever their names (but
+`__digest` and `__cuts`, which are its own); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, written
+from tessera.llm.common import let, table, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _OCTETS = r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -36,11 +41,16 @@ PATTERNS = {
 _HINT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][0-9 -]{10}", "phone": r"\+[0-9]"}
 #: Characters on either side of an entity that make up its context.
 CONTEXT = 80
+#: Spans on either side of one that may reach into its context.
+BESIDE = 48
 MIN_SUPPORT = 2
 GENERALISE, REMOVE = 0.75, 0.9
 #: Terms and (entity, term) pairs are broadcast up to so many rows; beyond it they are joined by a shuffle.
 MAX_BROADCAST_ROWS = 500_000
 _TERM = r"\p{L}{3,}"
+#: Elements of a run of appends, and characters of a piece of text.
+STEP = 128
+PIECE = 2048
 
 
 def _digits(x: Column) -> Column:
@@ -66,6 +76,30 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _folded(items: Column, zero: Column, step, out_type: str) -> Column:
+    """All that step appends: fold items with (state, appended array), in runs of STEP so that no append copies much.
+
+    step(state, item) gives struct<state, add>, add being an array to append.
+    """
+    none = F.array().cast(out_type)
+
+    def run(state: Column, part: Column) -> Column:
+        def one(acc: Column, x: Column) -> Column:
+            return let(step(acc["state"], x), lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], r["add"]).alias("out")))
+
+        return F.aggregate(part, F.struct(state.alias("state"), none.alias("out")), one)
+
+    def whole(xs: Column) -> Column:
+        def each(acc: Column, i: Column) -> Column:
+            return let(run(acc["state"], F.slice(xs, i * STEP + 1, F.lit(STEP))), lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+        runs = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / STEP).cast("int"))
+        folded = F.aggregate(runs, F.struct(zero.alias("state"), F.array().cast(f"array<{out_type}>").alias("out")), each)
+        return F.when(F.size(xs) > 0, F.flatten(folded["out"])).otherwise(none)
+
+    return let(items, whole)
+
+
 def _offsets(text: Column, pattern: str, valid) -> Column:
     """array<struct<start, stop, value>> of the valid matches; code points, stop exclusive.
 
@@ -73,18 +107,18 @@ def _offsets(text: Column, pattern: str, valid) -> Column:
     """
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.zip_with(F.split(text, pattern, -1), matches, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("value")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,value:string>>").alias("out"))
 
-    def step(acc, x):
-        start = acc["at"] + x["gap"]
+    def step(at: Column, x: Column) -> Column:
+        start = at + x["gap"]
         stop = start + F.coalesce(F.length(x["value"]), F.lit(0))
         found = F.array(F.struct(start.alias("start"), stop.alias("stop"), x["value"].alias("value")))
         good = x["value"].isNotNull() & valid(x["value"])
-        return F.struct(stop.alias("at"), F.when(good, F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"))
+        return F.struct(stop.alias("state"), F.when(good, found).otherwise(F.array().cast(_FOUND)).alias("add"))
 
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+    return _folded(pairs, F.lit(0), step, _FOUND)
 
 
+_FOUND = "array<struct<start:int,stop:int,value:string>>"
 _SPAN = "array<struct<start:int,k:int,stop:int,value:string>>"
 
 
@@ -101,20 +135,35 @@ def _base(text: Column) -> Column:
     return F.array_sort(F.concat(*[spans(k, kind) for k, kind in enumerate(PATTERNS)]))
 
 
+def _pieces(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def _cut(pieces: Column, start: Column, n: Column) -> Column:
+    """At most PIECE characters from start on, from a text's pieces."""
+    i = F.floor(start / PIECE).cast("int")
+    return F.substr(F.concat(F.coalesce(F.get(pieces, i), F.lit("")), F.coalesce(F.get(pieces, i + 1), F.lit(""))), start - i * PIECE + 1, n)
+
+
 def base_spans(docs: DataFrame) -> DataFrame:
     """doc_id, digest (of the text) and base: the spans of each row, with their contexts. Texts are read once."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), F.md5(text).alias("digest")).withColumn("base", _base(F.col("text")))
-    left = lambda s: F.substr("text", F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT)))
 
-    def around(s, i):
-        # A context holds fewer than CONTEXT spans on a side; of those the emails have letters that are no terms.
-        beside = F.slice("base", F.greatest(i - CONTEXT, F.lit(0)) + 1, F.lit(2 * CONTEXT + 1))
-        emails = F.filter(beside, lambda b: (b["k"] == 0) & (b["start"] < s["stop"] + CONTEXT) & (s["start"] - CONTEXT < b["stop"]))
-        places = F.transform(emails, lambda b: F.struct(b["start"].alias("start"), b["stop"].alias("stop")))
-        return F.struct(s["start"].alias("start"), s["k"].alias("k"), s["stop"].alias("stop"), s["value"].alias("value"), left(s).alias("left"), F.substr("text", s["stop"] + 1, F.lit(CONTEXT)).alias("right"), places.alias("emails"))
+    def around(base: Column, pieces: Column):
+        def one(s: Column, i: Column) -> Column:
+            # A context holds at most 17 emails, 12 addresses, 8 cards and 8 numbers; the emails have letters that are no terms.
+            beside = F.slice(base, F.greatest(i - BESIDE, F.lit(0)) + 1, F.lit(2 * BESIDE + 1))
+            emails = F.filter(beside, lambda b: (b["k"] == 0) & (b["start"] < s["stop"] + CONTEXT) & (s["start"] - CONTEXT < b["stop"]))
+            places = F.transform(emails, lambda b: F.struct(b["start"].alias("start"), b["stop"].alias("stop")))
+            left = _cut(pieces, F.greatest(s["start"] - CONTEXT, F.lit(0)), F.least(s["start"], F.lit(CONTEXT)))
+            return F.struct(s["start"].alias("start"), s["k"].alias("k"), s["stop"].alias("stop"), s["value"].alias("value"), left.alias("left"), _cut(pieces, s["stop"], F.lit(CONTEXT)).alias("right"), places.alias("emails"))
+
+        return one
 
-    return rows.select("doc_id", "digest", F.transform("base", around).alias("base"))
+    spans_ = let(F.col("base"), lambda base: let(_pieces(F.col("text")), lambda pieces: F.transform(base, around(base, pieces))))
+    none = F.array().cast("array<struct<start:int,k:int,stop:int,value:string,left:string,right:string,emails:array<struct<start:int,stop:int>>>>")
+    return rows.select("doc_id", "digest", F.when(F.size("base") > 0, spans_).otherwise(none).alias("base"))
 
 
 def _terms(context: Column, begins: Column, cut_first: Column, cut_last: Column) -> Column:
@@ -191,11 +240,32 @@ def sanitised(docs: DataFrame) -> DataFrame:
         F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.get(names, s["k"]).alias("to"))),
         F.transform("terms", lambda t: F.struct(t["start"].alias("start"), t["stop"].alias("stop"), F.when(t["remove"], "").otherwise("<TERM>").alias("to"))),
     )
-    step = lambda acc, s: F.when(
-        s["start"] >= acc["at"], F.struct(s["stop"].alias("at"), F.concat(acc["out"], F.substr("text", acc["at"] + 1, s["start"] - acc["at"]), s["to"]).alias("out"))
-    ).otherwise(F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), acc["out"].alias("out")))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    new = F.aggregate(F.array_sort("__cuts"), zero, step, lambda acc: F.concat(acc["out"], F.substr("text", acc["at"] + 1, F.length("text"))))
+
+    def rebuilt(cuts: Column) -> Column:
+        """The text with its cuts made: run by run of the sorted cuts, each on the stretch of text up to its own end."""
+
+        def run(at: Column, part: Column) -> Column:
+            stop = F.greatest(at, F.array_max(F.transform(part, lambda s: s["stop"])))
+            stretch = F.substr("text", at + 1, stop - at)
+
+            def one(x: Column):
+                def step(acc: Column, s: Column) -> Column:
+                    kept = F.concat(acc["out"], F.substr(x, acc["at"] - at + 1, s["start"] - acc["at"]), s["to"])
+                    new = F.struct(s["stop"].alias("at"), kept.alias("out"))
+                    return F.when(s["start"] >= acc["at"], new).otherwise(F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), acc["out"].alias("out")))
+
+                return F.aggregate(part, F.struct(at.alias("at"), F.lit("").alias("out")), step)
+
+            return let(stretch, one)
+
+        def each(acc: Column, i: Column) -> Column:
+            return let(F.slice(cuts, i * STEP + 1, F.lit(STEP)), lambda part: let(run(acc["at"], part), lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out"))))
+
+        runs = F.sequence(F.lit(0), F.floor((F.size(cuts) - 1) / STEP).cast("int"))
+        folded = F.aggregate(runs, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), each)
+        return let(folded, lambda f: F.concat(F.array_join(f["out"], ""), F.substr("text", f["at"] + 1, F.length("text"))))
+
+    new = let(F.array_sort("__cuts"), rebuilt)
     rows = docs.withColumn("__digest", F.md5(F.coalesce(F.col("text"), F.lit("")))).join(found.select("__digest", cuts.alias("__cuts")), "__digest", "left")
     return rows.withColumn("text", F.when(F.col("__cuts").isNull(), F.col("text")).otherwise(new)).select(docs.columns)
 

@@ -464,3 +464,21 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     found = {r.node: r.root for r in simhash.components(edges).collect()}
     assert found == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+
+
+def test_query_of_personal_data_against_brute_force(spark, tmp_path):
+    texts = ["a@b.c and 10.0.0.1, +49 30 1234567", "4111 1111 1111 1111", None, "", "nothing", "x@y.zz " * 700, "é a@b.co 1.2.3.4 é"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for r in pii.op5_find_personal_data(spark, str(tmp_path)).collect():
+        want = brute_spans(texts[r.doc_id])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s.startswith(k + ":") for s in want) for k in BASE]
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert [s for s in r.spans.split(",") if s and not s.startswith("term:")] == want
+
+
+def test_many_mentions_in_one_text(spark):
+    n = 20_000
+    text = " ".join(f"u{i}@ex.org" for i in range(n))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert pii.spans(docs).selectExpr("size(base)").first()[0] == n
+    assert pii.sanitised(docs).first().text == " ".join(["<EMAIL>"] * n)
