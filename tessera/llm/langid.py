@@ -8,8 +8,13 @@ Documents carry one label each, so switching is learned from spliced sequences:
 languages, joined. Training fits the weights on the driver, on a bounded sample of labelled rows; prediction runs over all
 rows in Arrow batches, scoring each distinct word once per batch run.
 
-Edge cases: a null text, or one without a letter, is `und` with score 0; a null lang is no label; without labelled rows
-every text is `und`; ties go to the language first by code point; a text of any length is labelled whole.
+All languages that occur as labels are learned. The model holds a weight for each feature of the sample and language, so its
+size is bounded by the sample's features times the number of languages; what workers hold besides is bounded in values.
+
+Edge cases: a null text, or one without a letter (a character of Unicode's L), is `und` with score 0; a null lang is no label;
+without labelled rows every text is `und`; ties go to the language first by code point; a text of any length is labelled
+whole: the chain runs in stretches of STRETCH words between which only messages are kept; repeated rows are labelled alike;
+further columns of docs are kept by identified, whatever their names (but `__lid`, which is its own).
 """
 
 from __future__ import annotations
@@ -28,24 +33,30 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import table, written
 
-#: The bound of the training sample: so many rows in all, as many of each language, none of more bytes than this.
+#: The bound of the training sample: so many rows in all, as many of each language (at least LEAST_ROWS of each, however many
+#: languages there are), none of more bytes than this.
 TRAIN_ROWS = 480
+LEAST_ROWS = 4
 TRAIN_ROW_BYTES = 20_000
-#: Languages learned, the most frequent first.
-MAX_LANGS = 64
 BUCKETS = 1 << 16
 LEXICON = 300
 SEQUENCE = 48
 STEPS = 40
 SEED = 7
-#: Words whose emissions a worker keeps; at more it starts anew.
-MAX_WORDS = 400_000
+#: Emission values (words times languages) that a worker keeps; at more it starts anew.
+MAX_VALUES = 2_000_000
+#: Steps of a chain between which only the messages are kept.
+STRETCH = 4096
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Runs of letters in lower case; what counts as alphanumeric but is no letter (such as fractions) parts them."""
+    found = _WORD.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for x in found for w in "".join(c if c.isalpha() else " " for c in x).split()]
 
 
 def _features(word: str, lexicon: dict[str, list[int]]) -> list[int]:
@@ -56,20 +67,32 @@ def _features(word: str, lexicon: dict[str, list[int]]) -> list[int]:
     return [zlib.crc32(n.encode()) % BUCKETS for n in names] + [BUCKETS + k for k in lexicon.get(word, ())]
 
 
-def _sum_features(words: list[str], lexicon: dict[str, list[int]], weights: np.ndarray) -> np.ndarray:
-    """Emission scores (words x languages)."""
-    feats = [_features(w, lexicon) for w in words]
-    starts = np.cumsum([0, *(len(f) for f in feats[:-1])])
-    return np.add.reduceat(weights[np.fromiter((i for f in feats for i in f), np.int64)], starts, axis=0)
-
-
 @dataclass
 class Model:
     langs: list[str]
-    weights: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # features x languages
+    weights: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # features of the sample, and a row of zeros, x languages
+    place: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # row of each feature; the last where it was never seen
     lexicon: dict[str, list[int]] = field(default_factory=dict)
     transition: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     start: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    pieces: frozenset[str] = frozenset()  # letter sequences of the sample's words, by which texts count as familiar
+
+    def emissions(self, words: list[str]) -> np.ndarray:
+        """Emission scores (words x languages)."""
+        feats = [_features(w, self.lexicon) for w in words]
+        starts = np.cumsum([0, *(len(f) for f in feats[:-1])])
+        return np.add.reduceat(self.weights[self.place[np.fromiter((i for f in feats for i in f), np.int64)]], starts, axis=0)
+
+    def familiar(self, word: str) -> float:
+        """The share of a word's letter sequences that the sample has."""
+        own = _pieces(word)
+        return sum(p in self.pieces for p in own) / len(own)
+
+
+def _pieces(word: str) -> list[str]:
+    """Three letters at a time, with ends marked."""
+    marked = f"^{word}$"
+    return [marked[i : i + 3] for i in range(len(marked) - 2)]
 
 
 def _posteriors(emission: np.ndarray, start: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,9 +171,10 @@ def fit(rows: list[tuple[str, str]], seed: int = SEED) -> Model:
             squares[i] = 0.99 * squares[i] + 0.01 * g * g
             rate = 0.1 * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
             params[i] = params[i] + rate * means[i] / (np.sqrt(squares[i]) + 1e-8)
-    weights = np.zeros((BUCKETS + k, k))
-    weights[used] = params[0]
-    return Model(langs, weights, lexicon, params[1], params[2])
+    place = np.full(BUCKETS + k, len(used), np.int32)
+    place[used] = np.arange(len(used))
+    pieces = frozenset(p for w in vocabulary for p in _pieces(w))
+    return Model(langs, np.concatenate([params[0], np.zeros((1, k))]), place, lexicon, params[1], params[2], pieces)
 
 
 class _Words(dict):
@@ -158,83 +182,98 @@ class _Words(dict):
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model = model
+        self.model, self.most = model, MAX_VALUES // max(1, len(model.langs))
         self.reset()
 
     def reset(self) -> None:
         self.clear()
-        self.new, self.table = [], np.empty((0, len(self.model.langs)))
+        self.new, self.table, self.known = [], np.empty((0, len(self.model.langs))), np.empty(0)
 
     def __missing__(self, word: str) -> int:
         self[word] = n = len(self)
         self.new.append(word)
         return n
 
-    def scores(self) -> np.ndarray:
+    def scores(self) -> tuple[np.ndarray, np.ndarray]:
+        """Emissions and familiarity of all words by number."""
         if self.new:
-            fresh = np.concatenate([_sum_features(self.new[i : i + 20_000], self.model.lexicon, self.model.weights) for i in range(0, len(self.new), 20_000)])
+            fresh = np.concatenate([self.model.emissions(self.new[i : i + 20_000]) for i in range(0, len(self.new), 20_000)])
             self.table = np.concatenate([self.table, np.exp(fresh - fresh.max(axis=1, keepdims=True))])
+            self.known = np.concatenate([self.known, [self.model.familiar(w) for w in self.new]])
             self.new = []
-        return self.table
+        return self.table, self.known
+
 
+def _chain(ids: np.ndarray, lengths: np.ndarray, e: np.ndarray, model: Model, stretch: int = STRETCH) -> np.ndarray:
+    """Mean label probabilities of texts: ids holds their words one after another; lengths fall and are above 0.
 
-def _chain(ids: np.ndarray, lengths: np.ndarray, e: np.ndarray, model: Model) -> np.ndarray:
-    """Mean label probabilities of texts: ids holds their words one after another; lengths fall and are above 0."""
+    Forward messages are kept at the start of each stretch and made again, stretch by stretch, on the way back.
+    """
     k = len(model.langs)
     a, s = np.exp(model.transition - model.transition.max()), np.exp(model.start - model.start.max())
     begin = np.r_[0, np.cumsum(lengths)[:-1]]
     longest = int(lengths[0])
     active = np.searchsorted(-lengths, -np.arange(longest), side="left")  # texts longer than t
-    fwd = np.empty((len(ids), k))
-    prev = None
-    for t in range(longest):
-        n = active[t]
-        at = begin[:n] + t
-        f = e[ids[at]] * (s if t == 0 else prev[:n] @ a)
-        prev = f / f.sum(axis=1, keepdims=True)
-        fwd[at] = prev
+
+    def forward(first: int, message: np.ndarray | None) -> list[np.ndarray]:
+        out = []
+        for t in range(first, min(longest, first + stretch)):
+            n = active[t]
+            f = e[ids[begin[:n] + t]] * (s if t == 0 else message[:n] @ a)
+            message = f / f.sum(axis=1, keepdims=True)
+            out.append(message)
+        return out
+
+    before, messages, kept = {0: None}, [], 0
+    for first in range(0, longest, stretch):
+        messages, kept = forward(first, before[first]), first
+        before[first + stretch] = messages[-1]
     total = np.zeros((len(lengths), k))
     back = np.ones((0, k))
-    for t in range(longest - 1, -1, -1):
-        n = active[t]
-        at = begin[:n] + t
-        if n > len(back):
-            back = np.concatenate([back, np.ones((n - len(back), k))])
-        p = fwd[at] * back
-        total[:n] += p / p.sum(axis=1, keepdims=True)
-        b = (back * e[ids[at]]) @ a.T
-        back = b / b.sum(axis=1, keepdims=True)
+    for first in range(kept, -1, -stretch):
+        if first != kept:
+            messages = forward(first, before[first])
+        for t in range(min(longest, first + stretch) - 1, first - 1, -1):
+            n = active[t]
+            if n > len(back):
+                back = np.concatenate([back, np.ones((n - len(back), k))])
+            p = messages[t - first] * back
+            total[:n] += p / p.sum(axis=1, keepdims=True)
+            b = (back * e[ids[begin[:n] + t]]) @ a.T
+            back = b / b.sum(axis=1, keepdims=True)
     return total / lengths[:, None]
 
 
-#: Words that one run of the chain holds, and texts.
-_RUN_WORDS = 1_000_000
+#: Message values (words times languages) that one run of the chain may need.
+_RUN_VALUES = 4_000_000
 
 
-def predict(texts: list[str | None], model: Model, known: _Words | None = None) -> list[tuple[str, float]]:
-    """Language and score of each text."""
-    out = [(UNKNOWN, 0.0)] * len(texts)
+def predict(texts: list[str | None], model: Model, known: _Words | None = None) -> list[tuple[str, float, float]]:
+    """Language, score and familiarity (mean over words of the share of known letter sequences) of each text."""
+    out = [(UNKNOWN, 0.0, 0.0)] * len(texts)
     if not len(model.weights):
         return out
     known = _Words(model) if known is None else known
     number = known.__getitem__
+    most = max(1, _RUN_VALUES // len(model.langs))
     pending: list[tuple[int, np.ndarray]] = []
 
     def run() -> None:
         pending.sort(key=lambda x: -len(x[1]))
         lengths = np.array([len(x[1]) for x in pending])
-        mean = _chain(np.concatenate([x[1] for x in pending]), lengths, known.scores(), model)
-        for (i, _), m, best in zip(pending, mean, mean.argmax(axis=1)):
-            out[i] = (model.langs[best], float(min(1.0, max(0.0, m[best]))))
+        emission, familiar = known.scores()
+        mean = _chain(np.concatenate([x[1] for x in pending]), lengths, emission, model)
+        for (i, words), m, best in zip(pending, mean, mean.argmax(axis=1)):
+            out[i] = (model.langs[best], float(min(1.0, max(0.0, m[best]))), float(familiar[words].mean()))
         pending.clear()
 
     size = 0
     for i, text in enumerate(texts):
         if text and (words := words_of(text)):
-            if size + len(words) > _RUN_WORDS and pending:
+            if size + len(words) > most and pending:
                 run()
                 size = 0
-            if len(known) > MAX_WORDS and not pending:
+            if len(known) > known.most and not pending:
                 known.reset()
             pending.append((i, np.array(list(map(number, words)), np.int32)))
             size += len(words)
@@ -254,27 +293,27 @@ def train(docs: DataFrame, *, held_out: int | None = 2, rows: int = TRAIN_ROWS,
     if held_out is not None:
         labelled = labelled.filter(_bucket(F.col("doc_id")) != held_out)
     order = F.xxhash64("doc_id", F.lit(SEED))
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a language
     if not counts:
         return Model([])
-    each = -(-rows // len(counts))
+    each = max(LEAST_ROWS, -(-rows // len(counts)))
     # Twice the rows wanted pass the threshold on the hash; the window then takes the first of each language.
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, (2 * each + 20) / r["n"]))])
-    drawn = labelled.withColumn("__h", F.pmod(order, F.lit(1_000_000)) / 1_000_000).filter(F.col("__h") <= F.try_element_at(share, F.col("lang")))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, (2 * each + 20) / r["n"])) for r in counts], "lang string, __share double")
+    drawn = labelled.select("doc_id", "lang", "text").withColumn("__h", F.pmod(order, F.lit(1_000_000)) / 1_000_000).join(F.broadcast(shares), "lang").filter("__h <= __share")
     first = F.row_number().over(W.partitionBy("lang").orderBy(order, "doc_id"))
     sample = drawn.withColumn("__n", first).filter(F.col("__n") <= each).select("text", "lang").collect()
     return fit(sorted((r["text"], r["lang"]) for r in sample))
 
 
 def with_language(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with __lid: lang and score of every row, from its text alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x MAX_LANGS weights at most
+    """docs with __lid: lang, score and familiar of every row, from its text alone."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 65 536 features and the lexicons, x languages
 
-    @F.pandas_udf("lang string, score double")
+    @F.pandas_udf("lang string, score double, familiar double")
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = _Words(shared.value)
         for texts in batches:
-            yield pd.DataFrame(predict(list(texts), shared.value, known), columns=["lang", "score"])
+            yield pd.DataFrame(predict(list(texts), shared.value, known), columns=["lang", "score", "familiar"])
 
     return docs.withColumn("__lid", label("text"))
 
@@ -286,20 +325,21 @@ def predictions(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", (_bucket(F.col("doc_id")) == 2).alias("held_out"), F.col("__lid")["lang"].alias("lang_pred"), F.col("__lid")["score"].alias("score"))
 
 
-#: A document below this mean probability is in none of the learned languages.
-MIN_SCORE = 0.3
+#: A document of which a smaller share of letter sequences than this is known is in none of the learned languages.
+MIN_FAMILIAR = 0.3
 
 
-def identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """docs without the rows whose language can't be told: no letters, or a score under min_score.
+def identified(docs: DataFrame, min_familiar: float = MIN_FAMILIAR) -> DataFrame:
+    """docs without the rows whose language can't be told: no letters, or words unlike those of all learned languages.
 
+    The measure doesn't depend on how many languages there are, and code-switched texts are as familiar as their parts.
     Where no row has a label there is nothing to learn; then all texts with a letter stay.
     """
     model = train(docs, held_out=None)
     if not model.langs:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
     rows = with_language(docs, model)
-    return rows.filter((F.col("__lid")["lang"] != UNKNOWN) & (F.col("__lid")["score"] >= min_score)).select(docs.columns)
+    return rows.filter((F.col("__lid")["lang"] != UNKNOWN) & (F.col("__lid")["familiar"] >= min_familiar)).select(docs.columns)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

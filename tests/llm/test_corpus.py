@@ -268,8 +268,8 @@ def test_a_full_word_cache_starts_anew(monkeypatch):
     model = langid.fit([("the thing of and that was", "en"), ("der die das und nicht ein", "de")] * 3)
     texts = [f"the thing w{'abc'[i % 3] * (i + 1)} der" for i in range(40)]
     plain = [langid.predict([t], model)[0] for t in texts]
-    monkeypatch.setattr(langid, "MAX_WORDS", 7)
-    monkeypatch.setattr(langid, "_RUN_WORDS", 10)
+    monkeypatch.setattr(langid, "MAX_VALUES", 14)
+    monkeypatch.setattr(langid, "_RUN_VALUES", 20)
     known = langid._Words(model)
     found = [p for i in range(0, 40, 5) for p in langid.predict(texts[i : i + 5], model, known)]
     assert [x[0] for x in found] == [x[0] for x in plain] and np.allclose([x[1] for x in found], [x[1] for x in plain])
@@ -278,7 +278,7 @@ def test_a_full_word_cache_starts_anew(monkeypatch):
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(0)
     k, n = 3, 5
-    model = langid.Model(["a", "b", "c"], np.zeros((1, k)), {}, rng.normal(size=(k, k)), rng.normal(size=k))
+    model = langid.Model(["a", "b", "c"], transition=rng.normal(size=(k, k)), start=rng.normal(size=k))
     e = np.exp(rng.normal(size=(n, k)))
     ids = [np.arange(n), np.array([3, 1])]
     found = langid._chain(np.concatenate(ids), np.array([5, 2]), e, model)
@@ -291,6 +291,33 @@ def test_forward_backward_is_exact():
             for y in path:
                 total[y] += p / len(seq)
         assert np.allclose(found[i], total / weight)
+    for stretch in (1, 2, 3, 5):
+        assert np.allclose(langid._chain(np.concatenate(ids), np.array([5, 2]), e, model, stretch), found)
+
+
+def test_all_languages_are_learned(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rng = np.random.default_rng(5)
+    own = {f"l{i:02}": ["".join(rng.choice(list(letters), 6)) for _ in range(6)] for i in range(70)}
+    rows = [(j * 70 + i, " ".join(rng.choice(w, 12)), lang) for i, (lang, w) in enumerate(own.items()) for j in range(6)]
+    docs = spark.createDataFrame([(i, str(t), lang) for i, t, lang in rows], "doc_id long, text string, lang string")
+    model = langid.train(docs, held_out=None)
+    assert model.langs == sorted(own)
+    assert np.mean([p[0] == lang for p, lang in zip(langid.predict([str(t) for _, t, _ in rows], model), [x[2] for x in rows])]) > 0.9
+
+
+def test_only_letters_make_words():
+    model = langid.fit([("the thing of and", "en"), ("der die das und", "de")] * 3)
+    assert [langid.predict([t], model)[0][:2] for t in ("½ ² ① 12_", "", None)] == [("und", 0.0)] * 3
+    assert langid.words_of("a½b_c2d É") == ["a", "b", "c", "d", "é"]
+
+
+def test_unlike_texts_are_rejected_and_mixed_ones_stay(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").filter("lang is not null")
+    some = [r.text[:400] for r in docs.dropDuplicates(["lang"]).collect()]
+    more = spark.createDataFrame([(-1, "Съешь же ещё этих мягких французских булок", None), (-2, "ξεσκεπάζω την ψυχοφθόρα βδελυγμία", None), (-3, " ".join(some), None)], docs.schema)
+    kept = {r.doc_id for r in langid.identified(docs.unionAll(more)).collect()}
+    assert -1 not in kept and -2 not in kept and -3 in kept and len(kept) >= docs.count()
 
 
 def test_languages_of_odd_rows(spark, odd, none):
