@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -389,6 +390,29 @@ def test_long_licences_and_standard_headers(spark):
     assert all(re.search(licenses.KEYWORDS, t.lower()) for _, t in licenses.more_known())
 
 
+def wrapped(text, width):
+    return "\n\n".join("\n".join(textwrap.wrap(p, width)) for p in text.split("\n\n"))
+
+
+def test_licences_in_any_layout(spark):
+    first = {}
+    for i, _, t in licenses.TEXTS:
+        first.setdefault(i, t)
+    rows = [(f"{i} {w}", f"Copyright (c) 2021 Some One. All rights reserved.\n\n{wrapped(t, w)}") for i, t in first.items() for w in range(60, 101)]
+    bullets = lambda t, f: re.sub(r"(?m)^(\d)\. ", f, t)
+    for mark, f in {"star": lambda m: "* ", "dash": lambda m: "  - ", "paren": lambda m: f"({'abcd'[int(m[1]) - 1]}) ", "none": lambda m: ""}.items():
+        rows += [(f"{i} {mark}", bullets(t, f)) for i, t in first.items()]
+    rows += [(f"{i} notice{n}", f"{c}\n\n{t}") for i, t in first.items() for n, c in enumerate(("Copyright Jane Doe", "© 1999 J. Doe", "  # (c) J. Doe, 2001", "Copyright (C) The Authors\nAll Rights Reserved"))]
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).filter("license IS NULL OR license <> split(doc_id, ' ')[0]").collect()
+    assert [r.doc_id for r in found] == []
+
+
+def test_licences_with_ties_and_clashing_columns(spark):
+    mit = next(t for i, _, t in licenses.TEXTS if i == "MIT")
+    docs = spark.createDataFrame([(1, mit, "a", "b", True), (1, mit, "c", "d", False), (1, mit, "a", "b", True)], "doc_id long, text string, license string, digest string, whole boolean")
+    assert [tuple(r) for r in licenses.scan(docs).collect()] == [(1, "MIT", 0, "")] * 3
+
+
 # --- 9 nearest neighbours ---
 
 
