@@ -1,15 +1,19 @@
 """Mixing sources to target weights (operator 1): block quotas by Sainte-Lague, then seeded block selection.
 
-Every source's documents are laid out in a seeded order and cut into blocks of equal tokens. The mix has as many blocks
-as its tokens need; a block goes to the source with the highest quotient target / (2 k + 1), k being what it has so far.
-Because that rule is house-monotone, the seats between two cumulative totals are the integer quotas of one output shard.
-A source's draws then walk a seeded permutation of its blocks, pass after pass.
+The mix is made of blocks of equal tokens. A block goes to the source with the highest quotient target / (2 k + 1), k being
+what it has so far. Because that rule is house-monotone, the seats between two cumulative totals are the integer quotas of one
+output shard. Every source's documents lie on a circle in a seeded order, and a seeded place on it is where its walk begins:
+shard after shard takes as many further blocks of the walk as its quota says, so a walk that is longer than the circle repeats
+it. Blocks are no longer than the smallest target allows, so that small sources come near theirs too.
 
-Nothing here enumerates the blocks of the corpus: quotas come from the divisor form of the rule on one row per source,
-offsets from per-bucket totals, and a document only looks at the blocks that it touches.
+What a shard takes of a document is the overlap of two stretches of the walk, so nothing enumerates blocks, whatever their
+size; quotas come from the divisor form of the rule on one row per source; places come from sums per source and range of the
+order, with as many ranges as a source's rows need. Only ids and sizes are sorted; texts are cut where they lie.
 
 Edge cases: a null or empty text has size 0 and takes 0; a null source is a source of its own, last in order; null and
-repeated doc_ids are rows like any other (equal rows are interchangeable); an empty table gives an empty result.
+repeated doc_ids are rows like any other (equal rows are interchangeable); ties of the order go by doc_id, size and digest;
+a text of any length is one stretch of the walk; an empty table gives an empty result; further columns are kept by
+mixed_documents, whatever their names (but those that begin with two underscores, which are the operator's own).
 """
 
 from __future__ import annotations
@@ -18,34 +22,36 @@ import hashlib
 import heapq
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table, word_count, written
 
+#: Tokens of a block at most; at least so many blocks go to the source with the smallest target.
 BLOCK_TOKENS = 64
+LEAST_BLOCKS = 16
 N_SHARDS = 16
 MAX_REPEAT = 3
 SEED = 17
-#: The order is cut into 256 ranges of the 60-bit hash; a source's range is what one task sorts.
-BUCKET_SHIFT = 52
-#: The plan of a mixture is held on the driver, one row a source; more sources than this are refused.
-MAX_SOURCES = 20_000
-_PRIMES = (1_000_003, 999_983, 786_433, 611_953)
+#: Rows, and bytes of text, of a source that one task puts in order.
+RANGE_ROWS = 100_000
+RANGE_BYTES = 256 << 20
+#: Plans and the places of ranges are broadcast up to so many rows (about 300 bytes each); beyond it they are joined by a shuffle.
+MAX_BROADCAST_ROWS = 100_000
+_HASH = 1 << 60
 
 
 @dataclass(frozen=True)
 class SourcePlan:
-    """One source's share: its blocks, the blocks the mix draws, per shard, and the walk over them."""
+    """One source's share: the blocks that the mix takes, in all and for each shard, and where its walk begins."""
 
     source: str | None
     size: int
     target: float
-    blocks: int
+    block: int
     quota: int
     shard_quotas: tuple[int, ...]
-    step: int
     offset: int
 
 
@@ -90,105 +96,130 @@ def default_weights(sources: list[str | None]) -> dict[str | None, float]:
     return {s: float(i % 3 + 1) for i, s in enumerate(ordered)}
 
 
+def block_size(goals: list[float], most: int = BLOCK_TOKENS) -> int:
+    """Tokens of a block: at most so many, and a LEAST_BLOCKS-th of the smallest target."""
+    wanted = [g for g in goals if g > 0]
+    return max(1, min([most, *(int(g // LEAST_BLOCKS) for g in wanted)]))
+
+
 def plan_mixture(sizes: dict[str | None, int], weights: dict[str | None, float] | None = None, *, share: float = 1.0, max_repeat: int = MAX_REPEAT, block_tokens: int = BLOCK_TOKENS, n_shards: int = N_SHARDS, seed: int = SEED) -> list[SourcePlan]:
-    """Quotas for all sources, in order of the source. Only the sources' sizes are needed."""
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"{len(sizes)} sources; a mixture is planned over at most {MAX_SOURCES}")
+    """Quotas for all sources, in order of the source. Only the sources' sizes are needed, so this runs on the driver."""
     weights = weights or default_weights(list(sizes))
     ordered = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
     goal = targets({s: sizes[s] for s in ordered}, weights, share, max_repeat)
-    blocks = {s: -(-sizes[s] // block_tokens) for s in ordered}
-    seats = max(1, int(sum(goal.values()) / block_tokens + 0.5))  # a small corpus is one block
-    want, most = [goal[s] for s in ordered], [max_repeat * blocks[s] for s in ordered]
+    want = [goal[s] for s in ordered]
+    block = block_size(want, block_tokens)
+    most = [max_repeat * sizes[s] // block for s in ordered]
+    seats = int(sum(want) / block + 0.5)
     upto = [[0] * len(ordered), *(sainte_lague(want, most, seats * k // n_shards) for k in range(1, n_shards + 1))]
     plans = []
     for i, s in enumerate(ordered):
-        n = max(1, blocks[s])
-        step = next(p for p in _PRIMES if n % p or n == 1)
-        start = int(hashlib.md5(f"{seed}:{'n' if s is None else 's' + s}".encode()).hexdigest()[:8], 16) % n
-        plans.append(SourcePlan(s, sizes[s], goal[s], blocks[s], upto[-1][i], tuple(b[i] - a[i] for a, b in zip(upto, upto[1:])), step, start))
+        start = int(hashlib.md5(f"{seed}:{'n' if s is None else 's' + s}".encode()).hexdigest()[:8], 16) % max(1, sizes[s])
+        plans.append(SourcePlan(s, sizes[s], goal[s], block, upto[-1][i], tuple(b[i] - a[i] for a, b in zip(upto, upto[1:])), start))
     return plans
 
 
 def _keyed(docs: DataFrame, seed: int) -> DataFrame:
-    """Adds __size, __key (the source, null-safe), __hash (60 bits, seeded) and __bucket to docs."""
-    size = word_count(F.col("text"))
+    """Adds __size, __key (the source, null-safe), __hash (60 bits, seeded) and __digest to docs."""
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     named = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("n")), F.lit(":"), F.col("__size").cast("string"))
     hashed = F.conv(F.substring(F.md5(named), 1, 15), 16, 10).cast("long")
-    return docs.withColumn("__size", size).withColumn("__key", key).withColumn("__hash", hashed).withColumn("__bucket", F.shiftright("__hash", BUCKET_SHIFT))
+    return docs.withColumn("__size", word_count(F.col("text"))).withColumn("__key", key).withColumn("__hash", hashed).withColumn("__digest", F.xxhash64("text"))
+
+
+def _planned(narrow: DataFrame, seed: int, plan: dict) -> tuple[DataFrame, DataFrame]:
+    """Per source the plan's figures; per source and range of its order where the range begins. Both are broadcast if small."""
+    by_source = narrow.groupBy("__key").agg(F.sum("__size").alias("size"), F.count(F.lit(1)).alias("n"), F.sum("__bytes").alias("b")).collect()  # a row a source
+    ranges = {r["__key"]: max(-(-r["n"] // RANGE_ROWS), -(-r["b"] // RANGE_BYTES), 1) for r in by_source}
+    plans = plan_mixture({None if r["__key"] == "n" else r["__key"][1:]: int(r["size"]) for r in by_source}, seed=seed, **plan)
+    rows = []
+    for p in plans:
+        key, upto = "n" if p.source is None else f"s{p.source}", [0]
+        for q in p.shard_quotas:
+            upto.append(upto[-1] + q * p.block)
+        rows.append((key, p.size, p.target, upto, p.offset, ranges[key]))
+    known = narrow.sparkSession.createDataFrame(rows, "__key string, __source_size long, __target double, __upto array<long>, __offset long, __ranges long")
+    small = sum(ranges.values()) <= MAX_BROADCAST_ROWS
+    known = F.broadcast(known) if small else known
+    sums = _ranged(narrow.select("__key", "__hash", "__size"), known).groupBy("__key", "__range").agg(F.sum("__size").alias("__sum"))
+    before = F.sum("__sum").over(W.partitionBy("__key").orderBy("__range").rowsBetween(W.unboundedPreceding, -1))
+    starts = sums.select("__key", "__range", F.coalesce(before, F.lit(0)).alias("__before"))
+    return known, F.broadcast(starts) if small else starts
+
+
+def _ranged(rows: DataFrame, known: DataFrame) -> DataFrame:
+    return rows.join(known, "__key").withColumn("__range", F.floor(F.col("__hash") / (F.lit(float(_HASH)) / F.col("__ranges"))))
 
 
-def _planned(spark: SparkSession, totals: DataFrame, **plan) -> tuple[list[SourcePlan], DataFrame]:
-    """The plan, and one row per source and bucket with the source's plan and where the bucket begins in its tokens."""
-    by_source = totals.groupBy("__key").agg(F.sum("__size").alias("size")).limit(MAX_SOURCES + 1).collect()
-    plans = plan_mixture({None if r[0] == "n" else r[0][1:]: int(r[1]) for r in by_source}, **plan)
-    rows = [("n" if p.source is None else f"s{p.source}", p.size, p.target, p.blocks, p.quota, p.step, p.offset) for p in plans]
-    known = spark.createDataFrame(rows, "__key string, __source_size long, __target double, __blocks long, __quota long, __step long, __offset long")
-    before = F.sum("__size").over(W.partitionBy("__key").orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1))
-    starts = totals.withColumn("__before", F.coalesce(before, F.lit(0))).drop("__size")
-    return plans, starts.join(F.broadcast(known), "__key")  # known: at most MAX_SOURCES rows
+def _placed(rows: DataFrame, known: DataFrame, starts: DataFrame) -> DataFrame:
+    """Adds the source's plan and __first: where the row's tokens begin on its source's circle."""
+    w = W.partitionBy("__key", "__range").orderBy("__hash", "doc_id", "__size", "__digest")
+    rows = _ranged(rows, known).withColumn("__last", F.sum("__size").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return rows.join(starts, ["__key", "__range"]).withColumn("__first", F.col("__last") + F.col("__before") - F.col("__size"))
 
 
-def _placed(keyed: DataFrame, starts: DataFrame) -> DataFrame:
-    """Adds __start and __end: where each row's tokens lie in its source's seeded order."""
-    w = W.partitionBy("__key", "__bucket").orderBy("__hash", "doc_id", "__size")
-    end = F.sum("__size").over(w.rowsBetween(W.unboundedPreceding, 0))
-    out = keyed.withColumn("__end", end).join(starts, ["__key", "__bucket"])
-    return out.withColumn("__end", F.col("__end") + F.col("__before")).withColumn("__start", F.col("__end") - F.col("__size"))
+def _stretches() -> list[tuple[Column, Column]]:
+    """The row's two stretches [from, to) of one round of the walk.
 
+    The second is empty but where the walk begins inside the row: then it is the row's beginning, which comes last.
+    """
+    size = F.col("__source_size")
+    begin = F.col("__first") - F.col("__offset")
+    end = begin + F.col("__size")
+    inside = (begin < 0) & (end > 0)
+    low = F.when(begin >= 0, begin).when(inside, F.lit(0)).otherwise(begin + size)
+    high = F.when((begin >= 0) | inside, end).otherwise(end + size)
+    return [(low, high), (F.when(inside, begin + size).otherwise(F.lit(0)), F.when(inside, size).otherwise(F.lit(0)))]
+
+
+def _within(low: Column, high: Column, rest: Column) -> Column:
+    """How much of a stretch lies among the first tokens of a round."""
+    return F.greatest(F.lit(0), F.least(high, rest) - low)
 
-def _draws(block):
-    """How often the mix draws a block of the row's source."""
-    extra = (block * F.col("__step") + F.col("__offset")) % F.col("__blocks") < F.col("__quota") % F.col("__blocks")
-    return F.floor(F.col("__quota") / F.col("__blocks")) + F.when(extra, F.lit(1)).otherwise(F.lit(0))
 
+def _taken_before(tokens: Column) -> Column:
+    """Words of the row among the first so many tokens of its source's walk."""
+    rounds = F.floor(tokens / F.col("__source_size"))
+    rest = tokens - rounds * F.col("__source_size")
+    (a, b), (c, d) = _stretches()
+    return F.when(F.col("__size") > 0, rounds * F.col("__size") + _within(a, b, rest) + _within(c, d, rest)).otherwise(F.lit(0)).cast("long")
 
-def _block_range(block_tokens: int):
-    """The numbers of the blocks that the row touches; none for an empty row."""
-    first, last = F.floor(F.col("__start") / block_tokens), F.floor((F.col("__end") - 1) / block_tokens)
-    return F.when(F.col("__size") > 0, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
 
+def mix(docs: DataFrame, *, seed: int = SEED, **plan) -> DataFrame:
+    """What the mix takes of every row: doc_id, source, size, source_size, target, taken (words, repeats counted), shard_taken.
 
-def mix(docs: DataFrame, *, seed: int = SEED, block_tokens: int = BLOCK_TOKENS, **plan) -> DataFrame:
-    """What the mix takes of every row: doc_id, source, size, source_size, target, taken (words, repeats counted)."""
-    spark = docs.sparkSession
-    narrow = _keyed(docs.select("doc_id", "text", "source"), seed).select("doc_id", "source", "__size", "__key", "__hash", "__bucket")
-    narrow = written(narrow, "mix")  # texts are read once
-    totals = narrow.groupBy("__key", "__bucket").agg(F.sum("__size").alias("__size"))
-    _, starts = _planned(spark, totals, seed=seed, block_tokens=block_tokens, **plan)
-    overlap = lambda b: F.least(F.col("__end"), (b + 1) * block_tokens) - F.greatest(F.col("__start"), b * block_tokens)
-    taken = F.aggregate(_block_range(block_tokens), F.lit(0).cast("long"), lambda acc, b: acc + overlap(b) * _draws(b))
-    return _placed(narrow, starts).select("doc_id", "source", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), taken.alias("taken"))
+    shard_taken: the words that each of the mix's shards takes, comma-joined.
+    """
+    rows = _keyed(docs.select("doc_id", "text", "source"), seed).drop("text")
+    rows = written(rows.withColumn("__bytes", F.lit(0)), "mix")  # texts are read once and not moved
+    known, starts = _planned(rows, seed, plan)
+    placed = _placed(rows, known, starts).withColumn("__taken", F.transform("__upto", _taken_before))
+    by_shard = F.transform(F.sequence(F.lit(1), F.size("__taken") - 1), lambda i: (F.get("__taken", i) - F.get("__taken", i - 1)).cast("string"))
+    return placed.select("doc_id", "source", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.element_at("__taken", -1).alias("taken"), F.array_join(by_shard, ",").alias("shard_taken"))
 
 
-def mixed_documents(docs: DataFrame, *, seed: int = SEED, block_tokens: int = BLOCK_TOKENS, **plan) -> DataFrame:
-    """The mix itself: docs' columns, a row for each pass that takes any of a document, text being the blocks it takes.
+def mixed_documents(docs: DataFrame, *, seed: int = SEED, **plan) -> DataFrame:
+    """The mix itself: docs' columns, a row for each round of the walk that takes any of a document.
 
-    A pass that takes all of a document keeps its text as it is; else the blocks' words stay with the white space before
-    them, runs of blocks that aren't neighbours being parted by a line break. n_chars, where it is a column, follows.
+    A round that takes all of a document keeps its text as it is. Only where a source's walk begins and where it ends a
+    document is taken in part; then its text is the words of that part, with the white space between them, two parts being
+    joined by a line break. n_chars, where it is a column, follows. Texts move once, to their range of their source's order.
     """
-    spark = docs.sparkSession
     keyed = _keyed(docs, seed)
-    totals = written(keyed.groupBy("__key", "__bucket").agg(F.sum("__size").alias("__size")), "mix-totals")
-    _, starts = _planned(spark, totals, seed=seed, block_tokens=block_tokens, **plan)
-    placed = _placed(keyed, starts)
-    passes = F.ceil(F.col("__quota") / F.col("__blocks")).cast("int")
-    placed = placed.filter("__size > 0 AND __quota > 0").withColumn("__pass", F.explode(F.sequence(F.lit(1), passes)))
-    drawn = F.filter(_block_range(block_tokens), lambda b: _draws(b) >= F.col("__pass"))
-    placed = placed.withColumn("__drawn", drawn).filter(F.size("__drawn") > 0)
+    sizes = keyed.select("__key", "__hash", "__size", F.coalesce(F.octet_length("text"), F.lit(0)).alias("__bytes"))
+    known, starts = _planned(written(sizes, "mix-sizes"), seed, plan)
+    placed = _placed(keyed, known, starts)
+    total, size = F.element_at("__upto", -1), F.col("__source_size")
+    placed = placed.filter((F.col("__size") > 0) & (total > 0)).withColumn("__round", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((total - 1) / size))))
+    rest = F.least(size, total - F.col("__round") * size)
+    (a, b), (c, d) = _stretches()
+    placed = placed.withColumn("__tail", _within(a, b, rest).cast("int")).withColumn("__head", _within(c, d, rest).cast("int")).withColumn("__skip", (d - c).cast("int"))
+    placed = placed.filter(F.col("__tail") + F.col("__head") > 0)
+    whole = F.col("__tail") + F.col("__head") == F.col("__size")
     words = F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
-
-    def piece(b):
-        begin = F.greatest(F.lit(0), b * block_tokens - F.col("__start"))
-        stop = F.least(F.col("__size"), (b + 1) * block_tokens - F.col("__start"))
-        return F.array_join(F.slice(F.col("__words"), (begin + 1).cast("int"), (stop - begin).cast("int")), "")
-
-    first = F.floor(F.col("__start") / block_tokens)
-    last = F.floor((F.col("__end") - 1) / block_tokens)
-    whole = F.size("__drawn") == last - first + 1
-    parts = F.transform("__drawn", lambda b, i: F.concat(F.when((i > 0) & (F.try_element_at(F.col("__drawn"), i) != b - 1), F.lit("\n")).otherwise(F.lit("")), piece(b)))
-    cut = F.ltrim(F.array_join(parts, ""))
+    part = lambda at, n: F.regexp_replace(F.array_join(F.slice("__words", at + 1, n), ""), r"^[\x20\x09-\x0D]+", "")
+    cut = F.when(F.col("__head") == 0, part(F.col("__skip"), F.col("__tail"))).when(F.col("__tail") == 0, part(F.lit(0), F.col("__head")))
+    cut = cut.otherwise(F.concat(part(F.lit(0), F.col("__head")), F.lit("\n"), part(F.col("__skip"), F.col("__tail"))))
     out = placed.withColumn("__words", F.when(~whole, words)).withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -200,7 +231,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
-#: Quotients are dealt one by one here, seats by rank; the operator counts them by a divisor.
+#: Quotients are dealt one by one here, seats by rank, and words walked one by one; the operator counts both in closed form.
 OP1_SQL = f"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, source, coalesce('s' || source, 'n') AS k,
@@ -219,26 +250,29 @@ filled AS (
          THEN {MAX_REPEAT}.0 * source_size END
   FROM filled WHERE step < 30),
 goal AS (
-  SELECT k, source_size, i, coalesce(fixed, (sum(source_size) OVER () - coalesce(sum(fixed) OVER (), 0)) * w / sum(CASE WHEN fixed IS NULL THEN w END) OVER ()) AS target
+  SELECT k, source, source_size, i, coalesce(fixed, (sum(source_size) OVER () - coalesce(sum(fixed) OVER (), 0)) * w / sum(CASE WHEN fixed IS NULL THEN w END) OVER ()) AS target
   FROM filled WHERE step = 30),
-blocks AS (
-  SELECT *, ((source_size + {BLOCK_TOKENS - 1}) // {BLOCK_TOKENS})::BIGINT AS n,
-         greatest(1, floor(sum(target) OVER () / {BLOCK_TOKENS} + 0.5)::BIGINT) AS seats FROM goal),
+sizes AS (SELECT greatest(1, least({BLOCK_TOKENS}, min(floor(target / {LEAST_BLOCKS})) FILTER (target > 0)))::BIGINT AS block, sum(target) AS whole FROM goal),
+blocks AS (SELECT goal.*, block, floor(whole / block + 0.5)::BIGINT AS seats FROM goal, sizes),
 quotients AS (
   SELECT k, seats, row_number() OVER (ORDER BY target / (2 * j + 1) DESC, i) AS place
-  FROM blocks, unnest(range(0, least({MAX_REPEAT} * n, (target / {BLOCK_TOKENS})::BIGINT + 20))) AS t(j) WHERE target > 0),
-quotas AS (SELECT k, count(*) AS q FROM quotients WHERE place <= seats GROUP BY k),
+  FROM blocks, unnest(range(0, least({MAX_REPEAT} * source_size // block, (target / block)::BIGINT + 20))) AS t(j) WHERE target > 0),
+quotas AS (SELECT k, s, count(q.k) AS q FROM (SELECT k, seats, s FROM blocks, unnest(range(0, {N_SHARDS + 1})) AS t(s)) b LEFT JOIN quotients q USING (k) WHERE q.k IS NULL OR place <= b.seats * s // {N_SHARDS} GROUP BY k, s),
 plan AS (
-  SELECT b.*, coalesce(q, 0) AS q, CASE WHEN n % {_PRIMES[0]} = 0 AND n > 1 THEN {_PRIMES[1]} ELSE {_PRIMES[0]} END AS step,
-         ('0x' || substr(md5('{SEED}:' || b.k), 1, 8))::BIGINT % greatest(n, 1) AS off
-  FROM blocks b LEFT JOIN quotas q ON b.k = q.k),
+  SELECT b.*, list_transform(range(0, {N_SHARDS + 1}), lambda s: coalesce(m[s], 0) * block) AS upto,
+         ('0x' || substr(md5('{SEED}:' || b.k), 1, 8))::BIGINT % greatest(source_size, 1) AS off
+  FROM blocks b LEFT JOIN (SELECT k, map(list(s), list(q)) AS m FROM quotas GROUP BY k) USING (k)),
 placed AS (
   SELECT doc_id, k, size, row_number() OVER () AS r,
          sum(size) OVER (PARTITION BY k ORDER BY h, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size AS b0 FROM hashed),
-pieces AS (
-  SELECT r, sum((least(b0 + size, (b + 1) * {BLOCK_TOKENS}) - greatest(b0, b * {BLOCK_TOKENS})) * (q // n + CASE WHEN (b * step + off) % n < q % n THEN 1 ELSE 0 END)) AS taken
-  FROM placed p JOIN plan USING (k), unnest(range((b0 // {BLOCK_TOKENS})::BIGINT, ((b0 + size - 1) // {BLOCK_TOKENS})::BIGINT + 1)) AS t(b)
-  WHERE size > 0 GROUP BY r)
-SELECT doc_id, w.source AS source, size, g.source_size AS source_size, target, coalesce(taken, 0)::BIGINT AS taken
-FROM placed p JOIN plan g USING (k) JOIN weighted w USING (k) LEFT JOIN pieces USING (r)
+walked AS (
+  SELECT r, len(list_filter(upto, lambda u: u <= d)) AS shard FROM (
+    SELECT r, upto, (x - off + source_size) % source_size + p * source_size AS d
+    FROM placed JOIN plan USING (k), unnest(range(b0::BIGINT, (b0 + size)::BIGINT)) AS t(x), unnest(range(0, {MAX_REPEAT + 1})) AS v(p))
+  WHERE d < upto[{N_SHARDS + 1}]),
+counted AS (SELECT r, shard, count(*)::BIGINT AS n FROM walked GROUP BY ALL),
+pieces AS (SELECT r, sum(n)::BIGINT AS taken, map(list(shard), list(n)) AS m FROM counted GROUP BY r)
+SELECT doc_id, g.source AS source, size, g.source_size AS source_size, target, coalesce(taken, 0)::BIGINT AS taken,
+       array_to_string(list_transform(range(1, {N_SHARDS + 1}), lambda s: coalesce(m[s], 0)), ',') AS shard_taken
+FROM placed p JOIN plan g USING (k) LEFT JOIN pieces USING (r)
 """

@@ -79,7 +79,19 @@ def test_quotas_of_shards_add_up_and_follow_the_mixture():
     sums = [sum(p.shard_quotas[s] for p in plans) for s in range(16)]
     assert max(sums) - min(sums) <= 1
     for p in plans:
-        assert sum(p.shard_quotas) == p.quota and abs(p.quota * 64 - p.target) <= 128
+        assert sum(p.shard_quotas) == p.quota and abs(p.quota * p.block - p.target) <= 128
+
+
+def test_small_sources_come_near_their_targets(spark):
+    sizes = {"a": 20_000, "b": 30, "c": 10}
+    rows = [(i, " ".join(["w"] * 20), "a") for i in range(1000)] + [(2000 + i, "x y z", "b") for i in range(10)] + [(3000, "one two three four five six seven eight nine ten", "c")]
+    found = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    taken = {r.source: (r.taken, r.target) for r in found.groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()}
+    assert set(taken) == set(sizes) and all(abs(got - want) <= max(2, 0.05 * want) for got, want in taken.values())
+    # The quotas of the shards are what is drawn.
+    plans = {p.source: p for p in mixing.plan_mixture(sizes)}
+    for r in found.groupBy("source").agg(F.transform(F.array(*[F.sum(F.split("shard_taken", ",")[i].cast("long")) for i in range(16)]), lambda x: x).alias("s")).collect():
+        assert r.s == [q * plans[r.source].block for q in plans[r.source].shard_quotas]
 
 
 def test_mix_of_odd_rows(odd, none):
