@@ -3,6 +3,7 @@
 import hashlib
 import re
 import textwrap
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -130,6 +131,31 @@ def test_shards_are_balanced_and_slots_gapless(spark):
     assert all(r.law == "bytes" and r.grown_shard is None for r in rows)
 
 
+def brute_shards(rows, n=16):
+    """(doc_id, size, crc, shard, slot) of (doc_id, text) rows: one sorted list, summed from its beginning."""
+    measured = []
+    for doc_id, text in rows:
+        raw = (text or "").encode()
+        h = xxhash.xxh64_intdigest(raw, 42)
+        measured.append((h - (1 << 64) if h >> 63 else h, len(raw) + 1, zlib.crc32(raw), doc_id is not None, doc_id or 0))
+    total, begin, slots, out = sum(m[1] for m in measured), 0, Counter(), []
+    for _, size, crc, known, doc_id in sorted(measured):
+        shard = (2 * begin + size) * n // (2 * total)
+        out.append((doc_id if known else None, size, crc, shard, slots[shard]))
+        slots[shard] += 1
+        begin += size
+    return out
+
+
+def test_shards_row_by_row(spark, odd):
+    for docs in (spark.read.parquet(f"{SF}/documents.parquet"), odd, odd.unionAll(odd).repartition(5)):
+        want = Counter(brute_shards([(r.doc_id, r.text) for r in docs.collect()]))
+        assert Counter((r.doc_id, r["size"], r.text_crc32, r.shard, r.slot) for r in sharding.shard_rows(docs).collect()) == want
+        whole = sharding.sharded_documents(docs).collect()
+        assert Counter(brute_shards([(r.doc_id, r.text) for r in whole])) == want
+        assert Counter((r.doc_id, r.shard, r.slot) for r in whole) == Counter((w[0], w[3], w[4]) for w in want.elements())
+
+
 def test_shards_of_odd_rows(odd, none):
     rows = sharding.shard_rows(odd).collect()
     assert len(rows) == 10 and sorted(r["size"] for r in rows)[:3] == [1, 1, 1]
