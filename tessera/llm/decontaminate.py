@@ -1,82 +1,142 @@
 """Benchmark decontamination (operator 4): a broadcast hash set of test n-grams against every window of every document.
 
-Texts are normalised to words with single spaces, so that one regular expression yields all windows of a text as strings,
-in order of their first word. Windows are joined to the item windows by equality of the whole string, which verifies the
-hit at once; nothing is shuffled before only hits are left. Results belong to the text, so they're keyed by its digest:
-null or repeated doc_ids need no care, and a text that was copied a million times is one group with few distinct hits.
+Texts are normalised to words once. The hash set goes to the executors as a bit table of hashes of the windows' first three
+words (or fewer, where a window is shorter); a position of a document whose next words are not in it can't begin a hit. For
+the few others the whole windows are made as strings and joined with the item windows by equality, which verifies the hit.
+Nothing is shuffled before only candidates are left. Results belong to the text, so they're keyed by its digest: null or
+repeated doc_ids need no care, and a text that was copied a million times is one group with few distinct hits.
 
 Edge cases: a null or empty text has no words and no hits; an item without words has no window, one with fewer than n words
-is a single window; items with a null id hit words but are not named; an empty benchmark leaves all documents clean.
+is a single window; items with a null id hit words but are not named; an empty benchmark leaves all documents clean; a text
+of any length is read whole, in steps that grow with its words; equal windows of several items name them all; further
+columns of docs are kept by remove_documents and remove_spans, whatever their names (but `__digest` and `__hit`, which are the
+operator's own).
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import json
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower, table, written
+from tessera.llm.common import ascii_lower, let, table, written
 
 NGRAM = 10
 #: Item windows are broadcast up to this many rows (about 200 MB); beyond it they are joined by a shuffle.
 MAX_BROADCAST_WINDOWS = 1_000_000
-#: The pipeline removes documents that hold an item window of so many words at least.
+#: Words of a window that the bit table knows, and its size in 64-bit entries (4 million bits).
+ANCHOR = 3
+TABLE_WORDS = 1 << 16
+#: The pipeline removes documents that hold an item window of so many words at least: an item of 1 to 7 words is a phrase
+#: that clean documents hold by chance.
 MIN_REMOVED_WORDS = 8
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def normalised(text: Column) -> Column:
-    """The words of a text in lower case (A to Z), joined by single spaces."""
-    return F.trim(F.regexp_replace(ascii_lower(text), _NOT_WORD, " "))
+def words_of(text: Column) -> Column:
+    """The words of a text in lower case (A to Z); none for a null text."""
+    norm = F.trim(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), _NOT_WORD, " "))
+    return F.when(norm == "", F.array().cast("array<string>")).otherwise(F.split(norm, " "))
+
+
+def _window(w: Column, at: Column, words: Column | int) -> Column:
+    return F.array_join(F.slice(w, at + 1, F.lit(words) if isinstance(words, int) else words), " ")
 
 
 def item_windows(benchmark: DataFrame, n: int = NGRAM) -> DataFrame:
-    """window, words (its length) and items (ids as strings): n consecutive words of an item, or all of a shorter one."""
-    words = benchmark.select(F.col("item_id").cast("string").alias("item"), F.filter(F.split(normalised(F.col("text")), " "), lambda w: w != "").alias("w"))
-    words = words.filter(F.size("w") > 0).withColumn("words", F.least(F.size("w"), F.lit(n)))
-    windows = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("words") + 1), lambda i: F.array_join(F.slice(F.col("w"), i, F.col("words")), " "))
-    return words.select("item", "words", F.explode(windows).alias("window")).groupBy("window", "words").agg(F.collect_set("item").alias("items"))
+    """window, words (its length), anchor (hash of its first words) and items (ids as strings).
 
+    A window is n consecutive words of an item, or all words of a shorter one.
+    """
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), words_of(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    rows = rows.withColumn("words", F.least(F.size("w"), F.lit(n)))
+    rows = rows.select("item", "w", "words", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("words"))).alias("at"))
+    anchor = F.when(F.col("words") == 1, _anchor(F.col("w"), F.col("at"), 1)).when(F.col("words") == 2, _anchor(F.col("w"), F.col("at"), 2)).otherwise(_anchor(F.col("w"), F.col("at"), ANCHOR))
+    return rows.select("item", "words", _window(F.col("w"), F.col("at"), F.col("words")).alias("window"), anchor.alias("anchor")).groupBy("window", "words", "anchor").agg(F.collect_set("item").alias("items"))
 
-def _text_windows(norm: Column, words: int) -> Column:
-    """All windows of so many words, by first word. \\G and possessive runs keep it linear, whatever the text."""
-    more = rf"(?: [^ ]++){{{words - 1}}}" if words > 1 else ""
-    return F.regexp_extract_all(norm, F.lit(rf"\G(?=([^ ]++{more}))[^ ]++ ?"), F.lit(1))
 
+def _anchor(w: Column, at: Column, words: int) -> Column:
+    """Hash of the words at a position."""
+    return F.xxhash64(F.lit(words), *[F.get(w, at + i) for i in range(words)])
 
-def occurrences(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM) -> DataFrame:
-    """Every occurrence of an item window in a text: digest, at (first word, from 0), words, items."""
-    windows = written(item_windows(benchmark, n), "item-windows")
-    count, lengths = windows.agg(F.count(F.lit(1)), F.collect_set("words")).first()
-    lengths = sorted(lengths) or [n]  # n values at most
-    texts = docs.filter(F.col("text").isNotNull()).select(F.md5("text").alias("digest"), normalised(F.col("text")).alias("norm"))
-    found = [_text_windows(F.col("norm"), m) for m in lengths]
-    sizes = F.array(*[F.size(x) for x in found]) if len(lengths) > 1 else F.lit(None).cast("array<int>")
-    rows = texts.select("digest", sizes.alias("sizes"), F.posexplode(F.concat(*found)).alias("at", "window"))
-    hits = rows.join(F.broadcast(windows) if count <= MAX_BROADCAST_WINDOWS else windows, "window")
-    if len(lengths) > 1:  # windows of different lengths lie one kind after the other
-        before = reduce(lambda acc, i: F.when(F.col("words") > lengths[i], F.col("sizes")[i]).otherwise(F.lit(0)) + acc, range(len(lengths)), F.lit(0))
-        hits = hits.withColumn("at", F.col("at") - before)
-    return hits.select("digest", "at", "words", "items")
 
+def _bit_table(anchors: DataFrame) -> tuple[Column, int]:
+    """The bit table of the anchors as a constant column, and their number. It has 512 KB, however many anchors there are."""
+    entry, bit = F.pmod("anchor", F.lit(TABLE_WORDS)).cast("int"), F.shiftrightunsigned("anchor", 40).bitwiseAND(F.lit(63)).cast("int")
+    rows = anchors.groupBy(entry.alias("entry")).agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(anchor, 40) & 63 as int))")).alias("bits")).collect()  # TABLE_WORDS rows at most
+    bits = np.zeros(TABLE_WORDS, np.int64)
+    for r in rows:
+        bits[r["entry"]] = r["bits"]
+    return F.from_json(F.lit(json.dumps(bits.tolist())), "array<bigint>"), len(rows)
 
-def text_hits(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM) -> DataFrame:
+
+def _in_table(bits: Column, anchor: Column) -> Column:
+    return F.getbit(F.get(bits, F.pmod(anchor, F.lit(TABLE_WORDS)).cast("int")), F.shiftrightunsigned(anchor, 40).bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
+def _candidates(w: Column, lengths: list[int], bits: Column) -> Column:
+    """array<struct<at, words, window>>: the windows, of each of these lengths, that may be an item's."""
+    none = F.array().cast("array<struct<at:int,words:int,window:string>>")
+    kinds = sorted({min(m, ANCHOR) for m in lengths})
+
+    def may(at: Column) -> Column:
+        tests = [let(_anchor(w, at, k), lambda a: _in_table(bits, a)) for k in kinds]
+        out = tests[0]
+        for t in tests[1:]:
+            out = out | t
+        return out
+
+    def windows(at: Column) -> Column:
+        each = [F.when(at + m <= F.size(w), F.struct(at.alias("at"), F.lit(m).alias("words"), _window(w, at, m).alias("window"))) for m in lengths]
+        return F.array(*each)
+
+    places = F.filter(F.sequence(F.lit(0), F.size(w) - 1), may)
+    return F.when(F.size(w) > 0, F.filter(F.flatten(F.transform(places, windows)), lambda x: x.isNotNull())).otherwise(none)
+
+
+def scanned(docs: DataFrame, windows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The kept columns of every row with digest, n_words and candidates. Texts are read once; windows: of item_windows."""
+    lengths = sorted(r["words"] for r in windows.select("words").distinct().collect())  # n values at most
+    bits, _ = _bit_table(windows) if lengths else (None, 0)
+    rows = docs.select(*keep, F.md5("text").alias("digest"), words_of(F.col("text")).alias("w"))
+    found = let(F.col("w"), lambda w: _candidates(w, lengths, bits)) if lengths else F.array().cast("array<struct<at:int,words:int,window:string>>")
+    return rows.select(*keep, "digest", F.size("w").cast("long").alias("n_words"), found.alias("candidates"))
+
+
+def verified(rows: DataFrame, windows: DataFrame) -> DataFrame:
+    """Every occurrence of an item window in a scanned text: digest, at (first word, from 0), words, items."""
+    each = rows.filter(F.col("digest").isNotNull() & (F.size("candidates") > 0)).select("digest", F.explode("candidates").alias("c"))
+    each = each.select("digest", "c.at", "c.words", "c.window")
+    known = windows.select("window", "words", "items")
+    return each.join(F.broadcast(known) if known.count() <= MAX_BROADCAST_WINDOWS else known, ["window", "words"]).select("digest", "at", "words", "items")
+
+
+def _by_text(hits: DataFrame) -> DataFrame:
     """For each text with a hit: digest, hit_words (their numbers), items (ids), longest (words of the longest window)."""
-    hits = occurrences(docs, benchmark, n).groupBy("digest").agg(F.collect_set(F.struct("at", "words")).alias("o"), F.collect_set("items").alias("i"), F.max("words").alias("longest"))
+    hits = hits.groupBy("digest").agg(F.collect_set(F.struct("at", "words")).alias("o"), F.collect_set("items").alias("i"), F.max("words").alias("longest"))
     words = F.array_distinct(F.flatten(F.transform("o", lambda o: F.sequence(o["at"], o["at"] + o["words"] - 1))))
     return hits.select("digest", words.alias("hit_words"), F.array_distinct(F.flatten("i")).alias("items"), "longest")
 
 
+def text_hits(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM) -> DataFrame:
+    """Of each text that holds an item window: digest, hit_words, items and longest."""
+    windows = written(item_windows(benchmark, n), "item-windows")
+    return _by_text(verified(scanned(docs, windows), windows))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document."""
-    hits = text_hits(docs, benchmark, n).select("digest", F.size("hit_words").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_join(F.array_sort("items"), ",").alias("ids"))
+    windows = written(item_windows(benchmark, n), "item-windows")
+    rows = written(scanned(docs, windows, ("doc_id",)), "scanned")  # no texts, only candidates
+    hits = _by_text(verified(rows, windows))
+    hits = hits.select("digest", F.size("hit_words").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_join(F.array_sort("items"), ",").alias("ids"))
     hits = written(hits, "text-hits")  # joined by itself, so that a text with very many copies can be split
-    words = F.coalesce(F.regexp_count("text", F.lit(_WORD_ANY_CASE)), F.lit(0)).cast("long")
-    rows = docs.select("doc_id", words.alias("n_words"), F.md5("text").alias("digest")).join(hits, "digest", "left")
+    found = rows.select("doc_id", "n_words", "digest").join(hits, "digest", "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return rows.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, min_words: int = MIN_REMOVED_WORDS) -> DataFrame:
