@@ -1,14 +1,19 @@
 """Main text of web pages by consensus host paths (operator 3).
 
 First pass: every page scores its containers (text outside links and page furniture, times the share that such text has of
-all that the container holds) and votes with its better containers' generalised tag-class paths. Spark adds up the votes
-of a host and keeps its winning path. Second pass: a page takes its text from all containers at its host's winning path,
+all that the container holds) and votes with its better containers' generalised tag-class paths. A path is known by a hash
+that is made from its parent's, so deep pages cost no more. Spark adds up the votes of a host and keeps its winning path. Second pass: a page takes its text from all containers at its host's winning path,
 or from their smallest common container where that holds more; from its own best container where that encloses them, where
 there are none, or where they hold little of what the page has.
 
+What is furniture is told by elements and roles, and by class names: outside an article by any word of a name, inside one
+(and for paragraphs, headings and the like everywhere) only where the whole name is made of such words, as `ad-slot` and
+`related-posts` are but `related-work` and `social-science` aren't. A list of links is a menu, but not inside an article.
+
 Edge cases: null or empty html gives an empty text; a null or odd url makes the page a host of its own making (it uses its
-own best container); unclosed, crossed and stray tags are read as browsers do in the main; a page of any length is read
-whole; repeated page_ids are rows like any other.
+own best container); unclosed, crossed and stray tags are read as browsers do in the main; a page of any length and depth is
+read whole, in steps that grow with its length; repeated page_ids are rows like any other; ties of votes go to the deeper
+path, then the greater hash; further columns, whatever their names, are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 from html import unescape
 
 import pandas as pd
@@ -47,16 +53,65 @@ _FURNITURE = frozenset(
     "banner cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login form search share sharing social related recommended recommendations trending "
     "comment comments commentlist respond reply replies disqus discussion widget toolbar copyright skip hidden".split()
 )
+#: Words that say nothing of their own in the name of a piece of furniture.
+_NEUTRAL = frozenset("site page main top bottom left right center box block blocks wrap wrapper container inner outer area list item items section slot unit units button buttons btn link links post posts article articles story stories content contents body bar col column row group holder panel card cards text title heading small large big mobile desktop primary secondary sticky fixed float inline in and of the to by us on for x n".split())
 _MASTHEAD = frozenset("header head masthead topbar".split())
+#: Elements that hold text of their own rather than parts of a page.
+_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figcaption figure".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>|<[!?/][^>]*>", re.S)
+_OPEN = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
+_NAME = re.compile(r"[^\s/>]+")
+#: The rest of a tag up to its end, quoted values being whole.
+_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 _ATTR = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 _PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _DIGITS = re.compile(r"\d+")
 
-#: What an element is: kept; a head, of which only headings are kept; furniture; or named like furniture, which may be a
-#: wrapper of everything (`class="page has-sidebar"`) and so counts as furniture only without a main heading inside.
-KEPT, HEAD, FURNITURE, NAMED = range(4)
+#: What an element is: kept; a head, of which only headings are kept; furniture; named like furniture by the whole of a name,
+#: or by a part of one. The named may be wrappers of everything (`class="page has-sidebar"`) and so count as furniture only
+#: without a main heading inside.
+KEPT, HEAD, FURNITURE, NAMED, ALLUDED = range(5)
+
+
+def _tags(html: str) -> Iterator[tuple[str, str, str, bool]]:
+    """(text before, name, attributes, closing) of each tag; the text after the last one has an empty name. Linear.
+
+    A tag's quotes are minded until one tag runs to the end of the page for want of a closing quote; from there on a tag ends
+    at its first `>`. A `<` after which no `>` comes is text.
+    """
+    at, seek, end, quotes = 0, 0, len(html), True
+    before: list[str] = []
+    while (m := _OPEN.search(html, seek)) is not None:
+        i = m.start()
+        if html.startswith("<!--", i):
+            before.append(html[at:i])
+            stop = html.find("-->", i + 4)
+            at = seek = end if stop < 0 else stop + 3
+            continue
+        stop = html.find(">", i)
+        if stop < 0:
+            break
+        if html[i + 1] in "!?":
+            before.append(html[at:i])
+            at = seek = stop + 1
+            continue
+        closing = html[i + 1] == "/"
+        name = _NAME.match(html, i + 1 + closing)
+        if quotes:
+            if rest := _REST.match(html, name.end()):
+                stop = rest.end() - 1
+            else:
+                quotes = False
+        before.append(html[at:i])
+        lower = name[0].lower()
+        yield "".join(before), lower, html[name.end() : max(stop, name.end())], closing
+        before = []
+        at = seek = max(stop, name.end()) + 1
+        if not closing and lower in _RAW:
+            close = re.compile(rf"</{lower}(?=[\s/>])", re.I).search(html, at)
+            stop = html.find(">", close.end()) if close else -1
+            at = seek = end if stop < 0 else stop + 1
+    yield "".join(before) + html[at:], "", "", False
 
 
 @lru_cache(maxsize=1 << 14)
@@ -65,13 +120,15 @@ def _element(tag: str, attrs: str) -> tuple[str, int]:
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)} if attrs else {}
     classes = found.get("class", "").split()
     named = [*classes, *([found["id"]] if found.get("id") else [])]
-    words = {w.lower() for name in named for w in _PIECE.findall(name)}
+    parts = [{w.lower() for w in _PIECE.findall(name) if not w.isdigit()} for name in named]
+    words = set().union(*parts)
+    whole = any(p & _FURNITURE and p <= _FURNITURE | _NEUTRAL for p in parts)
     step = tag + "".join(f".{_DIGITS.sub('N', c.lower())}" for c in sorted(set(classes))) + (f"#{_DIGITS.sub('N', found['id'].lower())}" if found.get("id") else "")
     state = KEPT
     if tag in _DROPPED or found.get("role", "").lower() in _ROLES:
         state = FURNITURE
     elif tag not in ("html", "body", "main", "article") and words & _FURNITURE:
-        state = NAMED
+        state = NAMED if whole else KEPT if tag in _TEXT else ALLUDED
     elif tag == "header" or tag not in ("html", "body", "main", "article") and words & _MASTHEAD and tag not in _HEADING:
         state = HEAD
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
@@ -79,65 +136,84 @@ def _element(tag: str, attrs: str) -> tuple[str, int]:
     return step, state
 
 
+@lru_cache(maxsize=1 << 15)
+def _below(parent: int, step: str) -> int:
+    """The hash of a path of one step more."""
+    return int.from_bytes(blake2b(f"{parent}>{step}".encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
+def path_hash(path: str) -> int:
+    """The hash of a path written out, its steps joined by `>`."""
+    found = 0
+    for step in path.split(">"):
+        found = _below(found, step)
+    return found
+
+
+class _Stack:
+    """Open elements, with the depths at which each name is open, so that nothing walks the whole stack."""
+
+    def __init__(self):
+        self.at, self.names = [0], ["#root"]
+        self.where: dict[str, list[int]] = {}
+
+    def push(self, i: int, name: str) -> None:
+        self.where.setdefault(name, []).append(len(self.at))
+        self.at.append(i)
+        self.names.append(name)
+
+    def last(self, names) -> int:
+        """The greatest depth at which one of these is open; 0 if none is."""
+        return max((d[-1] for n in names if (d := self.where.get(n))), default=0)
+
+    def cut(self, depth: int) -> None:
+        """Closes what is open from a depth on."""
+        while len(self.at) > max(1, depth):
+            self.at.pop()
+            self.where[self.names.pop()].pop()
+
+
 class Page:
     """A page's block elements as parallel lists (a parent comes before its children), and its blocks of text in page order."""
 
     def __init__(self, html: str):
         self.tag, self.step, self.parent, self.state = ["#root"], ["#root"], [-1], [KEPT]
+        self.path, self.depth = [0], [0]
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
         self._read(html)
         self._weigh()
 
     def _read(self, html: str) -> None:
-        tags, parents, states = self.tag, self.parent, self.state
-        stack, buf, link, linked, breaks, at, end = [0], [], False, 0, 0, 0, len(html)
+        stack, buf, link, linked, breaks = _Stack(), [], False, 0, 0
 
         def flush() -> None:
             nonlocal buf, linked, link, breaks
             if buf:
                 if text := " ".join("".join(buf).split()):
-                    self.blocks.append((stack[-1], text, min(linked, len(text))))
+                    self.blocks.append((stack.at[-1], text, min(linked, len(text))))
                 buf = []
             linked, link, breaks = 0, False, 0
 
-        def say(text: str) -> None:
-            nonlocal linked, breaks
-            if "&" in text:
-                text = unescape(text)
-            buf.append(text)
-            if text.strip():
-                breaks = 0
-                if link:
-                    linked += len(text)
-
-        def pop_to(depth: int) -> None:
-            del stack[depth:]
-
-        for m in _TOKEN.finditer(html):
-            if m.start() < at:
-                continue
-            if m.start() > at:
-                say(html[at : m.start()])
-            at = m.end()
-            name = m[2] or m[5]
+        for text, name, attrs, closing in _tags(html):
+            if text:
+                if "&" in text:
+                    text = unescape(text)
+                buf.append(text)
+                if text.strip():
+                    breaks = 0
+                    if link:
+                        linked += len(text)
             if not name:
                 continue
-            name = name.lower()
-            closing = bool(m[1] or m[4])
             if closing:
                 if name == "a":
                     link = False
-                elif name == "p" or name in _BLOCK or any(tags[i] == name for i in stack[:0:-1]):
+                elif name == "p" or name in _BLOCK or stack.where.get(name):
                     flush()
-                    for depth in range(len(stack) - 1, 0, -1):
-                        if tags[stack[depth]] == name:
-                            pop_to(depth)
-                            break
+                    if depth := stack.last((name,)):
+                        stack.cut(depth)
                 continue
-            attrs = m[3] or m[6] or ""
             if name in _RAW:
-                stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
-                at = stop.end() if stop else end
                 continue
             if name == "br":
                 breaks += 1
@@ -156,34 +232,30 @@ class Page:
             if not block and name not in _DROPPED and not ("class" in attrs or "id" in attrs or "hidden" in attrs or "role" in attrs or "style" in attrs):
                 continue
             step, state = _element(name, attrs)
-            if not block and state < FURNITURE:
+            if not block and state in (KEPT, HEAD, ALLUDED):
                 continue
             if block:
                 flush()
-                top = tags[stack[-1]]
+                top = stack.names[-1]
                 if top == "p" or top in _HEADING and name in _HEADING:
-                    stack.pop()
+                    stack.cut(len(stack.at) - 1)
                 elif name in _CLOSES:
                     same, scope = _CLOSES[name]
-                    for depth in range(len(stack) - 1, 0, -1):
-                        if tags[stack[depth]] in scope:
-                            break
-                        if tags[stack[depth]] in same:
-                            pop_to(depth)
-                            if name != "tr":
-                                break
-                elif name != "head":
-                    for depth in range(1, len(stack)):
-                        if tags[stack[depth]] == "head":
-                            pop_to(depth)
+                    limit = stack.last(scope)
+                    while (depth := stack.last(same)) > limit:
+                        stack.cut(depth)
+                        if name != "tr":
                             break
-            tags.append(name)
+                elif name != "head" and stack.where.get("head"):
+                    stack.cut(stack.where["head"][0])
+            parent = stack.at[-1]
+            self.tag.append(name)
             self.step.append(step)
-            parents.append(stack[-1])
-            states.append(state)
-            stack.append(len(tags) - 1)
-        if at < end:
-            say(html[at:])
+            self.parent.append(parent)
+            self.state.append(state)
+            self.path.append(_below(self.path[parent], step))
+            self.depth.append(self.depth[parent] + 1)
+            stack.push(len(self.tag) - 1, name)
         flush()
 
     def _weigh(self) -> None:
@@ -202,13 +274,17 @@ class Page:
         for i in range(n - 1, 0, -1):
             h1[self.parent[i]] |= h1[i]
             body[self.parent[i]] |= body[i]
+        inside = [False] * n  # of an article
         for i in range(1, n):
+            inside[i] = inside[self.parent[i]] or self.tag[i] == "article"
             if self.state[i] == NAMED:
                 self.state[i] = KEPT if h1[i] and self.tag[i] not in _HEADING else FURNITURE
+            elif self.state[i] == ALLUDED:
+                self.state[i] = KEPT if h1[i] or inside[i] else FURNITURE
             elif self.state[i] == HEAD and body[i]:
                 self.state[i] = KEPT
             self.state[i] = max(self.state[i], self.state[self.parent[i]])
-            if self.tag[i] in ("ul", "ol") and items[i] > 1 and linked[i] >= LINK_SHARE * every[i] > 0:
+            if self.tag[i] in ("ul", "ol") and not inside[i] and items[i] > 1 and linked[i] >= LINK_SHARE * every[i] > 0:
                 self.state[i] = FURNITURE
         # Furniture is never taken, so a container isn't the worse for holding some.
         good, every = [0] * n, [0] * n
@@ -225,26 +301,15 @@ class Page:
 
     def best(self) -> int:
         """The container with the highest score; of equal ones the innermost and first."""
-        depth = [0] * len(self.tag)
-        for i in range(1, len(depth)):
-            depth[i] = depth[self.parent[i]] + 1
-        return max(range(len(self.tag)), key=lambda i: (self.score[i], depth[i], -i))
-
-    def path(self, i: int) -> str:
-        steps = []
-        while i > 0:
-            steps.append(self.step[i])
-            i = self.parent[i]
-        return ">".join(reversed(steps))
+        return max(range(len(self.tag)), key=lambda i: (self.score[i], self.depth[i], -i))
 
-    def votes(self) -> dict[str, int]:
-        """Paths of the better containers, inner ones first, each with its best score in millionths of the page's best."""
+    def votes(self) -> dict[int, tuple[int, int]]:
+        """Paths of the better containers, each with its depth and its best score in millionths of the page's best."""
         top, out = max(self.score), {}
-        for i in range(len(self.score) - 1, -1, -1):
-            s = self.score[i]
+        for i, s in enumerate(self.score):
             if top and s >= VOTE_SHARE * top:
-                p = self.path(i)
-                out[p] = max(out.get(p, 0), s * 1_000_000 // top)
+                p = self.path[i]
+                out[p] = (self.depth[i], max(out.get(p, (0, 0))[1], s * 1_000_000 // top))
         return out
 
     def _line(self, i: int) -> list[int]:
@@ -255,18 +320,15 @@ class Page:
         return line[::-1]
 
     def _common(self, elements: list[int]) -> int:
-        """The smallest container that holds all of the elements."""
-        line = self._line(elements[0])
-        for i in elements[1:]:
-            line = [a for a, b in zip(line, self._line(i)) if a == b]
+        """The smallest container that holds all of the elements: as they are in page order, that of the first and last."""
+        line = [a for a, b in zip(self._line(elements[0]), self._line(elements[-1])) if a == b]
         return next(i for i in reversed(line) if i == 0 or self.tag[i] in _CONTAINER)
 
-    def _chosen(self, path: str | None) -> list[int]:
+    def _chosen(self, path: int | None) -> list[int]:
         own = self.best()
         if path is None:
             return [own]
-        last = path.rpartition(">")[2]
-        there = [i for i, s in enumerate(self.step) if s == last and self.score[i] > 0 and self.path(i) == path]
+        there = [i for i, p in enumerate(self.path) if p == path and self.score[i] > 0]
         good, every = sum(self.good[i] for i in there), sum(self.every[i] for i in there)
         if not there or good * good // every < OWN_SHARE * self.score[own]:
             return [own]
@@ -275,7 +337,7 @@ class Page:
             return [own]
         return [common] if self.good[common] > good else there
 
-    def text(self, path: str | None) -> str:
+    def text(self, path: int | None) -> str:
         """The kept blocks of the containers at a path and of what encloses them, or of the page's own best one."""
         inside = [False] * len(self.tag)
         for i in self._chosen(path):
@@ -287,13 +349,13 @@ class Page:
 
 def _vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
-        cast = [(h, p, v) for h, html in zip(rows["host"], rows["html"]) for p, v in Page(html).votes().items()]
-        yield pd.DataFrame(cast, columns=["host", "path", "vote"])
+        cast = [(h, p, d, v) for h, html in zip(rows["host"], rows["html"]) for p, (d, v) in Page(html).votes().items()]
+        yield pd.DataFrame(cast, columns=["host", "path", "depth", "vote"])
 
 
 @F.pandas_udf(T.StringType())
-def _extract(html: pd.Series, path: pd.Series) -> pd.Series:
-    return pd.Series([Page(h).text(p) if h else "" for h, p in zip(html, path)], dtype=object)
+def _extract(html: pd.Series, path: pd.Series) -> pd.Series:  # path: a hash as text, since pandas makes nullable longs doubles
+    return pd.Series([Page(h).text(None if pd.isna(p) else int(p)) if h else "" for h, p in zip(html, path)], dtype=object)
 
 
 def _host(url):
@@ -301,10 +363,10 @@ def _host(url):
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """host and its winning path: the one with most votes; of equal ones the longest, then the last by code point."""
+    """host and its winning path (a hash): the one with most votes; of equal ones the deepest, then the greatest hash."""
     rows = pages.select(_host(F.col("url")).alias("host"), "html").filter("host <> '' AND html <> ''")
-    votes = rows.mapInPandas(_vote, "host string, path string, vote long").groupBy("host", "path").agg(F.sum("vote").alias("vote"))
-    return votes.groupBy("host").agg(F.max(F.struct("vote", F.length("path").alias("n"), "path"))["path"].alias("path"))
+    votes = rows.mapInPandas(_vote, "host string, path long, depth int, vote long").groupBy("host", "path").agg(F.sum("vote").alias("vote"), F.max("depth").alias("depth"))
+    return votes.groupBy("host").agg(F.max(F.struct("vote", "depth", "path"))["path"].alias("path"))
 
 
 def main_text(pages: DataFrame, paths: DataFrame | None = None) -> DataFrame:
@@ -313,7 +375,7 @@ def main_text(pages: DataFrame, paths: DataFrame | None = None) -> DataFrame:
     if paths.count() <= MAX_BROADCAST_HOSTS:
         paths = F.broadcast(paths)
     rows = pages.select("page_id", "url", "html", _host(F.col("url")).alias("host")).join(paths, "host", "left")
-    return rows.select("page_id", "url", _extract("html", "path").alias("text"))
+    return rows.select("page_id", "url", _extract("html", F.col("path").cast("string")).alias("text"))
 
 
 def op3_extract_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
