@@ -5,14 +5,23 @@ its nearest centroid and, for each part of its residual, the nearest codeword. A
 has the largest inner products with, scores their vectors by table look-ups (query part times codeword, precomputed), and
 the best of each block are scored exactly on the original vectors, in double precision.
 
-Lists are packed into blocks of bounded size, and a list that is larger is cut into several, so a list with a third of all
-vectors is many tasks; queries meet blocks in batches, so that the sides of a task are bounded. Equal vectors are one entry
-with its vec_ids in order; only the first k + 1 of them can be among a query's k nearest, ties going to the smaller vec_id,
-so no more of them go to the search.
+How many lists a query visits follows the data: on the sample, it is the share of the lists (in the order of their centroids)
+that holds RECALL_GOAL of the sample's own nearest neighbours, so few lists where vectors cluster and most of them where they
+are spread evenly.
 
-Edge cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do those of another
-length than most, nor rows without a vec_id; repeated rows count once, and so does a vec_id with several vectors, with the
-best; with fewer than k candidates a query gets all; an empty table gives no rows.
+Lists are packed into blocks of bounded size, and a list that is larger is cut into several, so a list with a third of all
+vectors is many tasks. Queries go to the blocks that they visit; a block that more queries visit than one task should answer
+is dealt out to several, and only that block's vectors are repeated. In a task the block lies in memory and the queries
+stream by. Equal vectors are one entry with its vec_ids in order; only the first k + 1 of them can be among a query's k
+nearest, ties going to the smaller vec_id, so no more of them go to the search.
+
+Inner products need vectors of one length. Those of the commonest length are indexed; queries and candidates of any other
+length are compared exactly among themselves, in blocks.
+
+Edge cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows without a
+vec_id; repeated rows count once, and so does a vec_id with several vectors, with the best; with fewer than k candidates a
+query gets all; ties go to the smaller vec_id; further columns, whatever their names, are neither read nor returned; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,14 +43,16 @@ TRAIN_ROWS = 20_000
 MAX_LISTS = 1024
 PARTS = 16
 CODEWORDS = 256
-#: Share of the lists that a query visits, and how many vectors it sees at least, in multiples of k.
-PROBED = 0.75
+#: Share of the sample's nearest neighbours that the visited lists hold, by how many queries of the sample it is measured, and
+#: how many vectors a query sees at least, in multiples of k.
+RECALL_GOAL = 0.97
+GAUGE_ROWS = 400
 LEAST_SEEN = 40
 #: Vectors of a block that are scored exactly for a query.
 SHORTLIST = 160
 #: Most vectors of a block, most queries that meet it in one task, and how many of those are scored at once.
-BLOCK_VECTORS = 8192
-BLOCK_QUERIES = 8192
+BLOCK_VECTORS = 16384
+BLOCK_QUERIES = 65536
 CHUNK = 256
 SEED = 11
 
@@ -50,6 +61,7 @@ SEED = 11
 class Codec:
     centroids: np.ndarray  # lists x dim
     books: np.ndarray  # parts x codewords x width
+    probes: int = 1  # lists that a query visits
 
     def split(self, x: np.ndarray) -> np.ndarray:
         """n x parts x width; the last part is filled up with zeros."""
@@ -79,7 +91,7 @@ def _means(x: np.ndarray, n: int, rng: np.random.Generator, rounds: int = 8) ->
     return centres
 
 
-def fit(sample: np.ndarray, n_lists: int, seed: int = SEED) -> Codec:
+def fit(sample: np.ndarray, n_lists: int, seed: int = SEED, k: int = K) -> Codec:
     rng, sample = np.random.default_rng(seed), np.unique(sample, axis=0)  # copies of a vector teach nothing
     centroids = _means(sample, n_lists, rng)
     parts = min(PARTS, sample.shape[1])
@@ -90,7 +102,19 @@ def fit(sample: np.ndarray, n_lists: int, seed: int = SEED) -> Codec:
     for m in range(parts):
         book = _means(rest[:, m], CODEWORDS, rng)
         books[m] = np.concatenate([book, np.repeat(book[:1], CODEWORDS - len(book), axis=0)])
-    return Codec(centroids, books)
+    return Codec(centroids, books, _probes_for(sample, centroids, k, rng))
+
+
+def _probes_for(sample: np.ndarray, centroids: np.ndarray, k: int, rng: np.random.Generator) -> int:
+    """How many lists hold RECALL_GOAL of the k nearest, in the order in which queries visit lists."""
+    chosen = rng.permutation(len(sample))[:GAUGE_ROWS]
+    near = sample[chosen] @ sample.T
+    near[np.arange(len(chosen)), chosen] = -np.inf
+    top = np.argsort(-near, axis=1)[:, : min(k, len(sample) - 1)]
+    if not top.size:
+        return len(centroids)
+    place = np.argsort(np.argsort(-(sample[chosen] @ centroids.T), axis=1, kind="stable"), axis=1)
+    return int(np.quantile(np.take_along_axis(place, _nearest(sample, centroids)[top], axis=1), RECALL_GOAL, method="higher")) + 1
 
 
 def usable(v: Column) -> Column:
@@ -105,19 +129,17 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 def vectors(rows: DataFrame) -> DataFrame:
     """The distinct rows (vec_id, embedding) that take part."""
-    good = rows.select("vec_id", "embedding").filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    sizes = good.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return good.filter(F.size("embedding") == (sizes[0]["n"] if sizes else 0)).distinct()
+    return rows.select("vec_id", "embedding").filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).distinct()
 
 
-def index(rows: DataFrame, seed: int = SEED) -> tuple[DataFrame, Codec | None, int]:
-    """Every vector with its list and codes, the codec, and their number."""
-    good = written(vectors(rows), "vectors")
+def index(rows: DataFrame, seed: int = SEED, k: int = K) -> tuple[DataFrame, Codec | None, int]:
+    """Every one of the vectors, which have one length, with its list and codes; the codec; their number."""
+    good = rows
     n = good.count()
     if not n:
         return good.withColumn("list", F.lit(0)).withColumn("codes", F.lit(b"")), None, 0
     sample = good.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(TRAIN_ROWS).select("embedding").toPandas()
-    codec = fit(_matrix(sample["embedding"]), max(1, min(MAX_LISTS, round(n**0.5))), seed)
+    codec = fit(_matrix(sample["embedding"]), max(1, min(MAX_LISTS, round(n**0.5))), seed, k)
     shared = rows.sparkSession.sparkContext.broadcast(codec)  # 1024 centroids and 256 x 16 codewords at most
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -155,7 +177,7 @@ def _probes(queries: DataFrame, codec: Codec, sizes: dict[int, int], blocks: dic
             inside.setdefault(b, []).append(i)
     lists_of = {b: np.array(x, np.int32) for b, x in inside.items()}
     shared = queries.sparkSession.sparkContext.broadcast((codec.centroids, held, lists_of))  # 1024 lists at most
-    n = max(1, round(PROBED * len(held)))
+    n = codec.probes
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         centroids, held, lists_of = shared.value
@@ -176,66 +198,139 @@ def _probes(queries: DataFrame, codec: Codec, sizes: dict[int, int], blocks: dic
     return queries.mapInPandas(visit, f"query_id long, q {kind}, block int, lists array<int>")
 
 
+_FOUND = "query_id long, vec_id long, score double"
+
+
+def _best(qids: np.ndarray, ids: np.ndarray, exact: np.ndarray, k: int) -> pd.DataFrame:
+    """The k best of each query's scored candidates (queries x candidates); -inf is none."""
+    top = np.lexsort((ids, -exact), axis=1)[:, :k]
+    score = np.take_along_axis(exact, top, axis=1)
+    good = np.isfinite(score)
+    return pd.DataFrame({"query_id": np.repeat(qids, good.sum(axis=1)), "vec_id": np.take_along_axis(ids, top, axis=1)[good], "score": score[good]})
+
+
+class _Block:
+    """A block's vectors: coded for the first look, whole for the second."""
+
+    def __init__(self, rows: pd.DataFrame, codec: Codec):
+        rows = rows.sort_values("vec_id", ignore_index=True)
+        self.codec, self.ids, self.x = codec, rows["vec_id"].to_numpy(np.int64), _matrix(rows["embedding"])
+        self.lists = rows["list"].to_numpy(np.int64)
+        self.codes = np.frombuffer(b"".join(rows["codes"]), np.uint8).reshape(len(rows), -1)
+
+    def answer(self, part: pd.DataFrame, k: int) -> pd.DataFrame:
+        codec, take = self.codec, min(SHORTLIST, len(self.ids))
+        queries, qids = _matrix(part["embedding"]), part["vec_id"].to_numpy(np.int64)
+        # Asymmetric: the query is exact, the vector coded. Its list's centroid, then each part by table.
+        tables = np.einsum("nmw,mkw->mnk", codec.split(queries), codec.books).astype(np.float32)
+        near = (queries @ codec.centroids.T).astype(np.float32)[:, self.lists]
+        for m, t in enumerate(tables):
+            near += t[:, self.codes[:, m]]
+        visited = np.zeros((len(part), len(codec.centroids)), bool)
+        for i, seen in enumerate(part["lists"]):
+            visited[i, seen] = True
+        near[~visited[:, self.lists] | (qids[:, None] == self.ids)] = -np.inf
+        short = np.sort(np.argpartition(-near, take - 1, axis=1)[:, :take], axis=1)
+        exact = np.where(np.isfinite(np.take_along_axis(near, short, axis=1)), (self.x[short] * queries[:, None, :]).sum(axis=2), -np.inf)
+        return _best(qids, self.ids[short], exact, k)
+
+
 def _search(k: int, shared):
-    def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        codec = shared.value
-        found = []
-        if len(q) and len(c):
-            c = c.sort_values("vec_id", ignore_index=True)
-            ids, x, lists = c["vec_id"].to_numpy(np.int64), _matrix(c["embedding"]), c["list"].to_numpy(np.int64)
-            codes = np.frombuffer(b"".join(c["codes"]), np.uint8).reshape(len(c), -1)
-            take = min(SHORTLIST, len(ids))
-            for a in range(0, len(q), CHUNK):
-                part = q.iloc[a : a + CHUNK]
-                queries, qids = _matrix(part["q"]), part["query_id"].to_numpy(np.int64)
-                # Asymmetric: the query is exact, the vector coded. Its list's centroid, then each part by table.
-                tables = np.einsum("nmw,mkw->mnk", codec.split(queries), codec.books).astype(np.float32)
-                near = (queries @ codec.centroids.T).astype(np.float32)[:, lists]
-                for m, t in enumerate(tables):
-                    near += t[:, codes[:, m]]
-                visited = np.zeros((len(part), len(codec.centroids)), bool)
-                for i, seen in enumerate(part["lists"]):
-                    visited[i, seen] = True
-                near[~visited[:, lists] | (qids[:, None] == ids)] = -np.inf
-                short = np.sort(np.argpartition(-near, take - 1, axis=1)[:, :take], axis=1)
-                exact = np.where(np.isfinite(np.take_along_axis(near, short, axis=1)), (x[short] * queries[:, None, :]).sum(axis=2), -np.inf)
-                top = np.lexsort((ids[short], -exact), axis=1)[:, :k]
-                score = np.take_along_axis(exact, top, axis=1)
-                good = np.isfinite(score)
-                found.append(pd.DataFrame({"query_id": np.repeat(qids, good.sum(axis=1)), "vec_id": np.take_along_axis(ids[short], top, axis=1)[good], "score": score[good]}))
-        none = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        return pd.concat(found, ignore_index=True) if found else none
+    """Answers rows in the order of (block, batch, query): first a block's vectors, then the queries that visit it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codec, at, held, block = shared.value, None, [], None
+        for rows in batches:
+            for key, group in rows.groupby(["block", "batch"], sort=False):
+                if key != at:
+                    at, held, block = key, [], None
+                is_query = group["query"].to_numpy(bool)
+                if not is_query.all():
+                    held.append(group[~is_query])
+                asked = group[is_query]
+                if len(asked) and held:
+                    block = block or _Block(pd.concat(held), codec)
+                    for a in range(0, len(asked), CHUNK):
+                        yield block.answer(asked.iloc[a : a + CHUNK], k)
 
     return run
 
 
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """A vec_id with several vectors counts once, with its best."""
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
 def search(indexed: DataFrame, codec: Codec, queries: DataFrame, k: int = K) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's k nearest of the index but itself. queries: vec_id and embedding."""
+    """query_id, vec_id, score: each query's best of every block that it visits. queries: vec_id and embedding."""
     spark = indexed.sparkSession
     first = F.row_number().over(W.partitionBy("embedding").orderBy("vec_id"))
     entries = written(indexed.withColumn("n", first).filter(F.col("n") <= k + 1).drop("n"), "entries")
     sizes = {r["list"]: r["count"] for r in entries.groupBy("list").count().collect()}  # a row a list
     blocks = _blocks(sizes)
     plan = spark.createDataFrame([(i, b.start, len(b)) for i, b in blocks.items()], "list int, first int, cut int")
-    batches = max(1, -(-queries.count() // BLOCK_QUERIES))
-    left = _probes(queries, codec, sizes, blocks, k).withColumn("batch", F.pmod(F.xxhash64("query_id"), F.lit(batches)).cast("int"))
+    left = written(_probes(queries, codec, sizes, blocks, k), "probes")
+    batches = left.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("batches"))  # a row a block
+    left = left.join(batches, "block").withColumn("batch", F.pmod(F.xxhash64("query_id"), "batches").cast("int"))
     block = F.col("first") + F.pmod(F.xxhash64("vec_id"), "cut").cast("int")
-    right = entries.join(F.broadcast(plan), "list").withColumn("block", block).withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))))  # plan: a row a list
-    right = right.select("block", "batch", "vec_id", "embedding", "list", "codes")
-    shared = spark.sparkContext.broadcast(codec)
-    found = left.groupBy("block", "batch").cogroup(right.groupBy("block", "batch")).applyInPandas(_search(k, shared), "query_id long, vec_id long, score double")
-    # A vec_id with several vectors counts once, with its best.
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    right = entries.join(F.broadcast(plan), "list").withColumn("block", block).join(batches, "block")  # plan: a row a list
+    right = right.withColumn("batch", F.explode(F.sequence(F.lit(0), F.col("batches") - 1)))
+    left = left.select("block", "batch", F.lit(True).alias("query"), F.col("query_id").alias("vec_id"), F.col("q").alias("embedding"), "lists", F.lit(0).alias("list"), F.lit(None).cast("binary").alias("codes"))
+    right = right.select("block", "batch", F.lit(False).alias("query"), "vec_id", "embedding", F.lit(None).cast("array<int>").alias("lists"), "list", "codes")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    both = left.unionAll(right).repartition(tasks, "block", "batch").sortWithinPartitions("block", "batch", "query")
+    return both.mapInPandas(_search(k, spark.sparkContext.broadcast(codec)), _FOUND)
+
+
+def _compare(k: int):
+    def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})]
+        if len(q) and len(c):
+            ids, x = c["vec_id"].to_numpy(np.int64), _matrix(c["embedding"])
+            for a in range(0, len(q), CHUNK):
+                part = q.iloc[a : a + CHUNK]
+                qids = part["query_id"].to_numpy(np.int64)
+                exact = (x[None] * _matrix(part["q"])[:, None, :]).sum(axis=2)
+                exact[qids[:, None] == ids] = -np.inf
+                found.append(_best(qids, np.broadcast_to(ids, exact.shape), exact, k))
+        return pd.concat(found, ignore_index=True)
+
+    return run
+
+
+def exact_search(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
+    """query_id, vec_id, score: each query's best of every block of the rows of its length. Both: vec_id, embedding."""
+    size = F.size("embedding").alias("length")
+    counts = rows.groupBy(size).agg(F.ceil(F.count(F.lit(1)) / BLOCK_SIDE).cast("int").alias("blocks"))
+    asked = queries.groupBy(size).agg(F.ceil(F.count(F.lit(1)) / BLOCK_SIDE).cast("int").alias("batches"))
+    sides = written(counts.join(asked, "length"), "lengths")
+    left = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), size).join(sides, "length").withColumn("batch", F.pmod(F.xxhash64("query_id"), "batches").cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    right = rows.select("vec_id", "embedding", size).join(sides, "length").withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int")).withColumn("batch", F.explode(F.sequence(F.lit(0), F.col("batches") - 1)))
+    keys = ["length", "block", "batch"]
+    return left.select(*keys, "query_id", "q").groupBy(*keys).cogroup(right.select(*keys, "vec_id", "embedding").groupBy(*keys)).applyInPandas(_compare(k), _FOUND)
+
+
+#: Rows of either side of a task that compares exactly.
+BLOCK_SIDE = 4096
 
 
 def nearest(rows: DataFrame, every: int = 20, k: int = K) -> DataFrame:
-    """The k nearest of every row whose vec_id is divisible by `every`, among all other rows."""
-    indexed, codec, n = index(rows)
-    if codec is None:
-        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    return search(indexed, codec, indexed.filter(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "embedding"), k)
+    """The k nearest of every row whose vec_id is divisible by `every`, among all other rows of its length."""
+    spark = rows.sparkSession
+    good = written(vectors(rows), "vectors")
+    lengths = good.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(2).collect()
+    if not lengths:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    asked = F.pmod("vec_id", F.lit(every)) == 0
+    most = F.size("embedding") == lengths[0]["n"]
+    indexed, codec, _ = index(good.filter(most), k=k)
+    found = search(indexed, codec, indexed.filter(asked).select("vec_id", "embedding"), k)
+    if len(lengths) > 1:
+        others = good.filter(~most)
+        found = found.unionAll(exact_search(others, others.filter(asked), k))
+    return _ranked(found, k)
 
 
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
