@@ -3,17 +3,22 @@
 Copies collapse first: all that follows works on distinct fingerprints. Fingerprints at r differing bits or fewer agree in
 at least one of r + 1 bands, so a shard is what shares a band's value, and every shard gets its own BK-tree: the children
 of a node are keyed by their Hamming distance to it, and a search for x at a node at distance d only follows the edges
-d - r to d + r. All trees of a partition are built and searched together, level by level, in numpy. (A tree over all
-fingerprints would have to be broadcast whole, which has no size bound; a tree goes with its shard instead.)
+d - r to d + r. (A tree over all fingerprints would have to be broadcast whole, which has no size bound; a tree goes with its
+shard instead.) A shard that outgrows MAX_SHARD is split by the bands of its remaining bits, in one of which any two of its
+linked fingerprints agree as well; what is still too large is cut into blocks, and each pair of blocks is a shard, so each
+block's tree is sent to all that have to search it. The shards of a partition stream by in runs of HELD_ROWS: the trees of a
+run are built and searched together, level by level, in numpy.
 
-A partition reports a spanning forest of the links it found, never all pairs of a group: at most one edge less than it
+A run reports a spanning forest of the links it found, never all pairs of a group: at most one edge less than it
 has fingerprints. Connected components are then found by alternating star contractions on those edges.
 
 A ball of radius 3 holds 43 745 fingerprints, which bounds the neighbours of any one fingerprint.
 
 Edge cases: a text without words has fingerprint zero, which links like any other; a null text counts as one without
-words; a null doc_id never names a component but its row is linked; repeated rows share their fingerprint's component; an
-empty table gives no rows.
+words; a null doc_id never names a component but its row is linked; repeated rows share their fingerprint's component; a bit
+that exactly half of the shingles set is 0; a text of any length is read whole; of equal rows one_of_each keeps any; further
+columns are kept by one_of_each, whatever their names (but `__fp`, `__root` and `__n`, which are its own); an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -35,6 +40,11 @@ RADIUS = 3
 SEED = 42
 #: Pairs of (search, node) that one step of the tree walk holds at most.
 FRONTIER = 1 << 18
+#: Fingerprints of a shard at most, and of the shards whose trees a worker holds at once.
+MAX_SHARD = 1 << 16
+HELD_ROWS = 1 << 18
+#: Shards to be split are broadcast up to so many.
+MAX_BROADCAST_SHARDS = 500_000
 
 
 def fingerprint(text: str | None, words: int = SHINGLE, seed: int = SEED) -> int:
@@ -138,35 +148,93 @@ def _spanning(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> list[tu
     return kept
 
 
+def _forest_of(rows: pd.DataFrame, radius: int) -> pd.DataFrame:
+    """Edges a, b of a spanning forest of the links inside the shards (band, pair) of the rows."""
+    fp = rows["fp"].to_numpy(np.int64)
+    _, group, size = np.unique(rows[["band", "pair"]].to_numpy(np.int64), axis=0, return_inverse=True, return_counts=True)
+    more = size[group] > 1
+    group, fp = group[more], fp[more]
+    order = np.argsort(group, kind="stable")
+    _, group = np.unique(group[order], return_inverse=True)
+    fp = fp[order]
+    distinct, number = np.unique(fp, return_inverse=True)  # a fingerprint may be in several shards here
+    edges = ((number[x], number[y]) for x, y in Forest(group, fp.view(np.uint64)).links(radius)) if len(fp) else iter(())
+    forest = np.array(_spanning(len(distinct), edges), np.int64).reshape(-1, 2)
+    return pd.DataFrame({"a": distinct[forest].min(axis=1), "b": distinct[forest].max(axis=1)})
+
+
 def _shard_links(radius: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = list(batches)  # a partition's distinct fingerprints, 24 bytes each
-        if parts:
-            rows = pd.concat(parts, ignore_index=True)
-            band, fp = rows["band"].to_numpy(np.int64), rows["fp"].to_numpy(np.int64)
-            order = np.argsort(band, kind="stable")
-            band, fp = band[order], fp[order]
-            _, group, size = np.unique(band, return_inverse=True, return_counts=True)
-            more = size[group] > 1
-            if more.any():
-                fp = fp[more]
-                _, group = np.unique(group[more], return_inverse=True)
-                distinct, number = np.unique(fp, return_inverse=True)  # a fingerprint may be in several bands here
-                edges = ((number[x], number[y]) for x, y in Forest(group, fp.view(np.uint64)).links(radius))
-                forest = np.array(_spanning(len(distinct), edges), np.int64).reshape(-1, 2)
-                yield pd.DataFrame({"a": distinct[forest].min(axis=1), "b": distinct[forest].max(axis=1)})
+        held, n = [], 0
+        for rows in batches:
+            held.append(rows)
+            n += len(rows)
+            if n >= HELD_ROWS:
+                rows = pd.concat(held, ignore_index=True)
+                open_ = (rows["band"] == rows["band"].iloc[-1]) & (rows["pair"] == rows["pair"].iloc[-1])  # may go on in the next batch
+                if not open_.all():
+                    yield _forest_of(rows[~open_], radius)
+                held = [rows[open_]]
+                n = len(held[0])
+        if n:
+            yield _forest_of(pd.concat(held, ignore_index=True), radius)
 
     return run
 
 
-def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints (column fp) that connect all that differ in at most radius bits."""
+def _bits(value: Column, start: int, n: int) -> Column:
+    return F.shiftrightunsigned(value, start).bitwiseAND(F.lit((1 << n) - 1)) if start < 64 else F.lit(0).cast("long")
+
+
+def _bands(value: Column, bits: int, bands: int) -> list[Column]:
+    """The values of the bands of a value of so many bits, each with its band's number."""
+    width = -(-bits // bands)
+    return [_bits(value, i * width, min(width, bits - i * width)) * bands + i for i in range(bands)]
+
+
+def _rest(band: int, width: int) -> Column:
+    """The fingerprint without the bits of a band."""
+    above = F.shiftleft(_bits(F.col("fp"), (band + 1) * width, 64 - (band + 1) * width), band * width) if (band + 1) * width < 64 else F.lit(0).cast("long")
+    return above.bitwiseOR(_bits(F.col("fp"), 0, band * width)) if band else above
+
+
+def _too_large(rows: DataFrame, keys: list[str]) -> DataFrame | None:
+    """The shards (keys) of more than MAX_SHARD rows, and their n; None if there are none."""
+    large = written(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MAX_SHARD), "large-shards")
+    n = large.count()
+    return None if not n else F.broadcast(large) if n <= MAX_BROADCAST_SHARDS else large
+
+
+def shards(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """band, pair and fp: shards of bounded size, such that linked fingerprints share one at least."""
     bands = radius + 1
     width = -(-64 // bands)
-    value = [F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit((1 << width) - 1)) * bands + i for i in range(bands)]
-    spread = prints.select("fp", F.explode(F.array(*value)).alias("band"))
+    spread = prints.select("fp", F.explode(F.array(*_bands(F.col("fp"), 64, bands))).alias("band"))
+    large = _too_large(spread, ["band"])
+    if large is None:
+        return spread.withColumn("pair", F.lit(0).cast("long"))
+    spread = spread.join(large, "band", "left")
+    small = spread.filter("n IS NULL").select("fp", "band", F.lit(0).cast("long").alias("pair"))
+    inner = [F.array(*_bands(_rest(i, width), 64 - width, bands)) for i in range(bands)]
+    second = F.explode(F.get(F.array(*inner), F.pmod("band", F.lit(bands)).cast("int")))
+    again = spread.filter("n IS NOT NULL").select("fp", "band", second.alias("pair")).withColumn("pair", F.col("pair") + 1)
+    large = _too_large(again, ["band", "pair"])
+    if large is None:
+        return small.unionByName(again)
+    again = again.join(large, ["band", "pair"], "left")
+    small = small.unionByName(again.filter("n IS NULL").drop("n"))
+    # Pairs (i, j) of blocks, i <= j: a fingerprint of block k is in all pairs with k.
+    blocks = F.ceil(F.col("n") * 2 / MAX_SHARD)
+    cut = again.filter("n IS NOT NULL").withColumn("blocks", blocks).withColumn("k", F.pmod(F.xxhash64("fp"), "blocks"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return small.unionByName(cut.select("fp", "band", F.xxhash64("pair", F.least("k", "other"), F.greatest("k", "other")).alias("pair")))
+
+
+def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints (column fp) that connect all that differ in at most radius bits."""
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return spread.repartition(n, "band").mapInPandas(_shard_links(radius), "a long, b long").distinct()
+    spread = shards(prints, radius).select("band", "pair", "fp").repartition(n, "band", "pair").sortWithinPartitions("band", "pair")
+    return spread.mapInPandas(_shard_links(radius), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
