@@ -35,8 +35,8 @@ N_SHARDS = 16
 MAX_REPEAT = 3
 SEED = 17
 #: Rows, and bytes of text, of a source that one task puts in order.
-RANGE_ROWS = 100_000
-RANGE_BYTES = 256 << 20
+RANGE_ROWS = 4000
+RANGE_BYTES = 64 << 20
 #: Plans and the places of ranges are broadcast up to so many rows (about 300 bytes each); beyond it they are joined by a shuffle.
 MAX_BROADCAST_ROWS = 100_000
 _HASH = 1 << 60
