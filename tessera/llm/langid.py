@@ -54,7 +54,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 def words_of(text: str) -> list[str]:
     """Runs of letters in lower case; what counts as alphanumeric but is no letter (such as fractions) parts them."""
     found = _WORD.findall(text.lower())
-    if all(map(str.isalpha, found)):
+    if not found or "".join(found).isalpha():
         return found
     return [w for x in found for w in "".join(c if c.isalpha() else " " for c in x).split()]
 
@@ -180,8 +180,9 @@ def fit(rows: list[tuple[str, str]], seed: int = SEED) -> Model:
 class _Words(dict):
     """Numbers words as they come; emissions of new ones are added by scores()."""
 
-    def __init__(self, model: Model):
+    def __init__(self, model: Model, familiar: bool = True):
         super().__init__()
+        self.asked = familiar
         self.model, self.most = model, MAX_VALUES // max(1, len(model.langs))
         self.reset()
 
@@ -199,7 +200,7 @@ class _Words(dict):
         if self.new:
             fresh = np.concatenate([self.model.emissions(self.new[i : i + 20_000]) for i in range(0, len(self.new), 20_000)])
             self.table = np.concatenate([self.table, np.exp(fresh - fresh.max(axis=1, keepdims=True))])
-            self.known = np.concatenate([self.known, [self.model.familiar(w) for w in self.new]])
+            self.known = np.concatenate([self.known, [self.model.familiar(w) for w in self.new] if self.asked else np.ones(len(self.new))])
             self.new = []
         return self.table, self.known
 
@@ -305,13 +306,13 @@ def train(docs: DataFrame, *, held_out: int | None = 2, rows: int = TRAIN_ROWS,
     return fit(sorted((r["text"], r["lang"]) for r in sample))
 
 
-def with_language(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with __lid: lang, score and familiar of every row, from its text alone."""
+def with_language(docs: DataFrame, model: Model, familiar: bool = False) -> DataFrame:
+    """docs with __lid: lang, score and (if asked for, else 1) familiar of every row, from its text alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 65 536 features and the lexicons, x languages
 
     @F.pandas_udf("lang string, score double, familiar double")
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known = _Words(shared.value)
+        known = _Words(shared.value, familiar)
         for texts in batches:
             yield pd.DataFrame(predict(list(texts), shared.value, known), columns=["lang", "score", "familiar"])
 
@@ -338,7 +339,7 @@ def identified(docs: DataFrame, min_familiar: float = MIN_FAMILIAR) -> DataFrame
     model = train(docs, held_out=None)
     if not model.langs:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    rows = with_language(docs, model)
+    rows = with_language(docs, model, familiar=True)
     return rows.filter((F.col("__lid")["lang"] != UNKNOWN) & (F.col("__lid")["familiar"] >= min_familiar)).select(docs.columns)
 
 
