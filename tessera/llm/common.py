@@ -34,14 +34,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _session_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: the lineage ends there, a lost executor costs a reread."""
+    """df written as Parquet in the shared folder and read again: the lineage ends there, a lost executor costs a reread.
+
+    All that an application writes lies under one folder, which cleaned() removes.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = f"{_session_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cleaned(spark: SparkSession) -> None:
+    """Removes what this application has written. To be called once its results have been used, as they read from there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_session_dir(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

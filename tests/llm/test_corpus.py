@@ -3,8 +3,10 @@
 import hashlib
 import re
 import textwrap
+import time
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -179,8 +181,9 @@ def test_main_text():
     want = "Title & more\nFirst bold para graph with words enough to count for something.\nSecond <tag> é! and a good deal more of it, to be long. next\none point\ntwo points"
     page = html_main.Page(PAGE)
     assert page.text(None) == want
-    path = max(page.votes().items(), key=lambda x: x[1])[0]
-    assert path.endswith("div.col.content-N") and page.text(path) == want
+    votes = page.votes()
+    path = max(votes, key=lambda p: (votes[p][1], votes[p][0]))
+    assert path == html_main.path_hash("html>body.post-N>div.wrap>div.col.content-N") and page.text(path) == want
 
 
 def test_wrappers_named_like_furniture_are_kept():
@@ -190,22 +193,92 @@ def test_wrappers_named_like_furniture_are_kept():
 
 @pytest.mark.parametrize("html", ["", "plain", "<", "<p>a<p>b", "<div><p>a</div>b</p></section>", "<!-- x", "<a href='>x</a>", "<script>", "</p></p>", "<td>x<tr><td>y", "&#xD800;&#999999999;", "<p " + "a=\"b" * 50])
 def test_broken_pages_do_not_crash(html):
-    assert isinstance(html_main.Page(html).text("html>body"), str)
+    assert isinstance(html_main.Page(html).text(html_main.path_hash("html>body")), str)
 
 
 def test_all_containers_at_the_path_are_taken():
     part = lambda n: f"<section><h2>Part {n}</h2><p>{f'Words of part {n} go on. ' * 8}</p></section>"
     many = html_main.Page(f"<body><main><h1>Title</h1><p>A lead outside.</p>{part(1)}{part(2)}{part(3)}</main></body>")
-    text = many.text("body>main>section")
+    text = many.text(html_main.path_hash("body>main>section"))
     assert all(x in text for x in ("Title", "A lead outside.", "Words of part 1", "Words of part 2", "Words of part 3"))
-    assert many.text("body>main>section") == many.text("body>main")
+    assert many.text(html_main.path_hash("body>main>section")) == many.text(html_main.path_hash("body>main"))
 
 
 def test_furniture_inside_does_not_lower_a_container():
     page = f"<body><main><h1>Title</h1><p>Lead.</p><section><p>{'The article goes on. ' * 10}</p></section><aside><p>{'Other things. ' * 60}</p></aside></main></body>"
     votes = html_main.Page(page).votes()
-    assert max(votes, key=lambda p: (votes[p], len(p))) == "body>main"
-    assert html_main.Page(page).text("body>main").split("\n")[:2] == ["Title", "Lead."] and "Other" not in html_main.Page(page).text("body>main")
+    main = html_main.path_hash("body>main")
+    assert max(votes, key=lambda p: (votes[p][1], votes[p][0])) == main
+    assert html_main.Page(page).text(main).split("\n")[:2] == ["Title", "Lead."] and "Other" not in html_main.Page(page).text(main)
+
+
+def test_words_in_class_names_do_not_drop_parts_of_an_article():
+    long = "A sentence of the article that goes on for a while. " * 3
+    page = f"""<body><nav class=menu><ul><li><a>x</a></li></ul></nav><article><h1>T</h1><p class="social-science">{long}</p><div class="related-work"><p>{long}</p></div>
+    <ul><li><a href=1>First cited</a></li><li><a href=2>Second cited</a></li></ul><div class="ad-slot"><p>buy</p></div><div class="related-posts"><p>more</p></div></article>
+    <div class="related-work-widget"><p>outside</p></div><ul><li><a>Home</a></li><li><a>News</a></li></ul></body>"""
+    s = long.strip()
+    assert html_main.Page(page).text(None).split("\n") == ["T", s, s, "First cited", "Second cited"]
+
+
+@pytest.mark.parametrize("html", ["<a " * 100_000, "<a b='>'" * 50_000 + "<p>x'", "<!" * 100_000, "<script></script " * 50_000, "<div>" * 20_000 + "text" + "</b>" * 20_000, "<li>" * 20_000, "<div><li>" * 20_000, "<table>" * 10_000 + "<td>x" * 20_000, "<div><p>some text here</p>" * 20_000, "<section><p>words</p></section>" * 20_000])
+def test_long_and_deep_pages_take_steps_in_proportion(html):
+    began = time.perf_counter()
+    page = html_main.Page(html)
+    assert len(page.votes()) <= len(page.tag)
+    for path in (None, html_main.path_hash("div"), html_main.path_hash("section")):
+        page.text(path)
+    assert time.perf_counter() - began < 20
+
+
+def brute_main_text(html):
+    """The contract on pages of plain structure: blocks of the article, by the standard library's parser."""
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.inside, self.out, self.buf, self.skip = False, [], [], 0
+
+        def flush(self):
+            if text := " ".join("".join(self.buf).split()):
+                self.out.append(text)
+            self.buf = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "article":
+                self.inside = True
+            if tag in ("p", "h1", "h2", "li", "ul", "div", "article", "br") and (tag != "br"):
+                self.flush()
+
+        def handle_endtag(self, tag):
+            if tag in ("p", "h1", "h2", "li", "ul", "div", "article"):
+                if self.inside:
+                    self.flush()
+                self.buf = []
+            if tag == "article":
+                self.inside = False
+
+        def handle_data(self, data):
+            if self.inside:
+                self.buf.append(data)
+
+    reader = Reader()
+    reader.feed(html)
+    return "\n".join(reader.out)
+
+
+def test_main_text_against_a_plain_parser(spark):
+    rng = np.random.default_rng(2)
+    words = ["tea", "Äpfel", "a &amp; b", "&lt;x&gt;", "caf&eacute;", "<b>bold</b>", "<i>in</i>", "12&nbsp;km", "row\n  break"]
+    say = lambda n: " ".join(rng.choice(words, n))
+    pages = []
+    for i in range(60):
+        blocks = "".join(f"<{t}>{say(int(rng.integers(3, 30)))}</{t}>" for t in ["h1", *rng.choice(["p", "h2", "p", "p"], 6)])
+        blocks += "<ul>" + "".join(f"<li>{say(4)}</li>" for _ in range(3)) + "</ul>"
+        pages.append((i, f"https://h{i % 3}.org/{i}", f"<html><head><title>{say(2)}</title></head><body><nav><a href=/>Home</a></nav><header><p>{say(3)}</p></header><article>{blocks}</article><aside><p>{say(9)}</p></aside><footer>{say(5)}</footer></body></html>"))
+    docs = spark.createDataFrame([(*p, "x", 1) for p in pages], "page_id long, url string, html string, text string, path int")
+    want = {i: brute_main_text(html) for i, _, html in pages}
+    assert {r.page_id: r.text for r in html_main.main_text(docs).collect()} == want
 
 
 def test_pages_with_nulls(spark):
@@ -475,6 +548,36 @@ def test_recall_and_scores(spark):
         assert r.score == pytest.approx(float(x[at[r.query_id]] @ x[at[r.vec_id]]), abs=1e-12)
 
 
+def test_recall_on_more_vectors_and_on_clusters(spark):
+    even = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(60, 32))
+    clustered = centres[rng.integers(0, 60, 6000)] + 0.1 * rng.normal(size=(6000, 32))
+    sets = [(even["vec_id"].to_numpy(), np.stack(even["embedding"]).astype(float)), (np.arange(6000), clustered)]
+    for ids, x in sets:
+        docs = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+        want = brute_nearest(ids, x, 20, 20)
+        found = ann.nearest(docs).toPandas()
+        hits = sum(len(set(g["vec_id"]) & set(ids[want[q]])) for q, g in found.groupby("query_id"))
+        assert len(ids) >= 2000 and hits / (20 * len(want)) >= 0.9
+    codec = ann.fit(clustered, 77)
+    assert codec.probes < 0.2 * 77  # clusters need few lists
+
+
+def test_vectors_of_other_lengths_and_clashing_columns(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(60)] + [(100 + i, rng.normal(size=3).tolist()) for i in range(30)] + [(140, [2.0])]
+    docs = spark.createDataFrame([(i, v, 1, 2, "x") for i, v in rows], "vec_id long, embedding array<double>, list int, query_id int, rank string")
+    by = {}
+    for r in ann.nearest(docs).collect():
+        by.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert set(by) == {0, 20, 40, 100, 120}  # 140 has no candidate
+    for part in ([r for r in rows if len(r[1]) == 3],):
+        want = brute_nearest(np.array([i for i, _ in part]), np.array([v for _, v in part]), 20, 20)
+        for q, at in want.items():
+            assert [v for _, v in sorted(by[q])] == [part[i][0] for i in at]
+
+
 def test_vectors_with_ties_and_nulls(spark):
     same_, other = [1.0, 0.0], [0.6, 0.8]
     rows = [(i, same_) for i in range(50)] + [(100, other), (101, None), (102, []), (103, [0.0, 0.0]), (104, [float("nan"), 1.0]), (105, [None, 1.0]), (106, [1.0]), (None, same_), (0, same_), (107, [float("inf"), 1.0])]
@@ -549,6 +652,47 @@ def test_forest_finds_all_links():
         assert found == want
 
 
+@pytest.mark.parametrize("most,held", [(1 << 16, 1 << 18), (40, 64), (8, 16), (3, 1)])
+def test_shards_of_any_size_lose_no_link(spark, monkeypatch, most, held):
+    monkeypatch.setattr(simhash, "MAX_SHARD", most)
+    rng = np.random.default_rng(9)
+    flip = lambda v: v ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, 2, dtype=np.uint64))
+    values = [np.uint64(0xF0F0_1234_5678_9ABC)]
+    for _ in range(150):  # one large knot and some strangers
+        values.append(flip(values[int(rng.integers(0, len(values)))]))
+    values = sorted({int(v) for v in values} | {int(v) for v in rng.integers(0, 1 << 63, 60, dtype=np.uint64)})
+    top = {v: v for v in values}
+
+    def root(a):
+        while top[a] != a:
+            a = top[a]
+        return a
+
+    for i, a in enumerate(values):
+        for b in values[i + 1 :]:
+            if (a ^ b).bit_count() <= 3:
+                top[root(a)] = root(b)
+    prints = spark.createDataFrame([(int(np.uint64(v).view(np.int64)),) for v in values], "fp long")
+    spread = simhash.shards(prints)
+    assert spread.groupBy("band", "pair").count().agg(F.max("count")).first()[0] <= max(most * 1.7, 12)
+    rows = spread.orderBy("band", "pair").toPandas()
+    monkeypatch.setattr(simhash, "HELD_ROWS", held)
+    size = 50
+    edges = list(simhash._shard_links(3)(rows.iloc[i : i + size] for i in range(0, len(rows), size)))
+    mine = {v: v for v in values}
+
+    def find(a):
+        while mine[a] != a:
+            a = mine[a]
+        return a
+
+    for e in edges:
+        for a, b in zip(e["a"].to_numpy(np.int64).view(np.uint64), e["b"].to_numpy(np.int64).view(np.uint64)):
+            mine[find(int(a))] = find(int(b))
+    same_set = lambda f: {frozenset(v for v in values if f(v) == r) for r in {f(v) for v in values}}
+    assert same_set(find) == same_set(root)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     found = {r.node: r.root for r in simhash.components(edges).collect()}
