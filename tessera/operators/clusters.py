@@ -1,113 +1,234 @@
-"""Clusterings and assignments that depend on the order of arrival.
+"""Groupings that depend on the order of arrival: clusters by quality, online assignment, rows of text, tracks, boxes.
 
-Each of these is a fold whose next step needs all that went before; Spark deals the groups (scopes) out, and within one the
-fold runs in a fixed total order. Helpers are plain functions on numpy arrays, so tests can hold them against a model.
+Each of these is a fold whose next step needs all that went before. Spark deals the groups out; within one the fold runs in a
+fixed total order over numpy matrices. What an image, frame or scope and model holds bounds a group.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: How a sample's similarities to the members of its own view are brought to one number.
+AGREEMENT: dict[str, Callable[[np.ndarray], float]] = {
+    "all": np.min,
+    "mean": np.mean,
+    "topk": lambda s: np.sort(s)[-3:].mean(),
+    "p10": lambda s: np.sort(s)[int(len(s) * 0.1)],
+}
+UNKNOWN_VIEW = "unknown"
+#: Samples whose products with all prototypes are formed at once.
+BLOCK = 256
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, norms, out=np.zeros_like(x), where=norms > 0)
+
+
+class _Grown:
+    """The clusters of one scope and model so far: their prototypes as rows of the sample matrix, and members by view."""
+
+    def __init__(self, x: np.ndarray, view: np.ndarray, kept: np.ndarray, limit: int):
+        self.x, self.view, self.kept, self.limit = x, view, kept, limit
+        self.prototype, self.owner = np.zeros(0, int), np.zeros(0, int)
+        self.members: list[dict[str, list[int]]] = []
+        self.named: list[set] = []
+
+    def best(self, sims: np.ndarray) -> np.ndarray:
+        """The highest similarity of each cluster's prototypes; -1 for clusters that nothing may join."""
+        out = np.full(len(self.members), -1.0)
+        np.maximum.at(out, self.owner, sims)
+        return out
+
+    def agrees(self, cluster: int, i: int, agreement: Callable[[np.ndarray], float], threshold: float) -> bool:
+        views = self.members[cluster]
+        alike = sum(views.values(), []) if self.view[i] == UNKNOWN_VIEW else views.get(self.view[i], [])
+        if alike and agreement(self.x[alike] @ self.x[i]) < threshold:
+            return False
+        return self.kept[i] is None or not self.named[cluster] or self.kept[i] in self.named[cluster]
+
+    def add(self, i: int, cluster: int | None, open_: bool = True) -> int:
+        """Puts a sample into a cluster (a new one for None); the first of its view becomes a prototype."""
+        if cluster is None:
+            cluster = len(self.members)
+            self.members.append({})
+            self.named.append(set())
+        views = self.members[cluster]
+        if open_ and self.view[i] not in views and len(views) < self.limit:
+            self.prototype, self.owner = np.append(self.prototype, i), np.append(self.owner, cluster)
+        views.setdefault(self.view[i], []).append(i)
+        if self.kept[i] is not None:
+            self.named[cluster].add(self.kept[i])
+        return cluster
+
+
+def grow(x: np.ndarray, view: np.ndarray, quality: np.ndarray, kept: np.ndarray, threshold: float = 0.30, minimum: float = 0.30, limit: int = 6, strategy: str = "all") -> np.ndarray:
+    """Cluster numbers of samples in order (best first; unit vectors of one model).
+
+    A sample joins the cluster whose best prototype is nearest, at the threshold at least, if the members of its own view
+    agree (all members, where the view is unknown) and no other kept identity is in it; else the next nearest. A sample
+    under the minimum quality is a cluster of its own that nothing joins.
+    """
+    grown, out = _Grown(x, view, kept, limit), np.empty(len(x), int)
+    for start in range(0, len(x), BLOCK):
+        part = x[start : start + BLOCK]
+        known = len(grown.prototype)
+        before, among = part @ x[grown.prototype].T, part @ part.T  # prototypes so far, and those that this block adds
+        for j in range(len(part)):
+            i, chosen, good = start + j, None, quality[start + j] >= minimum
+            if good and len(grown.members):
+                best = grown.best(np.concatenate([before[j], among[j, grown.prototype[known:] - start]]))
+                near = np.flatnonzero(best >= threshold)
+                chosen = next((int(c) for c in near[np.lexsort((near, -best[near]))] if grown.agrees(c, i, AGREEMENT[strategy], threshold)), None)
+            out[i] = grown.add(i, chosen, good)
+    return out
 
 
-def _matches(sims: np.ndarray, threshold: float, strategy: str, topk: int = 3, percentile: float = 0.1) -> bool:
-    sims = np.sort(sims)
-    if strategy == "p10":
-        return bool(sims[0 if len(sims) <= 2 else int(len(sims) * percentile)] >= threshold)
-    if strategy == "topk":
-        return bool(sims[-max(1, min(topk, len(sims))) :].mean() >= threshold)
-    if strategy == "mean":
-        return bool(sims.mean() >= threshold)
-    return bool(sims[0] >= threshold)
+def quality_clusters(ids: list, vectors: np.ndarray, quality: list, pose: list, model: list, kept: list | None = None, **options) -> dict:
+    """The founder (first member) of each id's cluster; models are never mixed."""
+    frame = pd.DataFrame({"id": ids, "quality": quality, "pose": pose, "model": model, "kept": pd.Series(kept or [None] * len(ids), dtype=object), "row": range(len(ids))})
+    out = {}
+    for _, g in frame.groupby("model", sort=False):
+        g = g.sort_values(["quality", "id"], ascending=[False, True])
+        number = grow(vectors[g["row"].to_numpy()], g["pose"].to_numpy(object), g["quality"].to_numpy(float), g["kept"].to_numpy(object), **options)
+        founder = {}
+        for key, n in zip(g["id"], number):
+            out[key] = founder.setdefault(n, key)
+    return out
 
 
-def quality_clusters(ids, vectors: np.ndarray, quality, pose, model, threshold: float = 0.30, minimum: float = 0.30, limit: int = 6, strategy: str = "all") -> dict:
-    """Cluster number by id: best first, each sample joins the best cluster whose prototypes and same-view members match.
+def _kind(rows: DataFrame, column: str) -> str:
+    return rows.schema[column].dataType.simpleString()
 
-    Samples under the minimum quality are clusters of their own that nothing joins; models are never mixed.
+
+def cluster_by_quality(rows: DataFrame, scope: str, key: str, vector: str, quality: str, pose: str, model: str, kept: str | None = None, **options) -> DataFrame:
+    """scope, model, key and cluster (the key of its founder) of every row; one scope and model is one fold.
+
+    kept: a column of identities that a user gave; clusters with one never take in samples of another.
     """
-    order = sorted(range(len(ids)), key=lambda i: (-quality[i], ids[i]))
-    clusters: list[dict] = []
-    out = {}
-    for i in order:
-        chosen = None
-        if quality[i] >= minimum:
-            scored = [(max(float(vectors[p] @ vectors[i]) for _, p in c["prototypes"]), k) for k, c in enumerate(clusters) if not c["noise"]]
-            for score, k in sorted(scored, key=lambda x: (-x[0], x[1])):
-                if score < threshold:
-                    break
-                c = clusters[k]
-                if c["model"] != model[i]:
-                    continue
-                same = [j for j in c["members"] if pose[i] == "unknown" or pose[j] == pose[i]]
-                if not same or _matches(vectors[same] @ vectors[i], threshold, strategy):
-                    chosen = k
-                    break
-        if chosen is None:
-            chosen = len(clusters)
-            clusters.append({"members": [], "prototypes": [], "noise": quality[i] < minimum, "model": model[i]})
-        c = clusters[chosen]
-        c["members"].append(i)
-        if not any(view == pose[i] for view, _ in c["prototypes"]) and len(c["prototypes"]) < limit:
-            c["prototypes"].append((pose[i], i))  # samples come best first, so a view's first is its best
-        out[ids[i]] = chosen
-    return out
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = unit(np.stack(pdf[vector].to_numpy()).astype(np.float64))
+        names = [None if pd.isna(v) else v for v in pdf[kept]] if kept else None
+        found = quality_clusters(pdf[key].tolist(), x, pdf[quality].tolist(), pdf[pose].tolist(), pdf[model].tolist(), names, **options)
+        return pd.DataFrame({scope: pdf[scope], model: pdf[model], key: pdf[key], "cluster": [found[i] for i in pdf[key]]})
+
+    return rows.groupBy(scope, model).applyInPandas(fold, f"{scope} {_kind(rows, scope)}, {model} {_kind(rows, model)}, {key} {_kind(rows, key)}, cluster {_kind(rows, key)}")
+
+
+def assign_online(samples: DataFrame, clusters: DataFrame, key: str, threshold: float = 0.30, minimum: float = 0.30) -> DataFrame:
+    """key, cluster_id and score of each arriving sample: the cluster of its model with the nearest prototype, or a new one.
+
+    samples: key, scope_id, model, quality, eligible, vector (unit). clusters: cluster_id, scope_id, model, vector, a row for
+    each prototype. A sample that isn't eligible gets no cluster; one of low quality, or near none, founds `new_<key>`. Each
+    sample is held against the clusters as they were, so samples of a batch meet by an equi-join on scope and model.
+    """
+    near = samples.filter(F.col("eligible") & (F.col("quality") >= minimum)).alias("s").join(clusters.alias("c"), ["scope_id", "model"])
+    score = F.aggregate(F.zip_with("s.vector", "c.vector", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda acc, v: acc + v)
+    best = near.select(F.col(f"s.{key}").alias(key), F.col("c.cluster_id").alias("cluster_id"), score.alias("score")).groupBy(key)
+    # The highest score; of equal ones the smaller cluster.
+    best = best.agg(F.min(F.struct((-F.col("score")).alias("n"), "cluster_id")).alias("b")).select(key, F.col("b.cluster_id").alias("cluster_id"), (-F.col("b.n")).alias("score"))
+    out = samples.select(key, "eligible").join(best.filter(F.col("score") >= threshold), key, "left")
+    new = F.concat(F.lit("new_"), F.col(key).cast("string"))
+    return out.select(key, F.when(F.col("eligible"), F.coalesce(F.col("cluster_id").cast("string"), new)).alias("cluster_id"), F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def operated(members: DataFrame, clusters: DataFrame, operations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """members (sample, cluster_id) and clusters (cluster_id, status, name) after a batch of operations on clusters.
+
+    operations: op, cluster_id, target, name, samples. merge moves all members to the target and rejects the source; split
+    moves the listed samples to the target, a new pending cluster; confirm names a cluster (one that gets the name of a
+    confirmed cluster is merged into it); reject empties it. Every cluster has at most one operation in a batch.
+    """
+    confirmed = clusters.filter("status = 'confirmed'").groupBy(F.col("name").alias("__name")).agg(F.min("cluster_id").alias("__owner"))
+    ops = operations.join(confirmed, (F.col("op") == "confirm") & (F.col("name") == F.col("__name")) & (F.col("cluster_id") != F.col("__owner")), "left")
+    ops = ops.withColumn("op", F.when(F.col("__owner").isNotNull(), "merge").otherwise(F.col("op"))).withColumn("target", F.coalesce("__owner", "target")).select("op", "cluster_id", "target", "name", "samples")
+    moved = members.join(ops.drop("name"), "cluster_id", "left")
+    goes = (F.col("op") == "merge") | (F.col("op") == "split") & F.array_contains("samples", F.col("sample"))
+    to = F.when(goes, F.col("target")).when(F.col("op") == "reject", F.lit(None)).otherwise(F.col("cluster_id"))
+    after = clusters.join(ops.select("op", "cluster_id", F.col("name").alias("__new")), "cluster_id", "left")
+    status = F.when(F.col("op").isin("merge", "reject"), "rejected").when(F.col("op") == "confirm", "confirmed").otherwise(F.col("status"))
+    after = after.select("cluster_id", status.alias("status"), F.when(F.col("op") == "confirm", F.col("__new")).otherwise(F.col("name")).alias("name"))
+    split = ops.filter("op = 'split'").select(F.col("target").alias("cluster_id"), F.lit("pending").alias("status"), F.lit(None).cast("string").alias("name"))
+    return moved.select("sample", to.alias("cluster_id")), after.unionByName(split.join(clusters.select("cluster_id"), "cluster_id", "left_anti"))
+
+
+def centroid_similarity(rows: DataFrame, cluster: str, vector: str, largest: int = 1000) -> DataFrame:
+    """Of the largest clusters each one's nearest other cluster by the cosine of mean vectors: cluster, nearest, similarity.
+
+    Only the `largest` (a parameter of the report) are compared, as their centroids are the side that is broadcast.
+    """
+    sums = rows.select(cluster, F.posexplode(vector).alias("d", "x")).groupBy(cluster, "d").agg(F.sum(F.col("x").cast("double")).alias("s"))
+    mean = sums.groupBy(cluster).agg(F.sort_array(F.collect_list(F.struct("d", "s"))).alias("v"), F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("length"))
+    sizes = rows.groupBy(cluster).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), cluster).limit(largest)
+    mean = mean.join(sizes, cluster, "left_semi").filter("length > 0").select(cluster, F.transform("v", lambda x: x["s"]).alias("v"), "length")
+    other = mean.select(F.col(cluster).alias("nearest"), F.col("v").alias("w"), F.col("length").alias("other_length"))
+    dot = F.aggregate(F.zip_with("v", "w", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x) / (F.col("length") * F.col("other_length"))
+    pairs = mean.join(F.broadcast(other), F.col(cluster) != F.col("nearest")).select(cluster, "nearest", dot.alias("similarity"))  # largest x largest
+    return pairs.groupBy(cluster).agg(F.min(F.struct((-F.round("similarity", 9)).alias("s"), "nearest")).alias("b")).select(cluster, F.col("b.nearest").alias("nearest"), (-F.col("b.s")).alias("similarity"))
 
 
-def cluster_by_quality(rows: DataFrame, scope: str, key: str, vector: str, quality: str, pose: str, model: str, **options) -> DataFrame:
-    """scope, key and cluster of every row; one scope is one fold."""
+# --- text rows, tracks, boxes ---------------------------------------------------------------------------------------
+
+
+def text_rows(boxes: DataFrame, keys: list[str], y: str, order: list[str], tolerance: float = 26.0) -> DataFrame:
+    """boxes with row_no: each box, from top to bottom, goes to the first row whose first box is within the tolerance.
+
+    From top to bottom only the last row can be within it, so a row is a run that is left when its first box is too far.
+    """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf[vector].to_numpy()).astype(np.float64)
-        norms = np.linalg.norm(x, axis=1, keepdims=True)
-        x = np.divide(x, norms, out=np.zeros_like(x), where=norms > 0)
-        found = quality_clusters(pdf[key].tolist(), x, pdf[quality].tolist(), pdf[pose].tolist(), pdf[model].tolist(), **options)
-        return pd.DataFrame({scope: pdf[scope], key: pdf[key], "cluster": [found[i] for i in pdf[key]]})
-
-    kind = lambda c: rows.schema[c].dataType.simpleString()
-    return rows.groupBy(scope).applyInPandas(fold, f"{scope} {kind(scope)}, {key} {kind(key)}, cluster int")
-
-
-def text_rows(y_centres, tolerance: float = 26.0) -> list[int]:
-    """Row number of each box: the first row whose first box is within the tolerance, else a new one."""
-    firsts: list[float] = []
-    out = []
-    for y in y_centres:
-        k = next((i for i, f in enumerate(firsts) if abs(f - y) <= tolerance), None)
-        if k is None:
-            k = len(firsts)
-            firsts.append(y)
-        out.append(k)
-    return out
+        pdf = pdf.sort_values([y, *order], kind="stable")
+        number, first, out = -1, -np.inf, []
+        for v in pdf[y]:
+            if v - first > tolerance:
+                number, first = number + 1, v
+            out.append(number)
+        return pdf.assign(row_no=np.array(out, np.int32))
+
+    return boxes.groupBy(*keys).applyInPandas(fold, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in boxes.schema)}, row_no int")
+
+
+def assign_greedily(costs: DataFrame, keys: list[str], row: str, column: str, cost: str, most: float = 1.85) -> DataFrame:
+    """Of each key's (row, column, cost) the pairs taken by rising cost, each row and column once, none above `most`."""
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, columns, taken = set(), set(), []
+        for i, r, c in pdf[[row, column]].itertuples():
+            taken.append(r not in rows and c not in columns)
+            if taken[-1]:
+                rows.add(r)
+                columns.add(c)
+        return pdf[taken]
+
+    near = costs.filter(F.col(cost) <= most)
+    return near.groupBy(*keys).applyInPandas(lambda pdf: fold(pdf.sort_values([cost, row, column], kind="stable")), costs.schema)
+
+
+def _overlap(box: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Intersection over union of a box with others (x1, y1, x2, y2)."""
+    sides = np.minimum(box[2:], others[:, 2:]) - np.maximum(box[:2], others[:, :2])
+    both = np.clip(sides, 0, None).prod(axis=1)
+    union = (box[2:] - box[:2]).prod() + (others[:, 2:] - others[:, :2]).prod(axis=1) - both
+    return np.divide(both, union, out=np.zeros_like(both), where=union > 0)
+
+
+def suppress(boxes: DataFrame, keys: list[str], label: str, score: str, limit: float = 0.55) -> DataFrame:
+    """boxes (x1, y1, x2, y2) kept by falling score; one that overlaps a kept one of its label by the limit goes."""
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        xy = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float)
+        kept: list[int] = []
+        for i in range(len(pdf)):
+            if not kept or (_overlap(xy[i], xy[kept]) < limit).all():
+                kept.append(i)
+        return pdf.iloc[kept]
+
+    return boxes.groupBy(*keys, label).applyInPandas(lambda pdf: fold(pdf.sort_values([score, "x1", "y1", "x2", "y2"], ascending=[False, True, True, True, True], kind="stable")), boxes.schema)
 
 
-def greedy_assignment(cost: np.ndarray, most: float = 1.85) -> list[tuple[int, int]]:
-    """Pairs (row, column) taken by rising cost, each row and column once, none above the limit."""
-    pairs, rows, columns = [], set(), set()
-    for flat in np.argsort(cost, axis=None, kind="stable"):
-        r, c = divmod(int(flat), cost.shape[1])
-        if cost[r, c] > most:
-            break
-        if r not in rows and c not in columns:
-            pairs.append((r, c))
-            rows.add(r)
-            columns.add(c)
-    return pairs
-
-
-def suppress(boxes: np.ndarray, scores, labels, limit: float = 0.55) -> list[int]:
-    """Boxes (x1, y1, x2, y2) kept by falling score; one that overlaps a kept one of its label by the limit goes."""
-    kept: list[int] = []
-    for i in sorted(range(len(scores)), key=lambda i: (-scores[i], i)):
-        a = boxes[i]
-        for j in kept:
-            b = boxes[j]
-            w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-            inter = max(0.0, w) * max(0.0, h)
-            union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - inter
-            if labels[i] == labels[j] and union > 0 and inter / union >= limit:
-                break
-        else:
-            kept.append(i)
-    return kept

@@ -102,3 +102,14 @@ def evidence_paths(paths: dict[str, DataFrame], entity: str, evidence: str) -> D
         rows = part if rows is None else rows.unionByName(part)
     each = [F.countDistinct(F.when(F.col("path") == name, F.col("evidence"))).alias(name) for name in paths]
     return rows.groupBy("entity").agg(*each, F.countDistinct("evidence").alias("evidence"))
+
+
+def cards_with_clusters(entities: DataFrame, clusters: DataFrame, faces: DataFrame, key: str) -> DataFrame:
+    """Per entity its clusters, faces and best face. clusters: cluster_id and the entity's key. faces: cluster_id, face_id, quality.
+
+    Left joins of two aggregates, so entities without a cluster stay.
+    """
+    members = faces.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("quality", "face_id")).alias("best"))
+    held = clusters.join(members, "cluster_id", "left").groupBy(key).agg(F.count(F.lit(1)).alias("clusters"), F.coalesce(F.sum("n"), F.lit(0)).alias("faces"), F.max("best")["face_id"].alias("avatar"))
+    rows = entities.select(key).join(held, key, "left")
+    return rows.select(key, F.coalesce("clusters", F.lit(0)).alias("clusters"), F.coalesce("faces", F.lit(0)).alias("faces"), "avatar")
