@@ -88,8 +88,40 @@ def short_title(text: Column, most: int = 24) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """array<struct<start, stop, text>>: claims, i.e. stretches up to a sentence mark, trimmed of nothing, in order."""
+    """array<struct<start, stop, text>>: claims, i.e. stretches up to a sentence mark, trimmed of nothing, in order.
+
+    Offsets are sums of lengths, made in runs so that an append never copies much.
+    """
+    step = 128
     parts = F.filter(F.regexp_extract_all(text, F.lit(r"([^。！？!?\n]*[。！？!?\n]|[^。！？!?\n]+$)"), F.lit(1)), lambda p: p != "")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,text:string>>").alias("out"))
-    step = lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.length(p)).alias("stop"), p.alias("text")))).alias("out"))
-    return F.aggregate(parts, start, step, lambda acc: F.filter(acc["out"], lambda s: F.trim(s["text"]) != ""))
+    none = F.array().cast("array<struct<start:int,stop:int,text:string>>")
+
+    def one(acc: Column, p: Column) -> Column:
+        stop = acc["at"] + F.length(p)
+        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), stop.alias("stop"), p.alias("text")))).alias("out"))
+
+    def runs(xs: Column) -> Column:
+        def each(acc: Column, i: Column) -> Column:
+            run = F.aggregate(F.slice(xs, i * step + 1, F.lit(step)), F.struct(acc["at"].alias("at"), none.alias("out")), one)
+            return F.get(F.transform(F.array(run), lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out"))), F.lit(0))
+
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,stop:int,text:string>>>").alias("out"))
+        whole = F.aggregate(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / step).cast("int")), start, each)
+        return F.when(F.size(xs) > 0, F.filter(F.flatten(whole["out"]), lambda s: F.trim(s["text"]) != "")).otherwise(none)
+
+    return F.get(F.transform(F.array(parts), runs), F.lit(0))
+
+
+def claim_kind(text: Column, kinds: list[tuple[str, str]], other: str = "statement") -> Column:
+    """The first kind whose pattern a claim's text matches."""
+    out = F.lit(other)
+    for kind, pattern in reversed(kinds):
+        out = F.when(F.coalesce(text, F.lit("")).rlike(pattern), kind).otherwise(out)
+    return out
+
+
+def place_label(inner: Column, outer: Column, outer_first: Column) -> Column:
+    """A place's label: outer and inner name run together where that is the custom, else inner, comma, outer; empty if unknown."""
+    i, o = F.coalesce(inner, F.lit("")), F.coalesce(outer, F.lit(""))
+    plain = F.concat_ws(", ", F.when(i != "", i), F.when(o != "", o))
+    return F.when(F.coalesce(outer_first, F.lit(False)), F.concat(o, i)).otherwise(plain)

@@ -1,115 +1,381 @@
-"""Events from observations: online assignment, consolidation, trips.
+"""Events from observations: candidates, online assignment, consolidation, re-segmentation, summaries, trips.
 
-Online assignment depends on the order of arrival: each observation is scored against the open events of its scope, joins
-the best one, and changes it. A scope's observations stream by in order of (time, id); only events that started within six
-hours can be candidates, so that is all the state a scope needs.
+An observation is a row of scope_id, obs_id, ts, location, visual_place, kind, activity (strings; null or empty is unknown),
+objects and people (arrays), gps (struct<lat, lon> or null) and vector (array or null). What an event is scored by is the union
+of its observations' values: a row of scope_id, event_id, start_ts, activity, and arrays locations, visual_places, kinds,
+objects, people, spots and vectors.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
+from math import asin, cos, radians, sin, sqrt
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.functions.geo import haversine
+from tessera.functions.geo import EARTH_KM, haversine
+from tessera.functions.vector import cosine, decay, set_overlap
+from tessera.operators.joins import micros, within
 from tessera.operators.sequences import sessions
 
+# How much each part of a candidate's score weighs, and what a match of a part is worth.
+WEIGHTS = {"time": 0.25, "location": 0.25, "visual_place": 0.15, "kind": 0.05, "activity": 0.20, "objects": 0.05, "people": 0.20, "visual": 0.05, "bonus": 0.20}
+MATCH = {"visual_place": 1.0, "kind": 0.8, "activity": 0.9, "objects": 0.8, "people": 0.8}
+UNKNOWN_TIME = 0.25
+REACH_MINUTES, REACH_KM = 360.0, 2.0
+#: Candidates start within six hours and score this at least.
 WINDOW_S = 6 * 3600
 MINIMUM = 0.50
 
 
+def event_profiles(observations: DataFrame, event: str = "event_id") -> DataFrame:
+    """What each event is scored by: the union of its observations. An event's observations bound the arrays."""
+    merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce(c, F.array().cast("array<string>"))))))
+    each = lambda c: F.array_sort(F.collect_set(F.when(F.col(c) != "", F.col(c))))
+    return observations.groupBy("scope_id", event).agg(
+        F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count(F.lit(1)).alias("n"), F.min_by("activity", F.struct("ts", "obs_id")).alias("activity"),
+        each("location").alias("locations"), each("visual_place").alias("visual_places"), each("kind").alias("kinds"), merged("objects").alias("objects"), merged("people").alias("people"),
+        F.collect_list("gps").alias("spots"), F.collect_list("vector").alias("vectors"),
+    )
+
+
+def _known(text: Column) -> Column:
+    return F.coalesce(text != "", F.lit(False))
+
+
+def candidate_parts(o: str, e: str) -> dict[str, Column]:
+    """The parts of the score of an observation (columns of alias o) for an event (alias e), each between 0 and 1."""
+    c = lambda side, name: F.col(f"{side}.{name}")
+    minutes = F.abs(micros(c(o, "ts")) - micros(c(e, "start_ts"))) / 6e7
+    near = F.transform(c(e, "spots"), lambda s: F.greatest(F.lit(0.0), 1 - haversine(c(o, "gps")["lat"], c(o, "gps")["lon"], s["lat"], s["lon"]) / REACH_KM))
+    by_name = F.when(_known(c(o, "location")) & F.array_contains(c(e, "locations"), c(o, "location")), 1.0).otherwise(0.0)
+    a, b = F.lower(c(o, "activity")), F.lower(c(e, "activity"))
+    alike = F.array_max(F.transform(F.filter(c(e, "vectors"), lambda v: F.size(v) == F.size(c(o, "vector"))), lambda v: cosine(c(o, "vector"), v)))
+    one = lambda hit, name: F.when(F.coalesce(hit, F.lit(False)), MATCH[name]).otherwise(0.0)
+    parts = {
+        "time": F.coalesce(decay(minutes, REACH_MINUTES), F.lit(UNKNOWN_TIME)),
+        "location": F.when(c(o, "gps").isNotNull(), F.coalesce(F.array_max(near), F.lit(0.0))).otherwise(by_name),
+        "visual_place": one(_known(c(o, "visual_place")) & F.array_contains(c(e, "visual_places"), c(o, "visual_place")), "visual_place"),
+        "kind": one(_known(c(o, "kind")) & F.array_contains(c(e, "kinds"), c(o, "kind")), "kind"),
+        "activity": one(_known(a) & _known(b) & (F.contains(a, b) | F.contains(b, a)), "activity"),
+        "objects": one(F.arrays_overlap(c(o, "objects"), c(e, "objects")), "objects"),
+        "people": one(F.arrays_overlap(c(o, "people"), c(e, "people")), "people"),
+        "similarity": alike,
+    }
+    parts["visual"] = F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (alike - 0.70) / 0.30)), F.lit(0.0))
+    parts["bonus"] = F.when((parts["time"] >= 0.9) & (parts["location"] >= 0.9), 1.0).otherwise(0.0)
+    # Other words alone don't part an event; other words, another kind and an unlike picture do, if nothing bridges them.
+    conflict = _known(a) & _known(b) & (a != b) & _known(c(o, "kind")) & (F.size(c(e, "kinds")) > 0) & ~F.array_contains(c(e, "kinds"), c(o, "kind"))
+    parts["split"] = F.coalesce(conflict & (alike < 0.45) & (parts["objects"] == 0) & (parts["people"] == 0), F.lit(False))
+    return parts
+
+
+def candidate_total(parts: dict[str, Column]) -> Column:
+    total = reduce(lambda acc, name: acc + parts[name] * WEIGHTS[name], WEIGHTS, F.lit(0.0))
+    return F.when(parts["split"], 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)))
+
+
+def candidates(observations: DataFrame, events: DataFrame) -> DataFrame:
+    """obs_id, event_id, start_ts and score of all pairs of a scope within six hours: an equi-join on scope and time slot."""
+    pairs = within(observations.select("scope_id", "obs_id", "ts"), events.select("scope_id", F.col("event_id"), "start_ts"), ["scope_id"], "ts", "start_ts", WINDOW_S).select("obs_id", "event_id")
+    wide = pairs.join(observations.alias("o"), "obs_id").join(events.alias("e"), "event_id")
+    return wide.select("obs_id", "event_id", F.col("e.start_ts").alias("start_ts"), candidate_total(candidate_parts("o", "e")).alias("score"))
+
+
+def best_candidates(scored: DataFrame, minimum: float = MINIMUM) -> DataFrame:
+    """Of each observation the candidate of the highest score, of the minimum at least; ties go to the earlier event, then its id."""
+    best = F.min(F.struct((-F.round("score", 9)).alias("s"), "start_ts", "event_id")).alias("b")
+    return scored.filter(F.round("score", 9) >= minimum).groupBy("obs_id").agg(best).select("obs_id", F.col("b.event_id").alias("event_id"), (-F.col("b.s")).alias("score"))
+
+
+# --- online assignment -----------------------------------------------------------------------------------------------
+
+
 @dataclass
 class OpenEvent:
-    """What of an event later observations are scored against."""
+    """An event that later observations may join: the union of its observations."""
 
     event_id: str
     start: float
     activity: str
-    places: set = field(default_factory=set)
-    kinds: set = field(default_factory=set)
-    labels: set = field(default_factory=set)
-
-
-def candidate_score(t: float, place: str, kind: str, activity: str, labels: set, e: OpenEvent) -> float:
-    """How well an observation fits an event: time 0.25, location 0.25, kind 0.05, activity 0.20, objects 0.05, bonus 0.20."""
-    time = max(0.0, 1.0 - min(abs(t - e.start) / 60.0, 360.0) / 360.0)
-    location = 1.0 if place and place in e.places else 0.0
-    same_kind = 0.8 if kind and kind in e.kinds else 0.0
-    act = 0.9 if activity and e.activity and (activity in e.activity or e.activity in activity) else 0.0
-    objects = 0.8 if labels & e.labels else 0.0
-    bonus = 0.20 if time >= 0.9 and location >= 0.9 else 0.0
-    return min(1.0, 0.25 * time + 0.25 * location + 0.05 * same_kind + 0.20 * act + 0.05 * objects + bonus)
-
-
-def assign(rows: Iterator[tuple], minimum: float = MINIMUM) -> Iterator[tuple[object, str, float]]:
-    """(id, event id, score) of one scope's observations (id, seconds, place, kind, activity, labels), in order of time."""
-    open_events: list[OpenEvent] = []
-    for key, t, place, kind, activity, labels in rows:
-        open_events = [e for e in open_events if t - e.start <= WINDOW_S]
-        labels = set(labels)
-        scored = [(candidate_score(t, place, kind, activity, labels, e), e) for e in open_events]
-        scored = [x for x in scored if x[0] >= minimum]
-        if scored:
-            score, e = min(scored, key=lambda x: (-x[0], x[1].start, x[1].event_id))
+    held: dict[str, set] = field(default_factory=lambda: {k: set() for k in ("location", "visual_place", "kind", "objects", "people")})
+    spots: list[tuple[float, float]] = field(default_factory=list)
+    vectors: list[np.ndarray] = field(default_factory=list)
+
+    def take(self, o: dict) -> None:
+        for k in ("location", "visual_place", "kind"):
+            if o.get(k):
+                self.held[k].add(o[k])
+        for k in ("objects", "people"):
+            self.held[k] |= o.get(k) or set()
+        if o.get("gps"):
+            self.spots.append(o["gps"])
+        if o.get("vector") is not None:
+            self.vectors.append(o["vector"])
+
+
+def _km(a: tuple[float, float], b: tuple[float, float]) -> float:
+    x, y, u, v = map(radians, (*a, *b))
+    return 2 * EARTH_KM * asin(sqrt(min(1.0, sin((u - x) / 2) ** 2 + cos(x) * cos(u) * sin((v - y) / 2) ** 2)))
+
+
+def _likeness(o: dict, e: OpenEvent) -> float | None:
+    x = o.get("vector")
+    own = [v for v in e.vectors if len(v) == len(x)] if x is not None else []
+    return max((float(v @ x / n) if (n := np.linalg.norm(v) * np.linalg.norm(x)) else 0.0 for v in own), default=None)
+
+
+def score_of(o: dict, e: OpenEvent) -> float:
+    """The same score as candidate_total, of one observation (a dict, seconds as t) and one open event."""
+    got = {"time": max(0.0, 1 - abs(o["t"] - e.start) / 60 / REACH_MINUTES) if o.get("t") is not None else UNKNOWN_TIME}
+    if o.get("gps"):
+        got["location"] = max((max(0.0, 1 - _km(o["gps"], s) / REACH_KM) for s in e.spots), default=0.0)
+    else:
+        got["location"] = float(bool(o.get("location")) and o["location"] in e.held["location"])
+    for k in ("visual_place", "kind"):
+        got[k] = MATCH[k] * (bool(o.get(k)) and o[k] in e.held[k])
+    a, b = (o.get("activity") or "").lower(), (e.activity or "").lower()
+    got["activity"] = MATCH["activity"] * bool(a and b and (a in b or b in a))
+    for k in ("objects", "people"):
+        got[k] = MATCH[k] * bool((o.get(k) or set()) & e.held[k])
+    alike = _likeness(o, e)
+    got["visual"] = min(1.0, max(0.0, (alike - 0.70) / 0.30)) if alike is not None else 0.0
+    got["bonus"] = float(got["time"] >= 0.9 and got["location"] >= 0.9)
+    conflict = a and b and a != b and o.get("kind") and e.held["kind"] and o["kind"] not in e.held["kind"]
+    if conflict and alike is not None and alike < 0.45 and not got["objects"] and not got["people"]:
+        return 0.0
+    return min(1.0, sum(WEIGHTS[k] * got[k] for k in WEIGHTS))
+
+
+def assign(observations: Iterator[dict], minimum: float = MINIMUM, opened: list[OpenEvent] | None = None, keep_seconds: float = WINDOW_S) -> Iterator[tuple[object, str, float]]:
+    """(obs_id, event_id, score) of one scope's observations, in order of arrival.
+
+    Candidates began within six hours of the observation, before or after. `opened` is the state, which is changed in place:
+    events that began more than keep_seconds before the newest observation leave it.
+    """
+    opened = [] if opened is None else opened
+    newest = max((e.start for e in opened), default=float("-inf"))
+    for o in observations:
+        newest = max(newest, o["t"])
+        opened[:] = [e for e in opened if newest - e.start <= keep_seconds]
+        near = (e for e in opened if abs(o["t"] - e.start) <= WINDOW_S)
+        best = min(((-round(score_of(o, e), 9), e.start, e.event_id, e) for e in near), key=lambda x: x[:3], default=None)
+        if best and -best[0] >= minimum:
+            score, event = -best[0], best[3]
         else:
-            score, e = 0.0, OpenEvent(f"event_{key}", t, activity)
-            open_events.append(e)
-        e.places.add(place)
-        e.kinds.add(kind)
-        e.labels |= labels
-        yield key, e.event_id, score
+            score, event = 0.0, OpenEvent(f"event_{o['obs_id']}", o["t"], o.get("activity") or "")
+            opened.append(event)
+        event.take(o)
+        yield o["obs_id"], event.event_id, score
 
 
-def assigned(rows: DataFrame, scope: str, key: str) -> DataFrame:
-    """scope, key, event_id and score. rows: scope, key, seconds, place, kind, activity, labels (array)."""
+def as_dicts(rows: pd.DataFrame) -> Iterator[dict]:
+    for r in rows.to_dict("records"):
+        gps, vector = r.get("gps"), r.get("vector")
+        arrays = {k: set(r[k]) if r.get(k) is not None else set() for k in ("objects", "people")}
+        yield r | arrays | {"gps": (gps["lat"], gps["lon"]) if isinstance(gps, dict) else None, "vector": np.asarray(vector, float) if vector is not None and not np.isscalar(vector) else None}
+
+
+def assigned(observations: DataFrame) -> DataFrame:
+    """scope_id, obs_id, event_id and score. A scope's observations stream by in order of (time, id), batch by batch."""
+    columns = ["scope_id", "obs_id", "t", "location", "visual_place", "kind", "activity", "objects", "people", "gps", "vector"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def each():
-            for b in batches:
-                yield from zip(b[scope], b[key], b["seconds"], b["place"], b["kind"], b["activity"], b["labels"])
+        scope, feed, out = None, None, []
+
+        def follow(queue: list[dict]) -> Iterator[tuple]:
+            def endless() -> Iterator[dict]:
+                while True:
+                    yield queue.pop()
+
+            return assign(endless())
 
-        from itertools import groupby
+        queue: list[dict] = []
+        for rows in batches:
+            for o in as_dicts(rows):
+                if feed is None or o["scope_id"] != scope:
+                    scope, queue = o["scope_id"], []
+                    feed = follow(queue)
+                queue.append(o)
+                out.append((scope, *next(feed)))
+            yield pd.DataFrame(out, columns=["scope_id", "obs_id", "event_id", "score"])
+            out = []
 
-        for s, group in groupby(each(), key=lambda r: r[0]):
-            out = [(s, k, e, score) for k, e, score in assign(r[1:] for r in group)]
-            yield pd.DataFrame(out, columns=[scope, key, "event_id", "score"])
+    kind = lambda c: observations.schema[c].dataType.simpleString()
+    rows = observations.withColumn("t", micros("ts") / 1e6).filter("t IS NOT NULL").select(*columns)
+    ordered = rows.repartition("scope_id").sortWithinPartitions("scope_id", "t", "obs_id")
+    return ordered.mapInPandas(run, f"scope_id {kind('scope_id')}, obs_id {kind('obs_id')}, event_id string, score double")
 
-    kind = lambda c: rows.schema[c].dataType.simpleString()
-    ordered = rows.select(scope, key, "seconds", "place", "kind", "activity", "labels").repartition(scope).sortWithinPartitions(scope, "seconds", key)
-    return ordered.mapInPandas(run, f"{scope} {kind(scope)}, {key} {kind(key)}, event_id string, score double")
+
+# --- consolidation ---------------------------------------------------------------------------------------------------
+
+#: Events can merge only if two of their observations are so near in time (a time score of 0.70).
+MERGE_GAP_S = 108 * 60
 
 
 def pair_score(minutes: Column, metres: Column, visual: Column, semantic: Column, faces: Column) -> tuple[Column, Column]:
-    """Total and merge rule of two events."""
-    time = F.greatest(F.lit(0.0), 1 - F.least(minutes, F.lit(360.0)) / 360)
-    location = F.coalesce(F.greatest(F.lit(0.0), 1 - F.least(metres, F.lit(1000.0)) / 1000), F.lit(0.0))
-    total = 0.35 * time + 0.25 * location + 0.25 * visual + 0.10 * semantic + F.when(faces, 0.05).otherwise(0.0)
-    near = (location >= 0.65) & ((visual >= 0.55) | (semantic > 0) | faces)
-    alike = (visual >= 0.80) & ((semantic > 0) | faces)
-    return total, (time >= 0.70) & (near | alike | ((location >= 0.85) & (semantic > 0)))
-
-
-def consolidation(pairs: list[tuple[str, str, float]], size: dict[str, int], start: dict[str, float]) -> dict[str, str]:
-    """Which event each one ends in: the best pair first, the larger (then later) event takes in the other."""
-    into: dict[str, str] = {}
-
-    def top(x: str) -> str:
-        while x in into:
-            x = into[x]
-        return x
-
-    for a, b, _ in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
-        x, y = top(a), top(b)
-        if x == y:
-            continue
-        target, source = (x, y) if (size[x], start[x]) >= (size[y], start[y]) else (y, x)
-        into[source] = target
-        size[target] += size[source]
-    return {x: top(x) for x in size}
+    """Total and merge rule of two events, from the least distances and greatest likenesses of their observations."""
+    time = F.coalesce(decay(minutes, 360.0), F.lit(0.0))
+    location = F.coalesce(decay(metres, 1000.0), F.lit(0.0))
+    seen = F.coalesce(visual, F.lit(0.0))
+    bridged = (semantic > 0) | faces
+    merge = (time >= 0.70) & ((location >= 0.65) & ((seen >= 0.55) | bridged) | (seen >= 0.80) & bridged | (location >= 0.85) & (semantic > 0))
+    # The weights of the total.
+    return 0.35 * time + 0.25 * location + 0.25 * seen + 0.10 * semantic + F.when(faces, 0.05).otherwise(0.0), merge
+
+
+class _Merged:
+    """An event under consolidation, as matrices of its observations' times, places and vectors."""
+
+    def __init__(self, event_id, rows: list[dict]):
+        self.event_id, self.rows = event_id, rows
+        self.t = np.array([r["t"] for r in rows], float)
+        self.gps = np.radians(np.array([r["gps"] for r in rows if r["gps"]], float).reshape(-1, 2))
+        self.x = [r["vector"] / n for r in rows if r["vector"] is not None and (n := np.linalg.norm(r["vector"]))]
+        self.words = {w for r in rows for w in (r["activity"], r["kind"], *r["objects"]) if w}
+        self.people = set().union(*(r["people"] for r in rows))
+        self.rank = (len(rows), self.t.min())
+
+    def with_(self, other: _Merged) -> _Merged:
+        return _Merged(self.event_id, self.rows + other.rows)
+
+
+def merge_score(a: _Merged, b: _Merged) -> tuple[float, bool]:
+    """pair_score of two events at hand."""
+    time = max(0.0, 1 - np.abs(a.t[:, None] - b.t).min() / 60 / 360)
+    location = 0.0
+    if len(a.gps) and len(b.gps):
+        d = a.gps[:, None] - b.gps
+        h = np.sin(d[..., 0] / 2) ** 2 + np.cos(a.gps[:, None, 0]) * np.cos(b.gps[:, 0]) * np.sin(d[..., 1] / 2) ** 2
+        location = max(0.0, 1 - (2 * EARTH_KM * np.arcsin(np.sqrt(np.clip(h, 0, 1)))).min())
+    seen = max((float(x @ y) for x in a.x for y in b.x if len(x) == len(y)), default=0.0)
+    held = any(len(p) >= 2 and len(q) >= 2 and (p in q or q in p) for p in a.words for q in b.words)
+    semantic = 1.0 if a.words & b.words else 0.7 if held else 0.0
+    faces = bool(a.people & b.people)
+    bridged = semantic > 0 or faces
+    merge = time >= 0.70 and (location >= 0.65 and (seen >= 0.55 or bridged) or seen >= 0.80 and bridged or location >= 0.85 and semantic > 0)
+    return 0.35 * time + 0.25 * location + 0.25 * seen + 0.10 * semantic + 0.05 * faces, bool(merge)
+
+
+def consolidation(events: dict[object, list[dict]]) -> dict:
+    """Which event each one ends in: the best pair that may merge first, scored anew after every merge.
+
+    The event of more observations (then the later start) takes in the other. Only pairs with a merged event are rescored.
+    """
+    live = {k: _Merged(k, rows) for k, rows in sorted(events.items())}
+    into, scores = {k: k for k in live}, {}
+
+    def rescore(k) -> None:
+        for other in live:
+            if other != k:
+                a, b = min(k, other), max(k, other)
+                total, merge = merge_score(live[a], live[b])
+                scores[a, b] = total if merge else None
+
+    for k in list(live):
+        for other in live:
+            if k < other:
+                total, merge = merge_score(live[k], live[other])
+                scores[k, other] = total if merge else None
+    while True:
+        best = max(((round(s, 9), pair) for pair, s in scores.items() if s is not None), key=lambda x: (x[0], [-i for i in _order(live, x[1])]), default=None)
+        if best is None:
+            return into
+        a, b = best[1]
+        target, source = (a, b) if live[a].rank >= live[b].rank else (b, a)
+        live[target] = live[target].with_(live.pop(source))
+        into = {k: target if v == source else v for k, v in into.items()}
+        scores = {pair: s for pair, s in scores.items() if source not in pair}
+        rescore(target)
+
+
+def _order(live: dict, pair: tuple) -> list[int]:
+    """Places of a pair's events, by which equal totals are told apart."""
+    places = list(live)
+    return [places.index(k) for k in pair]
+
+
+def consolidated(observations: DataFrame, event: str = "event_id") -> DataFrame:
+    """scope_id, event_id and into: which event each one ends in.
+
+    Two events can only merge if observations of theirs are within MERGE_GAP_S, so a scope's events are first parted where
+    no event reaches over such a gap; each part is one fold.
+    """
+    rows = observations.withColumn("t", micros("ts") / 1e6).filter("t IS NOT NULL")
+    spans = rows.groupBy("scope_id", event).agg(F.min("t").alias("a"), F.max("t").alias("b"))
+    w = W.partitionBy("scope_id").orderBy("a", event)
+    reach = F.max("b").over(w.rowsBetween(W.unboundedPreceding, -1))
+    parted = spans.withColumn("new", F.coalesce((F.col("a") - reach > MERGE_GAP_S).cast("int"), F.lit(0)))
+    parts = parted.withColumn("part", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0))).select("scope_id", event, "part")
+    columns = ["t", "kind", "activity", "objects", "people", "gps", "vector"]
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        held: dict[object, list[dict]] = {}
+        for o in as_dicts(pdf):
+            held.setdefault(o[event], []).append(o)
+        into = consolidation(held)
+        return pd.DataFrame({"scope_id": pdf["scope_id"].iloc[0], event: list(into), "into": list(into.values())})
+
+    kind = lambda c: observations.schema[c].dataType.simpleString()
+    joined = rows.join(parts, ["scope_id", event]).select("scope_id", event, "part", *columns)
+    return joined.groupBy("scope_id", "part").applyInPandas(fold, f"scope_id {kind('scope_id')}, {event} {kind(event)}, into {kind(event)}")
+
+
+def resegmented(observations: DataFrame, person: str, event: str = "event_id") -> DataFrame:
+    """event_id and other: of each event of a newly confirmed person the first other one that should join it.
+
+    An other event joins if the first of its observations that shows the person scores as a candidate; both start within
+    six hours. observations: with event_id.
+    """
+    seen = observations.filter(F.array_contains("people", person))
+    first = seen.groupBy("scope_id", event).agg(F.min("obs_id").alias("obs_id"))
+    bridging = seen.join(first.select("obs_id"), "obs_id", "left_semi").withColumnRenamed(event, "other")
+    profiles = event_profiles(observations, event)
+    theirs = profiles.join(first.select(event), event, "left_semi")
+    starts = profiles.select(F.col(event).alias("other"), F.col("start_ts").alias("other_ts"))
+    pairs = within(starts.join(first.select("scope_id", F.col(event).alias("other")), "other"), theirs.select("scope_id", event, "start_ts"), ["scope_id"], "other_ts", "start_ts", WINDOW_S)
+    pairs = pairs.filter(F.col(event) != F.col("other")).select(event, "other")
+    wide = pairs.join(bridging.alias("o"), "other").join(theirs.alias("e"), event)
+    scored = wide.select(event, "other", candidate_total(candidate_parts("o", "e")).alias("score")).filter(F.round("score", 9) >= MINIMUM)
+    return scored.groupBy(event).agg(F.min("other").alias("other"))
+
+
+def semantic_overlap(a: Column, b: Column) -> Column:
+    return F.coalesce(set_overlap(a, b), F.lit(0.0))
+
+
+# --- summaries -------------------------------------------------------------------------------------------------------
+
+# Place names that say nothing.
+WEAK_PLACES = ("", "OTHER", "某处", "地点未知", "未标注", "未标注地点", "待判断")
+OTHER = "OTHER"
+_COORDINATES = r"^\s*-?\d+(\.\d+)?\s*,\s*-?\d+(\.\d+)?\s*$"
+
+
+def event_summaries(events: DataFrame, observations: DataFrame, names: DataFrame, event: str = "event_id") -> DataFrame:
+    """event_id, place and summary. events: event_id, place, activity, prefix. names: event_id, seq, name.
+
+    A place that says something stays; else the first observation's that does (by time, then id); else what there is. The
+    summary says who took part where in what, after the prefix of the place's wider area if that isn't in it yet.
+    """
+    weak = lambda c: c.isNull() | F.trim(c).isin(*WEAK_PLACES) | F.trim(c).rlike(_COORDINATES)
+    shown = observations.filter(~weak(F.col("place"))).groupBy(event).agg(F.min_by("place", F.struct("ts", "obs_id")).alias("__shown"))
+    who = names.filter("name <> ''").groupBy(event, "name").agg(F.min("seq").alias("seq")).groupBy(event).agg(F.array_sort(F.collect_list(F.struct("seq", "name"))).alias("n"))
+    who = who.select(event, F.array_join(F.transform("n", lambda x: x["name"]), "、").alias("__who"))
+    rows = events.join(shown, event, "left").join(who, event, "left")
+    own = F.trim(F.coalesce("place", F.lit("")))
+    place = F.when(~weak(F.col("place")), own).otherwise(F.coalesce("__shown", F.when(own != "", own), F.lit(OTHER)))
+    rows = rows.withColumn("__place", place)
+    body = F.when(F.col("__who").isNotNull(), F.concat("__who", F.lit("在"), "__place", F.lit("参与"), "activity")).otherwise(F.concat(F.lit("在"), "__place", F.lit("发生的"), "activity"))
+    area = F.concat(F.lit("在"), F.col("prefix"))
+    summary = F.when(F.coalesce(F.col("prefix") != "", F.lit(False)) & ~F.contains(body, area), F.concat(area, F.lit("，"), body)).otherwise(body)
+    return rows.select(event, F.col("__place").alias("place"), summary.alias("summary"))
 
 
 def trips(events: DataFrame, scope: str, key: str, ts: str, place: str, lat: str, lon: str, gap_days: float = 3, km: float = 50, most_days: int = 10) -> DataFrame:
@@ -126,13 +392,3 @@ def trips(events: DataFrame, scope: str, key: str, ts: str, place: str, lat: str
     far = spots.join(other, keys).groupBy(*keys).agg(F.max(haversine(F.col(lat), F.col(lon), F.col("__lat"), F.col("__lon"))).alias("km"))
     kept = spans.join(far, keys).filter(F.col("km") >= km)
     return kept.withColumn("confidence", F.least(F.lit(0.9), 0.45 + 0.08 * F.col("events") + 0.04 * F.col("places")))
-
-
-def summaries(assigned_rows: DataFrame, observations: DataFrame, key: str, ts: str) -> DataFrame:
-    """Per event: start, end and number of observations."""
-    rows = assigned_rows.join(observations.select(key, ts), key)
-    return rows.groupBy("event_id").agg(F.min(ts).alias("start_ts"), F.max(ts).alias("end_ts"), F.count(F.lit(1)).alias("n"))
-
-
-def latest_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    return rows.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("__n = 1").drop("__n")

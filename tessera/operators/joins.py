@@ -29,15 +29,37 @@ def within(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, rig
     return joined.drop(a["__slot"]).drop(b["__slot"]).drop(*[b[k] for k in keys])
 
 
-def overlaps(left: DataFrame, right: DataFrame, keys: list[str], l_start: str, l_end: str, r_start: str, r_end: str, slot_seconds: float) -> DataFrame:
-    """Pairs of closed intervals with equal keys that overlap. A pair is reported at its first common slot, so once."""
+#: Slots that an interval is spread over at most; longer ones go to slots so many times as wide, again and again.
+MOST_SLOTS = 64
+
+
+def overlaps(left: DataFrame, right: DataFrame, keys: list[str], l_start: str, l_end: str, r_start: str, r_end: str, slot_seconds: float, levels: int = 8) -> DataFrame:
+    """Pairs of closed intervals with equal keys that overlap, each once.
+
+    An interval lies in the slots of the first level (each MOST_SLOTS times as wide as the one before) at which it covers
+    MOST_SLOTS at most, and it is looked up in its slots of all coarser levels and of its own. So the two meet at the coarser
+    one of their levels, in the first slot that they share there, however long they are.
+    """
     width = int(slot_seconds * 1_000_000)
-    slot = lambda ts: F.floor(micros(ts) / width)
-    spread = lambda df, s, e: df.withColumn("__slot", F.explode(F.sequence(slot(s), slot(e))))
-    a, b = spread(left, l_start, l_end), spread(right, r_start, r_end)
-    first = F.greatest(slot(a[l_start]), slot(b[r_start]))
-    on = [a[k] == b[k] for k in keys] + [a["__slot"] == b["__slot"], a[l_end] >= b[r_start], a[l_start] <= b[r_end], a["__slot"] == first]
-    return a.join(b, on).drop(a["__slot"]).drop(b["__slot"]).drop(*[b[k] for k in keys])
+    widths = [min(width * MOST_SLOTS**i, 1 << 61) for i in range(levels)]
+    slot = lambda ts, w: F.floor(micros(ts) / w)
+
+    def level(s: str, e: str) -> Column:
+        out = F.lit(levels - 1)
+        for i in reversed(range(levels - 1)):
+            out = F.when(slot(e, widths[i]) - slot(s, widths[i]) < MOST_SLOTS, i).otherwise(out)
+        return out
+
+    def spread(df: DataFrame, s: str, e: str, name: str) -> DataFrame:
+        at = F.flatten(F.array(*[F.when(F.lit(i) >= F.col("__level"), F.transform(F.sequence(slot(s, w), slot(e, w)), lambda x: F.struct(F.lit(i).alias("level"), x.alias("slot")))).otherwise(F.array().cast("array<struct<level:int,slot:bigint>>")) for i, w in enumerate(widths)]))
+        return df.filter(F.col(s).isNotNull() & (F.col(e) >= F.col(s))).withColumn("__level", level(s, e)).withColumn("__at", F.explode(at)).withColumnRenamed("__level", name)
+
+    a, b = spread(left, l_start, l_end, "__la"), spread(right, r_start, r_end, "__lb")
+    coarser = F.greatest("__la", "__lb")
+    w = F.element_at(F.array(*[F.lit(x) for x in widths]), (coarser + 1).cast("int"))
+    first = F.greatest(F.floor(micros(a[l_start]) / w), F.floor(micros(b[r_start]) / w))
+    on = [a[k] == b[k] for k in keys] + [a["__at"] == b["__at"], a[l_end] >= b[r_start], a[l_start] <= b[r_end], a["__at.level"] == coarser, a["__at.slot"] == first]
+    return a.join(b, on).drop(a["__at"]).drop(b["__at"]).drop("__la", "__lb").drop(*[b[k] for k in keys])
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, right_id: str, value: str) -> DataFrame:

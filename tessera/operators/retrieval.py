@@ -6,9 +6,11 @@ windows per query.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,11 +43,19 @@ def _ranked(rows: DataFrame, channel: str, order: list[Column], k: int) -> DataF
     return rows.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.lit(channel).alias("channel"), "asset_id", F.col("raw_score").cast("double").alias("raw_score"), "rank")
 
 
+#: Queries are broadcast up to so many; more of them are a join like any other.
+MAX_BROADCAST_QUERIES = 10_000
+
+
+def _small(queries: DataFrame) -> DataFrame:
+    return F.broadcast(queries) if queries.count() <= MAX_BROADCAST_QUERIES else queries
+
+
 @retriever("metadata")
 def metadata_hits(assets: DataFrame, queries: DataFrame, k: int = 100) -> DataFrame:
     """Assets in the query's time range (start, end; null is open) and media (null is any), newest first. A null time passes."""
     inside = (F.col("ts").isNull()) | ((F.col("start").isNull() | (F.col("ts") >= F.col("start"))) & (F.col("end").isNull() | (F.col("ts") < F.col("end"))))
-    rows = assets.join(F.broadcast(queries), inside & (F.col("media").isNull() | (F.col("media_type") == F.col("media"))))  # a few queries
+    rows = assets.join(_small(queries), inside & (F.col("media").isNull() | (F.col("media_type") == F.col("media"))))
     return _ranked(rows.withColumn("raw_score", F.lit(0.0)), "metadata", [F.desc_nulls_last("ts"), F.asc("asset_id")], k)
 
 
@@ -61,11 +71,52 @@ def lexical_channel(lexical: DataFrame, k: int = 100) -> DataFrame:
     return _ranked(lexical.drop("rank"), "lexical", [F.desc("raw_score"), F.asc("asset_id")], k)
 
 
+def _scored(vectors: DataFrame, queries: DataFrame, k: int | None) -> DataFrame:
+    """query_id, asset_id and raw_score: of every Arrow batch each query's k best (or all), an asset by its best vector.
+
+    The queries, counted and at most MAX_BROADCAST_QUERIES, are one matrix that every batch is multiplied with.
+    """
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    rows = queries.select("query_id", "q").collect()
+    by_size: dict[int, list] = {}
+    for r in rows:
+        by_size.setdefault(len(r["q"]), []).append(r)
+    known = vectors.sparkSession.sparkContext.broadcast({n: ([r["query_id"] for r in rs], np.array([r["q"] for r in rs], float)) for n, rs in by_size.items()})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b = b.sort_values("asset_id", kind="stable", ignore_index=True)
+            sizes = b["vector"].map(len)
+            for n in sizes.unique():
+                if n not in known.value:
+                    continue
+                ids, q = known.value[n]
+                own = b[sizes == n]
+                assets = own["asset_id"].to_numpy()
+                first = np.flatnonzero(np.r_[True, assets[1:] != assets[:-1]])
+                scores = np.maximum.reduceat(q @ np.stack(own["vector"].to_numpy()).astype(float).T, first, axis=1)
+                assets = assets[first]
+                take = len(assets) if k is None else min(k, len(assets))
+                # Ties at the edge are few: one more place each way would not be exact, so equal scores are all kept.
+                edge = np.partition(scores, len(assets) - take, axis=1)[:, len(assets) - take, None]
+                at, place = np.nonzero(scores >= edge)
+                yield pd.DataFrame({"query_id": [ids[i] for i in at], "asset_id": assets[place], "raw_score": scores[at, place]})
+
+    return vectors.select("asset_id", "vector").mapInPandas(run, f"query_id {kind(queries, 'query_id')}, asset_id {kind(vectors, 'asset_id')}, raw_score double")
+
+
+def all_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, asset_id and raw_score of every vector for every query of its length."""
+    if queries.count() <= MAX_BROADCAST_QUERIES:
+        return _scored(vectors, queries, None)
+    return vectors.join(queries, F.size("vector") == F.size("q")).select("query_id", "asset_id", dot(F.col("vector"), F.col("q")).alias("raw_score"))
+
+
 @retriever("visual")
 def vector_hits(vectors: DataFrame, queries: DataFrame, k: int = 10, channel: str = "visual") -> DataFrame:
-    """Exact cosine top k of unit vectors (asset_id, vector) for queries (query_id, q). Queries are the small side."""
-    rows = vectors.join(F.broadcast(queries), F.size("vector") == F.size("q")).withColumn("raw_score", dot(F.col("vector"), F.col("q")))
-    return _ranked(rows.groupBy("query_id", "asset_id").agg(F.max("raw_score").alias("raw_score")), channel, [F.desc("raw_score"), F.asc("asset_id")], k)
+    """Exact cosine top k of unit vectors (asset_id, vector; several of an asset count with the best) for queries (query_id, q)."""
+    scored = _scored(vectors, queries, k) if queries.count() <= MAX_BROADCAST_QUERIES else all_scores(vectors, queries)
+    return _ranked(scored.groupBy("query_id", "asset_id").agg(F.max("raw_score").alias("raw_score")), channel, [F.desc("raw_score"), F.asc("asset_id")], k)
 
 
 def union_hits(*channels: DataFrame) -> DataFrame:
@@ -114,7 +165,8 @@ def agreement(hits: DataFrame, channels: int) -> DataFrame:
 
 # --- conditions ------------------------------------------------------------------------------------------------------
 
-#: Sources whose word is enough; a match from another source is only possible.
+# Sources whose word is enough (a match from another one is only possible), and dimensions of which what
+# wasn't seen may still be there.
 PROVEN = ("asset_metadata", "observation_field_exact", "confirmed_bridge", "entity_bridge_confirmed", "subject_binding")
 OPEN_WORLD = ("clothing", "object", "ocr", "activity", "scene")
 
@@ -166,12 +218,6 @@ def evaluated(rows: DataFrame, constraints: tuple[Constraint, ...]) -> DataFrame
     return out.withColumn("level", level).withColumn("score", matched / F.lit(max(1, len(keys))))
 
 
-def level_order() -> list[Column]:
-    """Best evidence first: level, score, then the place in recall."""
-    level = F.when(F.col("level") == "exact", 0).when(F.col("level") == "strong", 1).otherwise(2)
-    return [level, F.desc("score")]
-
-
 def truth_contract(items: DataFrame) -> DataFrame:
     """Per condition how many items say what, and its verdict: confirmed, supported, contradicted or unknown."""
     each = items.select(F.explode("conditions").alias("condition", "status"))
@@ -215,3 +261,12 @@ def siblings(bridge: DataFrame, seeds: DataFrame, group: str, budget: int, order
     others = bridge.join(groups, group, "left_semi").join(seeds.select("asset_id"), "asset_id", "left_anti")
     kept = others.withColumn("__n", F.row_number().over(W.partitionBy(group).orderBy(*order))).filter(F.col("__n") <= budget)
     return kept.select("asset_id").distinct()
+
+
+def probe(hits: DataFrame, channels: list[str], agreement_from: int = 2) -> DataFrame:
+    """Per query the hits of each channel, the assets that several agree on, and a decision: agreed, scattered or nothing."""
+    per = hits.groupBy("query_id", "asset_id").agg(F.countDistinct("channel").alias("n"), F.collect_set("channel").alias("c"))
+    counts = [F.count_if(F.array_contains("c", c)).alias(c) for c in channels]
+    tally = per.groupBy("query_id").agg(*counts, F.count_if(F.col("n") >= 2).alias("agreeing"))
+    decision = F.when(F.col("agreeing") >= agreement_from, "agreed").otherwise("scattered")
+    return tally.withColumn("decision", decision)

@@ -56,3 +56,32 @@ def facets(rows: DataFrame, columns: list[str]) -> DataFrame:
     """facet, value and n of each column's distinct values."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")) for c in columns]))
     return rows.select(pairs.alias("f")).select("f.facet", "f.value").filter("value IS NOT NULL").groupBy("facet", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def decoded(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """rows with JSON columns decoded by their schemas; what doesn't parse is null."""
+    return rows.withColumns({c: F.from_json(c, schema) for c, schema in columns.items()})
+
+
+def looked_up(wanted: DataFrame, tables: dict[str, tuple[DataFrame, str]], kind: str, key: str) -> DataFrame:
+    """wanted (kind, key) with found: whether the table of its kind has the id. One join for all kinds, no lookup by row."""
+    ids = reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("__k"), F.col(id_).cast("string").alias("__id")) for name, (df, id_) in tables.items()]).distinct()
+    rows = wanted.join(ids, (F.col(kind) == F.col("__k")) & (F.col(key).cast("string") == F.col("__id")), "left")
+    return rows.withColumn("found", F.col("__id").isNotNull()).drop("__k", "__id")
+
+
+def dashboard(tables: dict[str, DataFrame], lists: dict[str, tuple[DataFrame, str, str]], newest_n: int = 8) -> DataFrame:
+    """name, position and value: counts of tables (position 0), and the newest ids of lists (rows, by, key) from position 1 on."""
+    parts = [df.agg(F.count(F.lit(1)).cast("string").alias("value")).select(F.lit(name).alias("name"), F.lit(0).alias("position"), "value") for name, df in tables.items()]
+    for name, (df, by, key) in lists.items():
+        top = newest(df, by, key, newest_n).withColumn("position", F.row_number().over(W.orderBy(F.desc_nulls_last(by), F.asc(key))))
+        parts.append(top.select(F.lit(name).alias("name"), "position", F.col(key).cast("string").alias("value")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def faceted(rows: DataFrame, facets: dict[str, tuple], text: str, needle: str | None) -> DataFrame:
+    """rows whose facets have one of the chosen values each (none chosen: any) and whose text contains the needle."""
+    for column, chosen in facets.items():
+        if chosen:
+            rows = rows.filter(F.col(column).isin(*chosen))
+    return rows.filter(F.contains(F.lower(text), F.lit(needle.lower()))) if needle else rows

@@ -35,9 +35,11 @@ def budget_per_group(rows: DataFrame, keys: list[str], order: list[Column], n: i
     return rows.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("__n") <= n).drop("__n")
 
 
-def cover(rows: DataFrame, keys: list[str], ts: str, key: str, confidence: str) -> DataFrame:
-    """Per group the asset of highest (confidence, time, id)."""
-    return rows.groupBy(*keys).agg(F.max(F.struct(confidence, ts, key)).alias("c")).select(*keys, F.col(f"c.{key}").alias(key), F.col(f"c.{confidence}").alias(confidence))
+def cover(rows: DataFrame, keys: list[str], ts: str, key: str, confidence: str, image: Column | None = None, chosen: Column | None = None) -> DataFrame:
+    """Per group the asset of highest (confidence, time, id): of images only, where a condition says which are; a user's choice first."""
+    kept = rows if image is None else rows.filter(image)
+    picked = F.lit(0) if chosen is None else chosen.cast("int")
+    return kept.groupBy(*keys).agg(F.max(F.struct(picked.alias("__u"), confidence, ts, key)).alias("c")).select(*keys, F.col(f"c.{key}").alias(key), F.col(f"c.{confidence}").alias(confidence))
 
 
 def mad(rows: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -91,3 +91,18 @@ def hierarchy(rows: DataFrame, outer: str, inner: str) -> DataFrame:
     counts = named.groupBy("outer_place", "inner_place").agg(F.count(F.lit(1)).alias("n"))
     outer_n = counts.groupBy("outer_place").agg(F.sum("n").alias("outer_n"))
     return counts.join(outer_n, "outer_place").withColumn("last", (F.col("outer_place") == UNKNOWN).cast("int"))
+
+
+def place_filter(value: str, fields: list[Column], aliases: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """The value, or an alias of it, lies in one of the fields, or a field's name without its ending lies in the value."""
+    hit = F.lit(False)
+    for name in (value, *(aliases or {}).get(value, ())):
+        for f in fields:
+            short = strip_admin_suffix(f)
+            hit = hit | contains(f, F.lit(name)) | F.coalesce((F.length(short) >= 2) & F.contains(F.lit(name), short), F.lit(False))
+    return hit
+
+
+def grouped_with_observations(assets: DataFrame, observations: DataFrame, key: Column) -> DataFrame:
+    """g and n: assets by a key of theirs and of their observations (a left join); an asset counts once in each of its groups."""
+    return assets.join(observations, "asset_id", "left").groupBy(key.alias("g")).agg(F.countDistinct("asset_id").alias("n")).filter("g IS NOT NULL")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.catalog import shared_root
 from tessera.functions.text import contains, normalise, search_tokens
 
 
@@ -62,6 +65,50 @@ def token_match(index: DataFrame, key: str, queries: DataFrame) -> DataFrame:
     return hits.groupBy("query_id", key).agg((F.count(F.lit(1)) + 2 * exact).cast("double").alias("raw_score"))
 
 
+#: Directories over which a stored index is dealt by token, and tasks that share one's rows (a frequent token has one for each row).
+INDEX_BUCKETS = 64
+INDEX_SHARE = 4
+#: Tokens longer than this (whole values) are stored by their digest.
+LONGEST_TOKEN = 64
+
+
+def _stored_token(token: Column) -> Column:
+    return F.when(F.length(token) > LONGEST_TOKEN, F.concat(F.lit("md5:"), F.md5(token))).otherwise(token)
+
+
+def _bucket(token: Column) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(INDEX_BUCKETS)).cast("int")
+
+
+def store_index(rows: DataFrame, key: str, fields: dict[str, str], path: str) -> None:
+    """The term projection, written once: a directory for each bucket of tokens, sorted by token, for queries to read a little of."""
+    terms = term_projection(rows, key, fields).withColumn("token", _stored_token(F.col("token"))).withColumn("bucket", _bucket(F.col("token")))
+    dealt = terms.repartition(INDEX_BUCKETS, "bucket", F.pmod(F.xxhash64(key), F.lit(INDEX_SHARE))).sortWithinPartitions("bucket", "token")
+    dealt.write.partitionBy("bucket").parquet(path)
+
+
+def stored_projection(spark: SparkSession, path: str, key_type: str, key: str, queries: DataFrame) -> DataFrame:
+    """The rows of a stored index for the queries' tokens: buckets are pruned, and row groups by their tokens' range."""
+    asked = queries.select(F.explode(search_tokens(F.col("text"))).alias("token")).distinct().select("token", _stored_token(F.col("token")).alias("stored"))
+    found = asked.withColumn("bucket", _bucket(F.col("stored"))).limit(MAX_SCAN_TOKENS + 1).collect()
+    index = spark.read.schema(f"{key} {key_type}, field string, value_digest string, token string, bucket int").parquet(path)
+    if len(found) <= MAX_SCAN_TOKENS:
+        index = index.filter(F.col("bucket").isin(sorted({r["bucket"] for r in found})) & F.col("token").isin([r["stored"] for r in found]))
+    names = asked.select(F.col("stored").alias("token"), F.col("token").alias("__token"))
+    return index.join(F.broadcast(names) if len(found) <= MAX_SCAN_TOKENS else names, "token").withColumn("token", F.col("__token")).select(key, "field", "value_digest", "token")
+
+
+def index_of(spark: SparkSession, source: str, rows: DataFrame, key: str, fields: dict[str, str]) -> str:
+    """Where the stored index of a source's rows lies; it is made if there is none for the source's files as they are."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source).select("path", "length", "modificationTime").collect()
+    state = "|".join(sorted(f"{r['path']}:{r['length']}:{r['modificationTime']}" for r in listed)) + f"|{key}|{sorted(fields.items())}"
+    path = f"{shared_root(spark)}/term-index-{hashlib.sha256(state.encode()).hexdigest()[:24]}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        store_index(rows, key, fields, path)
+    return path
+
+
 def lexical_hits(index: DataFrame, key: str, surfaces: DataFrame, k: int) -> DataFrame:
     """The top k of each query over its surfaces (query_id, surface_no, text): scores summed, the first surface that hit named."""
     numbered = surfaces.select(F.concat_ws("|", F.col("query_id").cast("string"), F.col("surface_no").cast("string")).alias("query_id"), F.col("query_id").alias("q"), "surface_no", "text")
@@ -76,14 +123,16 @@ def like_search(values: DataFrame, key: str, field: str, needle: str) -> DataFra
 
 
 def conversation_search(messages: DataFrame, query: str, k: int) -> DataFrame:
-    """The k newest messages that hold every word of the query; where none does, those that contain it as a string."""
+    """The k newest messages that hold every word of the query; where none does, those that contain it as a string.
+
+    Both are taken in one plan: by string only where no message holds the words.
+    """
     words = search_words(query)
     held = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
-    by_word = messages.filter(F.size(F.array_intersect(held, F.array(*[F.lit(w) for w in words]))) == len(set(words))) if words else messages.limit(0)
-    by_text = messages.filter(contains(F.col("text"), F.lit(query)))
-    order = [F.desc("conv_id"), F.desc("turn")]
-    found = by_word.orderBy(*order).limit(k)
-    return found if not found.isEmpty() else by_text.orderBy(*order).limit(k)
+    by_word = F.size(F.array_intersect(held, F.array(*[F.lit(w) for w in words]))) == len(set(words)) if words else F.lit(False)
+    found = messages.withColumn("__w", F.coalesce(by_word, F.lit(False))).filter(F.col("__w") | contains(F.col("text"), F.lit(query)))
+    top = found.orderBy(F.desc("__w"), F.desc("conv_id"), F.desc("turn")).limit(k)
+    return top.withColumn("__any", F.max("__w").over(W.partitionBy())).filter(F.col("__w") == F.col("__any")).drop("__w", "__any")  # k rows
 
 
 def search_words(query: str) -> list[str]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.orderstats import even_indices, robust_unit
+from tessera.functions.vector import dot
+from tessera.operators.joins import overlaps
 
 BOUNDARY = {"residual": 0.42, "histogram": 0.25, "pixel": 0.18, "shift": 0.15}
 SUMMARY = {"scene_score": 0.28, "information_gain": 0.22, "sharpness": 0.22, "diversity": 0.13, "representativeness": 0.15}
@@ -81,6 +85,149 @@ def diversity(frames: DataFrame, keys: list[str], vector: str) -> DataFrame:
     return per.select(*keys, "n", F.when(F.col("n") > 1, (F.col("n") * F.col("n") - F.col("sq")) / (F.col("n") * (F.col("n") - 1))).otherwise(0.0).alias("diversity"))
 
 
+def representativeness(frames: DataFrame, chosen: DataFrame, keys: list[str], frame: str, vector: str) -> DataFrame:
+    """Per key the mean of exp(-distance) of all frames to the nearest chosen one (cosine distance of unit vectors).
+
+    chosen: keys and vector. Frames meet the chosen ones of their video only, and those are a budgeted few.
+    """
+    c = chosen.select(*keys, F.col(vector).alias("__c"))
+    distance = F.least(F.lit(2.0), F.greatest(F.lit(0.0), 1 - dot(F.col(vector), F.col("__c"))))
+    nearest = frames.select(*keys, frame, vector).join(c, keys).groupBy(*keys, frame).agg(F.min(distance).alias("d"))
+    return nearest.groupBy(*keys).agg(F.count(F.lit(1)).alias("frames"), F.avg(F.exp(-F.col("d"))).alias("representativeness"))
+
+
+def frame_deltas(frames: DataFrame, video: str, order: str, pixels: str, histogram: str) -> DataFrame:
+    """frames with pixel_change (mean absolute difference over 255) and histogram_change (Bhattacharyya) to the frame before.
+
+    The first frame of a video has none of either: 0.
+    """
+    w = W.partitionBy(video).orderBy(order)
+    p, h = F.lag(pixels).over(w), F.lag(histogram).over(w)
+    rows = frames.withColumn("__p", p).withColumn("__h", h)
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
+    pixel = total(F.zip_with(pixels, "__p", lambda a, b: F.abs(a.cast("double") - b.cast("double")))) / F.size(pixels) / 255
+    shared = total(F.zip_with(histogram, "__h", lambda a, b: F.sqrt(a.cast("double") * b.cast("double"))))
+    change = F.sqrt(F.greatest(F.lit(0.0), 1 - shared / F.sqrt(total(F.transform(histogram, lambda x: x.cast("double"))) * total(F.transform("__h", lambda x: x.cast("double"))))))
+    return rows.withColumn("pixel_change", F.coalesce(pixel, F.lit(0.0))).withColumn("histogram_change", F.coalesce(change, F.lit(0.0))).drop("__p", "__h")
+
+
+def camera_shift(before: np.ndarray, now: np.ndarray) -> tuple[int, int]:
+    """By how many (rows, columns) a grey picture moved, by the peak of the phase correlation."""
+    cross = np.fft.fft2(now) * np.conj(np.fft.fft2(before))
+    peak = np.unravel_index(np.abs(np.fft.ifft2(cross / np.maximum(np.abs(cross), 1e-12))).argmax(), now.shape)
+    return tuple(int(p - n if p > n // 2 else p) for p, n in zip(peak, now.shape))
+
+
+def camera_shifts(frames: DataFrame, video: str, order: str, picture: str, width: int) -> DataFrame:
+    """frames with shift_rows, shift_columns and shift (length over the picture's diagonal) to the frame before; 0 for the first."""
+
+    @F.pandas_udf("shift_rows int, shift_columns int, shift double")
+    def shift(now: pd.Series, before: pd.Series) -> pd.DataFrame:
+        out = []
+        for n, b in zip(now, before):
+            if b is None or len(b) != len(n):
+                out.append((0, 0, 0.0))
+                continue
+            x, y = (np.asarray(v, float).reshape(-1, width) for v in (n, b))
+            r, c = camera_shift(y, x)
+            out.append((r, c, float(np.hypot(r, c) / np.hypot(*x.shape))))
+        return pd.DataFrame(out, columns=["shift_rows", "shift_columns", "shift"])
+
+    before = F.lag(picture).over(W.partitionBy(video).orderBy(order))
+    return frames.withColumn("__b", before).withColumn("__s", shift(picture, "__b")).select(*frames.columns, "__s.*")
+
+
+def gated_keyframes(frames: DataFrame, video: str, t: str, sharpness: str, novelty: str, change: str, ratio: float = 0.8, shortest: float = 0.35, longest: float = 2.0, gain: float = 0.16) -> DataFrame:
+    """frames with gate: blurred, first, maximum_gap, information_gain or redundant.
+
+    A frame is sharp enough at `ratio` of the 70th percentile of the 120 frames before it, which a window gives. Of those,
+    which is kept depends on when the last one was: a fold per video that holds one number. Information gain is
+    0.72 novelty + 0.28 change / 15 (change clamped to 1).
+    """
+    w = W.partitionBy(video).orderBy(t).rowsBetween(-120, -1)
+    reference = F.coalesce(F.percentile(sharpness, 0.7).over(w), F.col(sharpness))
+    worth = 0.72 * F.col(novelty) + 0.28 * F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(change) / 15))
+    rows = frames.withColumn("__sharp", F.col(sharpness) >= reference * ratio).withColumn("gain", worth)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, last = None, None
+        for b in batches:
+            gates = []
+            for v, now, sharp, g in zip(b[video], b[t], b["__sharp"], b["gain"]):
+                if v != at:
+                    at, last = v, None
+                gap = None if last is None else now - last
+                gate = "blurred" if not sharp else "first" if gap is None else "maximum_gap" if gap >= longest else "information_gain" if gap >= shortest and g >= gain else "redundant"
+                if gate not in ("blurred", "redundant"):
+                    last = now
+                gates.append(gate)
+            yield b.drop(columns="__sharp").assign(gate=gates)
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema)
+    return rows.repartition(video).sortWithinPartitions(video, t).mapInPandas(run, f"{fields}, gain double, gate string")
+
+
+def greedy_boundaries(frames: DataFrame, video: str, t: str, score: str, shortest: float = 2.5, fewest: int = 3, floor: float = 0.24, spread: float = 2.4) -> DataFrame:
+    """frames that open a scene: the first, and by falling score those over max(floor, median + spread MAD) that lie apart.
+
+    Apart means `shortest` seconds and `fewest` frames from all that were taken. A video's frames over the limit are a fold.
+    """
+    w = W.partitionBy(video)
+    numbered = frames.withColumn("__i", F.row_number().over(w.orderBy(t)) - 1).withColumn("__m", F.percentile(score, 0.5).over(w))
+    limit = F.greatest(F.lit(floor), F.col("__m") + spread * F.percentile(F.abs(F.col(score) - F.col("__m")), 0.5).over(w))
+    over = numbered.withColumn("__limit", limit).filter((F.col("__i") == 0) | (F.col(score) >= F.col("__limit"))).drop("__m", "__limit")
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf["__i"] == 0
+        order = np.r_[np.flatnonzero(first), pdf[~first].sort_values([score, "__i"], ascending=[False, True], kind="stable").index.to_numpy()]
+        at, number, kept = pdf[t].to_numpy(float), pdf["__i"].to_numpy(), []
+        for i in order:
+            if not kept or (np.abs(at[kept] - at[i]) >= shortest).all() and (np.abs(number[kept] - number[i]) >= fewest).all():
+                kept.append(i)
+        return pdf.iloc[kept].drop(columns="__i")
+
+    return over.groupBy(video).applyInPandas(lambda pdf: pick(pdf.reset_index(drop=True)), frames.schema)
+
+
+def summary_frames(frames: DataFrame, video: str, t: str, score: str, gain: str, duration: str, min_gap: float = 0.45, ratio: float = 0.15, frame_seconds: float = 0.5) -> DataFrame:
+    """The frames of a video's summary: by falling score (then gain) at least min_gap apart, up to ceil(duration ratio / frame_seconds).
+
+    Where too few lie apart, the earliest others fill the budget up. A video is one fold.
+    """
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        budget = min(len(pdf), max(1, int(np.ceil(pdf[duration].iloc[0] * ratio / frame_seconds))))
+        at, kept = pdf[t].to_numpy(float), []
+        for i in pdf.sort_values([score, gain, t], ascending=[False, False, True], kind="stable").index:
+            if len(kept) < budget and (np.abs(at[kept] - at[i]) >= min_gap).all():
+                kept.append(i)
+        rest = [i for i in np.argsort(at, kind="stable") if i not in set(kept)]
+        return pdf.iloc[sorted(kept + rest[: budget - len(kept)], key=lambda i: at[i])]
+
+    return frames.groupBy(video).applyInPandas(lambda pdf: pick(pdf.reset_index(drop=True)), frames.schema)
+
+
+def scene_hierarchy(scene_rows: DataFrame, events: DataFrame, video: str) -> DataFrame:
+    """Each scene with its anchors, and for each anchor the events that overlap it: video, scene_no, anchor, kind and members.
+
+    scene_rows: video, scene_no, start_s, end_s. events: video, event_no, kind (Action, Object, Expression), start_s, end_s. A
+    scene's actions are its anchors; a scene without one is its own. What overlaps (closed intervals) is found by slots.
+    """
+    seconds = lambda df: df.withColumn("__a", F.timestamp_micros((F.col("start_s") * 1_000_000).cast("long"))).withColumn("__b", F.timestamp_micros((F.col("end_s") * 1_000_000).cast("long")))
+    s, e = seconds(scene_rows).select(video, "scene_no", "__a", "__b"), seconds(events).select(video, "event_no", "kind", F.col("__a").alias("__c"), F.col("__b").alias("__d"))
+    inside = overlaps(s, e, [video], "__a", "__b", "__c", "__d", 60.0)
+    actions = inside.filter("kind = 'Action'").select(video, "scene_no", F.col("event_no").alias("anchor"), F.col("__c").alias("__x"), F.col("__d").alias("__y"))
+    alone = s.join(actions.select(video, "scene_no").distinct(), [video, "scene_no"], "left_anti").select(video, "scene_no", F.lit(None).cast(events.schema["event_no"].dataType).alias("anchor"), F.col("__a").alias("__x"), F.col("__b").alias("__y"))
+    anchors = actions.unionByName(alone)
+    # The members of a scene are few, so anchors meet them by scene and are then compared.
+    members = inside.select(video, "scene_no", "event_no", "kind", "__c", "__d")
+    found = anchors.join(members, [video, "scene_no"], "left").filter(F.col("event_no").isNull() | ((F.col("__d") >= F.col("__x")) & (F.col("__c") <= F.col("__y")) & ~F.coalesce(F.col("event_no") == F.col("anchor"), F.lit(False))))
+    held = found.groupBy(video, "scene_no", "anchor").agg(*[F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("event_no")))).alias(name) for k, name in (("Action", "actions"), ("Object", "objects"), ("Expression", "expressions"))])
+    zero = lambda c: F.coalesce(c, F.array().cast(f"array<{events.schema['event_no'].dataType.simpleString()}>")).alias(c)
+    whole = anchors.select(video, "scene_no", "anchor").join(held.withColumnRenamed(video, "__v").withColumnRenamed("scene_no", "__n").withColumnRenamed("anchor", "__k"), (F.col(video) == F.col("__v")) & (F.col("scene_no") == F.col("__n")) & F.col("anchor").eqNullSafe(F.col("__k")), "left")
+    return whole.select(video, "scene_no", "anchor", *map(zero, ("actions", "objects", "expressions")))
+
+
 def dmd_residual(window: np.ndarray, rank: int = 4) -> float:
     """Relative error of the one-step prediction of the last column from those before, by a truncated SVD."""
     x, y = window[:, :-1], window[:, 1:]
@@ -94,3 +241,22 @@ def dmd_residual(window: np.ndarray, rank: int = 4) -> float:
 
 def sampled(items: list, k: int) -> list:
     return [items[i] for i in even_indices(len(items), k)]
+
+
+def dmd_residuals(frames: DataFrame, video: str, order: str, vector: str, last: int = 10, rank: int = 4) -> DataFrame:
+    """frames with dmd_residual: how badly the last frames before it predict each frame's vector; 0 while there are too few."""
+    window = F.collect_list(vector).over(W.partitionBy(video).orderBy(order).rowsBetween(-last, 0))
+
+    @F.pandas_udf("double")
+    def residual(windows: pd.Series) -> pd.Series:
+        return pd.Series([dmd_residual(np.stack([np.asarray(v, float) for v in w], axis=1), rank) if len(w) >= 3 else 0.0 for w in windows])
+
+    return frames.withColumn("__w", window).withColumn("dmd_residual", residual("__w")).drop("__w")
+
+
+def even_sample(rows: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
+    """k rows of each key spread evenly over its order, ends included: those numbered round(i (n - 1) / (k - 1)), half to even."""
+    w = W.partitionBy(*keys)
+    numbered = rows.withColumn("__i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("__n", F.count(F.lit(1)).over(w))
+    wanted = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.bround(i * (F.col("__n") - 1) / F.lit(max(k - 1, 1)), 0).cast("int"))
+    return numbered.filter((F.col("__n") <= k) | F.array_contains(wanted, F.col("__i").cast("int"))).drop("__i", "__n")

@@ -9,7 +9,7 @@ from tessera import catalog
 from tessera.functions.vector import decay
 from tessera.operators import events as event_ops
 from tessera.operators import joins, people
-from tessera.registry import query
+from tessera.registry import ORACLES, query
 
 _TS = "yyyy-MM-dd HH:mm:ss"
 
@@ -85,21 +85,6 @@ def named_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return people.named_relations(edges, catalog.load(spark, sf_dir, "supplier"), "s_suppkey", "s_name", "a", "b")
 
 
-@query(
-    "trips",
-    """WITH x AS (SELECT user_id, event_id, ts, 'p' || (event_id % 5)::VARCHAR AS place, 10.0 + event_id % 5 * 2 AS lat, 20.0 + event_id % 5 * 3 AS lon FROM events WHERE event_id % 7 = 0),
-    n AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) > 259200000000 THEN 1 ELSE 0 END AS new FROM x WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-    g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS session_no FROM n),
-    s AS (SELECT user_id, session_no, min(ts) AS a, max(ts) AS b, count(*) AS events, count(DISTINCT place) AS places FROM g GROUP BY ALL),
-    k AS (SELECT p.user_id, p.session_no, max(2 * 6371.0088 * asin(sqrt(least(1, pow(sin(radians(q.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(q.lat)) * pow(sin(radians(q.lon - p.lon) / 2), 2))))) AS km FROM g p JOIN g q ON p.user_id = q.user_id AND p.session_no = q.session_no GROUP BY ALL)
-    SELECT s.user_id, s.session_no, events, places, round(km, 6) AS km, round(least(0.9, 0.45 + 0.08 * events + 0.04 * places), 6) AS confidence FROM s JOIN k ON s.user_id = k.user_id AND s.session_no = k.session_no
-    WHERE events >= 2 AND date_diff('day', a, b) BETWEEN 1 AND 10 AND places >= 2 AND km >= 50""",
-)
-def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trips among every seventh event, as in its SQL; trips_of_all_events takes all."""
-    return _trips(catalog.load(spark, sf_dir, "events").filter(F.col("event_id") % 7 == 0))
-
-
 def _trips(events: DataFrame) -> DataFrame:
     """Trips among events, places made up from their numbers (the tables hold no positions)."""
     spot = F.col("event_id") % 5
@@ -109,7 +94,7 @@ def _trips(events: DataFrame) -> DataFrame:
 
 
 @query(
-    "trips_of_all_events",
+    "trips",
     """WITH x AS (SELECT user_id, event_id, ts, 'p' || (event_id % 5)::VARCHAR AS place, 10.0 + event_id % 5 * 2 AS lat, 20.0 + event_id % 5 * 3 AS lon FROM events),
     n AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) > 259200000000 THEN 1 ELSE 0 END AS new FROM x WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
     g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS session_no FROM n),
@@ -119,10 +104,14 @@ def _trips(events: DataFrame) -> DataFrame:
     SELECT s.user_id, s.session_no, events, places, round(km, 6) AS km, round(least(0.9, 0.45 + 0.08 * events + 0.04 * places), 6) AS confidence FROM s JOIN k ON s.user_id = k.user_id AND s.session_no = k.session_no
     WHERE events >= 2 AND date_diff('day', a, b) BETWEEN 1 AND 10 AND places >= 2 AND km >= 50""",
 )
-def trips_of_all_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trips among all events."""
     return _trips(catalog.load(spark, sf_dir, "events"))
 
 
+query("trips_of_all_events", ORACLES["trips"])(trips)
+
+
 @query(
     "event_pair_scores",
     """SELECT a.event_id AS left_id, b.event_id AS right_id, round(greatest(0, 1 - least(abs(epoch_us(a.ts) - epoch_us(b.ts)) / 6e7, 360) / 360), 6) AS time_score

@@ -17,9 +17,11 @@ _QUERY_EVERY = 50
 
 
 def _lexical(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """Hits by the stored term index of the documents, which the first call makes."""
     docs = catalog.spread(catalog.load(spark, sf_dir, "documents").select("doc_id", "text"))
     surfaces = text_index.surfaces(spark, SURFACES)
-    index = text_index.query_projection(docs, "doc_id", {"caption": "text"}, surfaces)
+    path = text_index.index_of(spark, f"{sf_dir}/documents.parquet", docs, "doc_id", {"caption": "text"})
+    index = text_index.stored_projection(spark, path, docs.schema["doc_id"].dataType.simpleString(), "doc_id", surfaces)
     return text_index.lexical_hits(index, "doc_id", surfaces, k)
 
 
@@ -49,6 +51,15 @@ def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lexical(spark, sf_dir, 20).select("query_id", "doc_id", "raw_score", "matched_text", "rank")
 
 
+@query("lexical_scan", f"WITH {_LEXICAL_SQL} SELECT query_id, doc_id, raw_score, matched_text, rank FROM lexical WHERE rank <= 20")
+def lexical_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without an index: the few tokens are looked for in every text."""
+    docs = catalog.spread(catalog.load(spark, sf_dir, "documents").select("doc_id", "text"))
+    surfaces = text_index.surfaces(spark, SURFACES)
+    index = text_index.query_projection(docs, "doc_id", {"caption": "text"}, surfaces)
+    return text_index.lexical_hits(index, "doc_id", surfaces, 20).select("query_id", "doc_id", "raw_score", "matched_text", "rank")
+
+
 @query(
     "conversation_search",
     "SELECT conv_id, turn FROM conversations WHERE list_contains(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), 'the') AND list_contains(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), 'of') ORDER BY conv_id DESC, turn DESC LIMIT 20",
@@ -180,12 +191,12 @@ def adjacency_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.siblings(rows, rows.filter("asset_id < 3"), "media_type", 4, [F.asc("ts"), F.asc("asset_id")])
 
 
-def _leave_one_out(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = catalog.load(spark, sf_dir, "embeddings")
     queries = rows.filter(F.col("vec_id") % _QUERY_EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("ql"))
-    pairs = rows.join(F.broadcast(queries), F.col("vec_id") != F.col("query_id")).select("query_id", F.col("vec_id").alias("asset_id"), dot(F.col("embedding"), F.col("q")).alias("score"), (F.col("label") == F.col("ql")).alias("is_target"))
-    ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "asset_id"))).filter("rank <= 20")
-    return pairs, ranked
+    scored = retrieval.all_scores(rows.select(F.col("vec_id").alias("asset_id"), F.col("embedding").alias("vector")), queries.select("query_id", "q"))
+    pairs = scored.filter("query_id <> asset_id").join(rows.select(F.col("vec_id").alias("asset_id"), "label"), "asset_id")
+    return pairs.join(queries.select("query_id", "ql"), "query_id").select("query_id", "asset_id", F.col("raw_score").alias("score"), (F.col("label") == F.col("ql")).alias("is_target"))
 
 
 @query(
@@ -196,9 +207,15 @@ def _leave_one_out(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     SELECT count(*) AS queries, round(avg(h1 / relevant), 9) AS recall_at_1, round(avg(h5 / relevant), 9) AS recall_at_5, round(avg(h10 / relevant), 9) AS recall_at_10, round(avg(h20 / relevant), 9) AS recall_at_20, round(avg(coalesce(1 / f, 0)), 9) AS mrr, round(avg(h5 / 5), 9) AS precision_at_5 FROM h""",
 )
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leave-one-out retrieval of vectors, labels as ground truth."""
-    pairs, ranked = _leave_one_out(spark, sf_dir)
-    found = metrics.retrieval_metrics(ranked, pairs.filter("is_target").select("query_id", "asset_id"))
+    """Leave-one-out retrieval of vectors, labels as ground truth: only the top 20 and the labels' counts are needed."""
+    rows = catalog.load(spark, sf_dir, "embeddings")
+    vectors, queries = _vector_queries(spark, sf_dir)
+    top = retrieval.vector_hits(vectors, queries, k=21).filter("query_id <> asset_id")
+    ranked = top.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("rank"))).filter("rank <= 20").select("query_id", "asset_id", "rank")
+    labels = rows.select(F.col("vec_id").alias("asset_id"), "label")
+    asked = rows.filter(F.col("vec_id") % _QUERY_EVERY == 0).select(F.col("vec_id").alias("query_id"), "label")
+    targets = labels.join(asked, "label").filter("query_id <> asset_id").select("query_id", "asset_id")
+    found = metrics.retrieval_metrics(ranked, targets)
     return found.select("queries", *[F.round(c, 9).alias(c) for c in found.columns if c != "queries"])
 
 
@@ -209,7 +226,7 @@ def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def separation_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often a target scores above another vector, within its query."""
-    return metrics.separation_auc(_leave_one_out(spark, sf_dir)[0]).select(F.round("auc", 6).alias("auc"))
+    return metrics.separation_auc(_leave_one_out(spark, sf_dir)).select(F.round("auc", 6).alias("auc"))
 
 
 def _nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,6 +279,6 @@ def micro_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("quality_clusters")
 def quality_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order-dependent clustering of vectors by quality, one fold a scope; tested against a plain model."""
+    """Order-dependent clustering of vectors by quality, one fold a scope and model; tests/test_models.py has a plain model."""
     rows = catalog.load(spark, sf_dir, "embeddings").select("vec_id", "embedding", (F.col("vec_id") % 16).alias("scope_id"), ((F.col("vec_id") * 37 % 101) / 100).alias("quality"), F.element_at(F.array(F.lit("frontal"), F.lit("left"), F.lit("right"), F.lit("unknown")), (F.col("vec_id") % 4 + 1).cast("int")).alias("pose"), F.lit("m1").alias("model"))
     return clusters.cluster_by_quality(rows, "scope_id", "vec_id", "embedding", "quality", "pose", "model")

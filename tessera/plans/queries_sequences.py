@@ -148,15 +148,6 @@ def tool_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.join(order_statistics(rows, ["tool"], "value", {"p95": (nearest_rank, 0.95)}).select("tool", "p95"), "tool")
 
 
-@query("event_assignment")
-def event_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Online assignment of observations to events, in order of arrival, scope by scope; tested against a plain model."""
-    rows = catalog.load(spark, sf_dir, "events")
-    seconds = joins.micros("ts") / 1e6
-    obs = rows.select(F.col("user_id").alias("scope_id"), "event_id", seconds.alias("seconds"), F.concat(F.lit("place"), (F.col("user_id") % 3).cast("string")).alias("place"), F.col("event_type").alias("kind"), F.col("event_type").alias("activity"), F.array("event_type").alias("labels"))
-    return event_ops.assigned(obs.withColumnRenamed("event_id", "observation_id"), "scope_id", "observation_id")
-
-
 @query("stream_sessions", f"WITH {_sessions_sql(21599)} SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start_ts, count(*) AS n FROM g GROUP BY user_id, session_no".replace("> 21599000000", ">= 21600000000"))
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of the event log read as a stream, to the end of what is there."""

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Media types by file extension.
@@ -30,6 +33,14 @@ def ingest(spark: SparkSession, folder: str, glob: str = "*", recursive: bool =
     return files.select(F.concat(F.lit("asset_"), F.substring(F.sha2(F.col("path"), 256), 1, 12)).alias("asset_id"), "path", media_type(F.col("path")).alias("media_type"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"), sha.alias("content_sha256"))
 
 
+def import_folder(spark: SparkSession, folder: str, allowed: tuple[str, ...], glob: str = "*") -> DataFrame:
+    """ingest() of a folder, if it lies under one of the allowed roots (as written: no `..` may lead out of them)."""
+    parts = folder.rstrip("/").split("/")
+    if ".." in parts or not any(folder.rstrip("/") == root.rstrip("/") or folder.startswith(root.rstrip("/") + "/") for root in allowed):
+        raise ValueError(f"{folder} lies under none of the allowed roots")
+    return ingest(spark, folder, glob)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A JSON-lines dataset by a given schema; lines that don't parse are kept in _corrupt_record."""
     return spark.read.schema(f"{schema}, _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
@@ -42,26 +53,37 @@ def write_jsonl(rows: DataFrame, path: str) -> None:
 VIDEO = "video_id string, scenes array<struct<scene_id:string,start_s:double,end_s:double,keyframes:array<struct<frame_id:string,t:double,score:double>>>>"
 
 
-def video_keyframes(spark: SparkSession, path: str) -> DataFrame:
-    """video_id, scene_id, frame_id, t and score of video outputs (one multi-line JSON file each)."""
+def video_keyframes(spark: SparkSession, path: str, each: int | None = None) -> DataFrame:
+    """video_id, scene_id, frame_id, t and score of video outputs (one multi-line JSON file each); the best `each` of every scene."""
     outputs = spark.read.schema(VIDEO).option("multiLine", "true").json(path)
     scenes = outputs.select("video_id", F.explode("scenes").alias("s")).select("video_id", "s.scene_id", F.explode("s.keyframes").alias("k"))
-    return scenes.select("video_id", "scene_id", "k.frame_id", "k.t", "k.score")
+    rows = scenes.select("video_id", "scene_id", "k.frame_id", "k.t", "k.score")
+    if each is None:
+        return rows
+    best = F.row_number().over(W.partitionBy("video_id", "scene_id").orderBy(F.desc("score"), "t", "frame_id"))
+    return rows.withColumn("__n", best).filter(F.col("__n") <= each).drop("__n")
 
 
 def save_index(vectors: DataFrame, path: str, space: str, model: str) -> None:
-    """Vectors of a space as Parquet with a one-row manifest beside them; a reader sees the manifest only when both are there."""
-    vectors.write.mode("overwrite").parquet(f"{path}/{space}/vectors")
-    facts = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dim"), F.substring(F.sha2(F.concat_ws(",", F.sort_array(F.collect_set(F.substring(F.sha2(F.col("asset_id").cast("string"), 256), 1, 2)))), 256), 1, 16).alias("checksum"))
-    facts.withColumn("space", F.lit(space)).withColumn("model_name", F.lit(model)).write.mode("overwrite").json(f"{path}/{space}/manifest")
+    """Vectors of a space as Parquet under a version of their own, then the manifest that names the version.
+
+    A reader goes by the manifest, which is written last: a crash before leaves the old manifest with its old vectors.
+    """
+    version = f"v-{uuid.uuid4().hex}"
+    vectors.write.parquet(f"{path}/{space}/{version}")
+    spark = vectors.sparkSession
+    facts = spark.read.parquet(f"{path}/{space}/{version}").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dim"), F.substring(F.sha2(F.concat_ws(",", F.sort_array(F.collect_set(F.substring(F.sha2(F.col("asset_id").cast("string"), 256), 1, 2)))), 256), 1, 16).alias("checksum"))
+    manifest = facts.withColumn("space", F.lit(space)).withColumn("model_name", F.lit(model)).withColumn("version", F.lit(version)).withColumn("written", F.current_timestamp())
+    manifest.coalesce(1).write.mode("append").json(f"{path}/{space}/manifest")
 
 
 def load_index(spark: SparkSession, path: str, space: str, model: str, dim: int) -> DataFrame:
-    """The vectors of a space; refused if the manifest names another model or dimension."""
-    m = spark.read.schema("n long, dim int, checksum string, space string, model_name string").json(f"{path}/{space}/manifest").first()
+    """The vectors that the last manifest of a space names; refused if it names another model or dimension."""
+    rows = spark.read.schema("n long, dim int, checksum string, space string, model_name string, version string, written timestamp").json(f"{path}/{space}/manifest")
+    m = rows.orderBy(F.desc("written"), F.desc("version")).first()
     if (m["model_name"], m["dim"], m["space"]) != (model, dim, space):
         raise ValueError(f"index of {m['model_name']} ({m['dim']}) in {m['space']}; wanted {model} ({dim}) in {space}")
-    return spark.read.parquet(f"{path}/{space}/vectors")
+    return spark.read.parquet(f"{path}/{space}/{m['version']}")
 
 
 def integrity(manifest: DataFrame, files: DataFrame) -> DataFrame:

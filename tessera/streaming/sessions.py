@@ -6,11 +6,18 @@ Watermarks are this library's addition: late rows beyond them are dropped, which
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from pathlib import Path
+import pickle
+import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from tessera.catalog import shared_root
+from tessera.operators.events import WINDOW_S, as_dicts, assign
+from tessera.operators.joins import micros
 
 
 def event_stream(spark: SparkSession, folder: str, glob: str, schema) -> DataFrame:
@@ -59,17 +66,37 @@ def consume(stream: DataFrame, checkpoint: str, prepare: Callable[[DataFrame], D
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A folder of the shared checkpoint place; local sessions without one get a temporary folder."""
-    import tempfile
-    import uuid
+    """A folder of the shared checkpoint place."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def paired(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, reach: str, watermark: str) -> DataFrame:
+    """Pairs of two streams with equal keys of which the right comes within `reach` after the left. Watermarks bound both sides' state.
+
+    Columns of the two must differ in name but for the key.
+    """
+    a = left.withColumn(left_ts, F.col(left_ts).cast("timestamp")).withWatermark(left_ts, watermark)
+    b = right.withColumn(right_ts, F.col(right_ts).cast("timestamp")).withColumnRenamed(key, "__key").withWatermark(right_ts, watermark)
+    near = F.expr(f"`{key}` = __key AND {right_ts} >= {left_ts} AND {right_ts} <= {left_ts} + INTERVAL {reach}")
+    return a.join(b, near).drop("__key")
+
+
+def assigned_online(observations: DataFrame, keep_seconds: float = 2 * WINDOW_S) -> DataFrame:
+    """scope_id, obs_id, event_id and score of a stream of observations, the open events of each scope being its state.
 
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="spark-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    A late observation is never dropped: it is held against the events that the state still has, which are those that began
+    within keep_seconds of the newest observation so far.
+    """
+    columns = ["scope_id", "obs_id", "t", "location", "visual_place", "kind", "activity", "objects", "people", "gps", "vector"]
+    kind = lambda c: observations.schema[c].dataType.simpleString()
+    rows = observations.withColumn("t", micros("ts") / 1e6).filter("t IS NOT NULL").select(*columns)
 
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        opened = pickle.loads(state.get[0]) if state.exists else []
+        arrived = pd.concat(list(batches), ignore_index=True).sort_values(["t", "obs_id"], kind="stable")
+        found = [(key[0], *x) for x in assign(as_dicts(arrived), opened=opened, keep_seconds=keep_seconds)]
+        state.update((pickle.dumps(opened),))
+        yield pd.DataFrame(found, columns=["scope_id", "obs_id", "event_id", "score"])
 
-def parent_and_name(path: str) -> tuple[str, str]:
-    return str(Path(path).parent), Path(path).name
+    out = f"scope_id {kind('scope_id')}, obs_id {kind('obs_id')}, event_id string, score double"
+    return rows.groupBy("scope_id").applyInPandasWithState(run, out, "events binary", "append", GroupStateTimeout.NoTimeout)

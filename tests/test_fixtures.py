@@ -175,19 +175,17 @@ def test_pairwise_metrics(spark):
 
 def test_event_assignment():
     obs = [("a", 0.0, "home", "meal", "cooking", ["pan"]), ("b", 600.0, "home", "meal", "cooking", ["pan"]), ("c", 700.0, "park", "walk", "walking", ["dog"]), ("d", 9e4, "home", "meal", "cooking", ["pan"])]
-    found = [e for _, e, _ in events.assign(iter(obs))]
+    found = [e for _, e, _ in events.assign({"obs_id": i, "t": t, "location": p, "kind": k, "activity": a, "objects": set(o)} for i, t, p, k, a, o in obs)]
     assert found == ["event_a", "event_a", "event_c", "event_d"]
 
 
 def test_consolidation_takes_the_best_pair_first():
-    into = events.consolidation([("a", "b", 0.6), ("b", "c", 0.9)], {"a": 1, "b": 2, "c": 1}, {"a": 0.0, "b": 1.0, "c": 2.0})
-    assert into == {"a": "b", "b": "b", "c": "b"}
+    o = lambda t, lat, word: {"t": t, "gps": (lat, 20.0), "vector": None, "activity": word, "kind": "", "objects": set(), "people": set()}
+    into = events.consolidation({"a": [o(0, 10.0, "walk")], "b": [o(60, 10.002, "walk"), o(61, 10.002, "walk")], "c": [o(120, 10.0021, "walk")], "d": [o(90_000, 10.0, "walk")]})
+    assert into == {"a": "b", "b": "b", "c": "b", "d": "d"}
 
 
-def test_greedy_helpers():
-    assert clusters.text_rows([0, 20, 60, 30]) == [0, 0, 1, 2] or clusters.text_rows([0, 20, 60, 30]) == [0, 0, 1, 1]
-    assert clusters.greedy_assignment(np.array([[0.1, 0.2], [0.05, 3.0]])) == [(1, 0), (0, 1)]
-    assert clusters.suppress(np.array([[0, 0, 2, 2], [0, 0, 2, 2], [5, 5, 6, 6]]), [0.9, 0.8, 0.7], ["x", "x", "x"]) == [0, 2]
+def test_even_indices():
     assert orderstats.even_indices(10, 4) == [0, 3, 6, 9]
 
 
