@@ -1,6 +1,13 @@
 """Corpus pipeline: documents in, shards of a clean, mixed corpus out, one stage after another.
 
 A stage is a function (spark, docs, sf_dir) -> DataFrame over all that its predecessor kept.
+
+Edge cases: what each operator says of nulls, empty and very long texts, ties and repeats holds for its stage. A document
+without a letter goes in the first stage, and so with it every null and empty text; of equal rows one stays; a document that
+holds only whole benchmark items of 1 to 7 words stays (such phrases stand in clean documents by chance: see
+MIN_REMOVED_WORDS of the operator); null doc_ids and sources are values like any other; further columns stay as they are, but
+`shard` and `slot`, which the last stage adds, and names that begin with two underscores; an empty table gives no rows. A
+document comes as often as the mix takes it, in part where its source's walk begins or ends.
 """
 
 from __future__ import annotations
@@ -16,7 +23,7 @@ from tessera.llm.simhash import one_of_each
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: documents whose language can't be told go."""
+    """Operator 6: documents whose language can't be told go: those without letters, or unlike all learned languages."""
     return identified(docs)
 
 
@@ -26,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: documents that hold a passage of the benchmark go."""
+    """Operator 4: documents that hold ten consecutive words of a benchmark item go, or all words of a shorter one of 8 or 9."""
     return remove_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
