@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, written
+from tessera.llm.common import table
 
 #: The bound of the training sample: so many rows in all, as many of each language (at least LEAST_ROWS of each, however many
 #: languages there are), none of more bytes than this.
@@ -44,7 +44,7 @@ SEQUENCE = 48
 STEPS = 40
 SEED = 7
 #: Emission values (words times languages) that a worker keeps; at more it starts anew.
-MAX_VALUES = 2_000_000
+MAX_VALUES = 1_000_000
 #: Steps of a chain between which only the messages are kept.
 STRETCH = 4096
 UNKNOWN = "und"
@@ -217,22 +217,27 @@ def _chain(ids: np.ndarray, lengths: np.ndarray, e: np.ndarray, model: Model, st
     active = np.searchsorted(-lengths, -np.arange(longest), side="left")  # texts longer than t
 
     def forward(first: int, message: np.ndarray | None) -> list[np.ndarray]:
-        out = []
-        for t in range(first, min(longest, first + stretch)):
+        steps = range(first, min(longest, first + stretch))
+        held = np.empty((int(active[first : steps.stop].sum()), k))  # one piece of memory for all messages of the stretch
+        out, at = [], 0
+        for t in steps:
             n = active[t]
             f = e[ids[begin[:n] + t]] * (s if t == 0 else message[:n] @ a)
-            message = f / f.sum(axis=1, keepdims=True)
+            message = held[at : at + n]
+            np.divide(f, f.sum(axis=1, keepdims=True), out=message)
             out.append(message)
+            at += n
         return out
 
     before, messages, kept = {0: None}, [], 0
     for first in range(0, longest, stretch):
         messages, kept = forward(first, before[first]), first
-        before[first + stretch] = messages[-1]
+        before[first + stretch] = messages[-1].copy()
     total = np.zeros((len(lengths), k))
     back = np.ones((0, k))
     for first in range(kept, -1, -stretch):
         if first != kept:
+            messages = []
             messages = forward(first, before[first])
         for t in range(min(longest, first + stretch) - 1, first - 1, -1):
             n = active[t]
@@ -246,7 +251,7 @@ def _chain(ids: np.ndarray, lengths: np.ndarray, e: np.ndarray, model: Model, st
 
 
 #: Message values (words times languages) that one run of the chain may need.
-_RUN_VALUES = 4_000_000
+_RUN_VALUES = 1_600_000
 
 
 def predict(texts: list[str | None], model: Model, known: _Words | None = None) -> list[tuple[str, float, float]]:
