@@ -28,21 +28,28 @@ def truncated_index(n: Column, q: float) -> Column:
 def order_statistics(rows: DataFrame, keys: list[str], value: str, wanted: dict[str, tuple[Callable[[Column, float], Column], float]]) -> DataFrame:
     """Per key the named order statistics of value (nulls left out).
 
-    A rank per value and one conditional aggregate; a key with very many rows is sorted by one task, as any exact order
-    statistic by rank is. For interpolated percentiles use `percentile`, which merges counts map-side.
+    Equal values collapse to counts first, map-side, so a key's window runs over its distinct values only.
     """
     w = W.partitionBy(*keys)
-    ranked = rows.filter(F.col(value).isNotNull()).withColumn("__n", F.count(F.lit(1)).over(w)).withColumn("__r", F.row_number().over(w.orderBy(value)))
-    return ranked.groupBy(*keys).agg(F.max("__n").alias("n"), *[F.max(F.when(F.col("__r") == f(F.col("__n"), q), F.col(value))).alias(name) for name, (f, q) in wanted.items()])
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
+    placed = counts.withColumn("__n", F.sum("__c").over(w)).withColumn("__hi", F.sum("__c").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0)))
+    at = lambda r: (F.col("__hi") >= r) & (F.col("__hi") - F.col("__c") < r)
+    return placed.groupBy(*keys).agg(F.max("__n").alias("n"), *[F.max(F.when(at(f(F.col("__n"), q)), F.col(value))).alias(name) for name, (f, q) in wanted.items()])
 
 
-def robust_unit(value: Column, keys: list[str]) -> Column:
-    """The value between its partition's 5th and 95th percentiles (interpolated), clipped to 0..1; 0 where they are equal."""
-    w = W.partitionBy(*keys)
-    low, high = F.percentile(value, 0.05).over(w), F.percentile(value, 0.95).over(w)
-    least, most = F.min(value).over(w), F.max(value).over(w)
+def with_robust_units(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """rows with unit_<column>: each column between its key's 5th and 95th percentiles (interpolated), clipped to 0..1; 0 where it is constant.
+
+    The percentiles come from one aggregate by key, which merges counts map-side, and are joined back.
+    """
+    stats = [s for c in columns for s in (F.percentile(c, F.array(F.lit(0.05), F.lit(0.95))).alias(f"__p_{c}"), F.min(c).alias(f"__a_{c}"), F.max(c).alias(f"__b_{c}"))]
+    out = rows.join(rows.groupBy(*keys).agg(*stats), keys, "left")
     clip = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
-    return F.when(high > low, clip((value - low) / (high - low))).when(most > least, clip((value - least) / (most - least))).otherwise(F.lit(0.0))
+    units = []
+    for c in columns:
+        v, low, high, least, most = F.col(c), F.col(f"__p_{c}")[0], F.col(f"__p_{c}")[1], F.col(f"__a_{c}"), F.col(f"__b_{c}")
+        units.append(F.when(high > low, clip((v - low) / (high - low))).when(most > least, clip((v - least) / (most - least))).otherwise(F.lit(0.0)).alias(f"unit_{c}"))
+    return out.select(*rows.columns, *units)
 
 
 def even_indices(n: int, k: int) -> list[int]:

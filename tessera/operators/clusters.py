@@ -6,7 +6,7 @@ fixed total order over numpy matrices. What an image, frame or scope and model h
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -182,16 +182,20 @@ def text_rows(boxes: DataFrame, keys: list[str], y: str, order: list[str], toler
     From top to bottom only the last row can be within it, so a row is a run that is left when its first box is too far.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([y, *order], kind="stable")
-        number, first, out = -1, -np.inf, []
-        for v in pdf[y]:
-            if v - first > tolerance:
-                number, first = number + 1, v
-            out.append(number)
-        return pdf.assign(row_no=np.array(out, np.int32))
-
-    return boxes.groupBy(*keys).applyInPandas(fold, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in boxes.schema)}, row_no int")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, number, first = None, -1, -np.inf
+        for rows in batches:
+            out = []
+            for *key, v in zip(*[rows[k] for k in keys], rows[y]):
+                if key != at:
+                    at, number, first = key, -1, -np.inf
+                if v - first > tolerance:
+                    number, first = number + 1, v
+                out.append(number)
+            yield rows.assign(row_no=np.array(out, np.int32))
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in boxes.schema)
+    return boxes.repartition(*keys).sortWithinPartitions(*keys, y, *order).mapInPandas(run, f"{fields}, row_no int")
 
 
 def assign_greedily(costs: DataFrame, keys: list[str], row: str, column: str, cost: str, most: float = 1.85) -> DataFrame:

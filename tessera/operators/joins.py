@@ -62,23 +62,34 @@ def overlaps(left: DataFrame, right: DataFrame, keys: list[str], l_start: str, l
     return a.join(b, on).drop(a["__at"]).drop(b["__at"]).drop("__la", "__lb").drop(*[b[k] for k in keys])
 
 
-def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, right_id: str, value: str) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, right_id: str, value: str, slot_seconds: float = 86_400.0) -> DataFrame:
     """left with the value, id and distance (microseconds) of the right record nearest in time, before or after.
 
-    Ties go to the earlier record, then to the smaller id. Both sides are merged into one order per key; the last record
-    before and the first after are carried along by windows, so no pairs are formed at all.
+    Ties go to the earlier record, then to the smaller id. No pairs are formed: within a time slot both sides are merged into
+    one order and records carried along; what lies outside a slot is one record before it and one after it, from a window over
+    the slots of a key, of which there are few however many rows the key has.
     """
     record = F.struct(F.col("__t"), F.col(right_id).alias("id"), F.col(value).alias("value"))
-    a = left.withColumn("__t", micros(left_ts)).withColumn("__record", F.lit(None).cast(f"struct<__t:bigint,id:{_kind(right, right_id)},value:{_kind(right, value)}>")).withColumn("__left", F.lit(1))
-    b = right.select(*keys, micros(right_ts).alias("__t"), right_id, value).withColumn("__record", record).select(*keys, "__t", "__record").withColumn("__left", F.lit(0))
-    merged = a.unionByName(b, allowMissingColumns=True)
+    kind = f"struct<__t:bigint,id:{_kind(right, right_id)},value:{_kind(right, value)}>"
+    slot = F.floor(F.col("__t") / int(slot_seconds * 1_000_000)).alias("__slot")
+    a = left.withColumn("__t", micros(left_ts)).withColumn("__slot", slot)
+    b = right.select(*keys, micros(right_ts).alias("__t"), right_id, value).withColumn("__record", record).select(*keys, "__t", "__record").withColumn("__slot", slot)
+    # Of each slot its first record and its last one, the smaller id of equal times.
+    late = F.struct((-F.col("__t")).alias("n"), F.col("__record").alias("r"))
+    ends = b.groupBy(*keys, "__slot").agg(F.min("__record").alias("first"), F.min(late)["r"].alias("last"))
+    slots = a.select(*keys, "__slot").distinct().join(ends, [*keys, "__slot"], "full_outer")
+    w = W.partitionBy(*keys).orderBy("__slot")
+    slots = slots.withColumn("__before", F.last("last", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))).withColumn("__after", F.first("first", ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing)))
+    merged = a.withColumn("__record", F.lit(None).cast(kind)).withColumn("__left", F.lit(1)).unionByName(b.withColumn("__left", F.lit(0)), allowMissingColumns=True)
     # Records come before left rows of the same time in the first order, and after them in the second: both see them.
-    before = W.partitionBy(*keys).orderBy("__t", "__left", F.desc("__record")).rowsBetween(W.unboundedPreceding, 0)
-    after = W.partitionBy(*keys).orderBy(F.desc("__t"), "__left", F.desc("__record")).rowsBetween(W.unboundedPreceding, 0)
-    seen = merged.withColumn("__b", F.last("__record", ignorenulls=True).over(before)).withColumn("__a", F.last("__record", ignorenulls=True).over(after))
+    inside = W.partitionBy(*keys, "__slot")
+    before = inside.orderBy("__t", "__left", F.desc("__record")).rowsBetween(W.unboundedPreceding, 0)
+    after = inside.orderBy(F.desc("__t"), "__left", F.desc("__record")).rowsBetween(W.unboundedPreceding, 0)
+    seen = merged.withColumn("__b", F.last("__record", ignorenulls=True).over(before)).withColumn("__a", F.last("__record", ignorenulls=True).over(after)).filter("__left = 1")
+    seen = seen.join(slots.select(*keys, "__slot", "__before", "__after"), [*keys, "__slot"], "left").withColumn("__b", F.coalesce("__b", "__before")).withColumn("__a", F.coalesce("__a", "__after"))
     away = lambda r: F.struct(F.abs(F.col(f"{r}.__t") - F.col("__t")).alias("d"), F.col(f"{r}.__t").alias("t"), F.col(f"{r}.id").alias("id"), F.col(f"{r}.value").alias("value"))
     best = F.array_min(F.filter(F.array(F.when(F.col("__b").isNotNull(), away("__b")), F.when(F.col("__a").isNotNull(), away("__a"))), lambda x: x.isNotNull()))
-    kept = seen.filter("__left = 1").withColumn("__n", best)
+    kept = seen.withColumn("__n", best)
     return kept.select(*left.columns, F.col("__n.id").alias("nearest_id"), F.col("__n.value").alias("nearest_value"), F.col("__n.d").alias("distance_us"))
 
 

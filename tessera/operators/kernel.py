@@ -114,9 +114,9 @@ def metadata_search(assets: DataFrame, observations: DataFrame, passes: Column,
     return top.withColumn("ordinal", F.row_number().over(W.orderBy(F.desc_nulls_last("ts"), "asset_id"))).select("asset_id", "ordinal")
 
 
-def channels(enabled: dict[str, bool], sources: dict[str, DataFrame]) -> DataFrame:
-    """The union of the hits of the enabled channels, each made by its registered retriever. sources: hits by channel name."""
-    unknown = set(enabled) - set(retrieval.RETRIEVERS) - set(retrieval.CHANNELS)
+def recall(enabled: dict[str, bool], arguments: dict[str, dict]) -> list[DataFrame]:
+    """The hits of the enabled channels, each from its registered retriever; a channel without arguments has nothing to go by."""
+    unknown = (set(enabled) | set(arguments)) - set(retrieval.RETRIEVERS)
     if unknown:
         raise ValueError(f"unknown channels: {sorted(unknown)}")
-    return retrieval.union_hits(*[hits for name, hits in sources.items() if enabled.get(name, True)])
+    return [find(**arguments[name]) for name, find in retrieval.RETRIEVERS.items() if enabled.get(name, False) and name in arguments]

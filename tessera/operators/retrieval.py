@@ -119,6 +119,12 @@ def vector_hits(vectors: DataFrame, queries: DataFrame, k: int = 10, channel: st
     return _ranked(scored.groupBy("query_id", "asset_id").agg(F.max("raw_score").alias("raw_score")), channel, [F.desc("raw_score"), F.asc("asset_id")], k)
 
 
+@retriever("text")
+def text_hits(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """vector_hits over the text spaces: an asset's vectors of all of them count with the best."""
+    return vector_hits(vectors, queries, k, "text")
+
+
 def union_hits(*channels: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, channels)
 
@@ -235,14 +241,6 @@ def satisfaction(contract: DataFrame) -> DataFrame:
     return s.select("satisfaction", F.when(F.col("satisfaction") == "full_support", "full").when(F.col("confirmed") > 0, "partial").otherwise("limited").alias("answerability"))
 
 
-def gaps(items: DataFrame, constraints: tuple[Constraint, ...]) -> DataFrame:
-    """Semantic constraints that no item matches."""
-    spark = items.sparkSession
-    asked = spark.createDataFrame([(c.key,) for c in constraints if c.strictness == SEMANTIC], "condition string")
-    met = items.select(F.explode("conditions").alias("condition", "status")).filter("status = 'matched'").select("condition").distinct()
-    return asked.join(met, "condition", "left_anti")
-
-
 # --- expansion -------------------------------------------------------------------------------------------------------
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.functions.orderstats import robust_unit
+from tessera.functions.orderstats import with_robust_units
 from tessera.operators.joins import micros
 
 
@@ -51,11 +51,10 @@ def mad(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def boundary_scores(frames: DataFrame, keys: list[str], weights: dict[str, float]) -> DataFrame:
     """frames with score: the weighted sum of signals, each brought to 0..1 robustly within its key."""
-    parts = [robust_unit(F.col(c), keys) * w for c, w in weights.items()]
-    total = parts[0]
-    for p in parts[1:]:
-        total = total + p
-    return frames.withColumn("score", total)
+    total = F.lit(0.0)
+    for c, w in weights.items():
+        total = total + F.col(f"unit_{c}") * w
+    return with_robust_units(frames, keys, list(weights)).withColumn("score", total).select(*frames.columns, "score")
 
 
 def peaks(scored: DataFrame, keys: list[str], ts: str, key: str, quantile: float = 0.88, spread: float = 2.8) -> DataFrame:

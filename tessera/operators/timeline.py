@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.functions.orderstats import even_indices, robust_unit
+from tessera.functions.orderstats import even_indices, with_robust_units
 from tessera.functions.vector import dot
 from tessera.operators.joins import overlaps
 
@@ -22,8 +22,8 @@ def weighted(frames: DataFrame, video: str, weights: dict[str, float], name: str
     """frames with the weighted sum of signals, each robustly between 0 and 1 within its video."""
     total = F.lit(0.0)
     for column, w in weights.items():
-        total = total + robust_unit(F.col(column), [video]) * w
-    return frames.withColumn(name, total)
+        total = total + F.col(f"unit_{column}") * w
+    return with_robust_units(frames, [video], list(weights)).withColumn(name, total).select(*frames.columns, name)
 
 
 def scenes(frames: DataFrame, video: str, t: str, boundary: str, labels: str) -> DataFrame:

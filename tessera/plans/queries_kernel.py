@@ -44,9 +44,10 @@ def _hits(assets: DataFrame) -> DataFrame:
     near = -F.abs(F.col("value") - F.col("query_id") * 20)
     rank = lambda *by: F.row_number().over(W.partitionBy("query_id").orderBy(*by))
     visual = assets.select("asset_id", "value", queries).withColumn("raw_score", F.round(near, 6)).withColumn("rank", rank(F.desc("raw_score"), "asset_id")).filter("rank <= 60")
-    entity = assets.select("asset_id", queries).filter(F.col("asset_id") % (F.col("query_id") + 5) == 0).withColumn("raw_score", F.lit(1.0)).withColumn("rank", rank("asset_id")).filter("rank <= 60")
-    named = lambda df, c: df.select("query_id", F.lit(c).alias("channel"), "asset_id", "raw_score", "rank")
-    return kernel.channels({"visual": True, "entity": True, "text": False}, {"visual": named(visual, "visual"), "entity": named(entity, "entity")})
+    visual = visual.select("query_id", F.lit("visual").alias("channel"), "asset_id", "raw_score", "rank")
+    mentions = assets.select("asset_id", queries).filter(F.col("asset_id") % (F.col("query_id") + 5) == 0).select("asset_id", F.col("query_id").alias("entity_id"))
+    asked = assets.sparkSession.createDataFrame([(i, i) for i in (1, 2, 3)], "query_id int, entity_id int")
+    return retrieval.union_hits(visual, *kernel.recall({"entity": True, "text": False}, {"entity": {"mentions": mentions, "queries": asked, "k": 60}}))
 
 
 _MULTI = f"""WITH {_DATA}, qs AS (SELECT unnest([1, 2, 3]) AS q), vis AS (SELECT q, asset_id, row_number() OVER (PARTITION BY q ORDER BY round(-abs(value - q * 20), 6) DESC, asset_id) AS r FROM a, qs), ent AS (SELECT q, asset_id, row_number() OVER (PARTITION BY q ORDER BY asset_id) AS r FROM a, qs WHERE asset_id % (q + 5) = 0),

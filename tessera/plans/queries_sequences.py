@@ -1,4 +1,4 @@
-"""Sessions, ranges, peaks, percentiles, events and streams."""
+"""Sessions, ranges, peaks, percentiles and streams."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tessera import catalog
 from tessera.functions.orderstats import nearest_rank, order_statistics, rounded_index, truncated_index
-from tessera.operators import events as event_ops
 from tessera.operators import joins, sequences
 from tessera.registry import query
 from tessera.streaming import sessions as streams

@@ -40,6 +40,30 @@ def test_index_manifest_is_checked(spark, tmp_path):
         files.load_index(spark, str(tmp_path), "visual", "m2", 2)
 
 
+def test_a_new_index_takes_the_place_of_the_old_one_with_its_manifest(spark, tmp_path):
+    for n in (1, 2):
+        v = spark.createDataFrame([(f"a{i}", [1.0, 0.0]) for i in range(n)], "asset_id string, vector array<float>")
+        files.save_index(v, str(tmp_path), "visual", "m1")
+    assert files.load_index(spark, str(tmp_path), "visual", "m1", 2).count() == 2
+    spark.createDataFrame([("half", [9.0])], "asset_id string, vector array<float>").write.parquet(f"{tmp_path}/visual/v-crashed")
+    assert files.load_index(spark, str(tmp_path), "visual", "m1", 2).count() == 2
+
+
+def test_only_allowed_folders_are_imported(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.jpg").write_bytes(b"1")
+    assert files.import_folder(spark, str(tmp_path / "in"), (str(tmp_path),)).count() == 1
+    for folder in ("/etc", f"{tmp_path}/in/../../etc", f"{tmp_path}x"):
+        with pytest.raises(ValueError):
+            files.import_folder(spark, folder, (str(tmp_path),))
+
+
+def test_keyframes_of_a_scene_have_a_budget(spark, tmp_path):
+    frames = [{"frame_id": f"f{i}", "t": float(i), "score": s} for i, s in enumerate((0.2, 0.9, 0.9, 0.1))]
+    (tmp_path / "m.json").write_text(json.dumps({"video_id": "v", "scenes": [{"scene_id": "s", "start_s": 0, "end_s": 4, "keyframes": frames}]}))
+    assert {r.frame_id for r in files.video_keyframes(spark, str(tmp_path / "m.json"), 2).collect()} == {"f1", "f2"}
+
+
 def test_integrity_and_paths(spark):
     schema = "path string, size_bytes long, content_sha256 string"
     manifest = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y"), ("c", 3, "z"), ("d", 4, "w")], schema)
