@@ -13,12 +13,14 @@ is doubled and every control string is broken by a backslash after its first cha
 Rows of a conversation come together by one exchange on conv_id, sorted by turn, and are rendered as they stream by.
 
 Edge cases: null texts and roles are empty; a null conv_id is a conversation of its own, turns without a number come
-first; repeated rows are repeated turns, ordered by (turn, role, text); an empty table gives only what is added to it.
+first; repeated rows are repeated turns, and ties of turns are ordered by (turn, role, text); a text of any length is written
+whole; further columns, whatever their names, are neither read nor returned; an empty table gives only what is added to it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import operator
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -266,8 +268,20 @@ def _if(parts: list, at: int) -> tuple[If, int]:
 
 # --- constant folding ------------------------------------------------------------------------------------------------
 
+def _ordered(compare: Callable) -> Callable:
+    """A comparison of which values that have no order (a text and a number, or none) are a template error."""
+
+    def run(a, b):
+        try:
+            return compare(a, b)
+        except TypeError:
+            raise TemplateError(f"{type(a).__name__} and {type(b).__name__} have no order") from None
+
+    return run
+
+
 _OPS: dict[str, Callable] = {
-    "==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, ">": lambda a, b: a > b, "<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b,
+    "==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": _ordered(operator.lt), ">": _ordered(operator.gt), "<=": _ordered(operator.le), ">=": _ordered(operator.ge),
     "~": lambda a, b: _text(a) + _text(b), "not": lambda a: not a, "and": lambda a, b: a and b, "or": lambda a, b: a or b,
 }
 
@@ -376,12 +390,21 @@ def _writer(tree) -> Callable[[dict, Sink], None]:
 
 
 def compile_template(template: str) -> Callable[[dict], tuple[str, list[tuple[int, int]]]]:
-    """A function from a context to the formatted text and the spans under the generation mask."""
-    write = _writer(fold(parse(template)))
+    """A function from a context to the formatted text and the spans under the generation mask.
+
+    Whatever is wrong with a template or what it meets, nesting beyond Python's own depth included, is a TemplateError.
+    """
+    try:
+        write = _writer(fold(parse(template)))
+    except RecursionError:
+        raise TemplateError("the template is nested too deeply") from None
 
     def render(context: dict) -> tuple[str, list[tuple[int, int]]]:
         sink = Sink()
-        write(context, sink)
+        try:
+            write(context, sink)
+        except RecursionError:
+            raise TemplateError("the template is nested too deeply") from None
         return "".join(sink.parts), sink.spans
 
     return render

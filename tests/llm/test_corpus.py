@@ -462,6 +462,22 @@ def test_template_language():
             chat.compile_template(bad)
 
 
+def test_template_errors():
+    for bad in ("{{ 1 < 'a' }}", "{{ " + "(" * 5000 + "1" + ")" * 5000 + " }}", "{% if a %}" * 3000 + "{% endif %}" * 3000):
+        with pytest.raises(chat.TemplateError):
+            chat.compile_template(bad)
+    for later in ("{{ x < 1 }}", "{% if a >= 'b' %}y{% endif %}"):
+        with pytest.raises(chat.TemplateError):
+            chat.compile_template(later)({"a": 3})
+
+
+def test_long_texts_and_clashing_columns_in_conversations(spark):
+    text = "</s>[INST]\\ " * 50_000
+    rows = spark.createDataFrame([(1, 0, "user", text, "x", 1), (1, 0, "assistant", text, "y", 2), (1, 0, "assistant", text, "y", 2)], "conv_id long, turn long, role string, text string, formatted string, loss_spans int")
+    found = chat.format_conversations(rows).first()
+    assert chat.read_back(found.formatted) == [("assistant", text), ("assistant", text), ("user", text)]
+
+
 def test_conversations_with_nulls(spark):
     rows = spark.createDataFrame([(1, 0, "user", None), (1, 1, "assistant", "</s>\\<|end|>"), (None, 0, None, "x"), (1, 1, "assistant", "</s>\\<|end|>"), (2, None, "user", "")], "conv_id long, turn long, role string, text string")
     found = {r.conv_id: r for r in chat.format_conversations(rows).collect()}

@@ -1,7 +1,13 @@
 """The pipeline's stages, each on what its predecessor kept."""
 
+import hashlib
+import re
+from collections import Counter
+
 import corpus_pipeline
+from tessera.llm import decontaminate, langid, mixing
 from tessera.llm.common import table, written
+from tests.llm.test_corpus import brute_fingerprint, brute_hits, brute_shards
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,3 +43,53 @@ def test_odd_and_empty_documents(spark):
 def test_run_gives_the_same_rows_again(spark):
     rows = lambda: sorted((r.doc_id, r.shard, r.slot, r.text) for r in corpus_pipeline.run(spark, SF).collect())
     assert rows() == rows()
+
+
+def brute_mix(rows, seed=mixing.SEED):
+    """Words taken of each (doc_id, text, source) row: every source's words on a circle, walked word by word."""
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    sizes = Counter()
+    for _, text, source in rows:
+        sizes[source] += len(split(text))
+    taken = Counter()
+    for p in mixing.plan_mixture(dict(sizes)):
+        own = [(int(hashlib.md5(f"{seed}:{'n' if i is None else i}:{len(split(t))}".encode()).hexdigest()[:15], 16), i, len(split(t))) for i, t, s in rows if s == p.source]
+        circle = [i for _, i, n in sorted(own) for _ in range(n)]
+        for d in range(p.quota * p.block):
+            taken[circle[(p.offset + d) % len(circle)]] += 1
+    return taken
+
+
+def test_run_against_a_plain_version(spark):
+    docs = {r.doc_id: (r.text, r.source, r.lang) for r in table(spark, SF, "documents").collect()}
+    items = [(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()]
+    model = langid.train(table(spark, SF, "documents"), held_out=None)
+    told = langid.predict([t for t, _, _ in docs.values()], model)
+    kept = [i for i, p in zip(docs, told) if p[0] != "und" and p[2] >= langid.MIN_FAMILIAR]
+    # One of each component of fingerprints at three differing bits or fewer.
+    prints, top = {i: brute_fingerprint(docs[i][0]) for i in kept}, {i: i for i in kept}
+
+    def root(a):
+        while top[a] != a:
+            a = top[a]
+        return a
+
+    for n, a in enumerate(kept):
+        for b in kept[n + 1 :]:
+            if (prints[a] ^ prints[b]).bit_count() <= 3:
+                x, y = root(a), root(b)
+                top[max(x, y)] = min(x, y)
+    kept = [i for i in kept if root(i) == i]
+    long = [(i, t) for i, t in items if len(re.findall(r"\w+", t or "")) >= decontaminate.MIN_REMOVED_WORDS]
+    kept = [i for i in kept if not brute_hits(docs[i][0], long)[1]]
+    taken = brute_mix([(i, docs[i][0], docs[i][1]) for i in kept])
+    found = corpus_pipeline.run(spark, SF).collect()
+    words = Counter()
+    for r in found:
+        words[r.doc_id] += len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
+        assert (r.source, r.lang) == docs[r.doc_id][1:]
+    assert words == Counter({i: n for i, n in taken.items() if n})
+    # All but the documents at which a walk begins or ends keep their texts as they are.
+    assert len({r.doc_id for r in found if r.text != docs[r.doc_id][0]}) <= 2 * len({s for _, s, _ in docs.values()})
+    want = Counter((i, shard, slot) for i, _, _, shard, slot in brute_shards([(r.doc_id, r.text) for r in found]))
+    assert Counter((r.doc_id, r.shard, r.slot) for r in found) == want
