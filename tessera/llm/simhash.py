@@ -24,6 +24,7 @@ no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -43,8 +44,9 @@ FRONTIER = 1 << 18
 #: Fingerprints of a shard at most, and of the shards whose trees a worker holds at once.
 MAX_SHARD = 1 << 16
 HELD_ROWS = 1 << 18
-#: Shards to be split are broadcast up to so many.
+#: Shards to be split are broadcast up to so many, ids of documents that stay up to so many (8 bytes each).
 MAX_BROADCAST_SHARDS = 500_000
+MAX_BROADCAST_IDS = 1_000_000
 
 
 def fingerprint(text: str | None, words: int = SHINGLE, seed: int = SEED) -> int:
@@ -289,16 +291,20 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     found = written(_resolved(docs, radius), "resolved")
     ids = written(found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("component_id") == F.col("doc_id")).alias("chosen")).filter("chosen"), "kept")
-    single = docs.join(ids.filter("n = 1").select("doc_id"), "doc_id", "left_semi")
-    shared = ids.filter("n > 1").select("doc_id")
-    heads = found.filter("component_id = doc_id").join(shared, "doc_id", "left_semi").select("doc_id", F.col("fp").alias("__fp"), F.col("root").alias("__root"))
-    twice = with_fingerprint(docs.join(shared, "doc_id", "left_semi")).join(written(heads.distinct(), "heads"), ["doc_id", "__fp"])
-    lone = found.filter("component_id IS NULL AND fp = root").select(F.col("root").alias("__fp")).distinct()
-    nameless = with_fingerprint(docs.filter("doc_id IS NULL")).join(lone, "__fp", "left_semi")
+    n_single, n_shared = ids.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") > 1)).first()
+    small = lambda df, n: F.broadcast(df) if n <= MAX_BROADCAST_IDS else df
+    parts = [docs.join(small(ids.filter("n = 1").select("doc_id"), n_single), "doc_id", "left_semi")]
     rank = lambda by: F.row_number().over(W.partitionBy(by).orderBy(*[c for c in docs.columns if c != by]))
-    twice = twice.withColumn("__n", rank("__root")).filter("__n = 1")
-    nameless = nameless.withColumn("__n", rank("__fp")).filter("__n = 1")
-    return single.select(docs.columns).unionAll(twice.select(docs.columns)).unionAll(nameless.select(docs.columns))
+    if n_shared:
+        shared = ids.filter("n > 1").select("doc_id")
+        heads = found.filter("component_id = doc_id").join(small(shared, n_shared), "doc_id", "left_semi").select("doc_id", F.col("fp").alias("__fp"), F.col("root").alias("__root"))
+        twice = with_fingerprint(docs.join(small(shared, n_shared), "doc_id", "left_semi")).join(written(heads.distinct(), "heads"), ["doc_id", "__fp"])
+        parts.append(twice.withColumn("__n", rank("__root")).filter("__n = 1"))
+    lone = written(found.filter("component_id IS NULL AND fp = root").select(F.col("root").alias("__fp")).distinct(), "lone")
+    if n_lone := lone.count():
+        nameless = with_fingerprint(docs.filter("doc_id IS NULL")).join(small(lone, n_lone), "__fp", "left_semi")
+        parts.append(nameless.withColumn("__n", rank("__fp")).filter("__n = 1"))
+    return reduce(DataFrame.unionAll, [part.select(docs.columns) for part in parts])
 
 
 def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
