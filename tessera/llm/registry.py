@@ -1,6 +1,6 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from tessera.llm import ann, chat, decontaminate, html_main, langid, licenses, mixing, pii, sharding, simhash
+from tessera.llm import ann, chat, decontaminate, html_main, langid, licenses, merkle, mixing, pii, sharding, simhash
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_scan_licenses": licenses.op8_scan_licenses,
     "op9_nearest_neighbours": ann.op9_nearest_neighbours,
     "op10_simhash_near_duplicates": simhash.op10_simhash_near_duplicates,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
 }
 
 ORACLES = {
@@ -20,4 +21,5 @@ ORACLES = {
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op7_format_chats": chat.OP7_SQL,
     "op8_scan_licenses": licenses.OP8_SQL,
+    "op11_merkle_manifest": merkle.OP11_SQL,
 }
