@@ -55,6 +55,11 @@ def cleaned(spark: SparkSession) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def small(rows: DataFrame, most: int) -> DataFrame:
+    """Rows that are cheap to count (written ones), to be broadcast if there are at most so many."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

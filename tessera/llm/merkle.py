@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower, table, written
+from tessera.llm.common import ascii_lower, small, table, written
 
 FANOUT = 8
 #: Levels that are hashed within a block: it has FANOUT ** LEVELS nodes (256 KB of digests).
@@ -107,15 +107,10 @@ def numbered(rows: DataFrame, *order: str) -> DataFrame:
     runs = rows.groupBy("tree", "part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("c"))
     before = F.coalesce(F.sum("c").over(W.partitionBy("tree").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     runs = runs.select("tree", "part", (before - F.col("first")).alias("shift"), F.sum("c").over(W.partitionBy("tree")).alias("n"))
-    runs = _small(written(runs, "runs"))  # a row for each tree of a partition
+    runs = small(written(runs, "runs"), MAX_BROADCAST_ROWS)  # a row for each tree of a partition
     return rows.join(runs, ["tree", "part"]).withColumn("pos", F.col("at") + F.col("shift")).drop("part", "at", "shift")
 
 
-def _small(rows: DataFrame) -> DataFrame:
-    """Written rows, to be broadcast where they are few."""
-    return F.broadcast(rows) if rows.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else rows
-
-
 def _blocks(nodes: DataFrame, fanout: int, levels: int):
     return nodes.groupBy("tree", F.expr(f"pos div {fanout**levels}").alias("block"))
 
@@ -191,7 +186,7 @@ def manifest(docs: DataFrame, tampered: DataFrame | None = None, fanout: int = F
     blocks = _blocks(tops, fanout, levels).cogroup(upper.groupBy("tree", "block"))
     trees = blocks.applyInPandas(chained, "top string, tree string, subroot string, upper array<string>")
     root = F.broadcast(roots.select(F.col("tree").alias("top"), F.col("digest").alias("root")))  # one row
-    trees = _small(written(trees.join(root, "top").drop("top"), "trees"))
+    trees = small(written(trees.join(root, "top").drop("top"), "trees"), MAX_BROADCAST_ROWS)
     paths = paths.join(trees, "tree").select("tree", "block", "subroot", "root", F.concat("path", "upper").alias("path"))
     out = "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
     return _blocks(leaves, fanout, levels).cogroup(paths.groupBy("tree", "block")).applyInPandas(_proofs(fanout, levels), out)

@@ -1,6 +1,6 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from tessera.llm import ann, chat, decontaminate, html_main, langid, licenses, merkle, mixing, pii, sharding, simhash
+from tessera.llm import ann, chat, decontaminate, html_main, kdtree, langid, licenses, merkle, mixing, pii, sharding, simhash, whitening
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -14,6 +14,8 @@ QUERIES = {
     "op9_nearest_neighbours": ann.op9_nearest_neighbours,
     "op10_simhash_near_duplicates": simhash.op10_simhash_near_duplicates,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_exact_top_k": kdtree.op12_exact_top_k,
+    "op13_whiten_embeddings": whitening.op13_whiten_embeddings,
 }
 
 ORACLES = {
@@ -22,4 +24,5 @@ ORACLES = {
     "op7_format_chats": chat.OP7_SQL,
     "op8_scan_licenses": licenses.OP8_SQL,
     "op11_merkle_manifest": merkle.OP11_SQL,
+    "op12_exact_top_k": kdtree.OP12_SQL,
 }
