@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +56,51 @@ def cleaned(spark: SparkSession) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: Where a row of a file lies, in columns of these names.
+FILE, ROW = "__file", "__row"
+#: Stretches of 64 rows with removed ones are broadcast up to so many (about 200 MB); more of them go file by file.
+MAX_BROADCAST_STRETCHES = 1_000_000
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """docs with the file and the place in it of every row, which tell equal rows apart. What isn't read from files is written first."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = written(docs, "placed")
+    at = docs.metadataColumn("_metadata")
+    return docs.select("*", at["file_path"].alias(FILE), at["row_index"].alias(ROW))
+
+
+def without(docs: DataFrame, removed: DataFrame, most: int = MAX_BROADCAST_STRETCHES) -> DataFrame:
+    """placed() docs but for the removed places (FILE, ROW). The documents are read where they lie and never exchanged.
+
+    Removed rows are bits of stretches of 64 rows, which are broadcast. Beyond `most` of these the files are taken in groups,
+    each with its own stretches, so no broadcast grows with the data.
+    """
+    spark, columns = docs.sparkSession, [c for c in docs.columns if c not in (FILE, ROW)]
+    bits = F.bit_or(F.expr(f"shiftleft(1L, cast({ROW} % 64 AS int))")).alias("__bits")
+    found = written(removed.groupBy(FILE, F.expr(f"{ROW} div 64").alias("__stretch")).agg(bits), "removed")
+    files = found.groupBy(FILE).count().orderBy(FILE).collect()  # a row a file, of which the driver keeps a list anyway
+    if not files:
+        return docs.select(columns)
+
+    def kept(rows: DataFrame, some: DataFrame) -> DataFrame:
+        rows = rows.withColumn("__stretch", F.expr(f"{ROW} div 64")).join(F.broadcast(some), [FILE, "__stretch"], "left")
+        return rows.filter(F.col("__bits").isNull() | (F.getbit("__bits", F.col(ROW) % 64) == 0)).select(columns)
+
+    if sum(r["count"] for r in files) <= most:
+        return kept(docs, found)
+    counts, groups, held = {r[FILE]: r["count"] for r in files}, [[]], 0
+    for r in docs.select(FILE).distinct().collect():  # a row a file
+        if held + counts.get(r[FILE], 0) > most and groups[-1]:
+            groups.append([])
+            held = 0
+        groups[-1].append(r[FILE])
+        held += counts.get(r[FILE], 0)
+    schema = docs.select(columns).schema
+    parts = [kept(placed(spark.read.schema(schema).parquet(*g)), found.filter(F.col(FILE).isin(g))) for g in groups]
+    return reduce(DataFrame.unionAll, parts)
+
+
 def small(rows: DataFrame, most: int) -> DataFrame:
     """Rows that are cheap to count (written ones), to be broadcast if there are at most so many."""
     return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows

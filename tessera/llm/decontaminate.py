@@ -9,8 +9,8 @@ repeated doc_ids need no care, and a text that was copied a million times is one
 Edge cases: a null or empty text has no words and no hits; an item without words has no window, one with fewer than n words
 is a single window; items with a null id hit words but are not named; an empty benchmark leaves all documents clean; a text
 of any length is read whole, in steps that grow with its words; equal windows of several items name them all; further
-columns of docs are kept by remove_documents and remove_spans, whatever their names (but `__digest` and `__hit`, which are the
-operator's own).
+columns of docs are kept by remove_documents and remove_spans, whatever their names (but those that begin with two underscores,
+which are the operator's own).
 """
 
 from __future__ import annotations
@@ -21,11 +21,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower, let, table, written
+from tessera.llm.common import FILE, ROW, ascii_lower, let, placed, small, table, without, written
 
 NGRAM = 10
 #: Item windows are broadcast up to this many rows (about 200 MB); beyond it they are joined by a shuffle.
 MAX_BROADCAST_WINDOWS = 1_000_000
+#: Texts with hits (and the numbers of their hit words) are broadcast up to so many.
+MAX_BROADCAST_TEXTS = 100_000
 #: Words of a window that the bit table knows, and its size in 64-bit entries (4 million bits).
 ANCHOR = 3
 TABLE_WORDS = 1 << 16
@@ -140,14 +142,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM) -> Data
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, min_words: int = MIN_REMOVED_WORDS) -> DataFrame:
-    """docs without the documents that hold an item window of min_words words or more."""
-    bad = text_hits(docs, benchmark, n).filter(F.col("longest") >= min_words).select(F.col("digest").alias("__digest"))
-    return docs.withColumn("__digest", F.md5("text")).join(bad, "__digest", "left_anti").select(docs.columns)
+    """docs without the documents that hold an item window of min_words words or more. Texts are never exchanged."""
+    docs, windows = placed(docs), written(item_windows(benchmark, n), "item-windows")
+    rows = written(scanned(docs, windows, (FILE, ROW)).filter(F.size("candidates") > 0), "scanned")  # few, without texts
+    bad = written(verified(rows, windows).filter(F.col("words") >= min_words).select("digest").distinct(), "bad")
+    return without(docs, rows.select("digest", FILE, ROW).join(bad, "digest", "left_semi").select(FILE, ROW))
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM) -> DataFrame:
     """docs with the hit words, and what stands before each, cut out of the text; other texts stay as they are."""
-    hits = text_hits(docs, benchmark, n).select(F.col("digest").alias("__digest"), F.col("hit_words").alias("__hit"))
+    hits = written(text_hits(docs, benchmark, n).select(F.col("digest").alias("__digest"), F.col("hit_words").alias("__hit")), "hits")
+    hits = small(hits, MAX_BROADCAST_TEXTS)  # beyond it the join exchanges the documents
     inside, outside = _WORD_ANY_CASE, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
     parts = F.regexp_extract_all("text", F.lit(f"({outside}*{inside})"), F.lit(1))
     tail = F.regexp_extract("text", f"({outside}*)$", 1)

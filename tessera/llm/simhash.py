@@ -16,25 +16,23 @@ A ball of radius 3 holds 43 745 fingerprints, which bounds the neighbours of any
 
 Edge cases: a text without words has fingerprint zero, which links like any other; a null text counts as one without
 words; a null doc_id never names a component but its row is linked; repeated rows share their fingerprint's component; a bit
-that exactly half of the shingles set is 0; a text of any length is read whole; of equal rows one_of_each keeps any; further
-columns are kept by one_of_each, whatever their names (but `__fp`, `__root` and `__n`, which are its own); an empty table gives
-no rows.
+that exactly half of the shingles set is 0; a text of any length is read whole; of equal rows one_of_each keeps the
+first by place; further columns are kept by one_of_each, whatever their names (but those that begin with two underscores, which
+are its own); an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import table, written
+from tessera.llm.common import FILE, ROW, placed, table, without, written
 
 SHINGLE = 3
 RADIUS = 3
@@ -44,9 +42,8 @@ FRONTIER = 1 << 18
 #: Fingerprints of a shard at most, and of the shards whose trees a worker holds at once.
 MAX_SHARD = 1 << 16
 HELD_ROWS = 1 << 18
-#: Shards to be split are broadcast up to so many, ids of documents that stay up to so many (8 bytes each).
+#: Shards to be split are broadcast up to so many.
 MAX_BROADCAST_SHARDS = 500_000
-MAX_BROADCAST_IDS = 1_000_000
 
 
 def fingerprint(text: str | None, words: int = SHINGLE, seed: int = SEED) -> int:
@@ -247,10 +244,11 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # Written before they are joined, so that the join can split a star's centre.
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b")  # all larger neighbours hang on the least
-        large = large.filter("a <> b").distinct()
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
+        large = written(large.filter("a <> b").distinct(), "large")
+        least = written(large.groupBy("b").agg(F.min("a").alias("m")), "least")
         small = large.join(least, "b").select(F.col("m").alias("x"), F.explode(F.array("a", "b")).alias("y"))
         after = written(small.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "links")
         done = after.count() == edges.count() and after.exceptAll(edges).isEmpty()
@@ -260,9 +258,9 @@ def components(edges: DataFrame) -> DataFrame:
             return roots.unionAll(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
-def _resolved(docs: DataFrame, radius: int) -> DataFrame:
-    """doc_id, fp, root (smallest fingerprint of the component) and component_id of every document."""
-    rows = written(with_fingerprint(docs.select("doc_id", "text")).select("doc_id", F.col("__fp").alias("fp")), "fingerprints")
+def _resolved(docs: DataFrame, radius: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the kept columns, fp, root (smallest fingerprint of the component) and component_id of every document."""
+    rows = written(with_fingerprint(docs.select("doc_id", "text", *keep)).select("doc_id", *keep, F.col("__fp").alias("fp")), "fingerprints")
     prints = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprints")
     found = components(links(prints, radius))
     linked = found.join(prints, found["node"] == prints["fp"]).select("node", "root", "first")
@@ -283,28 +281,16 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each component: that of the smallest doc_id.
+    """docs with one row of each component: that of the smallest doc_id (of several, or of rows without one, the first by place).
 
-    A component is known by its root, so rows of different components may share a doc_id: of such rows, those that lead
-    their component are found by their fingerprints, and only rows of one component are told apart by a window. A component
-    of rows without doc_ids keeps one of them.
+    Rows are told apart by their places in their files. What goes is sent to where the documents lie, whose texts are read
+    twice and never exchanged.
     """
-    found = written(_resolved(docs, radius), "resolved")
-    ids = written(found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("component_id") == F.col("doc_id")).alias("chosen")).filter("chosen"), "kept")
-    n_single, n_shared = ids.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") > 1)).first()
-    small = lambda df, n: F.broadcast(df) if n <= MAX_BROADCAST_IDS else df
-    parts = [docs.join(small(ids.filter("n = 1").select("doc_id"), n_single), "doc_id", "left_semi")]
-    rank = lambda by: F.row_number().over(W.partitionBy(by).orderBy(*[c for c in docs.columns if c != by]))
-    if n_shared:
-        shared = ids.filter("n > 1").select("doc_id")
-        heads = found.filter("component_id = doc_id").join(small(shared, n_shared), "doc_id", "left_semi").select("doc_id", F.col("fp").alias("__fp"), F.col("root").alias("__root"))
-        twice = with_fingerprint(docs.join(small(shared, n_shared), "doc_id", "left_semi")).join(written(heads.distinct(), "heads"), ["doc_id", "__fp"])
-        parts.append(twice.withColumn("__n", rank("__root")).filter("__n = 1"))
-    lone = written(found.filter("component_id IS NULL AND fp = root").select(F.col("root").alias("__fp")).distinct(), "lone")
-    if n_lone := lone.count():
-        nameless = with_fingerprint(docs.filter("doc_id IS NULL")).join(small(lone, n_lone), "__fp", "left_semi")
-        parts.append(nameless.withColumn("__n", rank("__fp")).filter("__n = 1"))
-    return reduce(DataFrame.unionAll, [part.select(docs.columns) for part in parts])
+    docs = placed(docs)
+    found = written(_resolved(docs, radius, (FILE, ROW)).select("doc_id", "root", FILE, ROW), "resolved")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", FILE, ROW)).alias("x")
+    stays = written(found.groupBy("root").agg(first).select(f"x.{FILE}", f"x.{ROW}"), "stays")
+    return without(docs, found.select(FILE, ROW).join(stays, [FILE, ROW], "left_anti"))
 
 
 def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
