@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,18 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new place in the shared folder."""
+    return f"{shared_root(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def written(rows: DataFrame, what: str) -> DataFrame:
+    """Rows written to the shared folder and read again: the lineage ends there, and a lost executor costs a reread."""
+    path = scratch(rows.sparkSession, what)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 #: Up to this size an input is dealt out over the cores; a larger one has row groups enough for all of them.
 SPREAD_BYTES = 256 * 1024 * 1024
 

@@ -71,12 +71,25 @@ def lexical_channel(lexical: DataFrame, k: int = 100) -> DataFrame:
     return _ranked(lexical.drop("rank"), "lexical", [F.desc("raw_score"), F.asc("asset_id")], k)
 
 
+def kind(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
+def edge_places(scores: np.ndarray, k: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Places (row, column) of each row's k best finite scores, and of all that tie with the last of them (k None: of all)."""
+    if not scores.size:
+        return np.zeros(0, int), np.zeros(0, int)
+    n = scores.shape[1]
+    take = n if k is None else min(k, n)
+    edge = np.partition(scores, n - take, axis=1)[:, n - take, None]
+    return np.nonzero((scores >= edge) & np.isfinite(scores))
+
+
 def _scored(vectors: DataFrame, queries: DataFrame, k: int | None) -> DataFrame:
     """query_id, asset_id and raw_score: of every Arrow batch each query's k best (or all), an asset by its best vector.
 
     The queries, counted and at most MAX_BROADCAST_QUERIES, are one matrix that every batch is multiplied with.
     """
-    kind = lambda df, c: df.schema[c].dataType.simpleString()
     rows = queries.select("query_id", "q").collect()
     by_size: dict[int, list] = {}
     for r in rows:
@@ -95,27 +108,75 @@ def _scored(vectors: DataFrame, queries: DataFrame, k: int | None) -> DataFrame:
                 assets = own["asset_id"].to_numpy()
                 first = np.flatnonzero(np.r_[True, assets[1:] != assets[:-1]])
                 scores = np.maximum.reduceat(q @ np.stack(own["vector"].to_numpy()).astype(float).T, first, axis=1)
-                assets = assets[first]
-                take = len(assets) if k is None else min(k, len(assets))
-                # Ties at the edge are few: one more place each way would not be exact, so equal scores are all kept.
-                edge = np.partition(scores, len(assets) - take, axis=1)[:, len(assets) - take, None]
-                at, place = np.nonzero(scores >= edge)
-                yield pd.DataFrame({"query_id": [ids[i] for i in at], "asset_id": assets[place], "raw_score": scores[at, place]})
+                at, place = edge_places(scores, k)
+                yield pd.DataFrame({"query_id": [ids[i] for i in at], "asset_id": assets[first][place], "raw_score": scores[at, place]})
 
     return vectors.select("asset_id", "vector").mapInPandas(run, f"query_id {kind(queries, 'query_id')}, asset_id {kind(vectors, 'asset_id')}, raw_score double")
 
 
+#: Sides of a block of vectors and queries that one task scores.
+BLOCK_VECTORS = 16_384
+BLOCK_QUERIES = 4096
+
+
+def by_blocks(vectors: DataFrame, queries: DataFrame, keys: list[str], k: int | None, score: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]) -> DataFrame:
+    """query_id, asset_id and raw_score of queries and vectors with equal keys, in blocks of bounded size, however many a key has.
+
+    Blocks are cut by asset, so all vectors of one asset are in the same.
+
+    score: of a block's queries and vectors a matrix (queries x vectors); -inf is no pair. Of a block each query's k best come
+    out (None: all).
+    """
+    count = lambda rows, size, name: rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    sides = count(vectors, BLOCK_VECTORS, "__blocks").join(count(queries, BLOCK_QUERIES, "__batches"), keys)
+    sides = F.broadcast(sides)  # a row a list, or a length of vectors
+    left = queries.join(sides, keys).withColumn("__batch", F.pmod(F.xxhash64("query_id"), "__batches")).withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1)))
+    right = vectors.join(sides, keys).withColumn("__block", F.pmod(F.xxhash64("asset_id"), "__blocks")).withColumn("__batch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__batches") - 1)))
+    by = [*keys, "__batch", "__block"]
+
+    def run(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or v.empty:
+            return pd.DataFrame({"query_id": q["query_id"][:0], "asset_id": v["asset_id"][:0], "raw_score": []})
+        v = v.sort_values("asset_id", kind="stable", ignore_index=True)
+        assets = v["asset_id"].to_numpy()
+        first = np.flatnonzero(np.r_[True, assets[1:] != assets[:-1]])
+        scores = np.maximum.reduceat(score(q, v), first, axis=1)  # an asset by its best vector
+        i, j = edge_places(scores, k)
+        return pd.DataFrame({"query_id": q["query_id"].to_numpy()[i], "asset_id": assets[first][j], "raw_score": scores[i, j]})
+
+    left, right = left.drop("__blocks", "__batches"), right.drop("__blocks", "__batches")
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(run, f"query_id {kind(queries, 'query_id')}, asset_id {kind(vectors, 'asset_id')}, raw_score double")
+
+
+def _dots(q: pd.DataFrame, v: pd.DataFrame) -> np.ndarray:
+    return np.stack(q["q"].to_numpy()).astype(float) @ np.stack(v["vector"].to_numpy()).astype(float).T
+
+
+def _dealt(vectors: DataFrame, queries: DataFrame, k: int | None) -> DataFrame:
+    """_scored() for any number of queries: vectors and queries of one length meet in blocks."""
+    size = lambda c: F.size(c).alias("__size")
+    left = queries.select("query_id", "q", size("q")).filter("__size > 0")
+    return by_blocks(vectors.select("asset_id", "vector", size("vector")).filter("__size > 0"), left, ["__size"], k, _dots)
+
+
 def all_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, asset_id and raw_score of every vector for every query of its length."""
-    if queries.count() <= MAX_BROADCAST_QUERIES:
-        return _scored(vectors, queries, None)
-    return vectors.join(queries, F.size("vector") == F.size("q")).select("query_id", "asset_id", dot(F.col("vector"), F.col("q")).alias("raw_score"))
+    return (_scored if queries.count() <= MAX_BROADCAST_QUERIES else _dealt)(vectors, queries, None)
 
 
 @retriever("visual")
-def vector_hits(vectors: DataFrame, queries: DataFrame, k: int = 10, channel: str = "visual") -> DataFrame:
-    """Exact cosine top k of unit vectors (asset_id, vector; several of an asset count with the best) for queries (query_id, q)."""
-    scored = _scored(vectors, queries, k) if queries.count() <= MAX_BROADCAST_QUERIES else all_scores(vectors, queries)
+def vector_hits(vectors: DataFrame, queries: DataFrame, k: int = 10, channel: str = "visual", strategy: str = "exact") -> DataFrame:
+    """Cosine top k for queries (query_id, q).
+
+    Strategy exact: of unit vectors (asset_id, vector; several of an asset count with the best), all of them. Strategy index:
+    vectors is a VectorIndex, of which each query visits a part; queries may have a scope_id.
+    """
+    if strategy == "index":
+        return _ranked(vectors.search(queries, k).drop("rank"), channel, [F.desc("raw_score"), F.asc("asset_id")], k)
+    if strategy != "exact":
+        raise ValueError(f"unknown strategy {strategy}")
+    few = queries.count() <= MAX_BROADCAST_QUERIES
+    scored = _scored(vectors, queries, k) if few else _dealt(vectors, queries, k)
     return _ranked(scored.groupBy("query_id", "asset_id").agg(F.max("raw_score").alias("raw_score")), channel, [F.desc("raw_score"), F.asc("asset_id")], k)
 
 
