@@ -48,6 +48,15 @@ def written(rows: DataFrame, what: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+#: Written rows of a few columns are broadcast up to so many.
+MAX_BROADCAST_ROWS = 500_000
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """Rows that are cheap to count (written ones), to be broadcast where they are few."""
+    return F.broadcast(rows) if rows.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else rows
+
+
 #: Up to this size an input is dealt out over the cores; a larger one has row groups enough for all of them.
 SPREAD_BYTES = 256 * 1024 * 1024
 

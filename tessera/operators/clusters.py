@@ -13,6 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.catalog import small, written
+from tessera.operators.entities import canonical
+
 #: How a sample's similarities to the members of its own view are brought to one number.
 AGREEMENT: dict[str, Callable[[np.ndarray], float]] = {
     "all": np.min,
@@ -121,41 +124,34 @@ def cluster_by_quality(rows: DataFrame, scope: str, key: str, vector: str, quali
     return rows.groupBy(scope, model).applyInPandas(fold, f"{scope} {_kind(rows, scope)}, {model} {_kind(rows, model)}, {key} {_kind(rows, key)}, cluster {_kind(rows, key)}")
 
 
-def assign_online(samples: DataFrame, clusters: DataFrame, key: str, threshold: float = 0.30, minimum: float = 0.30) -> DataFrame:
-    """key, cluster_id and score of each arriving sample: the cluster of its model with the nearest prototype, or a new one.
-
-    samples: key, scope_id, model, quality, eligible, vector (unit). clusters: cluster_id, scope_id, model, vector, a row for
-    each prototype. A sample that isn't eligible gets no cluster; one of low quality, or near none, founds `new_<key>`. Each
-    sample is held against the clusters as they were, so samples of a batch meet by an equi-join on scope and model.
-    """
-    near = samples.filter(F.col("eligible") & (F.col("quality") >= minimum)).alias("s").join(clusters.alias("c"), ["scope_id", "model"])
-    score = F.aggregate(F.zip_with("s.vector", "c.vector", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda acc, v: acc + v)
-    best = near.select(F.col(f"s.{key}").alias(key), F.col("c.cluster_id").alias("cluster_id"), score.alias("score")).groupBy(key)
-    # The highest score; of equal ones the smaller cluster.
-    best = best.agg(F.min(F.struct((-F.col("score")).alias("n"), "cluster_id")).alias("b")).select(key, F.col("b.cluster_id").alias("cluster_id"), (-F.col("b.n")).alias("score"))
-    out = samples.select(key, "eligible").join(best.filter(F.col("score") >= threshold), key, "left")
-    new = F.concat(F.lit("new_"), F.col(key).cast("string"))
-    return out.select(key, F.when(F.col("eligible"), F.coalesce(F.col("cluster_id").cast("string"), new)).alias("cluster_id"), F.coalesce("score", F.lit(0.0)).alias("score"))
-
-
 def operated(members: DataFrame, clusters: DataFrame, operations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """members (sample, cluster_id) and clusters (cluster_id, status, name) after a batch of operations on clusters.
 
-    operations: op, cluster_id, target, name, samples. merge moves all members to the target and rejects the source; split
-    moves the listed samples to the target, a new pending cluster; confirm names a cluster (one that gets the name of a
-    confirmed cluster is merged into it); reject empties it. Every cluster has at most one operation in a batch.
+    operations: op, cluster_id, target, name, samples; a cluster may have several, and they may hang together. First the splits:
+    the listed samples go to the target, a new pending cluster. Then the merges, through chains: all members go to the cluster
+    that a target has become in the end, and the sources are rejected; of several merges of a cluster that into the smallest
+    target holds. Confirming a cluster by the name of a confirmed one, or of one that is confirmed in the same batch and has a
+    smaller id, merges it into that. Then the confirmations name what their clusters have become (of several names the first
+    by id), and at last the rejections empty it.
     """
-    confirmed = clusters.filter("status = 'confirmed'").groupBy(F.col("name").alias("__name")).agg(F.min("cluster_id").alias("__owner"))
-    ops = operations.join(confirmed, (F.col("op") == "confirm") & (F.col("name") == F.col("__name")) & (F.col("cluster_id") != F.col("__owner")), "left")
-    ops = ops.withColumn("op", F.when(F.col("__owner").isNotNull(), "merge").otherwise(F.col("op"))).withColumn("target", F.coalesce("__owner", "target")).select("op", "cluster_id", "target", "name", "samples")
-    moved = members.join(ops.drop("name"), "cluster_id", "left")
-    goes = (F.col("op") == "merge") | (F.col("op") == "split") & F.array_contains("samples", F.col("sample"))
-    to = F.when(goes, F.col("target")).when(F.col("op") == "reject", F.lit(None)).otherwise(F.col("cluster_id"))
-    after = clusters.join(ops.select("op", "cluster_id", F.col("name").alias("__new")), "cluster_id", "left")
-    status = F.when(F.col("op").isin("merge", "reject"), "rejected").when(F.col("op") == "confirm", "confirmed").otherwise(F.col("status"))
-    after = after.select("cluster_id", status.alias("status"), F.when(F.col("op") == "confirm", F.col("__new")).otherwise(F.col("name")).alias("name"))
-    split = ops.filter("op = 'split'").select(F.col("target").alias("cluster_id"), F.lit("pending").alias("status"), F.lit(None).cast("string").alias("name"))
-    return moved.select("sample", to.alias("cluster_id")), after.unionByName(split.join(clusters.select("cluster_id"), "cluster_id", "left_anti"))
+    known = clusters.filter("status = 'confirmed'").select("name", F.lit(0).alias("late"), "cluster_id")
+    new = operations.filter("op = 'confirm'").select("name", F.lit(1).alias("late"), "cluster_id")
+    owner = known.unionByName(new).groupBy("name").agg(F.min(F.struct("late", "cluster_id"))["cluster_id"].alias("target"))
+    named = new.join(owner, "name").filter("cluster_id <> target").select(F.col("cluster_id").alias("source"), "target")
+    merges = operations.filter("op = 'merge'").select(F.col("cluster_id").alias("source"), "target").unionByName(named)
+    roots = small(written(canonical(merges), "cluster-roots"))
+    home = lambda rows, c: rows.join(roots, rows[c] == roots["id"], "left").withColumn("__home", F.coalesce("root", c)).drop("id", "root")
+    rejected = home(operations.filter("op = 'reject'").select("cluster_id"), "cluster_id").select(F.col("__home").alias("__gone")).distinct()
+    named = home(operations.filter("op = 'confirm'").select("cluster_id", F.col("name").alias("__new")), "cluster_id").groupBy(F.col("__home").alias("__named")).agg(F.min(F.struct("cluster_id", "__new"))["__new"].alias("__new"))
+    split = operations.filter("op = 'split'").select("cluster_id", "target", F.explode("samples").alias("sample")).groupBy("cluster_id", "sample").agg(F.min("target").alias("__split"))
+    moved = members.join(split, ["cluster_id", "sample"], "left").withColumn("__to", F.coalesce("__split", "cluster_id"))
+    moved = home(moved, "__to").join(rejected, F.col("__home") == F.col("__gone"), "left")
+    fresh = operations.filter("op = 'split'").select(F.col("target").alias("cluster_id"), F.lit("pending").alias("status"), F.lit(None).cast("string").alias("name")).distinct()
+    all_ = home(clusters.unionByName(fresh.join(clusters.select("cluster_id"), "cluster_id", "left_anti")), "cluster_id")
+    all_ = all_.join(rejected, F.col("cluster_id") == F.col("__gone"), "left").join(named, F.col("cluster_id") == F.col("__named"), "left")
+    status = F.when((F.col("cluster_id") != F.col("__home")) | F.col("__gone").isNotNull(), "rejected").when(F.col("__new").isNotNull(), "confirmed").otherwise(F.col("status"))
+    after = all_.select("cluster_id", status.alias("status"), F.coalesce("__new", "name").alias("name"))
+    return moved.select("sample", F.when(F.col("__gone").isNull(), F.col("__home")).alias("cluster_id")), after
 
 
 def centroid_similarity(rows: DataFrame, cluster: str, vector: str, largest: int = 1000) -> DataFrame:

@@ -144,7 +144,8 @@ def by_blocks(vectors: DataFrame, queries: DataFrame, keys: list[str], k: int |
         i, j = edge_places(scores, k)
         return pd.DataFrame({"query_id": q["query_id"].to_numpy()[i], "asset_id": assets[first][j], "raw_score": scores[i, j]})
 
-    left, right = left.drop("__blocks", "__batches"), right.drop("__blocks", "__batches")
+    # Named anew, as both sides may come from one table.
+    left, right = [df.select(*[F.col(c).alias(c) for c in df.columns if c not in ("__blocks", "__batches")]) for df in (left, right)]
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(run, f"query_id {kind(queries, 'query_id')}, asset_id {kind(vectors, 'asset_id')}, raw_score double")
 
 

@@ -37,16 +37,27 @@ def person_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("first_seen", F.date_format("first_seen", "yyyy-MM-dd HH:mm:ss")).withColumn("last_seen", F.date_format("last_seen", "yyyy-MM-dd HH:mm:ss"))
 
 
+_FACTS = """f AS (SELECT user_id, arg_min(event_id, (ts, event_id)) AS first FROM events GROUP BY ALL), a AS (SELECT e.user_id, event_id, event_type, value, ts, first, e.event_type = (SELECT event_type FROM events x WHERE x.event_id = first) AS own FROM events e JOIN f USING (user_id)),
+    m AS (SELECT *, CASE WHEN own THEN first ELSE event_id END AS fact_id FROM a)"""
+
+
 @query(
     "fact_versions",
-    """WITH a AS (SELECT user_id, event_type, ts, event_id, CASE WHEN event_type = lag(event_type) OVER w THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-       r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS revision FROM a),
-       v AS (SELECT user_id, revision, any_value(event_type) AS value, count(*) AS evidence FROM r GROUP BY ALL)
-       SELECT user_id, revision, value, evidence, CASE WHEN revision > 1 THEN revision - 1 END AS supersedes,
-         CASE WHEN revision < max(revision) OVER (PARTITION BY user_id) THEN 'superseded' WHEN max(revision) OVER (PARTITION BY user_id) = 1 THEN 'active' ELSE 'pending' END AS status FROM v""",
+    f"""WITH {_FACTS} SELECT user_id, fact_id, max(event_type) AS value, CASE WHEN own THEN 1 ELSE 2 END::BIGINT AS revision, CASE WHEN own THEN 'active' ELSE 'pending' END AS status, CASE WHEN NOT own THEN first END AS supersedes, max(value) AS confidence,
+    array_to_string(list(event_id ORDER BY ts, event_id), ',') AS evidence FROM m GROUP BY user_id, fact_id, own, first""",
 )
 def fact_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entities.fact_versions(catalog.load(spark, sf_dir, "events"), ["user_id"], "event_type", ["ts", "event_id"])
+    """What users were seen doing as facts: the first stays active and gathers evidence, every other is pending until confirmed."""
+    found = entities.fact_versions(catalog.load(spark, sf_dir, "events"), ["user_id"], "event_type", "event_id", "ts", "value")
+    return found.select("user_id", "fact_id", "value", "revision", "status", "supersedes", "confidence", F.array_join("evidence_ids", ",").alias("evidence"))
+
+
+@query("fact_confirmations")
+def fact_confirmations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with every purchase confirmed a day after it was seen; tests/test_facts.py has a plain model."""
+    events = catalog.load(spark, sf_dir, "events")
+    confirmed = events.filter("event_type = 'purchase'").select("event_id", F.expr("ts + INTERVAL 1 DAY").alias("ts"))
+    return entities.fact_versions(events, ["user_id"], "event_type", "event_id", "ts", "value", confirmed)
 
 
 @query("facts_without_subject", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
@@ -108,3 +119,55 @@ def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = catalog.load(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select("o_orderkey")
     lines = catalog.load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
     return lifecycle.cascade({"lineitem": (lines, "l_orderkey")}, gone, "o_orderkey")["lineitem"]
+
+
+def _chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every supplier merged into the next smaller one of its nation; in region 1 the smallest into the largest, which closes a circle."""
+    from pyspark.sql import Window as W
+
+    rows = catalog.load(spark, sf_dir, "supplier").join(F.broadcast(catalog.load(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))  # 25 nations
+    w = W.partitionBy("s_nationkey")
+    before = F.lag("s_suppkey").over(w.orderBy("s_suppkey"))
+    target = F.coalesce(before, F.when(F.col("n_regionkey") == 1, F.max("s_suppkey").over(w)))
+    return rows.select(F.col("s_suppkey").alias("source"), target.alias("target")).filter("target IS NOT NULL")
+
+
+_ROOTS = "r AS (SELECT s_suppkey AS id, min(s_suppkey) OVER (PARTITION BY s_nationkey) AS root FROM supplier)"
+
+
+@query("merge_chains", f"WITH {_ROOTS} SELECT l_orderkey AS event_id, root AS entity_id, max(l_discount) AS confidence, array_to_string(list_sort(list(DISTINCT l_linenumber)), ',') AS evidence FROM lineitem JOIN r ON id = l_suppkey GROUP BY ALL")
+def merge_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers of orders after chains and circles of merges: highest confidence and all evidence at what they have become."""
+    edges = catalog.load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("event_id"), F.col("l_suppkey").alias("entity_id"), F.col("l_discount").alias("confidence"), F.array("l_linenumber").alias("evidence"))
+    found = entities.remapped(edges, _chains(spark, sf_dir), ["entity_id"], "confidence", "evidence")
+    return found.select("event_id", "entity_id", "confidence", F.array_join("evidence", ",").alias("evidence"))
+
+
+def _merged_orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Orders of a customer as events, each merged into the customer's one before it if that is at most 60 days older."""
+    from pyspark.sql import Window as W
+
+    orders = catalog.load(spark, sf_dir, "orders")
+    w = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    near = F.datediff("o_orderdate", F.lag("o_orderdate").over(w)) <= 60
+    merges = orders.select(F.col("o_orderkey").alias("source"), F.when(near, F.lag("o_orderkey").over(w)).alias("target")).filter("target IS NOT NULL")
+    events = orders.select(F.col("o_orderkey").alias("event_id"), F.col("o_orderdate").alias("start_ts"), F.col("o_orderdate").alias("end_ts"), F.when(F.col("o_orderstatus") != "O", F.col("o_orderstatus")).alias("place"), F.col("o_orderpriority").alias("activity"), F.col("o_totalprice").alias("confidence"), F.lit(1).alias("revision"))
+    lines = catalog.load(spark, sf_dir, "lineitem").withColumn("obs_id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return entities.merged_events(events, lines.select(F.col("l_orderkey").alias("event_id"), "obs_id"), lines.select("obs_id", F.col("l_suppkey").alias("person_id"), F.col("l_discount").alias("confidence")), merges)
+
+
+_MERGED = """o AS (SELECT *, CASE WHEN o_orderdate::DATE - lag(o_orderdate::DATE) OVER w <= 60 THEN 0 ELSE 1 END AS new FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+    s AS (SELECT *, sum(new) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS run FROM o),
+    h AS (SELECT *, first_value(o_orderkey) OVER (PARTITION BY o_custkey, run ORDER BY o_orderdate, o_orderkey) AS home, CASE WHEN o_orderstatus <> 'O' THEN o_orderstatus END AS place FROM s)"""
+
+
+@query("merged_events", f"WITH {_MERGED} SELECT home AS event_id, min(o_orderdate) AS start_ts, max(o_orderdate) AS end_ts, arg_min(place, (o_orderkey <> home, o_orderkey)) FILTER (place IS NOT NULL) AS place, arg_min(o_orderpriority, (o_orderkey <> home, o_orderkey)) AS activity, max(o_totalprice) AS confidence, count(*) AS revision FROM h GROUP BY home")
+def merged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events after chains of merges."""
+    return _merged_orders(spark, sf_dir)[0]
+
+
+@query("merged_participants", f"WITH {_MERGED}, p AS (SELECT home AS event_id, l_suppkey AS person_id, max(l_discount) AS confidence, list_sort(list(DISTINCT l_orderkey * 10 + l_linenumber)) AS e FROM h JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL) SELECT event_id, person_id, confidence, array_to_string(e, ',') AS evidence FROM p")
+def merged_participants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Their participants, rebuilt from the observations that have moved there."""
+    return _merged_orders(spark, sf_dir)[2].select("event_id", "person_id", "confidence", F.array_join("evidence_ids", ",").alias("evidence"))

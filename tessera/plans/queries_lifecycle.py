@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import catalog
-from tessera.operators import clusters, entities, joins, lifecycle, retrieval, review, scans, sequences, structured
+from tessera.operators import clusters, entities, joins, lifecycle, online, retrieval, review, scans, sequences, structured
 from tessera.plans import queries_events
 from tessera.registry import query
 from tessera.streaming import sessions as streams
@@ -115,22 +115,36 @@ def chosen_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- clusters --------------------------------------------------------------------------------------------------------
 
 
+def _arrivals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Vectors as samples of three scopes and two models that arrive by id; every tenth is a prototype of a known cluster."""
+    from tessera.functions.vector import l2_normalised
+
+    k = F.col("vec_id")
+    view = F.element_at(F.array(F.lit("frontal"), F.lit("left"), F.lit("right"), F.lit("unknown")), (k % 4 + 1).cast("int"))
+    rows = catalog.load(spark, sf_dir, "embeddings").select("vec_id", l2_normalised(F.col("embedding")).alias("vector"), (k % 3).alias("scope_id"), view.alias("view"), (k * 37 % 101 / 100).alias("quality"))
+    samples = rows.filter(k % 10 != 0).withColumn("model", F.concat(F.lit("m"), (k % 2).cast("string"))).withColumn("eligible", k % 11 != 0)
+    known = rows.filter(k % 10 == 0).withColumn("model", F.concat(F.lit("m"), F.floor(k % 4 / 2).cast("string"))).withColumn("cluster_id", k % 40)
+    return samples, known
+
+
 @query(
-    "online_clusters",
+    "nearest_clusters",
     """WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS l FROM embeddings), s AS (SELECT vec_id, vec_id % 3 AS scope, 'm' || vec_id % 2 AS model, (vec_id * 37 % 101) / 100 AS quality, vec_id % 11 <> 0 AS eligible, v, l FROM n WHERE vec_id % 10 <> 0),
     c AS (SELECT vec_id % 40 AS cluster_id, vec_id % 3 AS scope, 'm' || vec_id % 4 // 2 AS model, v, l FROM n WHERE vec_id % 10 = 0), p AS (SELECT s.vec_id, c.cluster_id, max(round(list_inner_product(s.v, c.v) / (s.l * c.l), 7)) AS score FROM s JOIN c ON s.scope = c.scope AND s.model = c.model WHERE eligible AND quality >= 0.3 GROUP BY ALL),
     b AS (SELECT vec_id, cluster_id, score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, cluster_id) AS r FROM p) WHERE r = 1 AND score >= 0.2)
-    SELECT s.vec_id, CASE WHEN eligible THEN coalesce(b.cluster_id::VARCHAR, 'new_' || s.vec_id) END AS cluster_id, coalesce(score, 0) AS score FROM s LEFT JOIN b USING (vec_id)""",
+    SELECT s.vec_id, b.cluster_id, coalesce(score, 0) AS score FROM s LEFT JOIN b USING (vec_id)""",
 )
-def online_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arriving samples given to the clusters of their scope and model, or to new ones."""
-    from tessera.functions.vector import l2_normalised
+def nearest_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest known cluster of every arriving sample, in its scope and model."""
+    samples, known = _arrivals(spark, sf_dir)
+    return online.nearest_clusters(samples, known, "vec_id", threshold=0.2).withColumn("score", F.round("score", 7))
 
-    k = F.col("vec_id")
-    rows = catalog.load(spark, sf_dir, "embeddings").select("vec_id", l2_normalised(F.col("embedding")).alias("vector"), (k % 3).alias("scope_id"))
-    samples = rows.filter(k % 10 != 0).select("vec_id", "vector", "scope_id", F.concat(F.lit("m"), (k % 2).cast("string")).alias("model"), (k * 37 % 101 / 100).alias("quality"), (k % 11 != 0).alias("eligible"))
-    known = rows.filter(k % 10 == 0).select((k % 40).alias("cluster_id"), "scope_id", F.concat(F.lit("m"), F.floor(k % 4 / 2).cast("string")).alias("model"), "vector")
-    return clusters.assign_online(samples, known, "vec_id", threshold=0.2).withColumn("score", F.round("score", 7))
+
+@query("online_clusters")
+def online_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples assigned one after the other to known clusters and to those that earlier ones founded; tests/test_models.py has a plain model."""
+    samples, known = _arrivals(spark, sf_dir)
+    return online.assign_online(samples, known, "vec_id", "vec_id", threshold=0.2)
 
 
 _OPS = """m AS (SELECT vec_id AS sample, label AS cluster_id FROM embeddings), c AS (SELECT DISTINCT label AS cluster_id, CASE WHEN label = 3 THEN 'confirmed' ELSE 'pending' END AS status, CASE WHEN label = 3 THEN 'ann' END AS name FROM embeddings)"""

@@ -194,12 +194,6 @@ def test_spaced_peaks(spark):
     assert sorted(tuple(r) for r in sequences.spaced(rows, ["k"], "t", 1.5).collect()) == [(1, 0.0), (1, 2.5), (2, 0.5)]
 
 
-def test_fact_versions_and_upserts(spark):
-    rows = spark.createDataFrame([(1, "x", 1), (1, "x", 2), (1, "y", 3), (2, "z", 1)], "s int, v string, at int")
-    found = {(r.s, r.revision): (r.value, r.evidence, r.status) for r in entities.fact_versions(rows, ["s"], "v", ["at"]).collect()}
-    assert found == {(1, 1): ("x", 2, "superseded"), (1, 2): ("y", 1, "pending"), (2, 1): ("z", 1, "active")}
-
-
 def test_hard_value_query_holds_prices(spark, tmp_path):
     from tessera.plans.queries_facts import hard_value_extraction
 
