@@ -8,9 +8,11 @@ objects, people, spots and vectors.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import lru_cache, reduce
+from heapq import heappop, heappush
 from math import asin, cos, radians, sin, sqrt
 
 import numpy as np
@@ -230,75 +232,131 @@ def pair_score(minutes: Column, metres: Column, visual: Column, semantic: Column
     return 0.35 * time + 0.25 * location + 0.25 * seen + 0.10 * semantic + F.when(faces, 0.05).otherwise(0.0), merge
 
 
+@dataclass
 class _Merged:
-    """An event under consolidation, as matrices of its observations' times, places and vectors."""
-
-    def __init__(self, event_id, rows: list[dict]):
-        self.event_id, self.rows = event_id, rows
-        self.t = np.array([r["t"] for r in rows], float)
-        self.gps = np.radians(np.array([r["gps"] for r in rows if r["gps"]], float).reshape(-1, 2))
-        self.x = [r["vector"] / n for r in rows if r["vector"] is not None and (n := np.linalg.norm(r["vector"]))]
-        self.words = {w for r in rows for w in (r["activity"], r["kind"], *r["objects"]) if w}
-        self.people = set().union(*(r["people"] for r in rows))
-        self.rank = (len(rows), self.t.min())
-
-    def with_(self, other: _Merged) -> _Merged:
-        return _Merged(self.event_id, self.rows + other.rows)
-
-
-def merge_score(a: _Merged, b: _Merged) -> tuple[float, bool]:
-    """pair_score of two events at hand."""
-    time = max(0.0, 1 - np.abs(a.t[:, None] - b.t).min() / 60 / 360)
-    location = 0.0
-    if len(a.gps) and len(b.gps):
-        d = a.gps[:, None] - b.gps
-        h = np.sin(d[..., 0] / 2) ** 2 + np.cos(a.gps[:, None, 0]) * np.cos(b.gps[:, 0]) * np.sin(d[..., 1] / 2) ** 2
-        location = max(0.0, 1 - (2 * EARTH_KM * np.arcsin(np.sqrt(np.clip(h, 0, 1)))).min())
-    seen = max((float(x @ y) for x in a.x for y in b.x if len(x) == len(y)), default=0.0)
-    held = any(len(p) >= 2 and len(q) >= 2 and (p in q or q in p) for p in a.words for q in b.words)
-    semantic = 1.0 if a.words & b.words else 0.7 if held else 0.0
-    faces = bool(a.people & b.people)
+    """An event under consolidation: its observations' times, places, unit vectors by length, words and people, in pieces."""
+
+    place: int  # in the order of events, by which equal totals are told apart
+    n: int
+    start: float
+    pieces: list[tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]]
+    words: frozenset
+    people: frozenset
+
+    @classmethod
+    def of(cls, place: int, rows: list[dict]) -> _Merged:
+        t = np.sort(np.array([r["t"] for r in rows], float))
+        gps = np.radians(np.array([r["gps"] for r in rows if r["gps"]], float).reshape(-1, 2))
+        by_length: dict[int, list] = {}
+        for r in rows:
+            if r["vector"] is not None and (n := np.linalg.norm(r["vector"])):
+                by_length.setdefault(len(r["vector"]), []).append(np.asarray(r["vector"]) / n)
+        words = frozenset(w for r in rows for w in (r["activity"], r["kind"], *r["objects"]) if w)
+        return cls(place, len(rows), float(t[0]), [(t, gps, {k: np.array(v) for k, v in by_length.items()})], words, frozenset().union(*(r["people"] for r in rows)))
+
+    def whole(self) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+        """All pieces as one; put together only when a further event has to be compared."""
+        if len(self.pieces) > 1:
+            t, gps, x = zip(*self.pieces)
+            lengths = set().union(*x)
+            self.pieces = [(np.sort(np.concatenate(t)), np.concatenate(gps), {n: np.concatenate([v[n] for v in x if n in v]) for n in lengths})]
+        return self.pieces[0]
+
+    def take(self, other: _Merged) -> None:
+        self.n, self.start, self.pieces = self.n + other.n, min(self.start, other.start), self.pieces + other.pieces
+        self.words, self.people = self.words | other.words, self.people | other.people
+
+
+@lru_cache(maxsize=1 << 16)
+def _semantic(a: frozenset, b: frozenset) -> float:
+    if a & b:
+        return 1.0
+    return 0.7 if any(len(p) >= 2 and len(q) >= 2 and (p in q or q in p) for p in a for q in b) else 0.0
+
+
+#: Products of observations that are formed at once.
+_CUT = 1 << 20
+
+
+def merge_parts(a: _Merged, b: _Merged) -> tuple[float, float, float, float, bool]:
+    """Nearness in time and place, likeness of vectors and words, and shared people of two events: the best of any two observations.
+
+    All five are maxima over pairs of observations, so those of a merged event are the maxima of its parts' own.
+    """
+    (t, gps, x), (u, hps, y) = a.whole(), b.whole()
+    if len(t) > len(u):
+        t, u = u, t
+    at = np.searchsorted(u, t)
+    gap = min(np.abs(u[np.minimum(at, len(u) - 1)] - t).min(), np.abs(u[np.maximum(at - 1, 0)] - t).min())
+    place = seen = 0.0
+    if len(gps) and len(hps):
+        for i in range(0, len(gps), max(1, _CUT // len(hps))):
+            some = gps[i : i + max(1, _CUT // len(hps)), None]
+            d = some - hps
+            h = np.sin(d[..., 0] / 2) ** 2 + np.cos(some[..., 0]) * np.cos(hps[:, 0]) * np.sin(d[..., 1] / 2) ** 2
+            place = max(place, float(1 - 2 * EARTH_KM * np.arcsin(np.sqrt(np.clip(h.min(), 0, 1)))))
+    for n in x.keys() & y.keys():
+        step = max(1, _CUT // len(y[n]))
+        seen = max([seen] + [float((x[n][i : i + step] @ y[n].T).max()) for i in range(0, len(x[n]), step)])
+    return max(0.0, 1 - gap / 60 / 360), place, seen, _semantic(a.words, b.words), bool(a.people & b.people)
+
+
+def merge_total(time: float, location: float, seen: float, semantic: float, faces: bool) -> float | None:
+    """pair_score of two events at hand, rounded; None if they must not merge."""
     bridged = semantic > 0 or faces
     merge = time >= 0.70 and (location >= 0.65 and (seen >= 0.55 or bridged) or seen >= 0.80 and bridged or location >= 0.85 and semantic > 0)
-    return 0.35 * time + 0.25 * location + 0.25 * seen + 0.10 * semantic + 0.05 * faces, bool(merge)
+    return round(0.35 * time + 0.25 * location + 0.25 * seen + 0.10 * semantic + 0.05 * faces, 9) if merge else None
 
 
 def consolidation(events: dict[object, list[dict]]) -> dict:
     """Which event each one ends in: the best pair that may merge first, scored anew after every merge.
 
-    The event of more observations (then the later start) takes in the other. Only pairs with a merged event are rescored.
+    The event of more observations (then the later start) takes in the other. Only pairs that are near in time are kept, and
+    those that may merge are in a heap; what a merge has changed is pushed again, and outdated pairs are passed over when they
+    come up. So the work grows with the near pairs, not with all pairs.
     """
-    live = {k: _Merged(k, rows) for k, rows in sorted(events.items())}
-    into, scores = {k: k for k in live}, {}
-
-    def rescore(k) -> None:
-        for other in live:
-            if other != k:
-                a, b = min(k, other), max(k, other)
-                total, merge = merge_score(live[a], live[b])
-                scores[a, b] = total if merge else None
-
-    for k in list(live):
-        for other in live:
-            if k < other:
-                total, merge = merge_score(live[k], live[other])
-                scores[k, other] = total if merge else None
-    while True:
-        best = max(((round(s, 9), pair) for pair, s in scores.items() if s is not None), key=lambda x: (x[0], [-i for i in _order(live, x[1])]), default=None)
-        if best is None:
-            return into
-        a, b = best[1]
-        target, source = (a, b) if live[a].rank >= live[b].rank else (b, a)
-        live[target] = live[target].with_(live.pop(source))
-        into = {k: target if v == source else v for k, v in into.items()}
-        scores = {pair: s for pair, s in scores.items() if source not in pair}
-        rescore(target)
-
-
-def _order(live: dict, pair: tuple) -> list[int]:
-    """Places of a pair's events, by which equal totals are told apart."""
-    places = list(live)
-    return [places.index(k) for k in pair]
+    names = sorted(events)
+    live = {i: _Merged.of(i, events[k]) for i, k in enumerate(names)}
+    near: list[dict[int, tuple]] = [{} for _ in names]
+    heap: list[tuple] = []
+
+    def keep(a: int, b: int, parts: tuple) -> None:
+        near[a][b] = near[b][a] = parts
+        total = merge_total(*parts)
+        if total is not None:
+            heappush(heap, (-total, min(a, b), max(a, b), id(parts), parts))
+
+    # Pairs with observations within the gap: over all of them in order of time, those that are still open.
+    open_: deque[tuple[float, int]] = deque()
+    for t, b in sorted((t, i) for i, e in live.items() for t in e.pieces[0][0].tolist()):
+        while open_ and t - open_[0][0] > MERGE_GAP_S:
+            open_.popleft()
+        for a in {a for _, a in open_} - near[b].keys() - {b}:
+            keep(a, b, merge_parts(live[a], live[b]))
+        open_.append((t, b))
+    into = list(range(len(names)))
+    while heap:
+        _, a, b, _, parts = heappop(heap)
+        if a not in live or b not in live or near[a].get(b) is not parts:
+            continue
+        x, y = live[a], live[b]
+        target, source = (a, b) if (x.n, x.start) >= (y.n, y.start) else (b, a)
+        del near[target][source], near[source][target]
+        for other in near[target].keys() | near[source].keys():
+            both = [near[k].get(other) or merge_parts(live[k], live[other]) for k in (target, source)]
+            near[other].pop(source, None)
+            keep(target, other, tuple(map(max, *both)))
+        near[source] = {}
+        live[target].take(live.pop(source))
+        into[source] = target
+
+    def end(i: int) -> int:
+        while into[i] != i:
+            into[i] = into[into[i]]
+            i = into[i]
+        return i
+
+    return {k: names[end(i)] for i, k in enumerate(names)}
 
 
 def consolidated(observations: DataFrame, event: str = "event_id") -> DataFrame:

@@ -287,3 +287,52 @@ def test_long_intervals_overlap_once(spark):
     df = lambda rows, c: spark.createDataFrame(rows, f"k int, {c} int, s double, e double").select("k", c, F.timestamp_seconds("s").alias(f"{c}s"), F.timestamp_seconds("e").alias(f"{c}e"))
     found = joins.overlaps(df(a, "a"), df(b, "b"), ["k"], "as", "ae", "bs", "be", 60.0).select("a", "b").collect()
     assert sorted((r.a, r.b) for r in found) == sorted((i, j) for _, i, s, e in a for _, j, u, v in b if e >= u and s <= v)
+
+
+def _scattered(n, days, seed):
+    rng = np.random.default_rng(seed)
+    out = {}
+    for i in range(n):
+        t = float(rng.uniform(0, days * 86400))
+        one = lambda j: {"t": t + 60 * j, "gps": (10 + int(rng.integers(0, 20)) / 1000, 10.0) if rng.random() < 0.8 else None, "vector": rng.normal(size=4) if rng.random() < 0.8 else None, "activity": ["walk", "walking", "eat", "", "run"][rng.integers(0, 5)], "kind": "", "objects": {"ball"} if rng.random() < 0.1 else set(), "people": {str(rng.integers(0, 9))}}
+        out[i] = [one(j) for j in range(int(rng.integers(1, 4)))]
+    return out
+
+
+def _brute_consolidation(found):
+    """All pairs scored again before each merge."""
+    live, into = {k: list(v) for k, v in found.items()}, {k: k for k in found}
+    while True:
+        best = None
+        for a in sorted(live):
+            for b in sorted(live):
+                if a < b:
+                    p = [events._Merged.of(0, live[k]) for k in (a, b)]
+                    t = max(max(0, 1 - abs(x["t"] - y["t"]) / 21600) for x in live[a] for y in live[b])
+                    loc = max([max(0, 1 - km(x["gps"], y["gps"])) for x in live[a] for y in live[b] if x["gps"] and y["gps"]], default=0.0)
+                    sim = max([cos(x["vector"], y["vector"]) for x in live[a] for y in live[b] if x["vector"] is not None and y["vector"] is not None], default=0.0)
+                    total = events.merge_total(t, loc, max(sim, 0.0), events._semantic(p[0].words, p[1].words), bool(p[0].people & p[1].people))
+                    if total is not None and (best is None or total > best[0]):
+                        best = (total, a, b)
+        if best is None:
+            return into
+        _, a, b = best
+        rank = lambda k: (len(live[k]), min(o["t"] for o in live[k]))
+        target, source = (a, b) if rank(a) >= rank(b) else (b, a)
+        live[target] += live.pop(source)
+        into = {k: target if v == source else v for k, v in into.items()}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_consolidation_by_heap_is_that_by_all_pairs(seed):
+    found = _scattered(25, (0.5, 1, 4)[seed % 3], seed)
+    assert events.consolidation(found) == _brute_consolidation(found)
+
+
+def test_consolidation_of_many_events():
+    """Work grows with near pairs: 5000 events of one scope take seconds."""
+    import time
+
+    began = time.perf_counter()
+    into = events.consolidation(_scattered(5000, 250, 1))
+    assert len(set(into.values())) < 4500 and time.perf_counter() - began < 30
