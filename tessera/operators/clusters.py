@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.catalog import small, written
 from tessera.operators.entities import canonical
+from tessera.operators.retrieval import by_blocks
 
 #: How a sample's similarities to the members of its own view are brought to one number.
 AGREEMENT: dict[str, Callable[[np.ndarray], float]] = {
@@ -154,19 +155,25 @@ def operated(members: DataFrame, clusters: DataFrame, operations: DataFrame) ->
     return moved.select("sample", F.when(F.col("__gone").isNull(), F.col("__home")).alias("cluster_id")), after
 
 
-def centroid_similarity(rows: DataFrame, cluster: str, vector: str, largest: int = 1000) -> DataFrame:
-    """Of the largest clusters each one's nearest other cluster by the cosine of mean vectors: cluster, nearest, similarity.
+def centroid_similarity(rows: DataFrame, cluster: str, vector: str) -> DataFrame:
+    """Each cluster's nearest other cluster by the cosine of mean vectors: cluster, nearest (the smallest of equal ones), similarity.
 
-    Only the `largest` (a parameter of the report) are compared, as their centroids are the side that is broadcast.
+    Centroids are compared in blocks of bounded size, however many clusters there are.
     """
     sums = rows.select(cluster, F.posexplode(vector).alias("d", "x")).groupBy(cluster, "d").agg(F.sum(F.col("x").cast("double")).alias("s"))
-    mean = sums.groupBy(cluster).agg(F.sort_array(F.collect_list(F.struct("d", "s"))).alias("v"), F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("length"))
-    sizes = rows.groupBy(cluster).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), cluster).limit(largest)
-    mean = mean.join(sizes, cluster, "left_semi").filter("length > 0").select(cluster, F.transform("v", lambda x: x["s"]).alias("v"), "length")
-    other = mean.select(F.col(cluster).alias("nearest"), F.col("v").alias("w"), F.col("length").alias("other_length"))
-    dot = F.aggregate(F.zip_with("v", "w", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x) / (F.col("length") * F.col("other_length"))
-    pairs = mean.join(F.broadcast(other), F.col(cluster) != F.col("nearest")).select(cluster, "nearest", dot.alias("similarity"))  # largest x largest
-    return pairs.groupBy(cluster).agg(F.min(F.struct((-F.round("similarity", 9)).alias("s"), "nearest")).alias("b")).select(cluster, F.col("b.nearest").alias("nearest"), (-F.col("b.s")).alias("similarity"))
+    mean = sums.groupBy(cluster).agg(F.sort_array(F.collect_list(F.struct("d", "s"))).alias("v"), F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("__length"))
+    unit_ = mean.filter("__length > 0").select(F.col(cluster).alias("asset_id"), F.transform("v", lambda x: x["s"] / F.col("__length")).alias("vector"))
+    unit_ = written(unit_.withColumn("__size", F.size("vector")), "centroids")
+    asked = unit_.select("__size", F.col("asset_id").alias("query_id"), F.col("vector").alias("q"))
+
+    def cosines(q: pd.DataFrame, v: pd.DataFrame) -> np.ndarray:
+        out = np.stack(q["q"].to_numpy()) @ np.stack(v["vector"].to_numpy()).T
+        out[q["query_id"].to_numpy()[:, None] == v["asset_id"].to_numpy()] = -np.inf
+        return out.round(9)
+
+    near = by_blocks(unit_, asked, ["__size"], 1, cosines)
+    best = near.groupBy("query_id").agg(F.min(F.struct((-F.round("raw_score", 9)).alias("s"), "asset_id")).alias("b"))
+    return best.select(F.col("query_id").alias(cluster), F.col("b.asset_id").alias("nearest"), (-F.col("b.s")).alias("similarity"))
 
 
 # --- text rows, tracks, boxes ---------------------------------------------------------------------------------------

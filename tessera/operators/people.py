@@ -37,6 +37,8 @@ def groups(entities: DataFrame, keys: list[str], name: str, weight: str) -> Data
 def unpivoted_stats(rows: DataFrame, metrics: list[str]) -> DataFrame:
     """Per metric: peak, mean, p50 (index n div 2) and p95 (index trunc(0.95 n)) of its values, exactly.
 
+    Means are of exact sums (to eight digits), so they don't depend on the order of rows.
+
     One sort by (metric, value) over range partitions; positions come from per-partition counts.
     """
     pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics]))
@@ -47,7 +49,7 @@ def unpivoted_stats(rows: DataFrame, metrics: list[str]) -> DataFrame:
     placed = counts.withColumn("hi", F.sum("c").over(w)).withColumn("n", F.sum("c").over(W.partitionBy("metric")))
     at = lambda i: F.max(F.when((F.col("hi") > i) & (F.col("hi") - F.col("c") <= i), F.col("v")))
     last = F.col("n") - 1
-    return placed.groupBy("metric").agg(F.max("n").alias("n"), F.max("v").alias("peak"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"), at(F.least(last, F.floor(F.col("n") / 2))).alias("p50"), at(F.least(last, F.floor(F.col("n") * F.lit(0.95)))).alias("p95"))
+    return placed.groupBy("metric").agg(F.max("n").alias("n"), F.max("v").alias("peak"), (F.sum(F.col("v").cast("decimal(18,8)") * F.col("c").cast("decimal(18,0)")).cast("double") / F.sum("c")).alias("mean"), at(F.least(last, F.floor(F.col("n") / 2))).alias("p50"), at(F.least(last, F.floor(F.col("n") * F.lit(0.95)))).alias("p95"))
 
 
 def latest_caption(assets: DataFrame, observations: DataFrame, key: str, caption: str, order: list[str]) -> DataFrame:

@@ -62,7 +62,10 @@ def metadata_hits(assets: DataFrame, queries: DataFrame, k: int = 100) -> DataFr
 @retriever("entity")
 def entity_hits(mentions: DataFrame, queries: DataFrame, k: int = 100) -> DataFrame:
     """Assets that mention any entity of the query (query_id, entity_id), in order of asset."""
-    rows = mentions.join(queries, "entity_id").select("query_id", "asset_id").distinct().withColumn("raw_score", F.lit(1.0))
+    # An entity's first k assets are all that any query can want of it.
+    first = F.row_number().over(W.partitionBy("entity_id").orderBy("asset_id"))
+    few = mentions.select("entity_id", "asset_id").distinct().withColumn("__n", first).filter(F.col("__n") <= k).drop("__n")
+    rows = few.join(queries, "entity_id").select("query_id", "asset_id").distinct().withColumn("raw_score", F.lit(1.0))
     return _ranked(rows, "entity", [F.asc("asset_id")], k)
 
 
@@ -149,7 +152,7 @@ def by_blocks(vectors: DataFrame, queries: DataFrame, keys: list[str], k: int |
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(run, f"query_id {kind(queries, 'query_id')}, asset_id {kind(vectors, 'asset_id')}, raw_score double")
 
 
-def _dots(q: pd.DataFrame, v: pd.DataFrame) -> np.ndarray:
+def dots(q: pd.DataFrame, v: pd.DataFrame) -> np.ndarray:
     return np.stack(q["q"].to_numpy()).astype(float) @ np.stack(v["vector"].to_numpy()).astype(float).T
 
 
@@ -157,7 +160,7 @@ def _dealt(vectors: DataFrame, queries: DataFrame, k: int | None) -> DataFrame:
     """_scored() for any number of queries: vectors and queries of one length meet in blocks."""
     size = lambda c: F.size(c).alias("__size")
     left = queries.select("query_id", "q", size("q")).filter("__size > 0")
-    return by_blocks(vectors.select("asset_id", "vector", size("vector")).filter("__size > 0"), left, ["__size"], k, _dots)
+    return by_blocks(vectors.select("asset_id", "vector", size("vector")).filter("__size > 0"), left, ["__size"], k, dots)
 
 
 def all_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:

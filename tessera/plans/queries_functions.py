@@ -136,10 +136,10 @@ def internal_id_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.load(spark, sf_dir, "events").select("event_id", text.leaks_internal_id(said).alias("leaks"))
 
 
-@query("claim_segments", "SELECT doc_id, len(list_filter(regexp_extract_all(text, '[^。！？!?\\n]*[。！？!?\\n]|[^。！？!?\\n]+$'), lambda s: trim(s) <> ''))::INTEGER AS claims, length(text) AS n FROM documents WHERE length(text) < 20000")
+@query("claim_segments", "SELECT doc_id, len(list_filter(regexp_extract_all(text, '[^。！？!?\\n]*[。！？!?\\n]|[^。！？!?\\n]+$'), lambda s: trim(s) <> ''))::INTEGER AS claims, length(text) AS n FROM documents")
 def claim_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many claims the sentence marks of a document part it into, and that they reach to its end."""
-    rows = catalog.load(spark, sf_dir, "documents").filter(F.length("text") < 20000).select("doc_id", "text", text.sentences(F.col("text")).alias("s"))
+    rows = catalog.load(spark, sf_dir, "documents").select("doc_id", "text", text.sentences(F.col("text")).alias("s"))
     return rows.select("doc_id", F.size("s").alias("claims"), F.length("text").cast("long").alias("n"))
 
 

@@ -28,10 +28,10 @@ def scan_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.decoded(newest, {"props": "struct<k:bigint>"}).select("event_id", F.col("props.k").alias("k"))
 
 
-@query("scan_events", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_custkey % 5 = 1 ORDER BY o_orderdate DESC, o_orderkey LIMIT 200")
+@query("scan_events", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' ORDER BY o_orderdate DESC, o_orderkey LIMIT 200")
 def scan_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest active events of a scope (a top-k report)."""
-    return scans.newest(catalog.load(spark, sf_dir, "orders"), "o_orderdate", "o_orderkey", 200, (F.col("o_orderstatus") == "O") & (F.col("o_custkey") % 5 == 1)).select("o_orderkey")
+    return scans.newest(catalog.load(spark, sf_dir, "orders"), "o_orderdate", "o_orderkey", 200, (F.col("o_orderstatus") == "O") & (F.col("o_orderpriority") == "1-URGENT")).select("o_orderkey")
 
 
 @query("point_lookups", "SELECT kind, id, found FROM (SELECT 'asset' AS kind, l_orderkey * 3 AS id, EXISTS (SELECT 1 FROM events WHERE event_id = l_orderkey * 3) AS found FROM (SELECT DISTINCT l_orderkey FROM lineitem) UNION ALL SELECT 'event', l_orderkey * 2, EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey * 2) FROM (SELECT DISTINCT l_orderkey FROM lineitem))")
@@ -74,10 +74,10 @@ def quality_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.load(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") * 37 % 101 / 100).alias("quality")).filter(F.col("quality") >= 0.30)
 
 
-@query("batch_assets", "SELECT DISTINCT o_custkey AS event_id, l_orderkey AS asset_id FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_suppkey % 4 = 1")
+@query("batch_assets", "SELECT DISTINCT o_custkey AS event_id, l_orderkey AS asset_id FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
 def batch_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events and assets of a batch: bridge, observations and assets joined, each pair once."""
-    lines = catalog.load(spark, sf_dir, "lineitem").filter("l_suppkey % 4 = 1").select(F.col("l_orderkey").alias("asset_id"))
+    lines = catalog.load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("asset_id"))
     bridge = catalog.load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("asset_id"), F.col("o_custkey").alias("event_id"))
     return lines.join(bridge, "asset_id").select("event_id", "asset_id").distinct()
 

@@ -49,11 +49,11 @@ def entity_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     "unpivoted_stats",
     """WITH l AS (SELECT 'l_quantity' AS metric, l_quantity AS v FROM lineitem UNION ALL SELECT 'l_discount', l_discount FROM lineitem UNION ALL SELECT 'l_tax', l_tax FROM lineitem),
     r AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY metric) AS n FROM l)
-    SELECT metric, max(n) AS n, max(v) AS peak, round(avg(v), 6) AS mean, max(CASE WHEN i = n // 2 THEN v END) AS p50, max(CASE WHEN i = least(n - 1, floor(n * 0.95)) THEN v END) AS p95 FROM r GROUP BY metric""",
+    SELECT metric, max(n) AS n, max(v) AS peak, round(sum(v::DECIMAL(18,2))::DOUBLE / count(*), 9) AS mean, max(CASE WHEN i = n // 2 THEN v END) AS p50, max(CASE WHEN i = least(n - 1, floor(n * 0.95)) THEN v END) AS p95 FROM r GROUP BY metric""",
 )
 def unpivoted_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Peak, mean and two exact percentiles of several metrics."""
-    return people.unpivoted_stats(catalog.load(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount", "l_tax"]).withColumn("mean", F.round("mean", 6))
+    return people.unpivoted_stats(catalog.load(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount", "l_tax"]).withColumn("mean", F.round("mean", 9))
 
 
 @query("run_summary", "SELECT count(*) AS n, count(DISTINCT o_custkey) AS users, round(avg(o_totalprice), 4) AS mean_price, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END), 9) AS finished, strftime(min(o_orderdate), '%Y-%m-%d') AS first_day, strftime(max(o_orderdate), '%Y-%m-%d') AS last_day FROM orders")

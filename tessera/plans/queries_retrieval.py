@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera import catalog
-from tessera.functions.vector import dot
 from tessera.operators import clusters, metrics, retrieval, text_index
 from tessera.plans.spec import HARD, SEMANTIC, Constraint
 from tessera.registry import query
@@ -92,22 +91,23 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three channels for queries 1 to 3: lexical over documents, visual and metadata derived from embeddings."""
-    lexical = retrieval.lexical_channel(_lexical(spark, sf_dir, 20).withColumnRenamed("doc_id", "asset_id"), 20)
+    """Three channels for every hundredth vector: visual, entity (vectors of its label), and lexical, one of the texts asked for each."""
     vectors, _ = _vector_queries(spark, sf_dir)
     rows = catalog.load(spark, sf_dir, "embeddings")
-    queries = rows.filter("vec_id IN (1, 2, 3)").select(F.col("vec_id").cast("int").alias("query_id"), F.col("embedding").alias("q"))
-    visual = retrieval.vector_hits(vectors, queries, k=15)
-    same = rows.join(rows.filter("vec_id IN (1, 2, 3)").select(F.col("vec_id").cast("int").alias("query_id"), F.col("label").alias("__l")), F.col("label") == F.col("__l"))
-    entity = retrieval.entity_hits(same.select(F.col("vec_id").alias("asset_id"), F.col("query_id").alias("entity_id")), spark.range(1, 4).select(F.col("id").cast("int").alias("query_id"), F.col("id").cast("int").alias("entity_id")), 15)
+    asked = rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label", (F.floor(F.col("vec_id") / 100) % 3 + 1).cast("int").alias("said"))
+    texts = _lexical(spark, sf_dir, 20).select(F.col("query_id").alias("said"), F.col("doc_id").alias("asset_id"), "raw_score", "rank")
+    lexical = retrieval.lexical_channel(asked.select("query_id", "said").join(texts, "said").drop("said"), 20)
+    visual = retrieval.vector_hits(vectors, asked.select("query_id", "q"), k=15)
+    entity = retrieval.entity_hits(rows.select(F.col("vec_id").alias("asset_id"), F.col("label").alias("entity_id")), asked.select("query_id", F.col("label").alias("entity_id")), 15)
     return retrieval.union_hits(lexical, visual, entity)
 
 
 _HITS_SQL = f"""{_LEXICAL_SQL},
-vis AS (SELECT q.vec_id AS query_id, v.vec_id AS asset_id, list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS s FROM embeddings q, embeddings v WHERE q.vec_id IN (1, 2, 3)),
-ent AS (SELECT q.vec_id AS query_id, v.vec_id AS asset_id FROM embeddings q JOIN embeddings v ON q.label = v.label WHERE q.vec_id IN (1, 2, 3)),
+qs AS (SELECT vec_id AS query_id, embedding, label, vec_id // 100 % 3 + 1 AS said FROM embeddings WHERE vec_id % 100 = 0),
+vis AS (SELECT q.query_id, v.vec_id AS asset_id, list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS s FROM qs q, embeddings v),
+ent AS (SELECT q.query_id, v.vec_id AS asset_id FROM qs q JOIN embeddings v ON q.label = v.label),
 hits AS (
-  SELECT query_id, 'lexical' AS channel, 2 AS c, 1.0 AS w, doc_id AS asset_id, raw_score, rank FROM lexical WHERE rank <= 20
+  SELECT qs.query_id, 'lexical' AS channel, 2 AS c, 1.0 AS w, doc_id AS asset_id, raw_score, rank FROM lexical JOIN qs ON said = lexical.query_id WHERE rank <= 20
   UNION ALL SELECT query_id, 'visual', 3, 1.5, asset_id, s, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, asset_id) AS rank FROM vis) WHERE rank <= 15
   UNION ALL SELECT query_id, 'entity', 1, 1.0, asset_id, 1.0, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY asset_id) AS rank FROM ent) WHERE rank <= 15)"""
 
@@ -233,8 +233,13 @@ def _nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = catalog.load(spark, sf_dir, "embeddings")
     each = rows.select("label", F.posexplode("embedding").alias("d", "x")).groupBy("label", "d").agg(F.avg(F.col("x").cast("double")).alias("m"))
     centroids = each.groupBy(F.col("label").alias("found")).agg(F.array_sort(F.collect_list(F.struct("d", "m"))).alias("c")).select("found", F.transform("c", lambda x: x["m"]).alias("c"))
-    scored = rows.join(F.broadcast(centroids), F.lit(True)).select("vec_id", "label", "found", F.round(dot(F.col("embedding"), F.col("c")), 9).alias("s"))  # a row a label
-    return scored.groupBy("vec_id", "label").agg(F.max(F.struct("s", (-F.col("found")).alias("f"))).alias("b")).select("vec_id", "label", (-F.col("b.f")).alias("found"))
+    # Every vector asks for the best centroid: blocks of both sides, however many labels there are.
+    size = lambda c: F.size(c).alias("__size")
+    asked = rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), size("embedding"))
+    known = catalog.written(centroids.select(F.col("found").alias("asset_id"), F.col("c").alias("vector"), size("c")), "centroids")
+    scored = retrieval.by_blocks(known, asked, ["__size"], 1, lambda q, v: retrieval.dots(q, v).round(9))
+    best = scored.groupBy("query_id").agg(F.max(F.struct("raw_score", (-F.col("asset_id")).alias("f"))).alias("b"))
+    return rows.select("vec_id", "label").join(best, F.col("vec_id") == F.col("query_id")).select("vec_id", "label", (-F.col("b.f")).alias("found"))
 
 
 _CENTROID_SQL = """

@@ -121,7 +121,7 @@ def representativeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "scene_hierarchy",
-    f"""WITH {_SCENES}, e AS (SELECT video, frame AS event_no, CASE frame % 5 WHEN 0 THEN 'Action' WHEN 1 THEN 'Expression' ELSE 'Object' END AS kind, t AS c, t + frame % 6 AS d FROM f WHERE frame % 3 = 0),
+    f"""WITH {_SCENES}, e AS (SELECT video, frame AS event_no, CASE frame % 5 WHEN 0 THEN 'Action' WHEN 1 THEN 'Expression' ELSE 'Object' END AS kind, t AS c, t + frame % 6 AS d FROM f),
     us AS (SELECT video, scene_no, (start_s * 1000000)::DECIMAL(30,3)::DOUBLE AS a0, trunc(start_s * 1000000) AS a, trunc(end_s * 1000000) AS b FROM sc), eu AS (SELECT video, event_no, kind, trunc(c * 1000000) AS c, trunc(d * 1000000) AS d FROM e),
     i AS (SELECT us.video, scene_no, event_no, kind, c, d FROM us JOIN eu ON us.video = eu.video AND d >= a AND c <= b),
     an AS (SELECT video, scene_no, event_no AS anchor, c AS x, d AS y FROM i WHERE kind = 'Action' UNION ALL SELECT video, scene_no, NULL, a, b FROM us WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.video = us.video AND i.scene_no = us.scene_no AND kind = 'Action')),
@@ -131,7 +131,7 @@ def representativeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def scene_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scenes, their anchors, and what overlaps each."""
-    rows = frames(spark, sf_dir).filter("frame % 3 = 0")
+    rows = frames(spark, sf_dir)
     kind = F.when(F.col("frame") % 5 == 0, "Action").when(F.col("frame") % 5 == 1, "Expression").otherwise("Object")
     events = rows.select("video", F.col("frame").alias("event_no"), kind.alias("kind"), F.col("t").alias("start_s"), (F.col("t") + F.col("frame") % 6).alias("end_s"))
     found = timeline.scene_hierarchy(_scenes(spark, sf_dir), events, "video")
