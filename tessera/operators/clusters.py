@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.catalog import small, written
-from tessera.operators.entities import canonical
-from tessera.operators.retrieval import by_blocks
+from tessera.functions.vector import l2_normalised, norm
+from tessera.operators.entities import canonical, connected
+from tessera.operators.retrieval import by_blocks, kind
 
 #: How a sample's similarities to the members of its own view are brought to one number.
 AGREEMENT: dict[str, Callable[[np.ndarray], float]] = {
@@ -106,23 +107,98 @@ def quality_clusters(ids: list, vectors: np.ndarray, quality: list, pose: list,
     return out
 
 
-def _kind(rows: DataFrame, column: str) -> str:
-    return rows.schema[column].dataType.simpleString()
-
-
-def cluster_by_quality(rows: DataFrame, scope: str, key: str, vector: str, quality: str, pose: str, model: str, kept: str | None = None, **options) -> DataFrame:
-    """scope, model, key and cluster (the key of its founder) of every row; one scope and model is one fold.
-
-    kept: a column of identities that a user gave; clusters with one never take in samples of another.
+#: A scope and model of more samples than this is parted before it is folded; blocks of samples whose products one task forms.
+MAX_FOLD = 20_000
+PART_BLOCK = 4096
+
+
+def _forest(x: np.ndarray, y: np.ndarray, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (row of x, row of y) of a spanning forest of all pairs at the threshold: each row's first partner, and what joins those."""
+    n, m = len(x), len(y)
+    up = np.arange(n if same else n + m)
+    shift = 0 if same else n
+    edges: list[tuple[int, int]] = []
+
+    def top(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for start in range(0, n, BLOCK):
+        near = x[start : start + BLOCK] @ y.T >= threshold
+        for r in range(len(near)):
+            i = start + r
+            partners = np.flatnonzero(near[r])
+            if not partners.size:
+                continue
+            while not np.array_equal(flat := up[up], up):
+                up[:] = flat
+            # One partner of each set is enough.
+            for j in partners[np.unique(up[partners + shift], return_index=True)[1]]:
+                p, q = top(i), top(int(j) + shift)
+                if p != q:
+                    up[max(p, q)] = min(p, q)
+                    edges.append((i, int(j)))
+    out = np.array(edges, np.int64).reshape(-1, 2)
+    return out[:, 0], out[:, 1]
+
+
+def parted(rows: DataFrame, keys: list[str], key: str, vector: str, threshold: float) -> DataFrame:
+    """keys, key and part of rows with unit vectors: parts are what chains of pairs at the threshold connect.
+
+    The samples of a group of keys are cut into blocks and each pair of blocks is a task, which tells a spanning forest of
+    its links and never all pairs; the forests are then contracted.
+    """
+    sizes = small(written(rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / PART_BLOCK).cast("long").alias("__blocks")), "blocks"))
+    dealt = rows.join(sizes, keys).withColumn("__own", F.pmod(F.xxhash64(key), F.col("__blocks")))
+    # A pair (i, j) of blocks, i <= j: a sample of block b is in all pairs with b.
+    dealt = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1)))
+    pairs = dealt.select(*keys, F.least("__own", "__other").alias("__i"), F.greatest("__own", "__other").alias("__j"), "__own", F.col(key).alias("id"), F.col(vector).alias("x"))
+
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = pdf["__i"].iloc[0], pdf["__j"].iloc[0]
+        left, right = pdf[pdf["__own"] == i], pdf[pdf["__own"] == j]
+        if left.empty or right.empty:
+            return pd.DataFrame({"a": left["id"][:0], "b": left["id"][:0]})
+        p, q = _forest(np.stack(left["x"].to_numpy()).astype(float), np.stack(right["x"].to_numpy()).astype(float), i == j, threshold)
+        return pd.DataFrame({"a": left["id"].to_numpy()[p], "b": right["id"].to_numpy()[q]})
+
+    id_type = kind(rows, key)
+    found = pairs.groupBy(*keys, "__i", "__j").applyInPandas(links, f"a {id_type}, b {id_type}")
+    parts = connected(found).withColumnRenamed("id", "__id")
+    return rows.select(*keys, key).join(parts, F.col(key) == F.col("__id"), "left").select(*keys, key, F.coalesce("root", key).alias("part"))
+
+
+def cluster_by_quality(rows: DataFrame, scope: str, key: str, vector: str, quality: str, pose: str, model: str, kept: str | None = None, threshold: float = 0.30, minimum: float = 0.30, **options) -> DataFrame:
+    """scope, model, key and cluster (the key of its founder) of every row; keys are unique.
+
+    kept: a column of identities that a user gave; clusters with one never take in samples of another. A scope and model is one
+    fold, or, if it has more than MAX_FOLD samples, one for each of its parts: a sample can only join a cluster with a
+    prototype at the threshold, so what no chain of such pairs connects never meets, and folds of the parts give the same clusters.
+    A sample under the minimum quality is alone, and so a part of its own. The largest part still has to fit a task.
     """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = unit(np.stack(pdf[vector].to_numpy()).astype(np.float64))
+        x = np.stack(pdf["__x"].to_numpy()).astype(np.float64)
         names = [None if pd.isna(v) else v for v in pdf[kept]] if kept else None
-        found = quality_clusters(pdf[key].tolist(), x, pdf[quality].tolist(), pdf[pose].tolist(), pdf[model].tolist(), names, **options)
+        found = quality_clusters(pdf[key].tolist(), x, pdf[quality].tolist(), pdf[pose].tolist(), pdf[model].tolist(), names, threshold=threshold, minimum=minimum, **options)
         return pd.DataFrame({scope: pdf[scope], model: pdf[model], key: pdf[key], "cluster": [found[i] for i in pdf[key]]})
 
-    return rows.groupBy(scope, model).applyInPandas(fold, f"{scope} {_kind(rows, scope)}, {model} {_kind(rows, model)}, {key} {_kind(rows, key)}, cluster {_kind(rows, key)}")
+    out = f"{scope} {kind(rows, scope)}, {model} {kind(rows, model)}, {key} {kind(rows, key)}, cluster {kind(rows, key)}"
+    wide = F.transform(vector, lambda x: x.cast("double"))
+    rows = rows.withColumn("__x", F.when(norm(F.col(vector)) > 0, l2_normalised(F.col(vector))).otherwise(wide))
+    large = written(rows.groupBy(scope, model).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > MAX_FOLD), "large-scopes")
+    if large.isEmpty():
+        return rows.groupBy(scope, model).applyInPandas(fold, out)
+    big = small(large.select(scope, model))
+    rest = rows.join(big, [scope, model], "left_anti").groupBy(scope, model).applyInPandas(fold, out)
+    many = written(rows.join(big, [scope, model], "left_semi"), "large-scope")
+    good = F.col(quality) >= minimum
+    parts = parted(many.filter(good), [scope, model], key, "__x", threshold).select(key, "part")
+    alone = many.filter(~F.coalesce(good, F.lit(False))).select(F.col(scope), F.col(model), F.col(key), F.col(key).alias("cluster"))
+    folded = many.join(parts, key).groupBy(scope, model, "part").applyInPandas(fold, out)
+    return rest.unionByName(folded).unionByName(alone)
 
 
 def operated(members: DataFrame, clusters: DataFrame, operations: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -159,6 +159,26 @@ def canonical(merges: DataFrame, order: str | None = None) -> DataFrame:
             return on.select(F.col("source").alias("id"), F.when(F.col("done"), F.col("target")).otherwise(F.col("__low")).alias("root"))
 
 
+def connected(edges: DataFrame) -> DataFrame:
+    """id and root (the smallest that can be reached) of all ends of edges (a, b).
+
+    Each round hangs every node, and what it is linked to, on the least of its neighbours, then follows the nodes to where
+    they hang; edges inside a tree go. Sides of joins are written, so that a node with very many edges can be split.
+    """
+    edges = written(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    homes = written(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("root", F.col("id")), "homes")
+    while not edges.isEmpty():
+        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy(F.col("a").alias("source")).agg(F.min("b").alias("target")).filter("target < source")
+        hung = small(written(canonical(least), "hung"))  # chains of ever smaller nodes, so without circles
+        homes = homes.join(hung.withColumnRenamed("id", "__s").withColumnRenamed("root", "__r"), F.col("root") == F.col("__s"), "left")
+        homes = written(homes.select("id", F.coalesce("__r", "root").alias("root")), "homes")
+        for end in ("a", "b"):
+            edges = edges.join(hung.withColumnRenamed("id", "__s").withColumnRenamed("root", "__r"), edges[end] == F.col("__s"), "left").withColumn(end, F.coalesce("__r", end)).drop("__s", "__r")
+        edges = written(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    return homes
+
+
 def remapped(edges: DataFrame, merges: DataFrame, ends: list[str], confidence: str | None = None, evidence: str | None = None, order: str | None = None) -> DataFrame:
     """Edges with merged entities (source, target) redirected to what they have become in the end; self-loops go.
 

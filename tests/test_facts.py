@@ -117,3 +117,15 @@ def test_merged_events_rebuild_their_participants(spark):
     assert [tuple(r) for r in after.collect()] == [(1, 3, 9, "park", "walk", 0.9, 3)]
     assert {tuple(r) for r in obs.collect()} == {(1, "o1"), (1, "o2"), (1, "o3")}
     assert {tuple(map(str, r)) for r in parts.collect()} == {("1", "p", "0.8", "['o1', 'o2']"), ("1", "q", "0.6", "['o2', 'o3']")}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_connected(spark, seed):
+    rng = np.random.default_rng(seed)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 120, (90, 2))] + [(i, i + 1) for i in range(200, 260)] + [(300, i) for i in range(301, 340)]
+    root = {i: i for e in edges for i in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    want = {i: r for i, r in root.items() if any(i in e and e[0] != e[1] for e in edges)}
+    assert {r.id: r.root for r in entities.connected(spark.createDataFrame(edges, "a int, b int")).collect()} == want

@@ -336,3 +336,31 @@ def test_consolidation_of_many_events():
     began = time.perf_counter()
     into = events.consolidation(_scattered(5000, 250, 1))
     assert len(set(into.values())) < 4500 and time.perf_counter() - began < 30
+
+
+def test_a_large_scope_is_parted_and_gives_the_same_clusters(spark, monkeypatch):
+    """Folds of parts that no chain of near pairs connects are the fold of all."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(30, 12))
+    rows = []
+    for i in range(600):
+        x = centres[rng.integers(0, 30)] + rng.normal(size=12) * 0.3
+        rows.append((i, i % 2, x.tolist(), float(rng.integers(0, 10)) / 10, ["a", "b", "unknown"][rng.integers(0, 3)], "m", "n1" if i % 50 == 0 else None))
+    df = spark.createDataFrame(rows, "id int, scope int, x array<double>, q double, pose string, model string, kept string").repartition(5)
+    run = lambda: {r.id: r.cluster for r in clusters.cluster_by_quality(df, "scope", "id", "x", "q", "pose", "model", "kept", threshold=0.75).collect()}
+    whole = run()
+    monkeypatch.setattr(clusters, "MAX_FOLD", 100)
+    monkeypatch.setattr(clusters, "PART_BLOCK", 70)
+    assert run() == whole and 30 < len(set(whole.values())) < 600
+    units = df.filter("scope = 0").withColumn("u", clusters.l2_normalised(F.col("x")))
+    parts = {r.id: r.part for r in clusters.parted(units, ["scope"], "id", "u", 0.75).collect()}
+    x = {r[0]: np.array(r[2]) / np.linalg.norm(r[2]) for r in rows if r[1] == 0}
+    root = {i: i for i in x}
+    for _ in x:
+        for i in x:
+            for j in x:
+                if x[i] @ x[j] >= 0.75:
+                    root[i] = min(root[i], root[j])
+        if all(root[i] == min(root[j] for j in x if x[i] @ x[j] >= 0.75) for i in x):
+            break
+    assert parts == root
