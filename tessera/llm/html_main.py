@@ -6,9 +6,9 @@ that is made from its parent's, so deep pages cost no more. Spark adds up the vo
 or from their smallest common container where that holds more; from its own best container where that encloses them, where
 there are none, or where they hold little of what the page has.
 
-What is furniture is told by elements and roles, and by class names: outside an article by any word of a name, inside one
+What is furniture is told by elements and roles, and by class names: outside an article or <main> by any word of a name, inside one
 (and for paragraphs, headings and the like everywhere) only where the whole name is made of such words, as `ad-slot` and
-`related-posts` are but `related-work` and `social-science` aren't. A list of links is a menu, but not inside an article.
+`related-posts` are but `related-work` and `social-science` aren't. A list of links is a menu, but not inside an article or <main>.
 
 Edge cases: null or empty html gives an empty text; a null or odd url makes the page a host of its own making (it uses its
 own best container); unclosed, crossed and stray tags are read as browsers do in the main; a page of any length and depth is
@@ -274,9 +274,9 @@ class Page:
         for i in range(n - 1, 0, -1):
             h1[self.parent[i]] |= h1[i]
             body[self.parent[i]] |= body[i]
-        inside = [False] * n  # of an article
+        inside = [False] * n  # of an article, or of the main part of a page
         for i in range(1, n):
-            inside[i] = inside[self.parent[i]] or self.tag[i] == "article"
+            inside[i] = inside[self.parent[i]] or self.tag[i] in ("article", "main")
             if self.state[i] == NAMED:
                 self.state[i] = KEPT if h1[i] and self.tag[i] not in _HEADING else FURNITURE
             elif self.state[i] == ALLUDED:
