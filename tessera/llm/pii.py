@@ -41,8 +41,8 @@ PATTERNS = {
 _HINT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][0-9 -]{10}", "phone": r"\+[0-9]"}
 #: Characters on either side of an entity that make up its context.
 CONTEXT = 80
-#: Spans on either side of one that may reach into its context.
-BESIDE = 48
+#: Emails before and after a place that can reach into a context there: none is shorter than five characters, and they don't overlap.
+BESIDE = CONTEXT // 5 + 2
 MIN_SUPPORT = 2
 GENERALISE, REMOVE = 0.75, 0.9
 #: Terms and (entity, term) pairs are broadcast up to so many rows; beyond it they are joined by a shuffle.
@@ -150,18 +150,27 @@ def base_spans(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), F.md5(text).alias("digest")).withColumn("base", _base(F.col("text")))
 
-    def around(base: Column, pieces: Column):
+    def around(mails: Column, before: Column, pieces: Column):
         def one(s: Column, i: Column) -> Column:
-            # A context holds at most 17 emails, 12 addresses, 8 cards and 8 numbers; the emails have letters that are no terms.
-            beside = F.slice(base, F.greatest(i - BESIDE, F.lit(0)) + 1, F.lit(2 * BESIDE + 1))
-            emails = F.filter(beside, lambda b: (b["k"] == 0) & (b["start"] < s["stop"] + CONTEXT) & (s["start"] - CONTEXT < b["stop"]))
+            # Emails have letters that are no terms. They are found by their place among all emails, however many other spans
+            # lie between: no span has two of them begin inside it.
+            beside = F.slice(mails, F.greatest(F.get(before, i) - BESIDE, F.lit(0)) + 1, F.lit(2 * BESIDE))
+            emails = F.filter(beside, lambda b: (b["start"] < s["stop"] + CONTEXT) & (s["start"] - CONTEXT < b["stop"]))
             places = F.transform(emails, lambda b: F.struct(b["start"].alias("start"), b["stop"].alias("stop")))
             left = _cut(pieces, F.greatest(s["start"] - CONTEXT, F.lit(0)), F.least(s["start"], F.lit(CONTEXT)))
             return F.struct(s["start"].alias("start"), s["k"].alias("k"), s["stop"].alias("stop"), s["value"].alias("value"), left.alias("left"), _cut(pieces, s["stop"], F.lit(CONTEXT)).alias("right"), places.alias("emails"))
 
         return one
 
-    spans_ = let(F.col("base"), lambda base: let(_pieces(F.col("text")), lambda pieces: F.transform(base, around(base, pieces))))
+    def counted(n: Column, s: Column) -> Column:
+        """How many emails begin before a span, or with it."""
+        return let(n + F.when(s["k"] == 0, 1).otherwise(0), lambda m: F.struct(m.alias("state"), F.array(m).alias("add")))
+
+    def all_around(base: Column) -> Column:
+        mails, before = F.filter(base, lambda b: b["k"] == 0), _folded(base, F.lit(0), counted, "array<int>")
+        return let(mails, lambda m: let(before, lambda n: let(_pieces(F.col("text")), lambda pieces: F.transform(base, around(m, n, pieces)))))
+
+    spans_ = let(F.col("base"), all_around)
     none = F.array().cast("array<struct<start:int,k:int,stop:int,value:string,left:string,right:string,emails:array<struct<start:int,stop:int>>>>")
     return rows.select("doc_id", "digest", F.when(F.size("base") > 0, spans_).otherwise(none).alias("base"))
 
@@ -196,10 +205,10 @@ def disclosures(docs: DataFrame, mentions: DataFrame, n_texts: int) -> DataFrame
     wanted = written(pairs.select("term").distinct(), "terms")
     # How many distinct texts hold each of those terms.
     text = F.coalesce(F.col("text"), F.lit(""))
-    texts = docs.select(F.md5(text).alias("digest"), text.alias("text")).dropDuplicates(["digest"])
-    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)))).alias("term"))
+    # Only pairs of a digest and a wanted term are shuffled, not texts.
+    words = docs.select(F.md5(text).alias("digest"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0)))).alias("term"))
     kept = words.join(F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_ROWS else wanted, "term")
-    df = kept.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = kept.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n = F.lit(float(n_texts))
     pmi = F.log(n * F.col("n_ct") / (F.col("n_c") * F.col("df")))
     ic = F.log(n / F.col("n_c"))
@@ -217,6 +226,7 @@ def spans(docs: DataFrame) -> DataFrame:
     each = mentions.select("digest", "entity", F.explode("terms").alias("t")).select("digest", "entity", F.col("t.term").alias("term"), F.col("t.start").alias("start"), F.col("t.stop").alias("stop"))
     hit = each.join(found, ["entity", "term"]).groupBy("digest", "start", "stop").agg(F.max(F.col("d") >= REMOVE).alias("remove"))
     terms = hit.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "remove"))).alias("terms"))
+    terms = written(terms, "terms-of-texts")  # joined by itself, so that a text with very many copies can be split
     return rows.join(terms, "digest", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:int,stop:int,remove:boolean>>")))
 
 
