@@ -21,7 +21,7 @@ from importlib.resources import files
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower, table
+from tessera.llm.common import ascii_lower, table, written
 
 _MIT_BODY = (
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
@@ -225,6 +225,7 @@ def scan(docs: DataFrame) -> DataFrame:
         F.collect_set(F.when(~F.col("whole"), F.struct("n", "license"))).alias("lines"),
     )
     by_text = by_text.select("digest", "license", F.size("lines").cast("long").alias("n_notices"), F.array_join(F.array_sort(F.array_distinct(F.transform("lines", lambda x: x["license"]))), ",").alias("notices"))
+    by_text = written(by_text, "text-licenses")  # joined by itself, so that a text with very many copies can be split
     rows = docs.select("doc_id", F.md5("text").alias("digest")).join(by_text, "digest", "left")
     return rows.select("doc_id", "license", F.coalesce("n_notices", F.lit(0).cast("long")).alias("n_notices"), F.coalesce("notices", F.lit("")).alias("notices"))
 
