@@ -44,7 +44,7 @@ SEQUENCE = 48
 STEPS = 40
 SEED = 7
 #: Emission values (words times languages) that a worker keeps; at more it starts anew.
-MAX_VALUES = 1_000_000
+MAX_VALUES = 500_000
 #: Steps of a chain between which only the messages are kept.
 STRETCH = 4096
 UNKNOWN = "und"
@@ -251,7 +251,7 @@ def _chain(ids: np.ndarray, lengths: np.ndarray, e: np.ndarray, model: Model, st
 
 
 #: Message values (words times languages) that one run of the chain may need.
-_RUN_VALUES = 1_600_000
+_RUN_VALUES = 800_000
 
 
 def predict(texts: list[str | None], model: Model, known: _Words | None = None) -> list[tuple[str, float, float]]:
@@ -295,18 +295,22 @@ def _bucket(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, *, held_out: int | None = 2, rows: int = TRAIN_ROWS, row_bytes: int = TRAIN_ROW_BYTES) -> Model:
     """A model from a sample of at most so many labelled rows of docs, as many of each language, picked by hash."""
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= row_bytes))
+    # Of a longer text a stretch of so many letters and signs is learned from, so no language is left out for its long texts.
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     if held_out is not None:
         labelled = labelled.filter(_bucket(F.col("doc_id")) != held_out)
-    order = F.xxhash64("doc_id", F.lit(SEED))
+    # By id and text, so that rows that share an id are drawn one by one; equal texts count once.
+    order = F.xxhash64("doc_id", F.xxhash64("text"), F.lit(SEED))
     counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a language
     if not counts:
         return Model([])
     each = max(LEAST_ROWS, -(-rows // len(counts)))
     # Twice the rows wanted pass the threshold on the hash; the window then takes the first of each language.
     shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, (2 * each + 20) / r["n"])) for r in counts], "lang string, __share double")
-    drawn = labelled.select("doc_id", "lang", "text").withColumn("__h", F.pmod(order, F.lit(1_000_000)) / 1_000_000).join(F.broadcast(shares), "lang").filter("__h <= __share")
-    first = F.row_number().over(W.partitionBy("lang").orderBy(order, "doc_id"))
+    drawn = labelled.select("doc_id", "lang", "text", order.alias("__o")).withColumn("__h", F.pmod("__o", F.lit(1_000_000)) / 1_000_000).join(F.broadcast(shares), "lang").filter("__h <= __share")
+    drawn = drawn.withColumn("text", F.when(F.octet_length("text") <= row_bytes, F.col("text")).otherwise(F.substr("text", F.lit(1), F.lit(row_bytes // 4))))
+    drawn = drawn.groupBy("lang", F.md5("text").alias("__d")).agg(F.min(F.struct("__o", "text")).alias("x")).select("lang", "__d", "x.__o", "x.text")
+    first = F.row_number().over(W.partitionBy("lang").orderBy("__o", "__d"))
     sample = drawn.withColumn("__n", first).filter(F.col("__n") <= each).select("text", "lang").collect()
     return fit(sorted((r["text"], r["lang"]) for r in sample))
 
