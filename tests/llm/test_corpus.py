@@ -731,3 +731,74 @@ def test_many_mentions_in_one_text(spark):
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert pii.spans(docs).selectExpr("size(base)").first()[0] == n
     assert pii.sanitised(docs).first().text == " ".join(["<EMAIL>"] * n)
+
+
+# --- found in review ---
+
+
+@pytest.mark.parametrize("many", [10, 200])
+def test_terms_inside_an_email_are_none_however_many_spans_it_holds(spark, many):
+    """An email whose local part holds addresses: what follows it sees that its words are part of an email."""
+    mail = ".".join(["1.1.1.1"] * many) + "@exampledomain.organisation"
+    texts = [f"{mail} +49 123 456 789 {w} secret" for w in ("alpha", "beta", "gamma")] + [f"plain words {i}" for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    mentions = pii._mentions(pii.base_spans(docs)).filter("entity LIKE '3:%'").collect()
+    assert len(mentions) == 3 and all({t.term for t in m.terms} & {"exampledomain", "organisation"} == set() for m in mentions)
+    assert all("secret" in {t.term for t in m.terms} for m in mentions)
+
+
+def test_main_text_keeps_lists_of_links_and_alluding_names_in_main():
+    s = "A sentence that is long enough to count as the text of an article. " * 4
+    page = f"""<html><body><nav><ul><li><a href=x>Home</a><li><a href=y>News</a></ul></nav><main><h1>Title</h1><p>{s}</p>
+    <div class="comments-on-theory"><p>What the theory says.</p></div><div class="search-results-discussion"><p>What was found.</p></div>
+    <h2>References</h2><ul><li><a href=a>First cited</a></li><li><a href=b>Second cited</a></li></ul>
+    <div class="related-posts"><ul><li><a href=c>Another page</a></li><li><a href=d>And one more</a></li></ul></div>
+    <div class="comments"><p>A reader says so.</p></div></main><ul><li><a href=e>Imprint</a></li><li><a href=f>Contact</a></li></ul></body></html>"""
+    assert html_main.Page(page).text(None).split("\n") == ["Title", s.strip(), "What the theory says.", "What was found.", "References", "First cited", "Second cited"]
+
+
+def test_repeated_pages_and_tied_votes(spark):
+    page = "<body><div class=a><p>" + "First words of it. " * 9 + "</p></div><div class=b><p>" + "Other words in it. " * 9 + "</p></div></body>"
+    pages = spark.createDataFrame([(1, "http://h/1", page)] * 3 + [(2, "http://h/2", page), (None, None, None)], "page_id long, url string, html string")
+    found = html_main.main_text(pages).collect()
+    assert len(found) == 5 and len({r.text for r in found if r.page_id}) == 1 and [r.text for r in found if r.page_id is None] == [""]
+    assert {r.text for r in html_main.main_text(pages.repartition(4)).collect()} == {r.text for r in found}
+
+
+def test_a_language_of_long_texts_only_is_learned(spark):
+    long = {"xx": "brado klinto vesparu ", "yy": "summen wirrt gelohnt "}
+    rows = [(i, lang, words * 2000) for lang, words in long.items() for i in range(3)] + [(None, "xx", long["xx"] * 5)] * 50
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, lang string, text string"), held_out=None)
+    assert model.langs == ["xx", "yy"]
+    assert [p[0] for p in langid.predict(["klinto brado", "gelohnt summen wirrt"], model)] == ["xx", "yy"]
+
+
+def brute_chain(emission, start, transition):
+    """Label probabilities of each word of one text, by all label sequences."""
+    import itertools
+
+    n, k = emission.shape
+    total, out = 0.0, np.zeros((n, k))
+    for labels in itertools.product(range(k), repeat=n):
+        w = np.exp(start[labels[0]] + sum(emission[i, y] for i, y in enumerate(labels)) + sum(transition[a, b] for a, b in zip(labels, labels[1:])))
+        total += w
+        for i, y in enumerate(labels):
+            out[i, y] += w
+    return out / total
+
+
+def test_language_query_by_enumeration(spark):
+    """The query's labels and scores of short texts, by all label sequences over the same weights."""
+    table_ = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    rows = [(10_000 + i, t, None, None, None) for i, t in enumerate(["the house und", "el perro come", "maison", "a1b und le", "", "12 34"])] + [(10_100, None, None, None, None)]
+    docs = table_.unionAll(spark.createDataFrame(rows, table_.schema))
+    found = {r.doc_id: r for r in langid.predictions(docs).collect()}
+    model = langid.train(docs)
+    for i, text, *_ in rows:
+        words = langid.words_of(text or "")
+        held = zlib.crc32(str(i).encode()) % 4 == 2
+        if not words:
+            assert (found[i].lang_pred, found[i].score, found[i].held_out) == ("und", 0.0, held)
+            continue
+        mean = brute_chain(model.emissions(words), model.start, model.transition).mean(axis=0)
+        assert (found[i].lang_pred, found[i].held_out) == (model.langs[mean.argmax()], held) and found[i].score == pytest.approx(mean.max(), abs=1e-9)
