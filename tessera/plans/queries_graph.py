@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import catalog
-from tessera.operators import entities, lifecycle
+from tessera.operators import entities, lifecycle, places
 from tessera.registry import query
 
 
@@ -171,3 +171,17 @@ def merged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merged_participants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Their participants, rebuilt from the observations that have moved there."""
     return _merged_orders(spark, sf_dir)[2].select("event_id", "person_id", "confidence", F.array_join("evidence_ids", ",").alias("evidence"))
+
+
+@query(
+    "nearest_places",
+    """WITH p AS (SELECT c_custkey AS id, (c_custkey * 37 % 1801) / 10 - 90 AS lat, (c_custkey * 911 % 3601) / 10 - 180 AS lon FROM customer), g AS (SELECT s_suppkey AS place_id, (s_suppkey * 53 % 1801) / 10 - 90 AS b, (s_suppkey * 1217 % 3601) / 10 - 180 AS l FROM supplier),
+    d AS (SELECT id, place_id, round(2 * 6371.0088 * asin(sqrt(least(1, pow(sin(radians(b - lat) / 2), 2) + cos(radians(lat)) * cos(radians(b)) * pow(sin(radians(l - lon) / 2), 2)))), 6) AS km FROM p, g)
+    SELECT id, arg_min(place_id, (km, place_id)) AS place_id, round(min(km), 3) AS km FROM d GROUP BY id""",
+)
+def nearest_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest place (suppliers, made into a gazetteer) of every customer's position."""
+    at = lambda key, a, b: ((key * a % 1801 / 10 - 90).alias("lat"), (key * b % 3601 / 10 - 180).alias("lon"))
+    points = catalog.load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), *at(F.col("c_custkey"), 37, 911))
+    known = catalog.load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("place_id"), *at(F.col("s_suppkey"), 53, 1217))
+    return places.nearest_place(points, known).select("id", "place_id", F.round("distance_km", 3).alias("km"))

@@ -8,29 +8,40 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Media types by file extension.
-EXTENSIONS = {
-    "image": ("jpg", "jpeg", "png", "gif", "webp", "heic", "heif", "bmp", "tiff", "tif"),
-    "video": ("mp4", "mov", "m4v", "avi", "mkv", "webm"),
-    "audio": ("mp3", "wav", "m4a", "aac", "flac", "ogg"),
-    "document": ("pdf", "txt", "md", "doc", "docx"),
-}
+from tessera.sources.exif import with_capture
 
+# MIME types by file extension.
+MIME_TYPES = {
+    "jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "gif": "image/gif", "webp": "image/webp", "heic": "image/heic", "heif": "image/heif", "bmp": "image/bmp", "tiff": "image/tiff", "tif": "image/tiff",
+    "mp4": "video/mp4", "mov": "video/quicktime", "m4v": "video/x-m4v", "avi": "video/x-msvideo", "mkv": "video/x-matroska", "webm": "video/webm",
+    "mp3": "audio/mpeg", "wav": "audio/wav", "m4a": "audio/mp4", "aac": "audio/aac", "flac": "audio/flac", "ogg": "audio/ogg",
+    "pdf": "application/pdf", "doc": "application/msword", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "json": "application/json", "zip": "application/zip",
+    "txt": "text/plain", "md": "text/markdown", "csv": "text/csv", "html": "text/html",
+}
 
-def media_type(path: Column) -> Column:
-    """image, video, audio, document or other, by extension."""
-    ext = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
-    chain = None
-    for kind, names in EXTENSIONS.items():
-        chain = F.when(ext.isin(*names), kind) if chain is None else chain.when(ext.isin(*names), kind)
-    return chain.otherwise("other")
+
+def mime_type(path: Column) -> Column:
+    """The MIME type by extension; null if it isn't known."""
+    known = F.create_map(*[F.lit(x) for pair in MIME_TYPES.items() for x in pair])
+    return F.try_element_at(known, F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1)))
+
+
+def media_type(path: Column, content_type: Column | None = None) -> Column:
+    """image, video, audio, text or application: by the content type of an upload, if that says one of the first four, else by the
+    file's extension; what isn't known is text."""
+    by_name = F.coalesce(F.split_part(mime_type(path), F.lit("/"), F.lit(1)), F.lit("text"))
+    if content_type is None:
+        return by_name
+    said = F.lower(F.trim(F.split_part(F.split_part(content_type, F.lit(";"), F.lit(1)), F.lit("/"), F.lit(1))))
+    return F.when(said.isin("image", "video", "audio", "text"), said).otherwise(by_name)
 
 
 def ingest(spark: SparkSession, folder: str, glob: str = "*", recursive: bool = True) -> DataFrame:
-    """asset_id, path, media_type, size_bytes, modified and content_sha256 of every file below a folder (but empty ones)."""
+    """asset_id, path, media_type, mime_type, size_bytes, modified, content_sha256, captured_at, device and gps of every file below a folder (but empty ones)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(folder)
-    sha = F.sha2("content", 256)
-    return files.select(F.concat(F.lit("asset_"), F.substring(F.sha2(F.col("path"), 256), 1, 12)).alias("asset_id"), "path", media_type(F.col("path")).alias("media_type"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"), sha.alias("content_sha256"))
+    name = F.concat(F.lit("asset_"), F.substring(F.sha2(F.col("path"), 256), 1, 12)).alias("asset_id")
+    rows = with_capture(files.select("path", "length", "modificationTime", "content"))
+    return rows.select(name, "path", media_type(F.col("path")).alias("media_type"), mime_type(F.col("path")).alias("mime_type"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("content_sha256"), "captured_at", "device", "gps")
 
 
 def import_folder(spark: SparkSession, folder: str, allowed: tuple[str, ...], glob: str = "*") -> DataFrame:

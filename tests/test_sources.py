@@ -15,7 +15,7 @@ def test_ingest_hashes_files_and_infers_media(spark, tmp_path):
     (tmp_path / "y.mov").write_bytes(b"two")
     (tmp_path / "z").write_bytes(b"3")
     rows = {r.path.rsplit("/", 1)[1]: r for r in files.ingest(spark, str(tmp_path)).collect()}
-    assert {k: r.media_type for k, r in rows.items()} == {"x.JPG": "image", "y.mov": "video", "z": "other"}
+    assert {k: r.media_type for k, r in rows.items()} == {"x.JPG": "image", "y.mov": "video", "z": "text"}
     assert rows["x.JPG"].content_sha256 == hashlib.sha256(b"one").hexdigest() and rows["y.mov"].size_bytes == 3
 
 
