@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.catalog import shared_root
+from tessera.catalog import shared_root, small, written
 from tessera.functions.text import contains, normalise, search_tokens
+from tessera.sources.published import newest, publish
 
 
 #: Query tokens are broadcast up to so many rows; beyond it index and queries meet by a shuffle.
@@ -102,11 +104,112 @@ def index_of(spark: SparkSession, source: str, rows: DataFrame, key: str, fields
     """Where the stored index of a source's rows lies; it is made if there is none for the source's files as they are."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source).select("path", "length", "modificationTime").collect()
     state = "|".join(sorted(f"{r['path']}:{r['length']}:{r['modificationTime']}" for r in listed)) + f"|{key}|{sorted(fields.items())}"
-    path = f"{shared_root(spark)}/term-index-{hashlib.sha256(state.encode()).hexdigest()[:24]}"
-    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
-        store_index(rows, key, fields, path)
-    return path
+    base = f"{shared_root(spark)}/term-index-{hashlib.sha256(state.encode()).hexdigest()[:24]}"
+    done = newest(spark, base)
+    if done is None:  # written to a folder of its own and published last: a lost driver leaves nothing in the way
+        folder = f"v-{uuid.uuid4().hex}"
+        store_index(rows, key, fields, f"{base}/{folder}")
+        publish(spark, base, {"number": 0, "folder": folder})
+        done = newest(spark, base)
+    return f"{base}/{done['folder']}"
+
+
+# --- phrases, and an index that is kept up by document ------------------------------------------------------------------
+
+#: Segments of an index before they are made one.
+MAX_SEGMENTS = 16
+
+
+def words_in_order(text: Column) -> Column:
+    """The runs of letters and digits of a normalised text, in order: what a phrase is a row of."""
+    return F.regexp_extract_all(normalise(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def postings(rows: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
+    """token, key, field and places: where each word of each named field stands, from 0."""
+    each = field_values(rows, key, fields).select(key, "field", F.posexplode(words_in_order(F.col("value"))).alias("at", "token"))
+    return each.groupBy("token", key, "field").agg(F.array_sort(F.collect_list("at")).alias("places"))
+
+
+def phrase_hits(index: DataFrame, key: str, queries: DataFrame) -> DataFrame:
+    """query_id, key, field and at: every place where a query's words (query_id, text) stand one after another in a field.
+
+    A word's place less its place in the phrase is where the phrase would begin; it does where all its words say so. The
+    queries' words are counted and broadcast, so only postings of these words are shuffled, and once.
+    """
+    asked = queries.select("query_id", F.posexplode(words_in_order(F.col("text"))).alias("offset", "token"), F.size(words_in_order(F.col("text"))).alias("__n"))
+    asked = F.broadcast(asked) if asked.count() <= MAX_BROADCAST_TOKENS else asked
+    found = index.join(asked, "token").select("query_id", key, "field", "__n", "offset", F.explode("places").alias("place"))
+    begins = found.groupBy("query_id", key, "field", (F.col("place") - F.col("offset")).alias("at"), "__n").agg(F.count(F.lit(1)).alias("n"))
+    return begins.filter((F.col("n") == F.col("__n")) & (F.col("at") >= 0)).select("query_id", key, "field", "at")
+
+
+class PhraseIndex:
+    """Stored postings that are kept up by document.
+
+    A segment holds the postings of the documents that came with it, by bucket of token, and a table of those documents. A
+    document's postings count if no later segment names it, so one that comes again replaces itself, and one that is
+    removed comes with nothing. The manifest is written last. Many segments are made one.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, manifest: dict):
+        self.spark, self.path, self.manifest = spark, path, manifest
+
+    @classmethod
+    def build(cls, rows: DataFrame, key: str, fields: dict[str, str], path: str) -> PhraseIndex:
+        spark = rows.sparkSession
+        number = (newest(spark, path) or {"number": -1})["number"] + 1
+        empty = cls(spark, path, {"number": number, "key": key, "key_type": rows.schema[key].dataType.simpleString(), "fields": fields, "segments": []})
+        return empty._with(postings(rows, key, fields), rows.select(key))
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> PhraseIndex:
+        found = newest(spark, path)
+        if not found:
+            raise ValueError(f"no_manifest: {path}")
+        return cls(spark, path, found)
+
+    def refresh(self, rows: DataFrame) -> PhraseIndex:
+        """With these documents as they are now, new ones and changed ones."""
+        return self._with(postings(rows, self.manifest["key"], self.manifest["fields"]), rows.select(self.manifest["key"]))
+
+    def remove(self, keys: DataFrame) -> PhraseIndex:
+        return self._with(self.live().limit(0), keys.select(self.manifest["key"]))
+
+    def _with(self, terms: DataFrame, keys: DataFrame) -> PhraseIndex:
+        folder = f"segment-{uuid.uuid4().hex}"
+        key = self.manifest["key"]
+        dealt = terms.select("token", key, "field", "places", _bucket(F.col("token")).alias("bucket"))
+        dealt = dealt.repartition(INDEX_BUCKETS, "bucket", F.pmod(F.xxhash64(key), F.lit(INDEX_SHARE))).sortWithinPartitions("bucket", "token")
+        dealt.write.partitionBy("bucket").parquet(f"{self.path}/{folder}/terms")
+        keys.distinct().write.parquet(f"{self.path}/{folder}/documents")
+        after = self.manifest | {"number": self.manifest["number"] + 1, "segments": [*self.manifest["segments"], folder]}
+        out = PhraseIndex(self.spark, self.path, publish(self.spark, self.path, after))
+        return out.compacted() if len(after["segments"]) > MAX_SEGMENTS else out
+
+    def compacted(self) -> PhraseIndex:
+        """One segment of what counts."""
+        terms = written(self.live(), "postings")
+        return PhraseIndex(self.spark, self.path, self.manifest | {"segments": []})._with(terms, terms.select(self.manifest["key"]))
+
+    def live(self, buckets: list[int] | None = None) -> DataFrame:
+        """The postings that count; of these buckets only (None: of all)."""
+        key, parts, later = self.manifest["key"], [], None
+        for folder in reversed(self.manifest["segments"]):
+            rows = self.spark.read.schema(f"token string, {key} {self.manifest['key_type']}, field string, places array<int>, bucket int").parquet(f"{self.path}/{folder}/terms")
+            rows = rows if buckets is None else rows.filter(F.col("bucket").isin(buckets))
+            parts.append((rows if later is None else rows.join(small(later), key, "left_anti")).select("token", key, "field", "places"))
+            own = self.spark.read.schema(f"{key} {self.manifest['key_type']}").parquet(f"{self.path}/{folder}/documents")
+            later = own if later is None else later.unionByName(own)
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    def phrases(self, queries: DataFrame) -> DataFrame:
+        """phrase_hits() of the queries; only the buckets of their words are read where these are few."""
+        tokens = queries.select(F.explode(words_in_order(F.col("text"))).alias("token")).select(_bucket(F.col("token")).alias("b")).distinct()
+        return phrase_hits(self.live(sorted(r["b"] for r in tokens.collect())), self.manifest["key"], queries)  # INDEX_BUCKETS rows at most
 
 
 def lexical_hits(index: DataFrame, key: str, surfaces: DataFrame, k: int) -> DataFrame:

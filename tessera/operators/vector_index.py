@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from tessera.catalog import written
 from tessera.operators.clusters import unit
 from tessera.operators.retrieval import MAX_BROADCAST_QUERIES, by_blocks, edge_places, kind
+from tessera.sources.published import newest, publish
 
 #: The bound of the sample on which centroids are fitted, and the most lists.
 FIT_ROWS = 20_000
@@ -39,7 +40,6 @@ MAX_REMOVALS = 1_000_000
 #: Vectors of a list that are written by one task.
 PART_VECTORS = 100_000
 SEED = 7
-_MANIFEST = "number long, manifest string"
 
 
 def _fit(sample: np.ndarray, n_lists: int) -> tuple[np.ndarray, int]:
@@ -82,7 +82,7 @@ class VectorIndex:
         n = rows.count()
         sample = rows.orderBy(F.xxhash64("asset_id", F.lit(SEED))).limit(FIT_ROWS).select("vector").toPandas()
         centroids, probes = _fit(unit(_stack(sample["vector"])), max(1, min(MAX_LISTS, round(n**0.5)))) if n else (np.zeros((1, 0)), 1)
-        number = (_newest(spark, path) or {"number": -1})["number"] + 1
+        number = (newest(spark, path) or {"number": -1})["number"] + 1
         fields = {"index_version": 1, "number": number, "space": space, "distance": "cosine", "normalized": True, "model_id": model, "dimension": centroids.shape[1], "probes": probes, "id_type": kind(rows, "asset_id"), "segments": [], "removals": []}
         index = cls(spark, path, fields)
         folder = f"centroids-{uuid.uuid4().hex}"
@@ -93,7 +93,7 @@ class VectorIndex:
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> VectorIndex:
         """The index that was published last under a path."""
-        found = _newest(spark, path)
+        found = newest(spark, path)
         if not found:
             raise ValueError(f"no_manifest: {path}")
         return cls(spark, path, found)
@@ -164,7 +164,7 @@ class VectorIndex:
     def _published(self) -> VectorIndex:
         ids = self._alive(None).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("asset_id")).alias("x"), F.sha2(F.concat_ws(":", F.count(F.lit(1)), F.bit_xor(F.xxhash64("asset_id"))), 256).alias("sum")).first()
         self.manifest |= {"source_count": ids["n"], "id_map_checksum": ids["sum"][:16]}
-        self.spark.createDataFrame([(self.manifest["number"], json.dumps(self.manifest))], _MANIFEST).coalesce(1).write.mode("append").json(f"{self.path}/manifest")
+        publish(self.spark, self.path, self.manifest)
         return self
 
     def _tidy(self) -> VectorIndex:
@@ -268,14 +268,6 @@ class VectorIndex:
         return by_blocks(self._alive(None), left, ["list"], k, score)
 
 
-def _newest(spark: SparkSession, path: str) -> dict | None:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return None
-    row = spark.read.schema(_MANIFEST).json(f"{path}/manifest").orderBy(F.desc("number"), "manifest").first()
-    return json.loads(row["manifest"]) if row else None
-
-
 def _rows(vectors: DataFrame) -> DataFrame:
     """asset_id, scope_id and vector; of several vectors of an id the greatest, so that a rerun agrees."""
     scope = F.col("scope_id").cast("string") if "scope_id" in vectors.columns else F.lit(None).cast("string")

@@ -9,6 +9,7 @@ from tessera import catalog
 from tessera.operators import clusters, entities, joins, lifecycle, online, retrieval, review, scans, sequences, structured
 from tessera.plans import queries_events
 from tessera.registry import query
+from tessera.streaming import expiry
 from tessera.streaming import sessions as streams
 
 _TS = "yyyy-MM-dd HH:mm:ss"
@@ -334,3 +335,50 @@ def blocked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = rows.select("user_id", F.col("event_id").alias("i"), F.col("ts").alias("t1"))
     b = rows.select("user_id", F.col("event_id").alias("j"), F.col("ts").alias("t2"))
     return joins.within(a, b, ["user_id"], "t1", "t2", 3600).filter("i < j").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+_CLOSED = "(SELECT least(max(ts) FILTER (event_type = 'view'), max(ts) FILTER (event_type = 'purchase')) - INTERVAL 10 MINUTE FROM events)"
+
+
+@query(
+    "stream_outer_pairs",
+    f"""WITH p AS (SELECT a.event_id AS view_id, a.ts, b.event_id AS purchase_id FROM events a LEFT JOIN events b ON a.user_id = b.user_id AND b.event_type = 'purchase' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR WHERE a.event_type = 'view')
+    SELECT view_id, purchase_id FROM p WHERE purchase_id IS NOT NULL OR ts + INTERVAL 1 HOUR < {_CLOSED}""",
+)
+def stream_outer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views with the purchases within an hour, and those without any, once none can come any more: two streams, outer join."""
+    views = _stream(spark, sf_dir).filter("event_type = 'view'").select("user_id", F.col("event_id").alias("view_id"), F.col("ts").alias("view_ts"))
+    bought = _stream(spark, sf_dir).filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("purchase_id"), F.col("ts").alias("purchase_ts"))
+    pairs = streams.paired(views, bought, "user_id", "view_ts", "purchase_ts", "1 hour", "10 minutes", "left_outer").select("view_id", "purchase_id")
+    return streams.run_available(pairs, streams.scratch(spark, "pairs"), streams.scratch(spark, "offsets"))
+
+
+@query("stream_once", "SELECT event_id, user_id FROM events")
+def stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log that is delivered twice, each event taken in once."""
+    twice = _stream(spark, sf_dir).unionByName(_stream(spark, sf_dir)).select("event_id", "user_id", "ts")
+    rows = streams.once(twice, ["event_id"], "ts", "1 hour").select("event_id", "user_id")
+    return streams.run_available(rows, streams.scratch(spark, "once"), streams.scratch(spark, "offsets"))
+
+
+@query("stream_sliding_windows", "SELECT strftime(time_bucket(INTERVAL 30 minute, ts) - to_minutes(30 * k), '%Y-%m-%d %H:%M:%S') AS start_ts, event_type, count(*) AS n FROM events, range(0, 2) AS r(k) GROUP BY ALL")
+def stream_sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of an hour, every half hour, by type."""
+    counts = streams.window_counts(_stream(spark, sf_dir), "event_type", "ts", "1 hour", "30 minutes")
+    out = streams.run_complete(counts, streams.scratch(spark, "sliding"), streams.scratch(spark, "offsets"))
+    return out.select(F.date_format("start_ts", "yyyy-MM-dd HH:mm:ss").alias("start_ts"), "event_type", "n")
+
+
+@query(
+    "stream_expiries",
+    """WITH g AS (SELECT user_id, epoch_ms(ts) AS t, CASE WHEN epoch_ms(ts) - lag(epoch_ms(ts)) OVER w <= 86400000 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT user_id, t, sum(new) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS life FROM g), l AS (SELECT user_id, life, min(t) AS opened, max(t) + 86400000 AS expired, count(*) AS n FROM s GROUP BY ALL)
+    SELECT user_id, strftime(make_timestamp(opened * 1000), '%Y-%m-%d %H:%M:%S') AS opened_at, strftime(make_timestamp(expired * 1000), '%Y-%m-%d %H:%M:%S') AS expired_at, n FROM l
+    WHERE expired <= (SELECT max(epoch_ms(ts)) - 600000 FROM events) OR life < (SELECT max(life) FROM l x WHERE x.user_id = l.user_id)""",
+)
+def stream_expiries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result sets that users' events open and renew, and that have expired a day after the last of them."""
+    ended = expiry.lives(_stream(spark, sf_dir), "user_id", "ts", expiry.RESULT_SECONDS, "10 minutes")
+    out = streams.run_available(ended, streams.scratch(spark, "lives"), streams.scratch(spark, "offsets"))
+    day = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return out.select("user_id", day("opened_at"), day("expired_at"), "n")

@@ -59,6 +59,24 @@ def lexical_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_index.lexical_hits(index, "doc_id", surfaces, 20).select("query_id", "doc_id", "raw_score", "matched_text", "rank")
 
 
+_PHRASES = [(1, "the of"), (2, "sich, der"), (3, "and"), (4, "in the of")]
+
+
+@query(
+    "phrase_search",
+    f"""WITH d AS (SELECT doc_id, regexp_extract_all({_NORM.format(x="text")}, '[\\p{{L}}\\p{{N}}]+') AS w FROM documents), q AS (SELECT q, regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}]+') AS p FROM (VALUES {", ".join(f"({n}, '{t}')" for n, t in _PHRASES)}) AS v(q, t)),
+    h AS (SELECT q, doc_id, len(list_filter(range(1, len(w) - len(p) + 2), lambda i: w[i : i + len(p) - 1] = p)) AS n FROM d, q WHERE len(w) >= len(p)) SELECT q AS query_id, doc_id, n FROM h WHERE n > 0""",
+)
+def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each phrase stands in each document, by a stored index of which two languages were refreshed and one removed and brought back."""
+    docs = catalog.spread(catalog.load(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    index = text_index.PhraseIndex.build(docs.withColumn("text", F.when(F.col("lang") != "en", F.col("text")).otherwise("the of the of")), "doc_id", {"caption": "text"}, catalog.scratch(spark, "phrases"))
+    index = index.remove(docs.filter("lang = 'de'")).refresh(docs.filter("lang IN ('en', 'de') OR lang IS NULL"))
+    asked = spark.createDataFrame(_PHRASES, "query_id int, text string")
+    found = text_index.PhraseIndex.load(spark, index.path).phrases(asked)
+    return found.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "conversation_search",
     "SELECT conv_id, turn FROM conversations WHERE list_contains(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), 'the') AND list_contains(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), 'of') ORDER BY conv_id DESC, turn DESC LIMIT 20",

@@ -70,15 +70,22 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def paired(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, reach: str, watermark: str) -> DataFrame:
+def paired(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, reach: str, watermark: str, how: str = "inner") -> DataFrame:
     """Pairs of two streams with equal keys of which the right comes within `reach` after the left. Watermarks bound both sides' state.
 
+    how: left_outer adds the lefts without a partner, once the watermark has passed the time in which one could have come.
+
     Columns of the two must differ in name but for the key.
     """
     a = left.withColumn(left_ts, F.col(left_ts).cast("timestamp")).withWatermark(left_ts, watermark)
     b = right.withColumn(right_ts, F.col(right_ts).cast("timestamp")).withColumnRenamed(key, "__key").withWatermark(right_ts, watermark)
     near = F.expr(f"`{key}` = __key AND {right_ts} >= {left_ts} AND {right_ts} <= {left_ts} + INTERVAL {reach}")
-    return a.join(b, near).drop("__key")
+    return a.join(b, near, how).drop("__key")
+
+
+def once(stream: DataFrame, keys: list[str], ts: str, watermark: str) -> DataFrame:
+    """The stream without what is delivered again within the watermark's delay; the state holds the keys of that time only."""
+    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark).dropDuplicatesWithinWatermark(keys)
 
 
 def assigned_online(observations: DataFrame, keep_seconds: float = 2 * WINDOW_S) -> DataFrame:
