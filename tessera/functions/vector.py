@@ -45,6 +45,23 @@ def iou(a: Column, b: Column) -> Column:
     return F.when(both > 0, w * h / both).otherwise(F.lit(0.0))
 
 
+def centre(box: Column) -> Column:
+    """The centre of a box, as struct<x, y>."""
+    return F.struct(((box["x1"] + box["x2"]) / 2).alias("x"), ((box["y1"] + box["y2"]) / 2).alias("y"))
+
+
+def centre_distance(a: Column, b: Column, shift: tuple[float, float] = (0.0, 0.0)) -> Column:
+    """How far the centres of two boxes of a unit picture are apart, as a share of its diagonal; b is taken back by a shift of the camera."""
+    p, q = centre(a), centre(b)
+    x, y = p["x"] - (q["x"] - shift[0]), p["y"] - (q["y"] - shift[1])
+    return F.sqrt(x * x + y * y) / F.sqrt(F.lit(2.0))
+
+
+def within_expanded(point: Column, box: Column, by: float = 0.08) -> Column:
+    """Whether a point struct<x, y> lies in a box that is widened on each side."""
+    return point["x"].between(box["x1"] - by, box["x2"] + by) & point["y"].between(box["y1"] - by, box["y2"] + by)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     return F.when(F.size(F.array_union(a, b)) > 0, F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(F.lit(0.0))
 

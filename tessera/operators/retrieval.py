@@ -333,3 +333,34 @@ def probe(hits: DataFrame, channels: list[str], agreement_from: int = 2) -> Data
     tally = per.groupBy("query_id").agg(*counts, F.count_if(F.col("n") >= 2).alias("agreeing"))
     decision = F.when(F.col("agreeing") >= agreement_from, "agreed").otherwise("scattered")
     return tally.withColumn("decision", decision)
+
+
+def probe_outcome(hits: DataFrame, queries: DataFrame, minimums: dict[str, float] | None = None, channels_from: int = 2) -> DataFrame:
+    """Whether a message is worth a formal retrieval: query_id, decision, channels, shared, lexical_exact, conflicts and reason.
+
+    queries: query_id and text; hits as of a channel, lexical ones with matched_text if that is known. No hit at all is
+    no_match. Otherwise upgrade: if so many channels found something; or the lexical one matched the message whole (one holds
+    the other without white space, or a score of 2 or more); or a channel's best score reaches its minimum, where it has one.
+    Else clarify. shared: assets that every channel with hits found; conflicts: channels without one of these (all, if there are none).
+    """
+    has_text = "matched_text" in hits.columns
+    said = queries.select("query_id", F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"\s", "").alias("__said"))
+    rows = hits.join(said, "query_id", "left")
+    matched = F.lower(F.coalesce(F.col("matched_text") if has_text else F.lit(None).cast("string"), F.lit("")))
+    within = (matched != "") & (F.contains(matched, F.col("__said")) | F.contains(F.col("__said"), matched))
+    exact = (F.col("channel") == "lexical") & (F.coalesce("__said", F.lit("")) != "") & (within | (F.col("raw_score") >= 2.0))
+    enough = F.lit(False)
+    for channel, least in (minimums or {}).items():
+        enough = enough | ((F.col("channel") == channel) & (F.col("raw_score") >= least) & F.lit(least > 0))
+    per_query = rows.groupBy("query_id").agg(F.collect_set("channel").alias("__c"), F.max(exact).alias("lexical_exact"), F.max(enough).alias("__enough"))
+    each = hits.select("query_id", "asset_id", "channel").distinct().groupBy("query_id", "asset_id").agg(F.collect_set("channel").alias("__by"))
+    each = each.join(per_query.select("query_id", "__c"), "query_id")
+    shared = each.filter(F.size("__by") == F.size("__c")).groupBy("query_id").agg(F.array_sort(F.collect_set("asset_id")).alias("shared"))
+    out = queries.select("query_id").join(per_query, "query_id", "left").join(shared, "query_id", "left")
+    n, is_exact = F.coalesce(F.size("__c"), F.lit(0)), F.coalesce("lexical_exact", F.lit(False))
+    n = F.when(F.col("__c").isNull(), 0).otherwise(n)
+    reason = F.when(n == 0, "none").when(n >= channels_from, "channels").when(is_exact, "exact").when(F.col("__enough"), "score").otherwise("weak")
+    decision = F.when(reason == "none", "no_match").when(reason == "weak", "clarify").otherwise("upgrade")
+    # With a shared asset every channel with hits has one of the shared.
+    conflicts = F.when(F.col("shared").isNull() & F.col("__c").isNotNull(), F.array_sort("__c")).otherwise(F.array().cast("array<string>"))
+    return out.select("query_id", decision.alias("decision"), n.alias("channels"), "shared", is_exact.alias("lexical_exact"), conflicts.alias("conflicts"), reason.alias("reason"))

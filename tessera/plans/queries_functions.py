@@ -85,6 +85,22 @@ def face_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.load(spark, sf_dir, "embeddings").select("vec_id", F.round(vector.quality(k % 13 / 10, k % 7 / 7, k % 5 / 5, k % 3 / 3), 9).alias("quality"), vector.pose_bucket(F.when(k % 9 != 0, k % 81 - 40)).alias("pose"))
 
 
+@query(
+    "box_relations",
+    """WITH b AS (SELECT l_orderkey, l_linenumber, l_quantity AS x1, l_suppkey % 20 AS y1, l_quantity + 10 AS x2, l_suppkey % 20 + 10 AS y2 FROM lineitem)
+    SELECT a.l_orderkey, a.l_linenumber AS i, b.l_linenumber AS j, round(sqrt(pow((a.x1 + a.x2) / 2 - (b.x1 + b.x2) / 2, 2) + pow((a.y1 + a.y2) / 2 - (b.y1 + b.y2) / 2, 2)) / sqrt(2), 9) AS apart,
+    (a.x1 + a.x2) / 2 BETWEEN b.x1 - 2.5 AND b.x2 + 2.5 AND (a.y1 + a.y2) / 2 BETWEEN b.y1 - 2.5 AND b.y2 + 2.5 AS beside FROM b a JOIN b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber""",
+)
+def box_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the centres of an order's boxes are apart, and whether one lies in the other's box, widened by 2.5."""
+    box = F.struct(F.col("l_quantity").alias("x1"), (F.col("l_suppkey") % 20).alias("y1"), (F.col("l_quantity") + 10).alias("x2"), (F.col("l_suppkey") % 20 + 10).alias("y2"))
+    rows = catalog.load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", box.alias("box"))
+    a = rows.select("l_orderkey", F.col("l_linenumber").alias("i"), F.col("box").alias("a"))
+    b = rows.select("l_orderkey", F.col("l_linenumber").alias("j"), F.col("box").alias("b"))
+    apart = F.round(vector.centre_distance(F.col("a"), F.col("b")), 9).alias("apart")
+    return a.join(b, "l_orderkey").filter("i < j").select("l_orderkey", "i", "j", apart, vector.within_expanded(vector.centre(F.col("a")), F.col("b"), 2.5).alias("beside"))
+
+
 @query(
     "box_overlaps",
     """WITH b AS (SELECT l_orderkey, l_linenumber, l_quantity AS x1, l_suppkey % 20 AS y1, l_quantity + 10 AS x2, l_suppkey % 20 + 10 AS y2 FROM lineitem)

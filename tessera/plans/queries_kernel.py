@@ -143,6 +143,26 @@ def probe_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.probe(_hits(_assets(spark, sf_dir)), ["visual", "entity"])
 
 
+_PROBES = "p AS (SELECT user_id || ' ' || strftime(ts, '%Y-%m-%d') AS query_id, CASE event_type WHEN 'view' THEN 'visual' WHEN 'click' THEN 'lexical' WHEN 'purchase' THEN 'entity' END AS channel, event_id % 50 AS asset_id, value / 100 AS raw_score FROM events)"
+
+
+@query(
+    "probe_outcomes",
+    f"""WITH {_PROBES}, h AS (SELECT * FROM p WHERE channel IS NOT NULL), g AS (SELECT query_id, list_sort(list(DISTINCT channel)) AS c, max(channel = 'lexical' AND raw_score >= 2.0) AS exact, max(channel = 'visual' AND raw_score >= 0.9) AS enough FROM h GROUP BY ALL),
+    s AS (SELECT query_id, list_sort(list(asset_id)) AS shared FROM (SELECT query_id, asset_id, count(DISTINCT channel) AS n FROM h GROUP BY ALL) JOIN g USING (query_id) WHERE n = len(c) GROUP BY ALL), q AS (SELECT DISTINCT query_id FROM p),
+    o AS (SELECT query_id, coalesce(len(c), 0)::INTEGER AS channels, shared, c, coalesce(exact, false) AS lexical_exact, CASE WHEN c IS NULL THEN 'none' WHEN len(c) >= 2 THEN 'channels' WHEN exact THEN 'exact' WHEN enough THEN 'score' ELSE 'weak' END AS reason FROM q LEFT JOIN g USING (query_id) LEFT JOIN s USING (query_id))
+    SELECT query_id, CASE reason WHEN 'none' THEN 'no_match' WHEN 'weak' THEN 'clarify' ELSE 'upgrade' END AS decision, channels, coalesce(array_to_string(shared, ','), '') AS shared, lexical_exact, CASE WHEN shared IS NULL AND c IS NOT NULL THEN array_to_string(c, ',') ELSE '' END AS conflicts, reason FROM o""",
+)
+def probe_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each user's day (events as hits of three channels, values as scores) is worth a formal retrieval."""
+    key = F.concat_ws(" ", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")).alias("query_id")
+    kind = F.when(F.col("event_type") == "view", "visual").when(F.col("event_type") == "click", "lexical").when(F.col("event_type") == "purchase", "entity")
+    rows = catalog.load(spark, sf_dir, "events").select(key, kind.alias("channel"), (F.col("event_id") % 50).alias("asset_id"), (F.col("value") / 100).alias("raw_score"))
+    asked = rows.select("query_id").distinct().withColumn("text", F.lit("asked"))
+    found = retrieval.probe_outcome(rows.filter("channel IS NOT NULL"), asked, {"visual": 0.9})
+    return found.withColumn("shared", F.coalesce(F.array_join("shared", ","), F.lit(""))).withColumn("conflicts", F.array_join("conflicts", ","))
+
+
 @query("overlap_scores", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 AND p_type = 'PROMO' THEN 1.0 WHEN contains(p_name, 'red') THEN 0.7 ELSE 0.0 END AS score FROM part")
 def overlap_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well sets of words agree: a shared word, a word in a word, or none."""

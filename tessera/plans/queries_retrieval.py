@@ -136,6 +136,12 @@ def fuse_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.fuse(_channels(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
+@query("rank_visual", f"WITH {_HITS_SQL} SELECT query_id, asset_id, rank AS position FROM hits WHERE channel = 'visual'")
+def rank_visual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visual channel's order alone."""
+    return retrieval.rank_visual_only(_channels(spark, sf_dir))
+
+
 @query("rank_backbone", f"WITH {_HITS_SQL}, f AS (SELECT query_id, asset_id, min(CASE WHEN channel = 'visual' THEN 0 ELSE 1 END * 1000000 + c * 1000 + rank) AS place FROM hits GROUP BY ALL) SELECT query_id, asset_id, row_number() OVER (PARTITION BY query_id ORDER BY place, asset_id) AS position FROM f")
 def rank_backbone(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visual order first, then what the other channels add."""

@@ -85,15 +85,21 @@ def keyframe_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.keyframe_budget(frames(spark, sf_dir).withColumn("scene_no", number), "video", "scene_no", "score", "t", 40).select("video", "frame")
 
 
+#: The five signals of a frame, with what they are made of here.
+_SIGNALS = {"scene_score": "score", "information_gain": "gain", "sharpness": "frame % 11 / 11", "diversity": "frame % 17 / 17", "representativeness": "frame % 19 / 19"}
+_UNIT = "CASE WHEN b{n} > a{n} THEN least(1, greatest(0, ({c} - a{n}) / (b{n} - a{n}))) WHEN y{n} > x{n} THEN least(1, greatest(0, ({c} - x{n}) / (y{n} - x{n}))) ELSE 0 END"
+
+
 @query(
     "summary_scores",
-    f"""WITH {_FRAMES}, q AS (SELECT video, quantile_cont(score, 0.05) AS a, quantile_cont(score, 0.95) AS b, quantile_cont(gain, 0.05) AS c, quantile_cont(gain, 0.95) AS d, min(score) AS mn, max(score) AS mx, min(gain) AS gn, max(gain) AS gx FROM f GROUP BY video)
-    SELECT frame, round(0.28 * CASE WHEN b > a THEN least(1, greatest(0, (score - a) / (b - a))) WHEN mx > mn THEN least(1, greatest(0, (score - mn) / (mx - mn))) ELSE 0 END + 0.22 * CASE WHEN d > c THEN least(1, greatest(0, (gain - c) / (d - c))) WHEN gx > gn THEN least(1, greatest(0, (gain - gn) / (gx - gn))) ELSE 0 END, 9) AS summary FROM f JOIN q USING (video)""",
+    f"""WITH {_FRAMES}, g AS (SELECT video, frame, {", ".join(f"({c})::DOUBLE AS {n}" for n, c in _SIGNALS.items())} FROM f),
+    q AS (SELECT video, {", ".join(f"quantile_cont({n}, 0.05) AS a{i}, quantile_cont({n}, 0.95) AS b{i}, min({n}) AS x{i}, max({n}) AS y{i}" for i, n in enumerate(_SIGNALS))} FROM g GROUP BY video)
+    SELECT frame, round({" + ".join(f"{timeline.SUMMARY[n]} * {_UNIT.format(n=i, c=n)}" for i, n in enumerate(_SIGNALS))}, 9) AS summary FROM g JOIN q USING (video)""",
 )
 def summary_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The weighted sum of two of the summary's signals, each robustly between 0 and 1 within its video."""
-    weights = {"score": timeline.SUMMARY["scene_score"], "gain": timeline.SUMMARY["information_gain"]}
-    return timeline.weighted(frames(spark, sf_dir), "video", weights, "summary").select("frame", F.round("summary", 9).alias("summary"))
+    """The weighted sum of the summary's five signals, each robustly between 0 and 1 within its video."""
+    rows = frames(spark, sf_dir).select("video", "frame", *[F.expr(c).cast("double").alias(n) for n, c in _SIGNALS.items()])
+    return timeline.weighted(rows, "video", timeline.SUMMARY, "summary").select("frame", F.round("summary", 9).alias("summary"))
 
 
 @query(
