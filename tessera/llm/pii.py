@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import let, table, written
+from tessera.llm.common import FILE, ROW, let, placed, table, without, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _OCTETS = r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -145,10 +145,10 @@ def _cut(pieces: Column, start: Column, n: Column) -> Column:
     return F.substr(F.concat(F.coalesce(F.get(pieces, i), F.lit("")), F.coalesce(F.get(pieces, i + 1), F.lit(""))), start - i * PIECE + 1, n)
 
 
-def base_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (of the text) and base: the spans of each row, with their contexts. Texts are read once."""
+def base_spans(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, digest (of the text) and base: the spans of each row, with their contexts; and the kept columns. Texts are read once."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), F.md5(text).alias("digest")).withColumn("base", _base(F.col("text")))
+    rows = docs.select("doc_id", *keep, text.alias("text"), F.md5(text).alias("digest")).withColumn("base", _base(F.col("text")))
 
     def around(mails: Column, before: Column, pieces: Column):
         def one(s: Column, i: Column) -> Column:
@@ -172,7 +172,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
     spans_ = let(F.col("base"), all_around)
     none = F.array().cast("array<struct<start:int,k:int,stop:int,value:string,left:string,right:string,emails:array<struct<start:int,stop:int>>>>")
-    return rows.select("doc_id", "digest", F.when(F.size("base") > 0, spans_).otherwise(none).alias("base"))
+    return rows.select("doc_id", *keep, "digest", F.when(F.size("base") > 0, spans_).otherwise(none).alias("base"))
 
 
 def _terms(context: Column, begins: Column, cut_first: Column, cut_last: Column) -> Column:
@@ -193,10 +193,10 @@ def _mentions(rows: DataFrame) -> DataFrame:
     return each.select("digest", F.concat_ws(":", F.col("s.k").cast("string"), F.lower("s.value")).alias("entity"), F.xxhash64("s.left", "s.right").alias("context"), free.alias("terms"))
 
 
-def disclosures(docs: DataFrame, mentions: DataFrame, n_texts: int) -> DataFrame:
+def disclosures(texts: DataFrame, mentions: DataFrame, n_texts: int) -> DataFrame:
     """entity, term and d of the pairs that at least MIN_SUPPORT distinct contexts hold and that disclose GENERALISE or more.
 
-    n_texts: how many distinct texts docs have.
+    texts: every text once, and how many there are.
     """
     per_entity = mentions.select("entity", "digest").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
     each = mentions.select("entity", "digest", "context", F.explode(F.array_distinct(F.transform("terms", lambda t: t["term"]))).alias("term"))
@@ -204,11 +204,9 @@ def disclosures(docs: DataFrame, mentions: DataFrame, n_texts: int) -> DataFrame
     pairs = written(pairs.filter(F.col("support") >= MIN_SUPPORT).drop("support").join(per_entity, "entity"), "pairs")
     wanted = written(pairs.select("term").distinct(), "terms")
     # How many distinct texts hold each of those terms.
-    text = F.coalesce(F.col("text"), F.lit(""))
-    # Only pairs of a digest and a wanted term are shuffled, not texts.
-    words = docs.select(F.md5(text).alias("digest"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0)))).alias("term"))
+    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)))).alias("term"))
     kept = words.join(F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_ROWS else wanted, "term")
-    df = kept.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = kept.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n = F.lit(float(n_texts))
     pmi = F.log(n * F.col("n_ct") / (F.col("n_c") * F.col("df")))
     ic = F.log(n / F.col("n_c"))
@@ -218,9 +216,14 @@ def disclosures(docs: DataFrame, mentions: DataFrame, n_texts: int) -> DataFrame
 
 def spans(docs: DataFrame) -> DataFrame:
     """doc_id, digest, base and terms (array of start, stop, remove) of every row of docs."""
-    rows = written(base_spans(docs), "base-spans")
+    docs = placed(docs)
+    rows = written(base_spans(docs, (FILE, ROW)), "base-spans")
     mentions = written(_mentions(rows), "mentions")
-    found = written(disclosures(docs, mentions, rows.select("digest").distinct().count()), "disclosures")
+    # Each text once, where it lies first: the places of the others are sent to the documents, whose texts are not exchanged.
+    first = written(rows.groupBy("digest").agg(F.min(F.struct(FILE, ROW)).alias("x")).select(f"x.{FILE}", f"x.{ROW}"), "first-texts")
+    texts = without(docs.select("text", FILE, ROW), rows.select(FILE, ROW).join(first, [FILE, ROW], "left_anti"))
+    found = written(disclosures(texts, mentions, first.count()), "disclosures")
+    rows = rows.drop(FILE, ROW)
     if found.count() <= MAX_BROADCAST_ROWS:
         found = F.broadcast(found)
     each = mentions.select("digest", "entity", F.explode("terms").alias("t")).select("digest", "entity", F.col("t.term").alias("term"), F.col("t.start").alias("start"), F.col("t.stop").alias("stop"))
