@@ -183,7 +183,10 @@ class _Words(dict):
     def __init__(self, model: Model, familiar: bool = True):
         super().__init__()
         self.asked = familiar
-        self.model, self.most = model, MAX_VALUES // max(1, len(model.langs))
+        # With familiarity, which the pipeline asks for, a worker keeps half: there its memory stays taken in later stages.
+        share = 2 if familiar else 1
+        self.model, self.most = model, MAX_VALUES // share // max(1, len(model.langs))
+        self.run = _RUN_VALUES // share // max(1, len(model.langs))
         self.reset()
 
     def reset(self) -> None:
@@ -251,7 +254,7 @@ def _chain(ids: np.ndarray, lengths: np.ndarray, e: np.ndarray, model: Model, st
 
 
 #: Message values (words times languages) that one run of the chain may need.
-_RUN_VALUES = 800_000
+_RUN_VALUES = 1_600_000
 
 
 def predict(texts: list[str | None], model: Model, known: _Words | None = None) -> list[tuple[str, float, float]]:
@@ -261,7 +264,7 @@ def predict(texts: list[str | None], model: Model, known: _Words | None = None)
         return out
     known = _Words(model) if known is None else known
     number = known.__getitem__
-    most = max(1, _RUN_VALUES // len(model.langs))
+    most = max(1, known.run)
     pending: list[tuple[int, np.ndarray]] = []
 
     def run() -> None:
