@@ -43,22 +43,61 @@ def _ranked(rows: DataFrame, channel: str, order: list[Column], k: int) -> DataF
     return rows.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.lit(channel).alias("channel"), "asset_id", F.col("raw_score").cast("double").alias("raw_score"), "rank")
 
 
-#: Queries are broadcast up to so many; more of them are a join like any other.
+#: Vectors asked for are broadcast up to so many; more of them meet the others in blocks.
 MAX_BROADCAST_QUERIES = 10_000
 
-
-def _small(queries: DataFrame) -> DataFrame:
-    return F.broadcast(queries) if queries.count() <= MAX_BROADCAST_QUERIES else queries
+#: So many queries of the metadata channel look at all assets; more of them go to the places of their answers.
+MAX_SCANNING_QUERIES = 100
 
 
 @retriever("metadata")
 def metadata_hits(assets: DataFrame, queries: DataFrame, k: int = 100) -> DataFrame:
     """Assets in the query's time range (start, end; null is open) and media (null is any), newest first. A null time passes."""
-    inside = (F.col("ts").isNull()) | ((F.col("start").isNull() | (F.col("ts") >= F.col("start"))) & (F.col("end").isNull() | (F.col("ts") < F.col("end"))))
-    rows = assets.join(_small(queries), inside & (F.col("media").isNull() | (F.col("media_type") == F.col("media"))))
+    if queries.limit(MAX_SCANNING_QUERIES + 1).count() > MAX_SCANNING_QUERIES:
+        rows = _newest_by_places(assets, queries, k)
+    else:
+        inside = (F.col("ts").isNull()) | ((F.col("start").isNull() | (F.col("ts") >= F.col("start"))) & (F.col("end").isNull() | (F.col("ts") < F.col("end"))))
+        rows = assets.join(F.broadcast(queries), inside & (F.col("media").isNull() | (F.col("media_type") == F.col("media"))))
     return _ranked(rows.withColumn("raw_score", F.lit(0.0)), "metadata", [F.desc_nulls_last("ts"), F.asc("asset_id")], k)
 
 
+_HOUR = 3_600_000_000
+
+
+def _newest_by_places(assets: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, asset_id and ts: of each query's assets at least the k newest, without comparing all assets with all queries.
+
+    Assets of a media type, and those of any, are numbered from the newest on: by hour, and before each hour the count of the
+    newer ones. What a query wants starts at the number of assets that aren't before its end and takes k places from there, which
+    lie in two runs of k: an equi-join. Assets without a time come after all others, so the first k of them do for every query.
+    """
+    media = F.explode(F.array(F.lit(""), F.concat(F.lit("="), "media_type"))).alias("__m")  # any, and the asset's own
+    held = assets.select("asset_id", "ts", media).filter("__m IS NOT NULL")
+    asked = queries.select("query_id", "start", "end", F.when(F.col("media").isNull(), "").otherwise(F.concat(F.lit("="), "media")).alias("__m"))
+    t, hour = micros("__t"), F.floor(micros("__t") / _HOUR).alias("__hour")
+    own = held.filter("ts IS NOT NULL").withColumn("__t", F.col("ts")).select("__m", t.alias("__t"), hour, F.lit(0).alias("__side"), "asset_id", "ts", F.lit(None).cast(kind(queries, "query_id")).alias("query_id"), F.lit(None).cast(kind(queries, "start")).alias("start"))
+    ends = asked.filter("`end` IS NOT NULL").withColumn("__t", F.col("end"))
+    ends = ends.select("__m", t.alias("__t"), hour, F.lit(1).alias("__side"), F.lit(None).cast(kind(assets, "asset_id")).alias("asset_id"), F.lit(None).cast(kind(assets, "ts")).alias("ts"), "query_id", "start")
+    both = own.unionByName(ends)
+    hours = both.groupBy("__m", "__hour").agg(F.sum(1 - F.col("__side")).alias("n"))
+    newer = F.sum("n").over(W.partitionBy("__m").orderBy(F.desc("__hour")).rowsBetween(W.unboundedPreceding, -1))
+    newer = hours.select("__m", "__hour", F.coalesce(newer, F.lit(0)).alias("__newer"))
+    order = W.partitionBy("__m", "__hour").orderBy(F.desc("__t"), "__side", "asset_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = both.withColumn("__n", F.sum(1 - F.col("__side")).over(order)).join(newer, ["__m", "__hour"])
+    at = F.col("__newer") + F.col("__n") + F.col("__side") - 1  # from 0
+    placed = placed.withColumn("__at", at)
+    numbered = placed.filter("__side = 0").select("__m", F.floor(F.col("__at") / k).alias("__run"), "__at", "asset_id", "ts")
+    begins = placed.filter("__side = 1").select("query_id", "__m", "start", F.col("__at").alias("__from"))
+    begins = begins.unionByName(asked.filter("`end` IS NULL").select("query_id", "__m", "start", F.lit(0).cast("long").alias("__from")))
+    run = F.floor(F.col("__from") / k)
+    wanted = begins.withColumn("__run", F.explode(F.array(run, run + 1)))
+    timed = wanted.join(numbered, ["__m", "__run"]).filter((F.col("__at") >= F.col("__from")) & (F.col("__at") < F.col("__from") + k) & (F.col("start").isNull() | (F.col("ts") >= F.col("start"))))
+    first = F.row_number().over(W.partitionBy("__m").orderBy("asset_id"))
+    undated = held.filter("ts IS NULL").withColumn("__n", first).filter(F.col("__n") <= k)
+    untimed = asked.select("query_id", "__m").join(undated, "__m")
+    return timed.select("query_id", "asset_id", "ts").unionByName(untimed.select("query_id", "asset_id", "ts"))
+
+
 @retriever("entity")
 def entity_hits(mentions: DataFrame, queries: DataFrame, k: int = 100) -> DataFrame:
     """Assets that mention any entity of the query (query_id, entity_id), in order of asset."""

@@ -18,6 +18,27 @@ def taxonomy(value: Column, choices: list[str], aliases: dict[str, str], hints:
     return out.otherwise(other)
 
 
+def classified(named: list[Column], details: Column, text: Column, choices: list[str], aliases: dict[str, str], hints: list[tuple[str, str]], allowed: list[str], detail_hints: list[tuple[str, str]] = (), other: str = "OTHER") -> Column:
+    """struct<primary, details, raw> of a label that was named in several ways, the most reliable first.
+
+    primary: the first way that is a choice or an alias of one; where none is, the first that holds a hint; else other.
+    details: those of the array that are allowed, each once, in order; where none were given, those whose hint the text holds.
+    raw: what was said and isn't kept: the first named way, if the primary is another word, then details that aren't allowed.
+    """
+    trimmed = [F.trim(F.coalesce(c, F.lit(""))) for c in named]
+    certain = [taxonomy(c, [x for x in choices if x != other], aliases, [], other) for c in trimmed]
+    hinted = [taxonomy(c, [x for x in choices if x != other], aliases, hints, other) for c in trimmed]
+    primary = F.coalesce(*[F.when(c != other, c) for c in (*certain, *hinted)], F.lit(other))
+    none = F.array().cast("array<string>")
+    given = F.array_distinct(F.filter(F.transform(F.coalesce(details, none), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")))
+    known = F.array(*[F.lit(a) for a in allowed]).cast("array<string>")
+    held = F.array_compact(F.array(*[F.when(F.contains(F.lower(text), F.lit(h.lower())), F.lit(d)) for h, d in detail_hints]).cast("array<string>"))
+    kept = F.when(F.size(given) == 0, F.array_distinct(F.coalesce(held, none))).otherwise(F.array_intersect(given, known))
+    said = F.get(F.filter(F.array(*trimmed), lambda x: x != ""), F.lit(0))
+    lost = F.when(said.isNotNull() & (F.lower(said) != F.lower(primary)), F.array(said)).otherwise(none)
+    return F.struct(primary.alias("primary"), kept.alias("details"), F.concat(lost, F.array_except(given, known)).alias("raw"))
+
+
 def observation_graph(observations: DataFrame, key: str, fields: dict[str, str]) -> tuple[DataFrame, DataFrame]:
     """Entities (kind, name, mentions) and edges (observation, kind, name) from the named array columns."""
     each = F.explode(F.flatten(F.array(*[F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.struct(F.lit(kind).alias("kind"), F.trim(x).alias("name"))) for kind, c in fields.items()])))

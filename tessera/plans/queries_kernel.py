@@ -105,6 +105,19 @@ def metadata_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.metadata_hits(catalog.assets(spark, sf_dir), queries).select("query_id", "asset_id", "rank")
 
 
+@query(
+    "metadata_channel_many",
+    """WITH q AS (SELECT event_id AS query_id, ts - INTERVAL 6 HOUR AS a, CASE WHEN event_id % 300 = 0 THEN NULL ELSE ts + INTERVAL 6 HOUR END AS b, CASE WHEN event_id % 200 = 0 THEN NULL ELSE event_type END AS media FROM events WHERE event_id % 100 = 0)
+    SELECT query_id, event_id AS asset_id, row_number() OVER (PARTITION BY query_id ORDER BY ts DESC, event_id) AS rank FROM events JOIN q ON ts >= a AND (b IS NULL OR ts < b) AND (media IS NULL OR event_type = media) QUALIFY rank <= 20""",
+)
+def metadata_channel_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metadata channel of every hundredth event's half day, of its kind or of any; some are open to the end."""
+    k, hours = F.col("event_id"), F.expr("INTERVAL '6' HOUR")
+    end = F.when(k % 300 != 0, F.col("ts") + hours)
+    queries = catalog.load(spark, sf_dir, "events").filter(k % 100 == 0).select(k.alias("query_id"), (F.col("ts") - hours).alias("start"), end.alias("end"), F.when(k % 200 != 0, F.col("event_type")).alias("media"))
+    return retrieval.metadata_hits(catalog.assets(spark, sf_dir), queries, 20).select("query_id", "asset_id", "rank")
+
+
 @query("text_channel", "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT * FROM e WHERE vec_id % 100 = 0), s AS (SELECT q.vec_id AS query_id, e.vec_id % 200 AS asset_id, max(list_inner_product(q.v, e.v)) AS s FROM q, e GROUP BY ALL) SELECT query_id, asset_id, round(s, 9) AS raw_score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, asset_id) AS rank FROM s QUALIFY rank <= 10")
 def text_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text channel of every hundredth vector over two spaces: an asset's best similarity in either (vectors are dealt to assets and spaces)."""

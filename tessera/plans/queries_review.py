@@ -19,6 +19,29 @@ def taxonomy_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.load(spark, sf_dir, "events").groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "classified_parts",
+    """WITH w AS (SELECT p_partkey, trim(p_type) AS t, string_split(p_name, ' ') AS w, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_name END AS n FROM part),
+    d AS (SELECT *, CASE WHEN p_partkey % 5 = 0 THEN []::VARCHAR[] ELSE list_distinct(w) END AS g FROM w),
+    c AS (SELECT p_partkey, t, w, n, CASE WHEN lower(t) IN ('small', 'medium', 'large') THEN upper(t) WHEN lower(t) = 'economy' THEN 'SMALL' WHEN contains(n, 'bolt') THEN 'MEDIUM' WHEN contains(n, 'widget') THEN 'LARGE' ELSE 'OTHER' END AS p FROM w)
+    SELECT p_partkey, p AS primary_label,
+      array_to_string(CASE WHEN p_partkey % 5 = 0 THEN list_filter(['round', 'flat'], lambda x: contains(array_to_string(w, ' '), CASE x WHEN 'round' THEN 'ring' ELSE 'plate' END)) ELSE list_filter(list_distinct(list_transform(w, lambda x: x)), lambda x: x IN ('small', 'large', 'cold')) END, ',') AS details,
+      CASE WHEN lower(t) <> lower(p) THEN t || ';' ELSE '' END || CASE WHEN p_partkey % 5 = 0 THEN '' ELSE array_to_string(list_filter(w, lambda x: x NOT IN ('small', 'large', 'cold')), ',') END AS raw FROM c""",
+)
+def classified_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts in a vocabulary of sizes, by their type or their name; words of the name are details, of every fifth part only hinted at."""
+    hinted = F.col("p_partkey") % 5 == 0
+    words = F.when(~hinted, F.split("p_name", " "))
+    found = review.classified(
+        [F.col("p_type"), F.when(~hinted, F.col("p_name"))], words, F.col("p_name"), ["SMALL", "MEDIUM", "LARGE"], {"economy": "SMALL"}, [("bolt", "MEDIUM"), ("widget", "LARGE")], ["small", "large", "cold"], [("ring", "round"), ("plate", "flat")]
+    )
+    rows = catalog.load(spark, sf_dir, "part").select("p_partkey", F.col("p_type"), found.alias("f"))
+    label = F.when(F.lower(F.trim("p_type")) != F.lower("f.primary"), 1).otherwise(0)
+    rest = F.array_join(F.slice("f.raw", label + 1, F.size("f.raw") + 1), ",")
+    raw = F.concat(F.when(label == 1, F.concat(F.get("f.raw", F.lit(0)), F.lit(";"))).otherwise(""), rest)
+    return rows.select("p_partkey", F.col("f.primary").alias("primary_label"), F.array_join("f.details", ",").alias("details"), raw.alias("raw"))
+
+
 @query("observation_entities", "WITH e AS (SELECT DISTINCT o_orderkey, 'priority' AS kind, trim(o_orderpriority) AS name FROM orders UNION SELECT DISTINCT o_orderkey, 'status', trim(o_orderstatus) FROM orders) SELECT kind, name, count(*) AS mentions FROM e WHERE name <> '' GROUP BY ALL")
 def observation_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities that observations (orders) mention in two fields."""

@@ -114,6 +114,20 @@ def frame_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.frame_deltas(rows, "label", "vec_id", "embedding", "h").select("vec_id", F.round("pixel_change", 9).alias("pixel_change"), F.round("histogram_change", 7).alias("histogram_change"))
 
 
+@query("frame_surprises")
+def frame_surprises(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How badly the ten vectors of a label before it predict each vector; tests/test_models.py holds it against a plain model."""
+    found = timeline.dmd_residuals(catalog.load(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding"), "label", "vec_id", "embedding")
+    return found.select("vec_id", F.round("dmd_residual", 6).alias("surprise"))
+
+
+@query("camera_shifts")
+def camera_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By how much each vector of a label, as a picture eight wide, is shifted against the one before; tests/test_models.py has a plain model."""
+    found = timeline.camera_shifts(catalog.load(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding"), "label", "vec_id", "embedding", 8)
+    return found.select("vec_id", "shift_rows", "shift_columns", F.round("shift", 9).alias("shift"))
+
+
 @query(
     "representativeness",
     """WITH e AS (SELECT label, vec_id, embedding::DOUBLE[] AS v FROM embeddings), c AS (SELECT * FROM e WHERE vec_id % 10 = 0), n AS (SELECT e.label, e.vec_id, min(least(2, greatest(0, 1 - list_inner_product(e.v, c.v)))) AS d FROM e JOIN c ON e.label = c.label GROUP BY ALL)

@@ -207,3 +207,39 @@ def test_merge_candidates_of_very_many_types(spark, tmp_path):
     rows = spark.range(3000).selectExpr("id AS p_partkey", "concat('t', id % 1500) AS p_type", "'b' AS p_brand")
     rows.write.parquet(f"{tmp_path}/part.parquet")
     assert merge_candidates(spark, str(tmp_path)).count() == 1500
+
+
+def test_metadata_channel_by_places(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    moments = [None, *(datetime(2024, 1, 1 + int(d), int(h)) for d, h in zip(rng.integers(0, 9, 30), rng.integers(0, 24, 30)))]
+    pick = lambda values: values[int(rng.integers(0, len(values)))]
+    kinds = ["image", "video", None]
+    assets = [(i, pick(moments), pick(kinds), "x") for i in range(300)] + [(7, moments[1], "image", "x")] * 2
+    queries = [(i, pick(moments), pick(moments), pick([*kinds, "audio"]), "y") for i in range(60)]
+    a = spark.createDataFrame(assets, "asset_id long, ts timestamp, media_type string, extra string")
+    q = spark.createDataFrame(queries, "query_id int, start timestamp, end timestamp, media string, extra string")
+    found = {}
+    for most in (0, 1000):
+        monkeypatch.setattr(retrieval, "MAX_SCANNING_QUERIES", most)
+        for k in (1, 4, 500):
+            found[most, k] = sorted((r.query_id, r.rank, r.asset_id) for r in retrieval.metadata_hits(a, q, k).collect())
+    want = []
+    for i, start, end, media, _ in queries:
+        rows = [(t is None, -(t.timestamp() if t else 0), n) for n, t, m, _ in assets if (media is None or m == media) and (t is None or ((start is None or t >= start) and (end is None or t < end)))]
+        want += [(i, rank, n) for rank, (_, _, n) in enumerate(sorted(rows), 1)]
+    for (most, k), rows in found.items():
+        assert rows == sorted(r for r in want if r[1] <= k), (most, k)
+    monkeypatch.setattr(retrieval, "MAX_SCANNING_QUERIES", 0)
+    assert retrieval.metadata_hits(a.limit(0), q).count() == retrieval.metadata_hits(a, q.limit(0)).count() == 0
+
+
+def test_classified_labels(spark):
+    from tessera.operators import review
+
+    rows = spark.createDataFrame(
+        [(1, " Lake ", None, ["deep", "odd", "deep", " "], "by the lake"), (2, "strange", "PARK", None, "a pond"), (3, "strange", "near the lakeside", ["odd"], "pond"), (4, None, None, None, None), (5, "water", "park", [], "")],
+        "i int, a string, b string, d array<string>, t string",
+    )
+    found = review.classified([F.col("a"), F.col("b")], F.col("d"), F.col("t"), ["LAKE", "PARK"], {"water": "LAKE"}, [("lake", "LAKE")], ["deep"], [("pond", "small")])
+    got = {r.i: (r.f.primary, r.f.details, r.f.raw) for r in rows.select("i", found.alias("f")).collect()}
+    assert got == {1: ("LAKE", ["deep"], ["odd"]), 2: ("PARK", ["small"], ["strange"]), 3: ("LAKE", [], ["strange", "odd"]), 4: ("OTHER", [], []), 5: ("LAKE", [], ["water"])}

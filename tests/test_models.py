@@ -272,6 +272,32 @@ def test_dmd_and_camera_shift(spark):
     assert found[0] == found[1] == 0 and all(found[i] < 1e-6 for i in range(5, 9)) and found[9] > 0.3
 
 
+def test_surprises_and_shifts_of_vectors(spark):
+    by_label = {}
+    for r in catalog.load(spark, SF, "embeddings").orderBy("vec_id").collect():
+        by_label.setdefault(r.label, []).append((r.vec_id, np.array(r.embedding, float)))
+    surprise, shift = {}, {}
+    turns = np.exp(-2j * np.pi * np.outer(np.arange(8), np.arange(8)) / 8)
+    for rows in by_label.values():
+        for n, (i, v) in enumerate(rows):
+            past = np.stack([x for _, x in rows[max(0, n - 10) : n + 1]], axis=1)
+            surprise[i], shift[i] = 0.0, (0, 0)
+            if past.shape[1] >= 3:
+                u, s, vt = np.linalg.svd(past[:, :-1], full_matrices=False)
+                r = min(4, int((s > 1e-10).sum()))
+                inverse = vt[:r].T @ np.diag(1 / s[:r]) @ u[:, :r].T
+                guess = u[:, :r] @ u[:, :r].T @ past[:, 1:] @ inverse @ u[:, :r] @ u[:, :r].T @ past[:, -2]
+                surprise[i] = np.linalg.norm(v - guess) / (np.linalg.norm(v) + 1e-9)
+            if n:
+                a, b = (turns @ x.reshape(8, 8) @ turns for x in (v, rows[n - 1][1]))
+                phase = a * b.conj() / np.maximum(np.abs(a * b.conj()), 1e-12)
+                back = np.abs(turns.conj() @ phase @ turns.conj())
+                shift[i] = tuple(p - 8 if p > 4 else p for p in divmod(int(back.argmax()), 8))
+    found = {r.vec_id: r.surprise for r in registry.QUERIES["frame_surprises"](spark, SF).collect()}
+    assert found.keys() == surprise.keys() and max(abs(found[i] - surprise[i]) for i in found) < 2e-6
+    assert {r.vec_id: (r.shift_rows, r.shift_columns) for r in registry.QUERIES["camera_shifts"](spark, SF).collect()} == shift
+
+
 def test_boxes_are_suppressed(spark):
     rows = spark.createDataFrame([(1, "x", 0.9, 0.0, 0.0, 2.0, 2.0), (1, "x", 0.8, 0.0, 0.0, 2.0, 2.1), (1, "y", 0.7, 0.0, 0.0, 2.0, 2.0), (1, "x", 0.6, 5.0, 5.0, 6.0, 6.0), (2, "x", 0.1, 0.0, 0.0, 2.0, 2.0)], "f int, label string, score double, x1 double, y1 double, x2 double, y2 double")
     assert sorted((r.f, r.score) for r in clusters.suppress(rows, ["f"], "label", "score").collect()) == [(1, 0.6), (1, 0.7), (1, 0.9), (2, 0.1)]
