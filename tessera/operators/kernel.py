@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera import catalog
 from tessera.operators import retrieval
 from tessera.operators.joins import micros
 from tessera.operators.retrieval import evaluated, rank_backbone, rank_late_fusion, rank_visual_only
@@ -43,18 +44,19 @@ def conditions(candidates: DataFrame, assets: DataFrame, observations: DataFrame
     """
     wide = candidates.join(assets, "asset_id").join(observations, "asset_id", "left").withColumn("people", F.coalesce("people", F.array().cast("array<string>")))
     judged = evaluated(wide, constraints)
-    worth = F.struct(F.col("excluded").cast("int").alias("e"), level_place(F.col("level")).alias("l"), (-F.col("score")).alias("s"), F.coalesce(F.col("obs_id").cast("long"), F.lit(-1)).alias("o"))
-    kept = F.struct(worth.alias("w"), F.to_json("conditions").alias("c"), "level", "score", "excluded")
-    best = judged.groupBy("query_id", "asset_id", "position").agg(F.min(kept).alias("b")).filter(~F.col("b.excluded"))
-    return best.select("query_id", "asset_id", "position", F.from_json("b.c", "map<string,string>").alias("conditions"), F.col("b.level").alias("level"), F.col("b.score").alias("score"))
+    said = F.array_join(F.map_values("conditions"), ",")  # between repeated rows of one id
+    worth = F.struct(F.col("excluded").cast("int").alias("e"), level_place(F.col("level")).alias("l"), (-F.col("score")).alias("s"), F.coalesce(F.col("obs_id").cast("long"), F.lit(-1)).alias("o"), said.alias("c"))
+    best = judged.groupBy("query_id", "asset_id", "position").agg(F.min_by(F.struct("conditions", "level", "score", "excluded"), worth).alias("b")).filter(~F.col("b.excluded"))
+    return best.select("query_id", "asset_id", "position", "b.conditions", "b.level", "b.score")
 
 
 def neighbours(assets: DataFrame, seeds: DataFrame, budget: Budget = Budget()) -> DataFrame:
     """query_id and asset_id of what lies near the seeds (query_id, asset_id): in time, in their events, in their albums.
 
-    The union of three expansions without the seeds. Each is an equi-join: on scope and time slot, on event, on album.
+    The union of three expansions without the seeds. Each is an equi-join: on scope and time slot, on event, on album. The seeds
+    are a few of each query, so they are written and counted, and assets don't move to meet them.
     """
-    own = seeds.join(assets, "asset_id")
+    own = catalog.small(catalog.written(seeds.join(assets, "asset_id"), "seeds"))
     width = budget.minutes * 60 * 1_000_000
     slot = F.floor(micros("ts") / width)
     near = own.select("query_id", "scope_id", micros("ts").alias("__s"), F.explode(F.array(slot - 1, slot, slot + 1)).alias("__slot"))
@@ -88,15 +90,16 @@ def multi(hits: DataFrame, assets: DataFrame, observations: DataFrame, constrain
     Hits of exact or strong level are seeds, the best-placed first. Neighbours that weren't recalled are judged like the others
     and come after them among equals. A visual ranking alone isn't widened, unless all that is relevant is asked for.
     """
-    ranked = STRATEGIES[strategy](hits).filter(F.col("position") <= top_k).select("query_id", "asset_id", F.col("position").cast("long").alias("position"))
-    primary = conditions(ranked, assets, observations, constraints).withColumn("origin", F.lit("recall"))
+    few = lambda rows, what: catalog.small(catalog.written(rows, what))  # noqa: E731  at most top_k rows a query
+    ranked = few(STRATEGIES[strategy](hits).filter(F.col("position") <= top_k).select("query_id", "asset_id", F.col("position").cast("long").alias("position")), "ranked")
+    primary = catalog.written(conditions(ranked, assets, observations, constraints).withColumn("origin", F.lit("recall")), "primary")
     if strategy != "visual_only" or all_relevant:
         place = F.row_number().over(W.partitionBy("query_id").orderBy("position"))
         seeds = primary.filter(F.col("level") != "approximate").withColumn("__n", place).filter(F.col("__n") <= budget.seeds).select("query_id", "asset_id")
         found = neighbours(assets, seeds, budget)
         found = found.withColumn("position", F.row_number().over(W.partitionBy("query_id").orderBy("asset_id")).cast("long")).filter(F.col("position") <= top_k)
         new = found.join(primary.select("query_id", "asset_id"), ["query_id", "asset_id"], "left_anti").withColumn("position", F.col("position") + top_k)
-        primary = primary.unionByName(conditions(new, assets, observations, constraints).withColumn("origin", F.lit("adjacency")))
+        primary = primary.unionByName(conditions(few(new, "adjacent"), assets, observations, constraints).withColumn("origin", F.lit("adjacency")))
     return _ordered(primary, None if all_relevant else top_k)
 
 
