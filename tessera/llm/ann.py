@@ -9,6 +9,11 @@ How many lists a query visits follows the data: on the sample, it is the share o
 that holds RECALL_GOAL of the sample's own nearest neighbours, so few lists where vectors cluster and most of them where they
 are spread evenly.
 
+A check follows, as a sample and codes are no guide to rows of very unequal lengths, to close copies, which share their codes, or
+to groups that the sample missed. The kth best of a query in the sample is a floor; a list is visited as well if its centroid's
+product and its radius can reach the floor, and a vector of a visited list is scored exactly as well if its coded score and the
+distance from its code can reach the kth best known. Both bounds are Cauchy-Schwarz's, so no nearest vector is lost.
+
 Lists are packed into blocks of bounded size, and a list that is larger is cut into several, so a list with a third of all
 vectors is many tasks. Queries go to the blocks that they visit; a block that more queries visit than one task should answer
 is dealt out to several, and only that block's vectors are repeated. In a task the block lies in memory and the queries
@@ -27,7 +32,7 @@ table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -48,8 +53,12 @@ CODEWORDS = 256
 RECALL_GOAL = 0.97
 GAUGE_ROWS = 400
 LEAST_SEEN = 40
-#: Vectors of a block that are scored exactly for a query.
+#: Vectors of a block that are scored exactly for a query before the check. Where more pairs of a query and a vector than
+#: MANY_PAIRS may pass it, products of whole blocks thin them out; so many at once are scored.
 SHORTLIST = 160
+MANY_PAIRS = 1 << 16
+#: What rounding may add to a product or a distance, relative to the lengths that go into it.
+SLACK = 1e-12
 #: Most vectors of a block, most queries that meet it in one task, and how many of those are scored at once.
 BLOCK_VECTORS = 16384
 BLOCK_QUERIES = 65536
@@ -62,16 +71,36 @@ class Codec:
     centroids: np.ndarray  # lists x dim
     books: np.ndarray  # parts x codewords x width
     probes: int = 1  # lists that a query visits
+    known: tuple[np.ndarray, np.ndarray] | None = None  # the sample, one vector a vec_id
 
     def split(self, x: np.ndarray) -> np.ndarray:
         """n x parts x width; the last part is filled up with zeros."""
         parts, _, width = self.books.shape
         return np.pad(x, ((0, 0), (0, parts * width - x.shape[1]))).reshape(len(x), parts, width)
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Lists, codes, and the distances of the vectors from their centroids and from their codes, at most."""
         lists = _nearest(x, self.centroids)
-        rest = self.split(x - self.centroids[lists])
-        return lists, np.stack([_nearest(rest[:, m], book) for m, book in enumerate(self.books)], axis=1).astype(np.uint8)
+        centres = self.centroids[lists]
+        rest = self.split(x - centres)
+        codes = np.stack([_nearest(rest[:, m], book) for m, book in enumerate(self.books)], axis=1).astype(np.uint8)
+        coded = np.stack([book[codes[:, m]] for m, book in enumerate(self.books)], axis=1)
+        slack = SLACK * (_length(centres) + _length(x) + np.linalg.norm(coded, axis=2).sum(axis=1))
+        return lists, codes, _length(x - centres) + slack, _length((rest - coded).reshape(len(x), -1)) + slack
+
+    def floors(self, queries: np.ndarray, qids: np.ndarray, k: int) -> np.ndarray:
+        """What the kth nearest of each query scores at least: the kth best of the sample."""
+        out, (ids, x) = np.full(len(queries), -np.inf), self.known
+        for a in range(0, len(queries) if len(ids) >= k else 0, CHUNK):
+            q = queries[a : a + CHUNK]
+            score = q @ x.T - SLACK * np.outer(_length(q), _length(x))
+            score[(qids[a : a + CHUNK, None] == ids) | np.isnan(score)] = -np.inf
+            out[a : a + CHUNK] = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k]
+        return out
+
+
+def _length(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x * x).sum(axis=1))
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -133,24 +162,26 @@ def vectors(rows: DataFrame) -> DataFrame:
 
 
 def index(rows: DataFrame, seed: int = SEED, k: int = K) -> tuple[DataFrame, Codec | None, int]:
-    """Every one of the vectors, which have one length, with its list and codes; the codec; their number."""
+    """Every one of the vectors, which have one length, with its list, codes and distances (far: from the centroid, off: from
+    the code); the codec; their number."""
     good = rows
     n = good.count()
     if not n:
-        return good.withColumn("list", F.lit(0)).withColumn("codes", F.lit(b"")), None, 0
-    sample = good.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(TRAIN_ROWS).select("embedding").toPandas()
+        return good.withColumns({"list": F.lit(0), "codes": F.lit(b""), "far": F.lit(0.0), "off": F.lit(0.0)}), None, 0
+    sample = good.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(TRAIN_ROWS).select("vec_id", "embedding").toPandas()
     codec = fit(_matrix(sample["embedding"]), max(1, min(MAX_LISTS, round(n**0.5))), seed, k)
     shared = rows.sparkSession.sparkContext.broadcast(codec)  # 1024 centroids and 256 x 16 codewords at most
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                lists, codes = shared.value.encode(_matrix(b["embedding"]))
-                yield b.assign(list=lists.astype(np.int32), codes=[c.tobytes() for c in codes])
+                lists, codes, far, off = shared.value.encode(_matrix(b["embedding"]))
+                yield b.assign(list=lists.astype(np.int32), codes=[c.tobytes() for c in codes], far=far, off=off)
 
     kind = good.schema["embedding"].dataType.simpleString()
-    encoded = good.mapInPandas(encode, f"vec_id long, embedding {kind}, list int, codes binary")
-    return written(encoded, "index"), codec, n
+    encoded = good.mapInPandas(encode, f"vec_id long, embedding {kind}, list int, codes binary, far double, off double")
+    single = sample.drop_duplicates("vec_id")
+    return written(encoded, "index"), replace(codec, known=(single["vec_id"].to_numpy(np.int64), _matrix(single["embedding"]))), n
 
 
 def _blocks(sizes: dict[int, int]) -> dict[int, range]:
@@ -168,45 +199,48 @@ def _blocks(sizes: dict[int, int]) -> dict[int, range]:
     return out
 
 
-def _probes(queries: DataFrame, codec: Codec, sizes: dict[int, int], blocks: dict[int, range], k: int) -> DataFrame:
-    """query_id, q, block and lists: the blocks that each query visits, and which lists there."""
+def _probes(queries: DataFrame, codec: Codec, sizes: dict[int, int], radii: dict[int, float], blocks: dict[int, range], k: int) -> DataFrame:
+    """query_id, q, floor, block and lists: the blocks that each query visits, and which lists there."""
     held = np.array([sizes.get(i, 0) for i in range(len(codec.centroids))])
+    radius = np.array([radii.get(i, 0.0) for i in range(len(codec.centroids))])
     inside: dict[int, list[int]] = {}
     for i, where in blocks.items():
         for b in where:
             inside.setdefault(b, []).append(i)
     lists_of = {b: np.array(x, np.int32) for b, x in inside.items()}
-    shared = queries.sparkSession.sparkContext.broadcast((codec.centroids, held, lists_of))  # 1024 lists at most
-    n = codec.probes
+    shared = queries.sparkSession.sparkContext.broadcast((codec, held, radius, lists_of))  # 1024 lists and TRAIN_ROWS vectors at most
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        centroids, held, lists_of = shared.value
+        codec, held, radius, lists_of = shared.value
         for b in batches:
             if not len(b):
                 continue
-            order = np.argsort(-(_matrix(b["embedding"]) @ centroids.T), axis=1, kind="stable")
+            x = _matrix(b["embedding"])
+            near, floors = x @ codec.centroids.T, codec.floors(x, b["vec_id"].to_numpy(np.int64), k)
+            order = np.argsort(-near, axis=1, kind="stable")
             seen = np.cumsum(held[order], axis=1)
-            stop = np.maximum(n, (seen < LEAST_SEEN * k).sum(axis=1) + 1)
+            stop = np.maximum(codec.probes, (seen < LEAST_SEEN * k).sum(axis=1) + 1)
+            reach = ~(near + _length(x)[:, None] * radius < floors[:, None])  # also where a product is no number
             out = []
-            for key, q, o, s in zip(b["vec_id"], b["embedding"], order, stop):
-                visited = np.zeros(len(held), bool)
+            for key, q, floor, visited, o, s in zip(b["vec_id"], b["embedding"], floors, reach, order, stop):
                 visited[o[:s]] = True
-                out += [(key, q, block, lists[visited[lists]]) for block, lists in lists_of.items() if visited[lists].any()]
-            yield pd.DataFrame(out, columns=["query_id", "q", "block", "lists"])
+                out += [(key, q, floor, block, lists[visited[lists]]) for block, lists in lists_of.items() if visited[lists].any()]
+            yield pd.DataFrame(out, columns=["query_id", "q", "floor", "block", "lists"])
 
     kind = queries.schema["embedding"].dataType.simpleString()
-    return queries.mapInPandas(visit, f"query_id long, q {kind}, block int, lists array<int>")
+    return queries.mapInPandas(visit, f"query_id long, q {kind}, floor double, block int, lists array<int>")
 
 
 _FOUND = "query_id long, vec_id long, score double"
 
 
-def _best(qids: np.ndarray, ids: np.ndarray, exact: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best of each query's scored candidates (queries x candidates); -inf is none."""
-    top = np.lexsort((ids, -exact), axis=1)[:, :k]
-    score = np.take_along_axis(exact, top, axis=1)
-    good = np.isfinite(score)
-    return pd.DataFrame({"query_id": np.repeat(qids, good.sum(axis=1)), "vec_id": np.take_along_axis(ids, top, axis=1)[good], "score": score[good]})
+def _best(qids: np.ndarray, at: np.ndarray, ids: np.ndarray, exact: np.ndarray, k: int) -> pd.DataFrame:
+    """The k best of each query's scored candidates, a vec_id once: at (the query's place), ids and exact side by side; -inf is none."""
+    good = np.flatnonzero(np.isfinite(exact))
+    good = good[np.lexsort((ids[good], -exact[good], at[good]))]
+    good = good[~pd.DataFrame({"at": at[good], "id": ids[good]}).duplicated().to_numpy()]
+    good = good[np.arange(len(good)) - np.searchsorted(at[good], at[good]) < k]
+    return pd.DataFrame({"query_id": qids[at[good]], "vec_id": ids[good], "score": exact[good]})
 
 
 class _Block:
@@ -217,22 +251,37 @@ class _Block:
         self.codec, self.ids, self.x = codec, rows["vec_id"].to_numpy(np.int64), _matrix(rows["embedding"])
         self.lists = rows["list"].to_numpy(np.int64)
         self.codes = np.frombuffer(b"".join(rows["codes"]), np.uint8).reshape(len(rows), -1)
+        self.off, self.length, self.single = rows["off"].to_numpy(), _length(self.x), rows["vec_id"].is_unique
 
     def answer(self, part: pd.DataFrame, k: int) -> pd.DataFrame:
         codec, take = self.codec, min(SHORTLIST, len(self.ids))
         queries, qids = _matrix(part["embedding"]), part["vec_id"].to_numpy(np.int64)
         # Asymmetric: the query is exact, the vector coded. Its list's centroid, then each part by table.
-        tables = np.einsum("nmw,mkw->mnk", codec.split(queries), codec.books).astype(np.float32)
-        near = (queries @ codec.centroids.T).astype(np.float32)[:, self.lists]
+        tables = np.einsum("nmw,mkw->mnk", codec.split(queries), codec.books)
+        near = (queries @ codec.centroids.T)[:, self.lists]
         for m, t in enumerate(tables):
             near += t[:, self.codes[:, m]]
         visited = np.zeros((len(part), len(codec.centroids)), bool)
         for i, seen in enumerate(part["lists"]):
             visited[i, seen] = True
-        near[~visited[:, self.lists] | (qids[:, None] == self.ids)] = -np.inf
+        open_ = visited[:, self.lists] & (qids[:, None] != self.ids)
+        near[~open_] = -np.inf
         short = np.sort(np.argpartition(-near, take - 1, axis=1)[:, :take], axis=1)
-        exact = np.where(np.isfinite(np.take_along_axis(near, short, axis=1)), (self.x[short] * queries[:, None, :]).sum(axis=2), -np.inf)
-        return _best(qids, self.ids[short], exact, k)
+        exact = np.where(np.take_along_axis(open_, short, axis=1), (self.x[short] * queries[:, None, :]).sum(axis=2), -np.inf)
+        # The check: what may reach the kth best that is known.
+        least = part["floor"].to_numpy(np.float64)
+        if self.single and take >= k:
+            least = np.fmax(least, np.partition(exact, take - k, axis=1)[:, take - k])
+        np.put_along_axis(open_, short, False, axis=1)
+        length = _length(queries)[:, None]
+        near += length * self.off
+        open_ &= ~(near < least[:, None])
+        if np.count_nonzero(open_) > MANY_PAIRS:
+            open_ &= ~(queries @ self.x.T + SLACK * length * self.length < least[:, None])
+        at, more = np.nonzero(open_)
+        scores = [(self.x[more[a : a + MANY_PAIRS]] * queries[at[a : a + MANY_PAIRS]]).sum(axis=1) for a in range(0, len(at), MANY_PAIRS)]
+        at = np.concatenate([np.repeat(np.arange(len(part)), take), at])
+        return _best(qids, at, self.ids[np.concatenate([short.ravel(), more])], np.concatenate([exact.ravel(), *scores]), k)
 
 
 def _search(k: int, shared):
@@ -268,20 +317,21 @@ def search(indexed: DataFrame, codec: Codec, queries: DataFrame, k: int = K) ->
     spark = indexed.sparkSession
     first = F.row_number().over(W.partitionBy("embedding").orderBy("vec_id"))
     entries = written(indexed.withColumn("n", first).filter(F.col("n") <= k + 1).drop("n"), "entries")
-    sizes = {r["list"]: r["count"] for r in entries.groupBy("list").count().collect()}  # a row a list
+    lists = entries.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()  # a row a list
+    sizes, radii = {r["list"]: r["n"] for r in lists}, {r["list"]: r["far"] for r in lists}
     blocks = _blocks(sizes)
     plan = spark.createDataFrame([(i, b.start, len(b)) for i, b in blocks.items()], "list int, first int, cut int")
-    left = written(_probes(queries, codec, sizes, blocks, k), "probes")
+    left = written(_probes(queries, codec, sizes, radii, blocks, k), "probes")
     batches = left.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("batches"))  # a row a block
     left = left.join(batches, "block").withColumn("batch", F.pmod(F.xxhash64("query_id"), "batches").cast("int"))
     block = F.col("first") + F.pmod(F.xxhash64("vec_id"), "cut").cast("int")
     right = entries.join(F.broadcast(plan), "list").withColumn("block", block).join(batches, "block")  # plan: a row a list
     right = right.withColumn("batch", F.explode(F.sequence(F.lit(0), F.col("batches") - 1)))
-    left = left.select("block", "batch", F.lit(True).alias("query"), F.col("query_id").alias("vec_id"), F.col("q").alias("embedding"), "lists", F.lit(0).alias("list"), F.lit(None).cast("binary").alias("codes"))
-    right = right.select("block", "batch", F.lit(False).alias("query"), "vec_id", "embedding", F.lit(None).cast("array<int>").alias("lists"), "list", "codes")
+    left = left.select("block", "batch", F.lit(True).alias("query"), F.col("query_id").alias("vec_id"), F.col("q").alias("embedding"), "lists", "floor", F.lit(0).alias("list"), F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("off"))
+    right = right.select("block", "batch", F.lit(False).alias("query"), "vec_id", "embedding", F.lit(None).cast("array<int>").alias("lists"), F.lit(0.0).alias("floor"), "list", "codes", "off")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     both = left.unionAll(right).repartition(tasks, "block", "batch").sortWithinPartitions("block", "batch", "query")
-    return both.mapInPandas(_search(k, spark.sparkContext.broadcast(codec)), _FOUND)
+    return both.mapInPandas(_search(k, spark.sparkContext.broadcast(replace(codec, known=None))), _FOUND)
 
 
 def _compare(k: int):
@@ -294,7 +344,8 @@ def _compare(k: int):
                 qids = part["query_id"].to_numpy(np.int64)
                 exact = (x[None] * _matrix(part["q"])[:, None, :]).sum(axis=2)
                 exact[qids[:, None] == ids] = -np.inf
-                found.append(_best(qids, np.broadcast_to(ids, exact.shape), exact, k))
+                at = np.repeat(np.arange(len(part)), len(ids))
+                found.append(_best(qids, at, np.tile(ids, len(part)), exact.ravel(), k))
         return pd.concat(found, ignore_index=True)
 
     return run

@@ -606,6 +606,40 @@ def test_vectors_with_ties_and_nulls(spark):
     assert [r.vec_id for r in ann.nearest(spark.createDataFrame([(0, same_), (1, other)], "vec_id long, embedding array<float>")).collect()] == [1]
 
 
+def rows_unlike_the_sample(kind):
+    rng = np.random.default_rng(8)
+    even = rng.normal(size=(4000, 32))
+    if kind == "lengths":
+        return even * np.exp(2 * rng.normal(size=(4000, 1)))
+    if kind == "close copies":  # which share their codes
+        even[1::2] = rng.normal(size=(4, 32))[rng.integers(0, 4, 2000)] + 1e-3 * rng.normal(size=(2000, 32))
+        return even
+    even[:2000] = 0.05 * even[:2000] + 3  # one tight group, and small integers
+    even[2000:] = rng.integers(1, 4, (2000, 32))
+    return even
+
+
+@pytest.mark.parametrize("kind", ["lengths", "close copies", "groups"])
+def test_no_nearest_is_lost_on_other_rows(spark, monkeypatch, kind):
+    monkeypatch.setattr(ann, "TRAIN_ROWS", 500)  # so that the sample has few of them
+    x, ids = rows_unlike_the_sample(kind), np.arange(4000)
+    found = ann.nearest(spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")).toPandas()
+    want = brute_nearest(ids, x, 20, 20)
+    assert len(found) == 20 * len(want)
+    lost = sum(len(set(want[q]) - set(g["vec_id"])) for q, g in found.groupby("query_id"))
+    assert lost == 0
+
+
+def test_an_id_of_many_vectors_takes_one_place(spark):
+    rng = np.random.default_rng(3)
+    rows = [(5, [1.0, 0.001 * i]) for i in range(200)] + [(i, (0.2 * rng.normal(size=2)).tolist()) for i in range(20, 60)]
+    rows += [(5, [1.0, 0.0, 0.001 * i]) for i in range(100)] + [(i, (0.2 * rng.normal(size=3)).tolist()) for i in range(80, 110)]
+    found = ann.nearest(spark.createDataFrame([*rows, (0, [1.0, 0.1]), (60, [1.0, 0.0, 0.1])], "vec_id long, embedding array<double>")).collect()
+    for q in (0, 60):
+        mine = [r for r in found if r.query_id == q]
+        assert len({r.vec_id for r in mine}) == len(mine) == 20 and next(r.vec_id for r in mine if r["rank"] == 1) == 5
+
+
 def test_a_large_list_is_cut(monkeypatch):
     monkeypatch.setattr(ann, "BLOCK_VECTORS", 10)
     blocks = ann._blocks({0: 4, 1: 5, 2: 35, 3: 3, 4: 9})
