@@ -22,13 +22,24 @@ from tessera.llm.sharding import sharded_documents
 from tessera.llm.simhash import one_of_each
 
 
+#: Rows that go to a Python worker at once: a batch of texts is held by the JVM beside its heap, and by the worker twice.
+BATCH_ROWS = 2000
+
+
+def _in_small_batches(spark: SparkSession) -> None:
+    """For the session, as stages are run after they are made."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: documents whose language can't be told go: those without letters, or unlike all learned languages."""
+    _in_small_batches(spark)
     return identified(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: of each group of near-duplicates the document with the smallest doc_id stays."""
+    _in_small_batches(spark)
     return one_of_each(docs)
 
 

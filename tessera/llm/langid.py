@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import given_back, table
 
 #: The bound of the training sample: so many rows in all, as many of each language (at least LEAST_ROWS of each, however many
 #: languages there are), none of more bytes than this.
@@ -324,9 +324,11 @@ def with_language(docs: DataFrame, model: Model, familiar: bool = False) -> Data
 
     @F.pandas_udf("lang string, score double, familiar double")
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known = _Words(shared.value, familiar)
-        for texts in batches:
-            yield pd.DataFrame(predict(list(texts), shared.value, known), columns=["lang", "score", "familiar"])
+        with given_back():
+            known, texts = _Words(shared.value, familiar), None
+            for texts in batches:
+                yield pd.DataFrame(predict(list(texts), shared.value, known), columns=["lang", "score", "familiar"])
+            known = texts = None
 
     return docs.withColumn("__lid", label("text"))
 

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import FILE, ROW, placed, table, without, written
+from tessera.llm.common import FILE, ROW, given_back, placed, table, without, written
 
 SHINGLE = 3
 RADIUS = 3
@@ -65,8 +65,12 @@ def fingerprint(text: str | None, words: int = SHINGLE, seed: int = SEED) -> int
 
 
 @F.pandas_udf(T.LongType())
-def _fingerprints(texts: pd.Series) -> pd.Series:
-    return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
+def _fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    with given_back():
+        texts = None
+        for texts in batches:
+            yield pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
+        texts = None
 
 
 def with_fingerprint(docs: DataFrame) -> DataFrame:
@@ -178,7 +182,11 @@ def _shard_links(radius: int):
         if n:
             yield _forest_of(pd.concat(held, ignore_index=True), radius)
 
-    return run
+    def freed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with given_back():
+            yield from run(batches)
+
+    return freed
 
 
 def _bits(value: Column, start: int, n: int) -> Column:

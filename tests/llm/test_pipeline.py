@@ -93,3 +93,15 @@ def test_run_against_a_plain_version(spark):
     assert len({r.doc_id for r in found if r.text != docs[r.doc_id][0]}) <= 2 * len({s for _, s, _ in docs.values()})
     want = Counter((i, shard, slot) for i, _, _, shard, slot in brute_shards([(r.doc_id, r.text) for r in found]))
     assert Counter((r.doc_id, r.shard, r.slot) for r in found) == want
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(conf)
+    try:
+        for stage in (corpus_pipeline.language_id, corpus_pipeline.near_duplicates):
+            spark.conf.set(conf, before)
+            stage(spark, spark.createDataFrame([(1, "one two three", "en")], "doc_id long, text string, lang string"), "")
+            assert int(spark.conf.get(conf)) <= 2000
+    finally:
+        spark.conf.set(conf, before)
