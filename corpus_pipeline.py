@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.catalog import importable
 from tessera.llm.common import table, written
 from tessera.llm.decontaminate import remove_documents
 from tessera.llm.langid import identified
@@ -26,20 +27,25 @@ from tessera.llm.simhash import one_of_each
 BATCH_ROWS = 2000
 
 
-def _in_small_batches(spark: SparkSession) -> None:
-    """For the session, as stages are run after they are made."""
+def _for_python(spark: SparkSession) -> None:
+    """For the session, as stages are run after they are made.
+
+    The workers' path is set before the first of them starts: were it set later, each executor would start a second Python daemon and
+    keep the first.
+    """
+    importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: documents whose language can't be told go: those without letters, or unlike all learned languages."""
-    _in_small_batches(spark)
+    _for_python(spark)
     return identified(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: of each group of near-duplicates the document with the smallest doc_id stays."""
-    _in_small_batches(spark)
+    _for_python(spark)
     return one_of_each(docs)
 
 

@@ -110,6 +110,12 @@ def small(rows: DataFrame, most: int) -> DataFrame:
     return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
+def few_rows(spark: SparkSession, rows: list[tuple], schema: pa.Schema) -> DataFrame:
+    """A few rows of the driver as a table, by Arrow: a list would pass plain Python workers, which stay beside those of the UDFs."""
+    columns = zip(*rows) if rows else [()] * len(schema)
+    return spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema))
+
+
 @contextmanager
 def given_back() -> Iterator[None]:
     """Around a task's Python work: at its end the worker gives back what it has freed, as it stays beside the JVM in later stages."""

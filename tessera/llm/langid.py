@@ -27,11 +27,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import given_back, table
+from tessera.llm.common import few_rows, given_back, table
 
 #: The bound of the training sample: so many rows in all, as many of each language (at least LEAST_ROWS of each, however many
 #: languages there are), none of more bytes than this.
@@ -309,7 +310,8 @@ def train(docs: DataFrame, *, held_out: int | None = 2, rows: int = TRAIN_ROWS,
         return Model([])
     each = max(LEAST_ROWS, -(-rows // len(counts)))
     # Twice the rows wanted pass the threshold on the hash; the window then takes the first of each language.
-    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, (2 * each + 20) / r["n"])) for r in counts], "lang string, __share double")
+    schema = pa.schema([("lang", pa.string()), ("__share", pa.float64())])
+    shares = few_rows(docs.sparkSession, [(r["lang"], min(1.0, (2 * each + 20) / r["n"])) for r in counts], schema)
     drawn = labelled.select("doc_id", "lang", "text", order.alias("__o")).withColumn("__h", F.pmod("__o", F.lit(1_000_000)) / 1_000_000).join(F.broadcast(shares), "lang").filter("__h <= __share")
     drawn = drawn.withColumn("text", F.when(F.octet_length("text") <= row_bytes, F.col("text")).otherwise(F.substr("text", F.lit(1), F.lit(row_bytes // 4))))
     drawn = drawn.groupBy("lang", F.md5("text").alias("__d")).agg(F.min(F.struct("__o", "text")).alias("x")).select("lang", "__d", "x.__o", "x.text")

@@ -22,11 +22,12 @@ import hashlib
 import heapq
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, word_count, written
+from tessera.llm.common import few_rows, table, word_count, written
 
 #: Tokens of a block at most; at least so many blocks go to the source with the smallest target.
 BLOCK_TOKENS = 64
@@ -138,7 +139,8 @@ def _planned(narrow: DataFrame, seed: int, plan: dict) -> tuple[DataFrame, DataF
         for q in p.shard_quotas:
             upto.append(upto[-1] + q * p.block)
         rows.append((key, p.size, p.target, upto, p.offset, ranges[key]))
-    known = narrow.sparkSession.createDataFrame(rows, "__key string, __source_size long, __target double, __upto array<long>, __offset long, __ranges long")
+    schema = [("__key", pa.string()), ("__source_size", pa.int64()), ("__target", pa.float64()), ("__upto", pa.list_(pa.int64())), ("__offset", pa.int64()), ("__ranges", pa.int64())]
+    known = few_rows(narrow.sparkSession, rows, pa.schema(schema))
     small = sum(ranges.values()) <= MAX_BROADCAST_ROWS
     known = F.broadcast(known) if small else known
     sums = _ranged(narrow.select("__key", "__hash", "__size"), known).groupBy("__key", "__range").agg(F.sum("__size").alias("__sum"))

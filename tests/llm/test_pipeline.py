@@ -1,8 +1,10 @@
 """The pipeline's stages, each on what its predecessor kept."""
 
 import hashlib
+import os
 import re
 from collections import Counter
+from pathlib import Path
 
 import corpus_pipeline
 from tessera.llm import decontaminate, langid, mixing
@@ -105,3 +107,19 @@ def test_texts_go_to_python_in_small_batches(spark):
             assert int(spark.conf.get(conf)) <= 2000
     finally:
         spark.conf.set(conf, before)
+
+
+def test_executors_need_one_set_of_python_workers(spark, monkeypatch):
+    docs = table(spark, SF, "documents")
+    root, environment = str(Path(corpus_pipeline.__file__).parent), spark.sparkContext.environment
+    for stage in (corpus_pipeline.language_id, corpus_pipeline.near_duplicates):
+        monkeypatch.setitem(environment, "PYTHONPATH", "")  # the workers' path is part of what tells daemons apart
+        stage(spark, docs, SF)
+        assert root in environment["PYTHONPATH"].split(os.pathsep)
+
+    def plain(*_):
+        raise AssertionError("rows of the driver go through plain Python workers")
+
+    monkeypatch.setattr(spark.sparkContext, "parallelize", plain)
+    assert langid.train(docs).langs
+    assert mixing.mixed_documents(docs).count() > 0
