@@ -3,7 +3,7 @@
 Result sets live a day, tokens five minutes (RESULT_SECONDS, TOKEN_SECONDS). An event opens an item or renews it; when the
 watermark has passed its time, a timer fires, the item's life is told, and its state is gone, so state is bounded by what is
 alive. A gap that is already known when events arrive, be it in one batch, ends a life just as a timer does, so the lives
-told don't depend on how the stream is cut into batches.
+told don't depend on how the stream is cut into batches. Times are rounded to milliseconds.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from tessera.operators.joins import micros
+
 RESULT_SECONDS = 24 * 3600
 TOKEN_SECONDS = 300
 #: State with timers and maps is kept by this store.
@@ -76,7 +78,8 @@ class _Lives(StatefulProcessor):
 def lives(events: DataFrame, key: str, ts: str, ttl_seconds: int, watermark: str) -> DataFrame:
     """key, opened_at, expired_at and n (events) of every life that has ended, of a stream with timestamps; lives still open come later."""
     with_store(events.sparkSession)
-    rows = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark).select(key, ts, F.unix_millis(F.col(ts)).alias("at_ms"))
+    at_ms = F.round(micros(ts) / 1000).cast("long")  # as of timers and watermark; truncated ones would let a life end early
+    rows = events.withColumn("at_ms", at_ms).withColumn(ts, F.timestamp_millis("at_ms")).withWatermark(ts, watermark).select(key, ts, "at_ms")
     kind = rows.schema[key].dataType.simpleString()
     told = rows.groupBy(key).transformWithStateInPandas(_Lives(key, ttl_seconds * 1000), f"{key} {kind}, opened long, expired long, n long", "Append", "EventTime")
     at = lambda c: F.timestamp_millis(F.col(c)).alias(f"{c}_at")
