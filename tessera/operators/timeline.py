@@ -26,9 +26,16 @@ def weighted(frames: DataFrame, video: str, weights: dict[str, float], name: str
     return with_robust_units(frames, [video], list(weights)).withColumn(name, total).select(*frames.columns, name)
 
 
-def scenes(frames: DataFrame, video: str, t: str, boundary: str, labels: str) -> DataFrame:
-    """Scenes between boundaries: start, end, frames and the union of their labels. A boundary opens a scene."""
-    number = F.sum(F.col(boundary).cast("int")).over(W.partitionBy(video).orderBy(t).rowsBetween(W.unboundedPreceding, 0))
+def _order(t: str, key: str | None) -> list[str]:
+    return [t] if key is None else [t, key]
+
+
+def scenes(frames: DataFrame, video: str, t: str, boundary: str, labels: str, key: str | None = None) -> DataFrame:
+    """Scenes between boundaries: start, end, frames and the union of their labels. A boundary opens a scene.
+
+    key: a column by which frames of one time are told apart.
+    """
+    number = F.sum(F.col(boundary).cast("int")).over(W.partitionBy(video).orderBy(*_order(t, key)).rowsBetween(W.unboundedPreceding, 0))
     found = frames.withColumn("scene_no", number).groupBy(video, "scene_no")
     return found.agg(F.min(t).alias("start_s"), F.max(t).alias("end_s"), F.count(F.lit(1)).alias("frames"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(labels)))).alias("labels"))
 

@@ -27,7 +27,7 @@ sc AS (SELECT video, scene_no, min(t) AS start_s, max(t) AS end_s, count(*) AS f
 
 
 def _scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timeline.scenes(frames(spark, sf_dir).withColumn("boundary", F.col("score") > 0.5), "video", "t", "boundary", "labels")
+    return timeline.scenes(frames(spark, sf_dir).withColumn("boundary", F.col("score") > 0.5), "video", "t", "boundary", "labels", "frame")
 
 
 @query("video_scenes", f"WITH {_SCENES} SELECT video, scene_no, round(start_s, 5) AS start_s, round(end_s, 5) AS end_s, frames, array_to_string(labels, ',') AS labels FROM sc")
