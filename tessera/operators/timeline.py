@@ -40,12 +40,15 @@ def scenes(frames: DataFrame, video: str, t: str, boundary: str, labels: str, ke
     return found.agg(F.min(t).alias("start_s"), F.max(t).alias("end_s"), F.count(F.lit(1)).alias("frames"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(labels)))).alias("labels"))
 
 
-def merge_short(scene_rows: DataFrame, video: str, shortest: float = 3.0, alike: float = 0.60) -> DataFrame:
-    """Scenes with short ones joined to the scene before where their labels are alike (Jaccard): a left fold per video."""
+def merge_short(scene_rows: DataFrame, video: str, shortest: float = 3.0, alike: float = 0.60, key: str | None = None) -> DataFrame:
+    """Scenes with short ones joined to the scene before where their labels are alike (Jaccard): a left fold per video.
+
+    key: a column by which scenes of one start are told apart.
+    """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         out: list[dict] = []
-        for r in pdf.sort_values("start_s").to_dict("records"):
+        for r in pdf.sort_values(_order("start_s", key), kind="stable").to_dict("records"):
             now = set(r["labels"])
             if out:
                 last = set(out[-1]["labels"])

@@ -46,7 +46,7 @@ def video_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def merged_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short scenes joined to alike ones before them."""
-    found = timeline.merge_short(_scenes(spark, sf_dir), "video")
+    found = timeline.merge_short(_scenes(spark, sf_dir), "video", key="scene_no")
     return found.select("video", F.round("start_s", 5).alias("start_s"), F.round("end_s", 5).alias("end_s"), "frames", F.array_join("labels", ",").alias("labels"))
 
 
