@@ -28,7 +28,7 @@ def tied(tmp_path_factory):
     return str(folder / "sql"), str(folder / "spark")
 
 
-@pytest.mark.parametrize("name", ["video_scenes", "merged_scenes"])
+@pytest.mark.parametrize("name", ["video_scenes", "merged_scenes", "scene_hierarchy"])
 def test_ties_by_id(spark, tied, name):
     sql, files = tied
     same(registry.QUERIES[name](spark, files), registry.ORACLES[name], sql)
