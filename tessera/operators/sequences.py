@@ -106,10 +106,14 @@ def by_score(rows: DataFrame, keys: list[str], t: str, score: str, min_gap: floa
     return rows.groupBy(*keys).applyInPandas(lambda pdf: pick(pdf.reset_index(drop=True)), rows.schema)
 
 
-def displacement(rows: DataFrame, keys: list[str], t: str, x: str, y: str, path: float = 0.14, net: float = 0.035) -> DataFrame:
-    """Per track: path length, net displacement, and whether it moves (both long enough)."""
-    w = W.partitionBy(*keys).orderBy(t)
+def displacement(rows: DataFrame, keys: list[str], t: str, x: str, y: str, path: float = 0.14, net: float = 0.035, key: str | None = None) -> DataFrame:
+    """Per track: path length, net displacement, and whether it moves (both long enough).
+
+    key: a column by which rows of one time are told apart; then the first of those at a track's end is its end.
+    """
+    order = [] if key is None else [key]
+    w = W.partitionBy(*keys).orderBy(t, *order)
     step = F.sqrt(F.pow(F.col(x) - F.lag(x).over(w), 2) + F.pow(F.col(y) - F.lag(y).over(w), 2))
-    ends = rows.withColumn("__step", step).groupBy(*keys).agg(F.coalesce(F.sum("__step"), F.lit(0.0)).alias("path"), F.min_by(F.struct(x, y), t).alias("a"), F.max_by(F.struct(x, y), t).alias("b"))
+    ends = rows.withColumn("__step", step).groupBy(*keys).agg(F.coalesce(F.sum("__step"), F.lit(0.0)).alias("path"), F.min_by(F.struct(x, y), F.struct(t, *order)).alias("a"), F.min_by(F.struct(x, y), F.struct(-F.col(t), *order)).alias("b"))
     far = F.sqrt(F.pow(F.col(f"b.{x}") - F.col(f"a.{x}"), 2) + F.pow(F.col(f"b.{y}") - F.col(f"a.{y}"), 2))
     return ends.select(*keys, "path", far.alias("net")).withColumn("moving", (F.col("path") >= path) & (F.col("net") >= net))

@@ -68,7 +68,7 @@ def label_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def track_displacement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far each track goes, and whether it moves."""
-    found = sequences.displacement(frames(spark, sf_dir), ["video", "track"], "t", "x", "y")
+    found = sequences.displacement(frames(spark, sf_dir), ["video", "track"], "t", "x", "y", key="frame")
     return found.select("video", "track", F.round("path", 6).alias("path"), F.round("net", 6).alias("net"), "moving")
 
 
