@@ -72,11 +72,14 @@ def label_sessions(observations: DataFrame, keys: list[str], t: str, gap: float,
     return found.withColumn("members", picked).drop("__m")
 
 
-def keyframe_budget(frames: DataFrame, video: str, scene: str, score: str, t: str, budget: int = 160) -> DataFrame:
-    """Per video the best frame of each scene first, then an even stride over the others, up to the budget."""
-    best = F.row_number().over(W.partitionBy(video, scene).orderBy(F.desc(score), t)) == 1
+def keyframe_budget(frames: DataFrame, video: str, scene: str, score: str, t: str, budget: int = 160, key: str | None = None) -> DataFrame:
+    """Per video the best frame of each scene first, then an even stride over the others, up to the budget.
+
+    key: a column by which frames of one time are told apart.
+    """
+    best = F.row_number().over(W.partitionBy(video, scene).orderBy(F.desc(score), *_order(t, key))) == 1
     marked = frames.withColumn("__best", best)
-    rest = marked.withColumn("__n", F.row_number().over(W.partitionBy(video, "__best").orderBy(t))).withColumn("__all", F.count(F.lit(1)).over(W.partitionBy(video, "__best")))
+    rest = marked.withColumn("__n", F.row_number().over(W.partitionBy(video, "__best").orderBy(*_order(t, key)))).withColumn("__all", F.count(F.lit(1)).over(W.partitionBy(video, "__best")))
     firsts = F.sum(F.col("__best").cast("int")).over(W.partitionBy(video))
     room = F.greatest(F.lit(0), F.lit(budget) - firsts)
     stride = F.greatest(F.lit(1), F.ceil(F.col("__all") / F.greatest(room, F.lit(1))))

@@ -81,8 +81,8 @@ def keyframe_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most forty frames of each video: the best of each scene, then an even stride."""
     from pyspark.sql import Window as W
 
-    number = F.sum((F.col("score") > 0.5).cast("int")).over(W.partitionBy("video").orderBy("t").rowsBetween(W.unboundedPreceding, 0))
-    return timeline.keyframe_budget(frames(spark, sf_dir).withColumn("scene_no", number), "video", "scene_no", "score", "t", 40).select("video", "frame")
+    number = F.sum((F.col("score") > 0.5).cast("int")).over(W.partitionBy("video").orderBy("t", "frame").rowsBetween(W.unboundedPreceding, 0))
+    return timeline.keyframe_budget(frames(spark, sf_dir).withColumn("scene_no", number), "video", "scene_no", "score", "t", 40, "frame").select("video", "frame")
 
 
 #: The five signals of a frame, with what they are made of here.

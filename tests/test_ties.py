@@ -32,7 +32,7 @@ def tied(tmp_path_factory):
     return str(folder / "sql"), str(folder / "spark")
 
 
-@pytest.mark.parametrize("name", ["video_scenes", "merged_scenes", "scene_hierarchy", "track_displacement"])
+@pytest.mark.parametrize("name", ["video_scenes", "merged_scenes", "scene_hierarchy", "track_displacement", "keyframe_budget"])
 def test_ties_by_id(spark, tied, name):
     ordered, files = tied
     sql = re.sub(r"(ORDER BY (score DESC, )?t)\b", r"\1, frame", registry.ORACLES[name])
