@@ -363,26 +363,38 @@ def consolidated(observations: DataFrame, event: str = "event_id") -> DataFrame:
     """scope_id, event_id and into: which event each one ends in.
 
     Two events can only merge if observations of theirs are within MERGE_GAP_S, so a scope's events are first parted where
-    no event reaches over such a gap; each part is one fold.
+    no event reaches over such a gap; each part is one fold. An event alone in its part stays as it is and takes no part in
+    the folds; the other parts stream by in order, many of them in a batch.
     """
     rows = observations.withColumn("t", micros("ts") / 1e6).filter("t IS NOT NULL")
     spans = rows.groupBy("scope_id", event).agg(F.min("t").alias("a"), F.max("t").alias("b"))
     w = W.partitionBy("scope_id").orderBy("a", event)
     reach = F.max("b").over(w.rowsBetween(W.unboundedPreceding, -1))
     parted = spans.withColumn("new", F.coalesce((F.col("a") - reach > MERGE_GAP_S).cast("int"), F.lit(0)))
-    parts = parted.withColumn("part", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0))).select("scope_id", event, "part")
+    parts = parted.withColumn("part", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("events", F.count(F.lit(1)).over(W.partitionBy("scope_id", "part")))
+    parts = parts.select("scope_id", event, "part", "events").filter(F.col("scope_id").isNotNull() & F.col(event).isNotNull())
+    alone = parts.filter("events = 1").select("scope_id", event, F.col(event).alias("into"))
     columns = ["t", "kind", "activity", "objects", "people", "gps", "vector"]
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        held: dict[object, list[dict]] = {}
-        for o in as_dicts(pdf):
-            held.setdefault(o[event], []).append(o)
-        into = consolidation(held)
-        return pd.DataFrame({"scope_id": pdf["scope_id"].iloc[0], event: list(into), "into": list(into.values())})
+    def folds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held, out = None, {}, []
+        for b in batches:
+            for key, o in zip(zip(b["scope_id"], b["part"]), as_dicts(b)):
+                if key != at:
+                    out += [(at[0], *x) for x in consolidation(held).items()] if held else []
+                    at, held = key, {}
+                held.setdefault(o[event], []).append(o)
+            if out:
+                yield pd.DataFrame(out, columns=["scope_id", event, "into"])
+                out = []
+        if held:
+            yield pd.DataFrame([(at[0], *x) for x in consolidation(held).items()], columns=["scope_id", event, "into"])
 
     kind = lambda c: observations.schema[c].dataType.simpleString()
-    joined = rows.join(parts, ["scope_id", event]).select("scope_id", event, "part", *columns)
-    return joined.groupBy("scope_id", "part").applyInPandas(fold, f"scope_id {kind('scope_id')}, {event} {kind(event)}, into {kind(event)}")
+    joined = rows.join(parts.filter("events > 1"), ["scope_id", event]).select("scope_id", event, "part", *columns)
+    ordered = joined.repartition("scope_id", "part").sortWithinPartitions("scope_id", "part")
+    folded = ordered.mapInPandas(folds, f"scope_id {kind('scope_id')}, {event} {kind(event)}, into {kind(event)}")
+    return alone.unionByName(folded)
 
 
 def resegmented(observations: DataFrame, person: str, event: str = "event_id") -> DataFrame:

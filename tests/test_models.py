@@ -390,3 +390,21 @@ def test_a_large_scope_is_parted_and_gives_the_same_clusters(spark, monkeypatch)
         if all(root[i] == min(root[j] for j in x if x[i] @ x[j] >= 0.75) for i in x):
             break
     assert parts == root
+
+
+def test_consolidation_streams_parts_and_leaves_lone_events_out(spark):
+    """Events alone in their part never reach Python, and parts go on over the ends of batches."""
+    rows = [(s, 100 * s + i, 60.0 * (i if i < 6 else 10_000 * i)) for s in range(20) for i in range(9)]
+    seen = spark.createDataFrame(rows, "scope_id int, event_id int, s double").selectExpr(
+        "scope_id", "event_id", "event_id AS obs_id", "timestamp_micros(cast(s * 1e6 AS bigint)) AS ts", "'k' AS kind", "'walk' AS activity", "array('o') AS objects", "array('u') AS people", "named_struct('lat', 1D, 'lon', 2D) AS gps", "array(1D, 0D) AS vector"
+    )
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        found = events.consolidated(seen)
+        assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
+        into = {r.event_id: r.into for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert len(into) == 180 and all((v % 100 == k % 100) if k % 100 >= 6 else (v // 100 == k // 100 and v % 100 < 6) for k, v in into.items())
+    assert all(len({into[100 * s + i] for i in range(6)}) == 1 for s in range(20))
