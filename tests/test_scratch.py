@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 registry.load()
 
 
-@pytest.mark.parametrize("name", ["rank_visual"])
+@pytest.mark.parametrize("name", ["rank_visual", "channel_agreement"])
 def test_no_term_index_is_written(spark, tmp_path, name):
     tables = shutil.copytree(SF, tmp_path / "new")  # tables that no index is known of
     made = lambda: {n for n in os.listdir(catalog.shared_root(spark)) if n.startswith("term-index")}
