@@ -11,8 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.orderstats import even_indices, with_robust_units
-from tessera.functions.vector import dot
 from tessera.operators.joins import overlaps
+from tessera.operators.retrieval import by_blocks
 
 BOUNDARY = {"residual": 0.42, "histogram": 0.25, "pixel": 0.18, "shift": 0.15}
 SUMMARY = {"scene_score": 0.28, "information_gain": 0.22, "sharpness": 0.22, "diversity": 0.13, "representativeness": 0.15}
@@ -101,11 +101,25 @@ def diversity(frames: DataFrame, keys: list[str], vector: str) -> DataFrame:
 def representativeness(frames: DataFrame, chosen: DataFrame, keys: list[str], frame: str, vector: str) -> DataFrame:
     """Per key the mean of exp(-distance) of all frames to the nearest chosen one (cosine distance of unit vectors).
 
-    chosen: keys and vector. Frames meet the chosen ones of their video only, and those are a budgeted few.
+    chosen: keys and vector. Frames meet the chosen ones of their video only, as matrices of bounded blocks; vectors of
+    different lengths are at distance 1.
     """
-    c = chosen.select(*keys, F.col(vector).alias("__c"))
-    distance = F.least(F.lit(2.0), F.greatest(F.lit(0.0), 1 - dot(F.col(vector), F.col("__c"))))
-    nearest = frames.select(*keys, frame, vector).join(c, keys).groupBy(*keys, frame).agg(F.min(distance).alias("d"))
+
+    def products(q: pd.DataFrame, v: pd.DataFrame) -> np.ndarray:
+        """Each frame's greatest product, in one column: which vector it is of is not asked."""
+        rows, columns = q["q"].map(len).to_numpy(), v["vector"].map(len).to_numpy()
+        out = np.full((len(q), len(v)), -np.inf)
+        for n in set(rows):
+            i, j = np.flatnonzero(rows == n), np.flatnonzero(columns == n)
+            most = (np.stack(q["q"].to_numpy()[i]).astype(float) @ np.stack(v["vector"].to_numpy()[j]).astype(float).T).max(axis=1) if n and len(j) else -np.inf
+            out[i, 0] = np.maximum(most, 0.0 if len(j) < len(v) or not n else -np.inf)
+        return out
+
+    whole = lambda c: F.coalesce(c, F.array().cast(frames.schema[vector].dataType))
+    c = chosen.select(*keys, F.xxhash64(vector).alias("asset_id"), whole(F.col(vector)).alias("vector")).distinct()  # of those with one hash the best counts
+    asked = frames.select(*keys, F.struct(*keys, frame).alias("query_id"), whole(F.col(vector)).alias("q"))
+    best = by_blocks(c, asked, keys, 1, products).select("query_id.*", "raw_score")
+    nearest = best.groupBy(*keys, frame).agg(F.least(F.lit(2.0), F.greatest(F.lit(0.0), 1 - F.max("raw_score"))).alias("d"))
     return nearest.groupBy(*keys).agg(F.count(F.lit(1)).alias("frames"), F.avg(F.exp(-F.col("d"))).alias("representativeness"))
 
 
